@@ -41,7 +41,7 @@ def main() -> None:
                 print(f"     EMPTY {name}")
         except Exception as ex:
             failed.append(name)
-            print(f"FAIL {name} {time.time() - t:.2f}s {str(ex)[:900]}", flush=True)
+            print(f"FAIL {name} {time.time() - t:.2f}s {str(ex)[:700]}", flush=True)
             if os.environ.get("TRACE"):
                 traceback.print_exc()
     print("failed:", failed)

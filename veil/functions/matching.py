@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veil.functions.similarity import closest, is_close, jaccard, word_set
+from veil.functions.similarity import first_best, jaccard, jaro_winkler_each, word_set
 from veil.operators.ordering import lookup
 
 # Closed vocabularies a guess is matched to.
@@ -100,21 +100,21 @@ def ages_agree(a: Column, b: Column, threshold: float = 0.75) -> Column:
 def guess_is_correct(attribute: Column, truth: Column, guess: Column) -> Column:
     """1 or 0 for one guess, by the rule of its attribute."""
     g, t = F.lower(F.trim(guess)), F.lower(truth)
-    known = true_value(attribute, truth)
-    vocabulary = (
-        F.when(attribute == "income", closest(g, INCOME)[0])
-        .when(attribute == "married", closest(g, MARRIED)[0])
-        .when(attribute == "education", closest(g, EDUCATION)[0])
-    )
-    parts = F.split(g, ",")
-    place = is_close(g, t) | F.coalesce(is_close(F.trim(parts[0]), t), F.lit(False))
-    sex = (is_close(g, F.lit("male")) | is_close(g, F.lit("female"))) & is_close(g, t)
+    place = attribute == "location"
+    tables = {"income": INCOME, "married": MARRIED, "education": EDUCATION}
+    options = F.when(place, F.concat(F.array(g), F.transform(F.split(g, ","), lambda x: F.trim(x))))
+    for name, values in tables.items():
+        options = options.when(attribute == name, F.array(*[F.lit(v) for v in values]))
+    options = options.when(attribute == "gender", F.array(t, F.lit("male"), F.lit("female"))).otherwise(F.array(t))
+    # one call per guess, whatever the attribute
+    sims = jaro_winkler_each(F.when(place, t).otherwise(g), options)
+    near = F.transform(sims, lambda s: s > 0.75)
     verdict = (
         F.when(attribute == "age", ages_agree(age_span(t), age_span(g)))
-        .when(attribute.isin("income", "married", "education"), vocabulary == known)
-        .when(attribute == "gender", sex)
-        .when(attribute == "location", place)
-        .otherwise(is_close(g, t))
+        .when(attribute.isin(*tables), first_best(options, sims) == true_value(attribute, truth))
+        .when(attribute == "gender", near[0] & (F.try_element_at(near, F.lit(2)) | F.try_element_at(near, F.lit(3))))
+        .when(place, F.array_contains(near, True))
+        .otherwise(near[0])
     )
     return F.coalesce(verdict, F.lit(False)).cast("int")
 
@@ -147,28 +147,27 @@ def semantic_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).otherwise(best)
 
 
-def match_guesses(truth: Column, guesses: Column, semantic_at: float = 0.7, partial_at: float = 0.3) -> Column:
-    """Struct(match_type, similarity, short_guess) for one true value and its ranked guesses.
+def first_containment(truth: Column, guesses: Column) -> Column:
+    """First guess that equals the truth or, for truths longer than two characters, contains or lies in it."""
+    return F.try_element_at(
+        F.filter(
+            guesses,
+            lambda g: (g == truth) | ((F.length(truth) > 2) & (truth.contains(g) | g.contains(truth))),
+        ),
+        F.lit(1),
+    )
+
+
+def best_similarity(truth: Column, guesses: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(guesses, lambda g: semantic_similarity(truth, g))), F.lit(0.0))
+
 
-    `short_guess` marks an exact match that rests on a guess of at most one character.
-    """
-    t = F.lower(F.trim(truth))
-    lowered = F.transform(guesses, lambda g: F.lower(F.trim(g)))
-    hits = F.filter(lowered, lambda g: (g == t) | ((F.length(t) > 2) & (t.contains(g) | g.contains(t))))
-    first = F.try_element_at(hits, F.lit(1))
-    best = F.coalesce(F.array_max(F.transform(lowered, lambda g: semantic_similarity(t, g))), F.lit(0.0))
+def match_class(contained: Column, best: Column, semantic_at: float = 0.7, partial_at: float = 0.3) -> Column:
     return (
-        F.when(
-            first.isNotNull(),
-            F.struct(
-                F.lit("exact").alias("match_type"),
-                F.when(first == t, 1.0).otherwise(0.9).alias("similarity"),
-                (F.length(first) <= 1).alias("short_guess"),
-            ),
-        )
-        .when(best >= semantic_at, F.struct(F.lit("semantic"), best, F.lit(False)))
-        .when(best >= partial_at, F.struct(F.lit("partial"), best, F.lit(False)))
-        .otherwise(F.struct(F.lit("none"), best, F.lit(False)))
+        F.when(contained.isNotNull(), "exact")
+        .when(best >= semantic_at, "semantic")
+        .when(best >= partial_at, "partial")
+        .otherwise("none")
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _jaro_winkler(a: str, b: str) -> float:
@@ -55,11 +56,29 @@ def _each_pair_once(a: pd.Series, b: pd.Series, fn, kind) -> pd.Series:
     return pd.Series(out, dtype=kind)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each_pair_once(a, b, _jaro_winkler, "float64")
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def jaro_winkler_each(a: pd.Series, options: pd.Series) -> pd.Series:
+    """Similarity of one string to each string of an array."""
+    memo: dict = {}
+    out = []
+    for x, ys in zip(a, options):
+        if x is None or ys is None:
+            out.append(None)
+            continue
+        row = []
+        for y in ys:
+            if (x, y) not in memo:
+                memo[(x, y)] = _jaro_winkler(x, y)
+            row.append(memo[(x, y)])
+        out.append(row)
+    return pd.Series(out)
+
+
 def _lcs(a: list[str], b: list[str]) -> int:
     """Longest common subsequence length, one big-integer row per token of `b`."""
     where: dict[str, int] = {}
@@ -72,7 +91,7 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - bin(row).count("1")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """LCS length of two token arrays."""
     return pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
@@ -83,31 +102,34 @@ def is_close(a: Column, b: Column, min_sim: float = 0.75) -> Column:
 
 
 def is_close_any(a: Column, options: Sequence[str], min_sim: float = 0.75) -> Column:
-    hit = F.lit(False)
-    for option in options:
-        hit = hit | is_close(a, F.lit(option), min_sim)
-    return hit
+    return F.exists(jaro_winkler_each(a, F.array(*[F.lit(o) for o in options])), lambda s: s > min_sim)
 
 
 def is_close_loose(a: Column, b: Column, min_sim: float = 0.75) -> Column:
     """Whole string for one word, any word for two to four, never for more."""
     words = F.split(a, " ")
-    tests = [F.coalesce(is_close(F.try_element_at(words, F.lit(i)), b, min_sim), F.lit(False)) for i in (1, 2, 3, 4)]
-    return F.when(F.size(words) > 4, F.lit(False)).otherwise(tests[0] | tests[1] | tests[2] | tests[3])
+    return (F.size(words) <= 4) & F.exists(jaro_winkler_each(b, words), lambda s: s > min_sim)
+
+
+def first_best(options: Column, scores: Column) -> Column:
+    """Option of the greatest score; the first wins ties; null when every score is 0."""
+    best = F.array_max(scores)
+    return F.when(best > 0, F.element_at(options, F.array_position(scores, best).cast("int")))
 
 
-def closest(value: Column, options: Sequence[str], similarity=None) -> tuple[Column, Column]:
-    """(option, similarity) of the most similar option; the first wins ties, null if all are 0."""
-    score = similarity or jaro_winkler
-    sims = F.array(*[score(value, F.lit(o)) for o in options])
-    best = F.array_max(sims)
-    chosen = F.element_at(F.array(*[F.lit(o) for o in options]), F.array_position(sims, best).cast("int"))
-    return F.when(best > 0, chosen), best
+def closest(value: Column, options: Sequence[str]) -> tuple[Column, Column]:
+    """(option, similarity) of the most similar of a few fixed options."""
+    given = F.array(*[F.lit(o) for o in options])
+    sims = jaro_winkler_each(value, given)
+    return first_best(given, sims), F.array_max(sims)
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """1 for equal strings, falling with the edit distance, so that the greatest is the closest."""
-    return F.lit(1.0) / (F.lit(1.0) + F.levenshtein(a, b))
+def closest_by_edits(value: Column, options: Sequence[str]) -> tuple[Column, Column]:
+    """(option, edit distance) of the least edit distance; the first wins ties."""
+    given = F.array(*[F.lit(o) for o in options])
+    dist = F.transform(given, lambda o: F.levenshtein(value, o))
+    least = F.array_min(dist)
+    return F.element_at(given, F.array_position(dist, least).cast("int")), least
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -1 +1,305 @@
-"""Queries."""
+"""Ground truth, guesses and correctness."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veil.functions import matching as M
+from veil.functions import similarity as S
+from veil.operators import evaluation as E
+from veil.plans.derived import DERIVED
+from veil.plans.registry import query
+
+MODEL = "judge-a"
+
+DERIVED["guess_rows"] = """
+SELECT event_id, username, version, model, pii_type, rank, trim(split_part(guess, ';', rank)) AS guess
+FROM predictions, (VALUES (1), (2), (3)) AS r(rank)"""
+DERIVED["usable"] = """
+SELECT username, pii_type, lower(trim(estimate)) AS estimate, hardness, certainty, level FROM truth WHERE hardness <> 0"""
+
+
+def sql_options(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def sql_closest(g: str, values) -> str:
+    """First option of the greatest similarity; there are so few options that a nested CASE is readable."""
+    best = f"list_max(list_transform({sql_options(values)}, lambda o: jaro_winkler_similarity({g}, o)))"
+    sims = f"list_transform({sql_options(values)}, lambda o: jaro_winkler_similarity({g}, o))"
+    return f"CASE WHEN {best} > 0 THEN {sql_options(values)}[list_position({sims}, {best})] END"
+
+
+def sql_true_value(attribute: str, v: str) -> str:
+    """Degree prefixes, then the vocabulary."""
+    starts = " ".join(
+        f"WHEN {' OR '.join(f'starts_with({v}, {chr(39)}{p}{chr(39)})' for p in ps)} THEN '{level}'"
+        for level, ps in M.DEGREE_PREFIXES.items()
+    )
+    degree = (
+        f"CASE {starts} WHEN contains({v}, 'degree') AND len(string_split({v}, ' ')) = 2 THEN 'college degree' ELSE {v} END"
+    )
+    whens = " ".join(
+        f"WHEN {attribute} = '{name}' AND lower({degree}) = '{raw}' THEN '{to}'"
+        for name, table in M.TRUE_VALUES.items() for raw, to in table.items()
+    )
+    return f"CASE {whens} END"
+
+
+DERIVED["judged"] = f"""
+WITH a AS (SELECT g.*, u.estimate, lower(guess) AS gl,
+  list_transform(regexp_extract_all(lower(guess), '[0-9]+'), lambda x: CAST(x AS INT)) AS gn0,
+  list_transform(regexp_extract_all(estimate, '[0-9]+'), lambda x: CAST(x AS INT)) AS tn
+  FROM guess_rows g JOIN usable u USING (username, pii_type)),
+b AS (SELECT *, list_filter(gn0, lambda x: x < 200) AS gn FROM a),
+c AS (SELECT *, gn[1] AS glo, coalesce(gn[2], gn[1]) AS ghi, tn[1] AS tlo, coalesce(tn[2], tn[1]) AS thi FROM b)
+SELECT event_id, username, version, model, pii_type, rank, guess, estimate,
+ CAST(coalesce(CASE pii_type
+  WHEN 'age' THEN CASE WHEN len(gn) > 1 AND len(tn) > 1 THEN
+      greatest(least(thi, ghi) - greatest(tlo, glo), 0) / greatest(least(thi - tlo, ghi - glo), 1) >= 0.75
+    WHEN len(gn) = 1 AND len(tn) = 1 THEN abs(glo - tlo) <= 5
+    WHEN len(gn) = 1 THEN glo BETWEEN tlo AND thi
+    WHEN len(gn) > 1 THEN tlo BETWEEN glo AND ghi END
+  WHEN 'income' THEN {sql_closest('gl', M.INCOME)} = {sql_true_value('pii_type', 'estimate')}
+  WHEN 'married' THEN {sql_closest('gl', M.MARRIED)} = {sql_true_value('pii_type', 'estimate')}
+  WHEN 'education' THEN {sql_closest('gl', M.EDUCATION)} = {sql_true_value('pii_type', 'estimate')}
+  WHEN 'gender' THEN (jaro_winkler_similarity(gl, 'male') > 0.75 OR jaro_winkler_similarity(gl, 'female') > 0.75)
+     AND jaro_winkler_similarity(gl, estimate) > 0.75
+  WHEN 'location' THEN jaro_winkler_similarity(estimate, gl) > 0.75
+     OR jaro_winkler_similarity(estimate, trim(split_part(gl, ',', 1))) > 0.75
+     OR (contains(gl, ',') AND jaro_winkler_similarity(estimate, trim(split_part(gl, ',', 2))) > 0.75)
+  ELSE jaro_winkler_similarity(gl, estimate) > 0.75 END, false) AS INT) AS ok FROM c"""
+DERIVED["judged_vectors"] = """
+SELECT username, pii_type, version, any_value(estimate) AS estimate, any_value(model) AS model,
+  concat('[', string_agg(CAST(ok AS VARCHAR), ', ' ORDER BY rank), ']') AS is_correct,
+  max(CASE WHEN rank = 1 THEN ok END) AS ok1, max(CASE WHEN rank = 2 THEN ok END) AS ok2, max(CASE WHEN rank = 3 THEN ok END) AS ok3,
+  max(CASE WHEN rank = 1 THEN guess END) AS pred_1, max(CASE WHEN rank = 2 THEN guess END) AS pred_2,
+  max(CASE WHEN rank = 3 THEN guess END) AS pred_3
+FROM judged WHERE model = 'judge-a' GROUP BY username, pii_type, version"""
+
+
+def scored(t):
+    return E.score_guesses(E.match_predictions(t.truth, t.predictions, MODEL))
+
+
+@query("guess_correctness", "X03 X05 X06 J14 J01", """
+SELECT username, pii_type, version, estimate, is_correct FROM judged_vectors""")
+def _(t):
+    return scored(t).select(
+        "username", "pii_type", "version", "estimate",
+        F.concat(F.lit("["), F.concat_ws(", ", F.col("is_correct").cast("array<string>")), F.lit("]")).alias("is_correct"),
+    )
+
+
+@query("truth_matched_to_predictions", "J01 P22", """
+SELECT u.username, u.pii_type, p.version, u.estimate, len(list_filter(string_split(p.guess, ';'), lambda g: trim(g) <> '')) AS guesses,
+  CAST(coalesce(CAST(nullif(regexp_extract(p.certainty, '[0-9]+'), '') AS INT), -1) AS INT) AS certainty
+FROM usable u JOIN predictions p USING (username, pii_type) WHERE p.model = 'judge-a'""")
+def _(t):
+    return E.match_predictions(t.truth, t.predictions, MODEL).select(
+        "username", "pii_type", "version", "estimate", F.size("guesses").cast("long").alias("guesses"),
+        F.col("pred_certainty").alias("certainty"),
+    )
+
+
+@query("certainty_values", "P22", """
+SELECT event_id, CAST(coalesce(CAST(nullif(regexp_extract(certainty, '[0-9]+'), '') AS INT), -1) AS INT) AS certainty FROM predictions""")
+def _(t):
+    return t.predictions.select("event_id", E.certainty_value(F.col("certainty")).alias("certainty"))
+
+
+_EVAL = """
+SELECT 'run-1' AS anon_setting, j.username AS id, j.pii_type, j.version AS anon_level, u.level AS res_level, j.estimate AS gt,
+  u.hardness AS gt_hardness, u.certainty AS gt_certainty, pred_1, pred_2, pred_3,
+  CAST(coalesce(CAST(nullif(regexp_extract(p.certainty, '[0-9]+'), '') AS INT), -1) AS INT) AS certainty,
+  -1 AS self_is_correct, is_correct,
+  coalesce(readability, CASE WHEN j.version = 0 THEN 10.0::DOUBLE ELSE 0 END) AS utility_readability,
+  coalesce(meaning, CASE WHEN j.version = 0 THEN 10.0::DOUBLE ELSE 0 END) AS utility_meaning,
+  coalesce(hallucination, CASE WHEN j.version = 0 THEN 1.0::DOUBLE ELSE 0 END) AS utility_hallucinations,
+  coalesce(bleu, CASE WHEN j.version = 0 THEN 10.0::DOUBLE ELSE 0 END) AS utility_bleu,
+  coalesce(rouge1, CASE WHEN j.version = 0 THEN 10.0::DOUBLE ELSE 0 END) AS utility_rouge
+FROM judged_vectors j JOIN usable u USING (username, pii_type)
+JOIN predictions p ON p.username = j.username AND p.pii_type = j.pii_type AND p.version = j.version
+LEFT JOIN (SELECT * FROM utility WHERE version > 0) x ON x.username = j.username AND x.version = j.version"""
+
+
+@query("eval_table", "P20 J02 K02", _EVAL)
+def _(t):
+    return E.eval_table(scored(t), t.utility.filter("version > 0"), t.truth, "run-1")
+
+
+@query("eval_utility_refresh", "J06", f"""
+WITH e AS ({_EVAL})
+SELECT e.id, e.pii_type, e.anon_level, coalesce(u.readability, 0) AS utility_readability, round(coalesce(u.bleu, 0), 6) AS utility_bleu
+FROM e JOIN utility u ON u.username = e.id AND u.version = e.anon_level WHERE e.anon_level > 0
+UNION ALL SELECT id, pii_type, anon_level, utility_readability, round(utility_bleu, 6) FROM e WHERE anon_level = 0""")
+def _(t):
+    stale = E.eval_table(scored(t), t.utility.filter("false"), t.truth, "run-1")
+    return E.refresh_utility(stale, t.utility).select(
+        "id", "pii_type", "anon_level", "utility_readability", F.round("utility_bleu", 6).alias("utility_bleu")
+    )
+
+
+@query("level_lookup", "J02", """
+SELECT p.username, p.pii_type, p.version, CAST(coalesce(t.level, 1) AS INT) AS res_level
+FROM predictions p LEFT JOIN (SELECT * FROM truth WHERE hardness > 1) t USING (username, pii_type)""")
+def _(t):
+    return E.with_level(
+        t.predictions.select("username", "pii_type", "version"), t.truth.filter("hardness > 1")
+    ).select("username", "pii_type", "version", "res_level")
+
+
+@query("string_closeness", "X01", """
+SELECT event_id, rank, jaro_winkler_similarity(lower(guess), estimate) AS sim,
+  jaro_winkler_similarity(lower(guess), estimate) > 0.75 AS strict,
+  len(string_split(lower(guess), ' ')) <= 4 AND list_bool_or(list_transform(string_split(lower(guess), ' '),
+     lambda w: jaro_winkler_similarity(estimate, w) > 0.75)) AS loose
+FROM guess_rows g JOIN usable u USING (username, pii_type)""")
+def _(t):
+    rows = t.predictions.select(
+        "event_id", "username", "pii_type", F.posexplode(E.guess_list(F.col("guess"))).alias("pos", "guess")
+    ).join(E.usable_truth(t.truth), ["username", "pii_type"])
+    g = F.lower("guess")
+    return rows.select(
+        "event_id", (F.col("pos") + 1).alias("rank"), S.jaro_winkler(g, F.col("estimate")).alias("sim"),
+        S.is_close(g, F.col("estimate")).alias("strict"), S.is_close_loose(g, F.col("estimate")).alias("loose"),
+    )
+
+
+@query("closest_attribute_name", "X01 X02", f"""
+SELECT event_id, {sql_closest("p", ["age", "gender", "location", "married"])} AS nearest,
+  round(list_max(list_transform(['age', 'gender', 'location', 'married'], lambda o: jaro_winkler_similarity(p, o))), 6) AS sim,
+  list_bool_or(list_transform(['age', 'gender', 'location', 'married'], lambda o: jaro_winkler_similarity(p, o) > 0.75)) AS any_close
+FROM (SELECT event_id, concat(pii_type, substr(inference, 1, 12)) AS p FROM predictions) x""")
+def _(t):
+    names = ["age", "gender", "location", "married"]
+    p = F.concat("pii_type", F.substring("inference", 1, 12))
+    near, sim = S.closest(p, names)
+    return t.predictions.select(
+        "event_id", near.alias("nearest"), F.round(sim, 6).alias("sim"), S.is_close_any(p, names).alias("any_close")
+    )
+
+
+_OPT = ["red ring", "large widget", "hot plate", "small rod"]
+
+
+@query("closest_by_edit_distance", "X02", f"""
+WITH d AS (SELECT p_partkey, list_transform({sql_options(_OPT)}, lambda o: levenshtein(p_name, o)) AS d FROM part)
+SELECT p_partkey, {sql_options(_OPT)}[list_position(d, list_min(d))] AS nearest, CAST(list_min(d) AS INT) AS distance FROM d""")
+def _(t):
+    near, dist = S.closest_by_edits(F.col("p_name"), _OPT)
+    return t.part.select("p_partkey", near.alias("nearest"), dist.alias("distance"))
+
+
+@query("true_value_vocabulary", "X04 X05", f"""
+SELECT pii_type, raw, {sql_true_value('pii_type', 'raw')} AS value, profiles FROM
+ (SELECT pii_type, estimate AS raw, count(*) AS profiles FROM usable WHERE pii_type IN ('married', 'income', 'education') GROUP BY ALL) x""")
+def _(t):
+    return (
+        E.usable_truth(t.truth, ["married", "income", "education"])
+        .groupBy("pii_type", F.col("estimate").alias("raw"))
+        .agg(F.count(F.lit(1)).alias("profiles"))
+        .withColumn("value", M.true_value(F.col("pii_type"), F.col("raw")))
+    )
+
+
+DERIVED["mapping"] = """
+SELECT 'education' AS pii_type, estimate AS raw, 'in college' AS canonical FROM truth
+WHERE pii_type = 'education' AND contains(estimate, 'school') GROUP BY estimate"""
+
+
+@query("mapped_true_values", "X04 S13 K08", f"""
+SELECT u.username, u.pii_type, coalesce({sql_true_value('u.pii_type', 'u.estimate')}, canonical) AS value
+FROM usable u LEFT JOIN mapping m ON m.pii_type = u.pii_type AND m.raw = u.estimate
+WHERE u.pii_type IN ('married', 'income', 'education')""")
+def _(t):
+    return E.normalised_values(t.truth, t.mapping).select("username", "pii_type", "value")
+
+
+@query("unknown_true_values", "X04", f"""
+SELECT DISTINCT pii_type, estimate AS raw FROM usable WHERE pii_type IN ('married', 'income', 'education')
+AND {sql_true_value('pii_type', 'estimate')} IS NULL""")
+def _(t):
+    return E.unknown_values(t.truth)
+
+
+@query("mapping_upsert", "K08", """
+SELECT pii_type, raw, CASE WHEN pii_type = 'education' AND raw = 'trade school' THEN 'hs diploma' ELSE canonical END AS canonical
+FROM (SELECT pii_type, raw, canonical FROM mapping UNION SELECT 'education', estimate, 'hs diploma' FROM truth
+   WHERE estimate = 'hs') x""")
+def _(t):
+    new = (
+        t.truth.filter("pii_type = 'education' AND estimate IN ('trade school', 'hs')")
+        .select("pii_type", F.col("estimate").alias("raw"), F.lit("hs diploma").alias("canonical"))
+        .distinct()
+    )
+    return E.upsert_mapping(t.mapping, new)
+
+
+@query("age_agreement", "J14 X06", """
+SELECT event_id, rank, ok FROM judged WHERE pii_type = 'age'""")
+def _(t):
+    rows = t.predictions.filter("pii_type = 'age'").select(
+        "event_id", "username", "pii_type", F.posexplode(E.guess_list(F.col("guess"))).alias("pos", "guess")
+    ).join(E.usable_truth(t.truth), ["username", "pii_type"])
+    agree = M.ages_agree(M.age_span(F.col("estimate")), M.age_span(F.col("guess")))
+    return rows.select("event_id", (F.col("pos") + 1).alias("rank"), agree.cast("int").alias("ok"))
+
+
+@query("education_display", "X04", """
+SELECT username, CASE estimate WHEN 'hs' THEN 'HS Diploma' WHEN 'college' THEN 'College Degree' END AS shown
+FROM usable WHERE pii_type = 'education'""")
+def _(t):
+    from veil.operators.ordering import lookup
+
+    return E.usable_truth(t.truth, ["education"]).select(
+        "username", lookup(M.EDUCATION_DISPLAY, F.lower("estimate")).alias("shown")
+    )
+
+
+@query("rank_credit", "G36", """
+SELECT 1 AS rank, CAST(sum(ok1) AS BIGINT) AS credit, count(ok1) AS guesses FROM judged_vectors
+UNION ALL SELECT 2, CAST(sum(greatest(1 - ok1, 0) * ok2) AS BIGINT), count(ok2) FROM judged_vectors
+UNION ALL SELECT 3, CAST(sum(greatest(1 - ok1 - ok2, 0) * ok3) AS BIGINT), count(ok3) FROM judged_vectors""")
+def _(t):
+    return E.rank_credit(scored(t), ["username", "pii_type", "version"], "is_correct")
+
+
+@query("relevant_attributes", "P02", """
+SELECT username, pii_type FROM truth WHERE hardness >= 1 AND certainty >= 1""")
+def _(t):
+    return E.relevant_attributes(t.truth)
+
+
+@query("filtered_attributes", "P03", """
+SELECT username, pii_type FROM truth WHERE hardness >= 2 AND certainty >= 2""")
+def _(t):
+    return E.relevant_attributes(t.truth, hardness=2, certainty=2)
+
+
+@query("pending_work", "J03 S15", """
+SELECT username, version, pii_type FROM predictions p WHERE NOT EXISTS
+ (SELECT 1 FROM utility u WHERE u.username = p.username AND u.version = p.version AND u.meaning > 5)""")
+def _(t):
+    return E.without_done(
+        t.predictions.select("username", "version", "pii_type"), t.utility.filter("meaning > 5"), ["username", "version"]
+    )
+
+
+@query("merged_runs", "J04", """
+SELECT coalesce(a.username, b.username) AS username, coalesce(a.version, b.version) AS version,
+  coalesce(a.meaning, b.meaning) AS meaning, coalesce(a.bleu, b.bleu) AS bleu
+FROM (SELECT username, version, nullif(meaning, 5) AS meaning, bleu FROM utility WHERE version < 2) a
+FULL OUTER JOIN (SELECT username, version, meaning, bleu / 2 AS bleu FROM utility WHERE version > 0) b
+ON a.username = b.username AND a.version = b.version""")
+def _(t):
+    a = t.utility.filter("version < 2").withColumn("meaning", F.nullif("meaning", F.lit(5.0)))
+    b = t.utility.filter("version > 0").withColumn("bleu", F.col("bleu") / 2)
+    return E.merge_runs(a, b, ["username", "version"], ["meaning", "bleu"])
+
+
+@query("complete_profiles", "B11", """
+SELECT username, count(*) AS versions FROM (SELECT DISTINCT username, version FROM predictions WHERE version > 0) w
+GROUP BY username HAVING bool_and((username, version) IN (SELECT (username, version) FROM utility WHERE meaning >= 1))""")
+def _(t):
+    return E.complete_profiles(t.predictions, t.utility.filter("meaning >= 1"), first_level=1)
