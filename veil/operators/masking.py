@@ -20,7 +20,7 @@ REMOVED_QUANTITIES = ["Age", "Currency", "Number"]
 
 def with_spans(df: DataFrame, text: str, out: str = "spans", keep_overlaps: bool = False) -> DataFrame:
     """Add the entity spans of a text column; each pattern is matched once."""
-    hits = {f"_h{i}": N.matches_of(F.col(text), p) for i, (_, p, _) in enumerate(N.PATTERNS)}
+    hits = {f"_h{i}": N.matches_of(F.col(text), p, k) for i, (k, p, _) in enumerate(N.PATTERNS)}
     found = df.withColumns(hits)
     all_spans = F.concat(
         *[N.spans_of(F.col(text), F.col(f"_h{i}"), p, k, c) for i, (k, p, c) in enumerate(N.PATTERNS)]
@@ -30,7 +30,9 @@ def with_spans(df: DataFrame, text: str, out: str = "spans", keep_overlaps: bool
 
 
 def span_rows(df: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataFrame:
-    return df.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.*")
+    """One row per span. The outer form plus a filter keeps the optimizer from inferring `size(spans) > 0`
+    and evaluating the whole detection a second time below the projection."""
+    return df.select(*keys, F.explode_outer(spans).alias("s")).filter(F.col("s").isNotNull()).select(*keys, "s.*")
 
 
 def anonymise(df: DataFrame, text: str, mode: str = "*", out: str = "masked") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from veil.functions import entities as N
@@ -15,7 +17,7 @@ def span_sql(source: str, key: str) -> str:
     parts = []
     for i, (kind, pattern, conf) in enumerate(N.PATTERNS):
         text = "text" if kind in ("EMAIL", "URL") else "regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g')"
-        pat = pattern.replace("'", "''")
+        pat = re.sub(r"^\(\?=\[[^]]*\]\)", "", pattern).replace("'", "''")
         parts.append(f"""SELECT {key} AS key, {i} AS ord, '{kind}' AS kind, CAST({conf} AS DOUBLE) AS confidence, text AS src,
   regexp_extract_all({text}, '{pat}') AS hits, string_split_regex({text}, '{pat}') AS gaps FROM {source}""")
     return f"""
