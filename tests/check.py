@@ -30,6 +30,8 @@ def main() -> None:
     con = connect(sf)
     failed = []
     for name, e in registry.REGISTRY.items():
+        if mods and e.build.__module__.rsplit('.', 1)[-1] not in mods:
+            continue
         if wanted and name not in wanted:
             continue
         t = time.time()
