@@ -1 +1,223 @@
-"""Queries."""
+"""Prompt, model-stage and loop queries; models are replayed from tables or computed from the prompt row."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veil.operators import evaluation as E
+from veil.operators import loop as L
+from veil.operators import prompts as P
+from veil.operators import privacy as PO
+from veil.plans import privacy as PP
+from veil.plans import quality  # noqa: F401  shared derived tables
+from veil.plans.derived import DERIVED
+from veil.plans.registry import query
+
+
+def lit(s: str) -> str:
+    """SQL text literal with line breaks as chr(10)."""
+    return "concat(" + ", chr(10), ".join("'" + x.replace("'", "''") + "'" for x in s.split("\n")) + ")"
+
+
+def case(table: dict[str, str], column: str, default: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {lit(v)}" for k, v in table.items()) + f" ELSE {default} END"
+
+
+# attributes of a conversation's author: two of the eight, so that every profile has some
+DERIVED["turn_attributes"] = """
+SELECT DISTINCT concat('u', CAST(conv_id AS STRING)) AS username, CASE CAST((conv_id + turn) % 4 AS INT) WHEN 0 THEN 'age' WHEN 1 THEN 'income' WHEN 2 THEN 'location' ELSE 'occupation' END AS pii_type
+FROM conversations"""
+DERIVED["blocks"] = """
+SELECT username, CAST(floor(ord / 512) AS BIGINT) AS part, string_agg(concat(strftime(to_timestamp(epoch), '%Y-%m-%d'), ': ', text), chr(10) ORDER BY subreddit, epoch, ord) AS block FROM comments GROUP BY ALL"""
+
+
+def blocks(t):
+    return P.comment_blocks(t.comments)
+
+
+def digest(df):
+    return df.select("username", F.col("part").cast("long").alias("part"), F.md5("prompt").alias("digest"))
+
+
+_B, _M, _A = P.INFER_BLOCK
+
+
+@query("inference_prompts", "B01 P02", f"""
+WITH a AS (SELECT username, string_agg({case(P.ATTRIBUTE_TITLES, 'pii_type', 'pii_type')}, ', ' ORDER BY pii_type) AS names,
+  string_agg(concat({lit(_B)}, pii_type, {lit(_M)}, {case(P.ATTRIBUTE_OPTIONS, 'pii_type', "''")}, {lit(_A)}), '' ORDER BY pii_type) AS form FROM turn_attributes GROUP BY username)
+SELECT username, part, md5(concat(replace({lit(P.INFER_HEADER)}, '{{pii}}', names), chr(10), chr(10), block, chr(10), chr(10), {lit(P.INFER_FOOTER)}, form)) AS digest FROM blocks JOIN a USING (username)""")
+def _(t):
+    return digest(P.inference_prompts(blocks(t), t.turn_attributes))
+
+
+DERIVED["turn_predictions"] = """
+SELECT username, pii_type, concat('because of ', pii_type) AS inference, concat(username, '; other') AS guess FROM turn_attributes"""
+
+
+def _anon_sql(level: int) -> str:
+    return f"""
+WITH n AS (SELECT username, string_agg(concat('Type: ', pii_type, chr(10), 'Inference: ', inference, chr(10), 'Guess: ', guess, chr(10)), '' ORDER BY pii_type) AS notes FROM turn_predictions GROUP BY username)
+SELECT username, part, md5(concat({lit(P.ANON_HEADERS[level])}, chr(10), chr(10), block, {lit(chr(10) * 2 + 'Inferences:' + chr(10) * 2)}, notes, chr(10), chr(10), {lit(P.ANON_FOOTER)})) AS digest FROM blocks JOIN n USING (username)"""
+
+
+for _level in (1, 2, 3):
+
+    @query(f"anonymise_prompts_level_{_level}", "B02", _anon_sql(_level))
+    def _(t, level=_level):
+        return digest(P.anonymise_prompts(blocks(t), P.inference_notes(t.turn_predictions), t.turn_attributes, level))
+
+
+@query("anonymise_prompts_baseline", "B02", f"""
+WITH a AS (SELECT username, string_agg({case(P.ATTRIBUTE_TITLES, 'pii_type', 'pii_type')}, ' ' ORDER BY pii_type) AS names FROM turn_attributes GROUP BY username)
+SELECT username, part, md5(concat(replace({lit(P.ANON_HEADERS[0])}, '{{pii}}', names), chr(10), chr(10), block, chr(10), chr(10), {lit(P.ANON_FOOTER)})) AS digest FROM blocks JOIN a USING (username)""")
+def _(t):
+    return digest(P.anonymise_prompts(blocks(t), None, t.turn_attributes, 0))
+
+
+@query("judge_prompts", "B03", f"""
+SELECT doc_id, md5(concat({lit(P.JUDGE_HEADER)}, {lit(chr(10) * 2 + 'Original text:' + chr(10) * 2)}, original, {lit(chr(10) + 'Adapted text:' + chr(10) * 2)}, adapted)) AS digest FROM text_pairs""")
+def _(t):
+    return t.text_pairs.select("doc_id", F.md5(P.judge_prompt(F.col("original"), F.col("adapted"))).alias("digest"))
+
+
+@query("equivalence_prompts", "B04", f"""
+SELECT event_id, concat({lit(P.EQUAL_HEADER)}, array_to_string(list_transform(list_filter(list_transform(string_split(guess, ';'), lambda g: trim(g)), lambda g: g <> ''),
+  lambda g: concat(chr(10), 'Ground truth: ', estimate, chr(10), 'Prediction: ', g, chr(10))), '')) AS prompt FROM predictions JOIN truth USING (username, pii_type)""")
+def _(t):
+    rows = t.predictions.join(t.truth, ["username", "pii_type"])
+    return rows.select("event_id", P.equivalence_prompt(F.col("estimate"), E.guess_list(F.col("guess"))).alias("prompt"))
+
+
+@query("rendered_prompts", "B05", """
+SELECT doc_id, md5(concat('H ', lang, chr(10), 'one', chr(10), chr(10), 'two', chr(10), text, chr(10), 'F')) AS digest FROM documents""")
+def _(t):
+    shots = F.array_join(F.array(F.lit("one"), F.lit("two")), "\n\n")
+    text = P.render(
+        "{header}\n{shots}\n{body}\n{footer}", header=F.concat(F.lit("H "), F.col("lang")), shots=shots, footer=F.lit("F"), body=F.col("text")
+    )
+    return t.documents.select("doc_id", F.md5(text).alias("digest"))
+
+
+@query("improvement_feedback", "B06", """
+SELECT event_id, CASE WHEN attack_success THEN concat('BREACH: the attacker found ''', anonymized_text, '''. Generalise more. Utility ', printf('%.2f', utility_score))
+ WHEN privacy_score < 0.7 THEN concat('WEAK (', printf('%.2f', privacy_score), '): the attacker guessed ''', anonymized_text, '''. Utility ', printf('%.2f', utility_score))
+ ELSE concat('GOOD (', printf('%.2f', privacy_score), '): the guess ''', anonymized_text, ''' failed. Utility ', printf('%.2f', utility_score)) END AS feedback FROM rounds""")
+def _(t):
+    c = F.col
+    return t.rounds.select(
+        "event_id", P.improvement_feedback(c("anonymized_text"), c("attack_success"), c("privacy_score"), c("utility_score")).alias("feedback")
+    )
+
+
+@query("leak_reports", "B06 G38", """
+WITH s AS (SELECT username, version, pii_type, CASE WHEN verbatim = 1 THEN 'leaked' WHEN inside = 1 THEN 'partial' ELSE 'protected' END AS status FROM attack_matches WHERE inside IS NOT NULL),
+l AS (SELECT username, version, string_agg(CASE WHEN status = 'leaked' THEN pii_type END, ', ' ORDER BY pii_type) AS a, string_agg(CASE WHEN status = 'partial' THEN pii_type END, ', ' ORDER BY pii_type) AS b,
+  string_agg(CASE WHEN status = 'protected' THEN pii_type END, ', ' ORDER BY pii_type) AS c FROM s GROUP BY username, version)
+SELECT username, version, concat(CASE WHEN a IS NOT NULL THEN concat('Leaked: ', a, chr(10)) ELSE '' END, CASE WHEN b IS NOT NULL THEN concat('Nearly leaked: ', b, chr(10)) ELSE '' END,
+  CASE WHEN c IS NOT NULL THEN concat('Protected: ', c, chr(10)) ELSE '' END, CASE WHEN bleu >= 0.7 THEN 'utility is good' WHEN bleu >= 0.5 THEN 'utility is acceptable' ELSE 'utility is low' END, '; ',
+  CASE WHEN privacy_score < 0.5 THEN 'rewrite heavily' WHEN privacy_score < 0.7 THEN 'blur more' ELSE 'keep this level' END) AS report
+FROM l JOIN sample_privacy USING (username, version) JOIN utility USING (username, version)""")
+def _(t):
+    results = PP.results(t)
+    parts = PO.leak_partition(results.withColumn("guesses", F.transform("guesses", lambda g: F.lower(g))), PP.KEYS)
+    scores = PO.sample_scores(results, PP.KEYS).select(*PP.KEYS, "privacy_score")
+    c = F.col
+    return parts.join(scores, PP.KEYS).join(t.utility, PP.KEYS).select(
+        *PP.KEYS, P.leak_report(c("leaked"), c("partial"), c("protected"), c("privacy_score"), c("bleu")).alias("report")
+    )
+
+
+@query("replayed_answers", "B07", """
+SELECT doc_id, length(text) AS chars, quality FROM documents LEFT JOIN labels USING (doc_id)""")
+def _(t):
+    stored = t.labels.select("doc_id", F.col("quality").cast("string").alias("answer"))
+    asked = t.documents.select("doc_id", F.col("text").alias("prompt"))
+    return P.replay(stored, "doc_id")(asked).select(
+        "doc_id", F.length("prompt").cast("long").alias("chars"), F.col("answer").cast("int").alias("quality")
+    )
+
+
+@query("batched_model_calls", "B07", "SELECT doc_id, reverse(substr(text, 1, 3)) AS answer FROM documents")
+def _(t):
+    asked = t.documents.select("doc_id", F.col("text").alias("prompt"))
+    return P.live(lambda s: s.str[:3].str[::-1], concurrency=8)(asked).select("doc_id", "answer")
+
+
+@query("inference_stage", "B08 J03", """
+SELECT concat(username, '#', CAST(part AS VARCHAR)) AS prompt_id, a.pii_type, CASE WHEN a.pii_type = 'age' THEN 'seen' ELSE 'MISSING' END AS inference, CASE WHEN a.pii_type = 'age' THEN username ELSE '' END AS guesses
+FROM (SELECT DISTINCT username, part FROM blocks JOIN turn_attributes USING (username)) b, (SELECT unnest(['age', 'gender']) AS pii_type) a
+WHERE username NOT IN (SELECT username FROM comments WHERE ord >= 7)""")
+def _(t):
+    answer = F.concat(F.lit("Type: age\nInference: seen\nGuess: "), F.col("username"), F.lit("\nCertainty: 3"))
+    done = t.comments.filter("ord >= 7")
+    out = L.infer_stage(blocks(t), t.turn_attributes, done, P.computed(answer), ["age", "gender"])
+    return out.select("prompt_id", "pii_type", "inference", F.array_join("guesses", "|").alias("guesses"))
+
+
+@query("anonymise_stage", "B09 X14", """
+SELECT username, CAST(row_number() OVER (PARTITION BY username ORDER BY subreddit, epoch, ord) - 1 AS INT) AS ord, md5(replace(text, chr(10), ' ')) AS digest FROM comments""")
+def _(t):
+    flat = t.comments.withColumn("text", F.translate("text", "\n", " "))
+    done = t.comments.filter("false")
+    # the stand-in model repeats the dated comment lines of its prompt after the mark
+    body = F.split_part(F.split_part("prompt", F.lit("\n\n"), F.lit(2)), F.lit("\n\nInferences"), F.lit(1))
+    model = P.computed(F.concat(F.lit("ok\n#"), body))
+    out = L.anonymise_stage(flat, P.inference_notes(t.turn_predictions), t.turn_attributes, done, model)
+    return out.select("username", "ord", F.md5("text").alias("digest"))
+
+
+@query("utility_stage", "B10 A02", """
+WITH d AS (SELECT doc_id, len(a) AS na, len(b) AS nb, len(list_distinct(a)) AS da, len(list_distinct(b)) AS db, len(list_intersect(a, b)) AS c FROM set_tokens)
+SELECT doc_id, CAST(8 AS DOUBLE) AS readability, CAST(doc_id % 10 AS DOUBLE) AS meaning, round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE c / db * CASE WHEN nb > na THEN 1 ELSE exp(1 - na / nb) END END, 6) AS bleu
+FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def _(t):
+    answer = F.concat(
+        F.lit('{"readability": {"score": 8}, "meaning": {"score": '), (F.col("doc_id") % 10).cast("string"), F.lit('}, "hallucinations": {"score": 1}}')
+    )
+    out = L.utility_stage(t.text_pairs, t.labels, P.computed(answer), "doc_id")
+    return out.select("doc_id", "readability", "meaning", F.round("bleu", 6).alias("bleu"))
+
+
+# ---- the loop -----------------------------------------------------------------------------------
+
+DERIVED["loop_samples"] = """
+SELECT concat('c', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS username, replace(text, chr(10), ' ') AS text, lower(split_part(replace(text, chr(10), ' '), ' ', 1)) AS word FROM conversations WHERE length(text) > 0"""
+_MASKS = ["e", "i", "a", "o", "n"]
+
+
+def _masked(k: int) -> str:
+    out = "regexp_replace(text, '#', '', 'g')"
+    for m in _MASKS[:k]:
+        out = f"replace({out}, '{m}', '*')"
+    return f"trim({out})"
+
+
+_WORDS = " OR ".join(f"(contains(g, '{w}') AND contains(w, '{w}'))" for w in ["low", "medium", "high", "very high", "20s", "30s", "40s", "50s"])
+_RUNS = " UNION ALL ".join(
+    f"SELECT username, word AS w, {k} AS round, {_masked(k)} AS anonymized, {(10 - k) / 10 * 0.3 + (10 - 2 * k) / 10 * 0.5 + 0.2}::DOUBLE AS utility FROM loop_samples" for k in range(1, 6)
+)
+
+
+@query("anonymisation_rounds", "B12 W02 B06", f"""
+WITH r AS ({_RUNS}), g AS (SELECT *, trim(lower(split_part(anonymized, ' ', 1))) AS g FROM r),
+s AS (SELECT *, CASE WHEN g = w OR (length(w) > 2 AND (contains(w, g) OR contains(g, w))) THEN 1.0 WHEN {_WORDS} THEN 0.6 ELSE 0 END * (0.4 + 4 / 5 * 0.6) AS leak FROM g),
+f AS (SELECT *, 1 - leak AS privacy, (1 - leak >= 0.8 AND utility >= 0.6) OR utility < 0.3 AS stopped FROM s),
+k AS (SELECT *, coalesce(max(stopped::INT) OVER (PARTITION BY username ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
+SELECT username, CAST(round AS INT) AS round, md5(anonymized) AS digest, round(CAST(privacy AS DOUBLE), 6) AS privacy_score, round(utility, 6) AS utility_score, stopped FROM k WHERE before = 0""")
+def _(t):
+    masked = F.regexp_replace("current", "#", "")
+    for k, m in enumerate(_MASKS, 1):
+        masked = F.when(F.col("round") >= k, F.replace(masked, F.lit(m), F.lit("*"))).otherwise(masked)
+    defender = P.computed(F.concat(F.lit("thoughts\n#"), masked))
+    first = F.split_part("anonymized", F.lit(" "), F.lit(1))
+    attacker = P.computed(F.to_json(F.create_map(F.lit("occupation"), F.struct(F.array(first).alias("guess"), F.lit(4).alias("certainty")))))
+    score = lambda c: F.struct(c.alias("score"))
+    judge = P.computed(
+        F.to_json(F.struct(score(10 - F.col("round")).alias("readability"), score(10 - 2 * F.col("round")).alias("meaning"), score(F.lit(1)).alias("hallucinations")))
+    )
+    truth = t.loop_samples.select("username", F.lit("occupation").alias("pii_type"), F.col("word").alias("estimate"))
+    out = L.run_rounds(t.loop_samples.select("username", "text"), truth, defender, attacker, judge)
+    return out.select(
+        "username", "round", F.md5("anonymized").alias("digest"), F.round("privacy_score", 6).alias("privacy_score"),
+        F.round("utility_score", 6).alias("utility_score"), "stopped",
+    )
