@@ -365,7 +365,7 @@ def _(t):
 
 
 @query("most_advanced_stage", "S12 K01", """
-SELECT username, CASE WHEN u IS NOT NULL THEN concat('utility_', CAST(last AS VARCHAR)) ELSE concat('inference_', CAST(last AS VARCHAR)) END AS stage
+SELECT username, CASE WHEN u IS NOT NULL THEN concat('utility_', CAST(last AS VARCHAR)) WHEN last = 0 THEN 'anonymized_0' ELSE concat('inference_', CAST(last AS VARCHAR)) END AS stage
 FROM profile_sizes s LEFT JOIN (SELECT username AS u, version FROM utility WHERE version > 0 AND meaning >= 2) x ON x.u = s.username AND x.version = s.last""")
 def _(t):
     path = scratch_path(t.spark, "stages")

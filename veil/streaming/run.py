@@ -25,7 +25,7 @@ def drain(stream: DataFrame, mode: str = "append", label: str = "stream") -> Dat
         query = writer.outputMode(mode).foreachBatch(_keep(out)).start()
         schema = stream.schema.add("batch", "long")
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    return spark.read.schema(schema).option("recursiveFileLookup", mode != "append").parquet(out)
 
 
 def _keep(path: str) -> Callable[[DataFrame, int], None]:
@@ -33,6 +33,6 @@ def _keep(path: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, number: int) -> None:
         # one folder per batch number: a replayed batch replaces itself
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/b={number}")
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/{number}")
 
     return write
