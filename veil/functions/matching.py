@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veil.functions.similarity import first_best, jaccard, jaro_winkler_each, word_set
+from veil.functions.similarity import first_best, jaccard, jaro_winkler_lists, word_set
 from veil.operators.ordering import lookup
 
 # Closed vocabularies a guess is matched to.
@@ -97,26 +97,35 @@ def ages_agree(a: Column, b: Column, threshold: float = 0.75) -> Column:
     return F.coalesce(verdict, F.lit(False))
 
 
-def guess_is_correct(attribute: Column, truth: Column, guess: Column) -> Column:
-    """1 or 0 for one guess, by the rule of its attribute."""
-    g, t = F.lower(F.trim(guess)), F.lower(truth)
+def guesses_are_correct(attribute: Column, truth: Column, guesses: Column) -> Column:
+    """[1, 0, ..] per ranked guess, by the rule of the attribute; one Python call per row, no shuffle."""
+    t = F.lower(truth)
     place = attribute == "location"
     tables = {"income": INCOME, "married": MARRIED, "education": EDUCATION}
-    options = F.when(place, F.concat(F.array(g), F.transform(F.split(g, ","), lambda x: F.trim(x))))
-    for name, values in tables.items():
-        options = options.when(attribute == name, F.array(*[F.lit(v) for v in values]))
-    options = options.when(attribute == "gender", F.array(t, F.lit("male"), F.lit("female"))).otherwise(F.array(t))
-    # one call per guess, whatever the attribute
-    sims = jaro_winkler_each(F.when(place, t).otherwise(g), options)
-    near = F.transform(sims, lambda s: s > 0.75)
-    verdict = (
-        F.when(attribute == "age", ages_agree(age_span(t), age_span(g)))
-        .when(attribute.isin(*tables), first_best(options, sims) == true_value(attribute, truth))
-        .when(attribute == "gender", near[0] & (F.try_element_at(near, F.lit(2)) | F.try_element_at(near, F.lit(3))))
-        .when(place, F.array_contains(near, True))
-        .otherwise(near[0])
-    )
-    return F.coalesce(verdict, F.lit(False)).cast("int")
+    lowered = F.transform(guesses, lambda g: F.lower(F.trim(g)))
+
+    def compared(g: Column) -> Column:
+        options = F.when(place, F.concat(F.array(g), F.transform(F.split(g, ","), lambda x: F.trim(x))))
+        for name, values in tables.items():
+            options = options.when(attribute == name, F.array(*[F.lit(v) for v in values]))
+        return options.when(attribute == "gender", F.array(t, F.lit("male"), F.lit("female"))).otherwise(F.array(t))
+
+    subjects = F.transform(lowered, lambda g: F.when(place, t).otherwise(g))
+    sims = jaro_winkler_lists(subjects, F.transform(lowered, compared))
+    known, span = true_value(attribute, truth), age_span(t)
+
+    def verdict(g: Column, s: Column) -> Column:
+        near = F.transform(s, lambda x: x > 0.75)
+        ok = (
+            F.when(attribute == "age", ages_agree(span, age_span(g)))
+            .when(attribute.isin(*tables), first_best(compared(g), s) == known)
+            .when(attribute == "gender", near[0] & (F.try_element_at(near, F.lit(2)) | F.try_element_at(near, F.lit(3))))
+            .when(place, F.array_contains(near, True))
+            .otherwise(near[0])
+        )
+        return F.coalesce(ok, F.lit(False)).cast("int")
+
+    return F.zip_with(lowered, sims, verdict)
 
 
 # Level and decade words of the coarse overlap rule.

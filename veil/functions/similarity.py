@@ -79,6 +79,24 @@ def jaro_winkler_each(a: pd.Series, options: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def jaro_winkler_lists(subjects: pd.Series, options: pd.Series) -> pd.Series:
+    """For each string of an array, its similarity to each string of the list at the same position."""
+    memo: dict = {}
+
+    def sim(x, y):
+        if (x, y) not in memo:
+            memo[(x, y)] = _jaro_winkler(x, y)
+        return memo[(x, y)]
+
+    return pd.Series(
+        [
+            None if xs is None or yss is None else [[sim(x, y) for y in ys] for x, ys in zip(xs, yss)]
+            for xs, yss in zip(subjects, options)
+        ]
+    )
+
+
 def _lcs(a: list[str], b: list[str]) -> int:
     """Longest common subsequence length, one big-integer row per token of `b`."""
     where: dict[str, int] = {}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.functions.matching import guess_is_correct, true_value
+from veil.functions.matching import guesses_are_correct, true_value
 from veil.operators.ordering import earliest
 
 META_KEYS = ["time", "timestamp"]
@@ -62,15 +62,8 @@ def match_predictions(truth: DataFrame, predictions: DataFrame, model: str) -> D
 
 def score_guesses(matched: DataFrame) -> DataFrame:
     """Add `is_correct`, one 0/1 per guess in rank order."""
-    keys = ["username", "pii_type", "version"]
-    judged = matched.select(
-        *keys, "estimate", F.posexplode("guesses").alias("rank", "guess")
-    ).withColumn("ok", guess_is_correct(F.col("pii_type"), F.col("estimate"), F.col("guess")))
-    vectors = judged.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "ok"))), lambda x: x.ok).alias("is_correct")
-    )
-    return matched.join(vectors, keys, "left").withColumn(
-        "is_correct", F.coalesce("is_correct", F.array().cast("array<int>"))
+    return matched.withColumn(
+        "is_correct", guesses_are_correct(F.col("pii_type"), F.col("estimate"), F.col("guesses"))
     )
 
 

@@ -1,7 +1,7 @@
 """Corpus BLEU and ROUGE of text pairs as joins and aggregates over n-grams.
 
 The pairs are shuffled once, by pair id. Every later grouping has the pair id among its keys, so it
-reuses that partitioning and the n-grams themselves never travel. A pair is one document, so no
+reuses that partitioning; token hashes travel once, the n-grams never. A pair is one document, so no
 group outgrows one text.
 """
 
@@ -16,16 +16,17 @@ from veil.functions.similarity import lcs_length
 MAX_N = 4
 
 
-def _grams(words: Column, n: int) -> Column:
-    """Hashes of the n-grams of a token array."""
-    last = F.size(words) - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), "\u0001")))
+def _grams(hashes: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams of an array of token hashes."""
+    last = F.size(hashes) - n
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
 
 
 def ngram_overlap(pairs: DataFrame, key: str, original: Column, adapted: Column, max_n: int = MAX_N) -> DataFrame:
     """(key, n, matched, ref, hyp): clipped matches and n-gram totals per pair and order."""
-    placed = pairs.select(key, original.alias("_a"), adapted.alias("_b")).repartition(key)
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    placed = pairs.select(key, hashed(original).alias("_a"), hashed(adapted).alias("_b")).repartition(key)
     sides = F.explode(
         F.array(
             *[

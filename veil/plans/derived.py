@@ -10,12 +10,18 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veil.operators.ordering import spread
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
 
+# tables whose rows cost much work each (texts, and events that derived tables turn into texts)
+HEAVY = {"documents", "events"}
+
+
 def pick(index: str, values: list[str]) -> str:
     """CASE text choosing values[index]; numbers are passed through, None becomes NULL."""
 
@@ -184,7 +190,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+            scan = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+            return spread(scan) if name in HEAVY else scan
         if name in DERIVED:
             return self.sql(f"SELECT * FROM {name}")
         raise AttributeError(name)

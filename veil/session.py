@@ -17,6 +17,8 @@ def build_session(app: str = "veil", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # text rows are few bytes but much work: do not fold small shuffles into one task
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     }
