@@ -35,21 +35,21 @@ def parse_blocks(answers: DataFrame, key: str, text: str, attributes: Sequence[s
         .filter(F.trim("line") != "")
         .withColumn("parts", full)
         .withColumn("keyed", F.size("parts") > 1)
-        .withColumn("k", F.lower(F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(""))))
+        .withColumn("_k", F.lower(F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(""))))
         .withColumn("val", F.when(F.col("keyed"), F.array_join(F.slice("parts", F.lit(2), F.size("parts")), ":")))
     )
     known = F.concat(F.array(F.lit("type"), *[F.lit(f) for f in FIELDS]), names)
-    lines = lines.withColumn("s", jaro_winkler_each(F.when(F.col("keyed"), F.col("k")), known)).withColumn(
-        "v", jaro_winkler_each(F.when(F.col("keyed") & (F.col("s")[0] > 0.75), F.lower(F.trim("val"))), names)
+    lines = lines.withColumn("_s", jaro_winkler_each(F.when(F.col("keyed"), F.col("_k")), known)).withColumn(
+        "_v", jaro_winkler_each(F.when(F.col("keyed") & (F.col("_s")[0] > 0.75), F.lower(F.trim("val"))), names)
     )
-    by_name = F.slice("s", len(FIELDS) + 2, len(attributes))
-    is_type = F.col("keyed") & (F.col("s")[0] > 0.75)
+    by_name = F.slice("_s", len(FIELDS) + 2, len(attributes))
+    is_type = F.col("keyed") & (F.col("_s")[0] > 0.75)
     is_name = F.col("keyed") & ~is_type & F.exists(by_name, lambda x: x > 0.75)
     field = F.lit(None).cast("string")
     for i in reversed(range(len(FIELDS))):
-        field = F.when(F.col("s")[i + 1] > 0.75, FIELDS[i]).otherwise(field)
+        field = F.when(F.col("_s")[i + 1] > 0.75, FIELDS[i]).otherwise(field)
     field = F.when(F.col("keyed") & ~is_type & ~is_name, field)
-    typed = F.when(F.array_max("v") >= 0.4, first_best(names, F.col("v"))).otherwise("temp")
+    typed = F.when(F.array_max("_v") >= 0.4, first_best(names, F.col("_v"))).otherwise("temp")
     header = F.when(is_type, typed).when(is_name, first_best(names, by_name))
     so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = (

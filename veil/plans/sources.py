@@ -452,3 +452,39 @@ def _(t):
     return S.score_lines(S.read_log(t.spark, path)).agg(
         F.count(F.lit(1)).alias("lines"), F.round(F.avg("privacy"), 6).alias("privacy"), F.count_if("success").alias("successes")
     )
+
+
+@query("named_file_set", "S06 S05 K02", """
+SELECT pii_type, count(*) AS rows FROM judged_vectors WHERE version IN (0, 1) GROUP BY pii_type""")
+def _(t):
+    root = scratch_path(t.spark, "file-set")
+    table = E.eval_table(PE.scored(t), t.utility, t.truth, "run-1")
+    paths = S.file_set("iclr_main_base", root)
+    for level, path in enumerate(paths):
+        S.write_eval_csv(table.filter(F.col("anon_level") == level), path)
+    return S.read_eval_csv(t.spark, paths).groupBy("pii_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("mapping_documents", "S13 K08", "SELECT pii_type, raw, canonical FROM mapping")
+def _(t):
+    path = scratch_path(t.spark, "mapping")
+    # a closed vocabulary: as many entries as distinct spellings
+    docs = t.mapping.groupBy("pii_type").agg(F.map_from_entries(F.collect_list(F.struct("raw", "canonical"))).alias("m"))
+    docs.select(F.to_json(F.create_map("pii_type", "m")).alias("value")).write.text(path)
+    t.spark.range(1).select(F.lit("{corrupt").alias("value")).write.mode("append").text(path)
+    return S.read_mapping(t.spark, path)
+
+
+@query("statistics_document", "K03 G15", """
+SELECT count(*) AS lines, round(avg(p / 10), 6) AS privacy_mean, round(stddev_pop(p / 10), 6) AS privacy_std FROM log_events WHERE u > 0""")
+def _(t):
+    path = scratch_path(t.spark, "statistics")
+    scores = S.score_lines(log_lines(t))
+    S.write_statistics(
+        scores.agg(
+            F.count(F.lit(1)).alias("lines"), F.round(F.avg("privacy"), 6).alias("privacy_mean"),
+            F.round(F.stddev_pop("privacy"), 6).alias("privacy_std"),
+        ),
+        path,
+    )
+    return t.spark.read.schema("lines BIGINT, privacy_mean DOUBLE, privacy_std DOUBLE").json(path)

@@ -63,11 +63,6 @@ FILE_SETS = {
         "synthetic/azure", "synthetic/gpt4_turbo_full", "synthetic/gpt35_full", "synthetic/span_yao_full",
         "synthetic/yi_full", "synthetic/llama31-70b", "synthetic/llama31-8b", "synthetic/mistral-7b",
     ],
-    "synthpai": [
-        "iclr_synthpai/azure_full", "iclr_synthpai/gpt4_turbo_full", "iclr_synthpai/gpt35_full",
-        "iclr_synthpai/llama31-70b", "iclr_synthpai/llama31-8b", "iclr_synthpai/mistral-7b",
-    ],
-    "rebuttal_counts": ["synthpai/azure_full", "synthpai/gpt4_turbo_full", "synthpai/llama31-70b"],
     "inference": [*OTHER_JUDGES, "gpt4_turbo_full", "azure_full"],
 }
 
@@ -85,15 +80,15 @@ def write_eval_csv(df: DataFrame, path: str) -> None:
     df.select(*names).write.csv(path, header=True, escape='"')
 
 
-def file_set(name: str, folder: str = "anonymized_results") -> list[str]:
-    """Paths of a named collection."""
+def file_set(name: str, folder: str = "anonymized_results", sets: dict[str, list[str]] | None = None) -> list[str]:
+    """Paths of a named collection; callers may pass collections of their own."""
 
     def judge(setting: str) -> str:
         if name == "iclr_main_base" and setting == "gpt4_turbo_base":
             return "df"
         return OTHER_JUDGES.get(setting, "df" if setting in DF_JUDGED else JUDGE)
 
-    return [f"{folder}/{setting}/eval_{judge(setting)}_out.csv" for setting in FILE_SETS[name]]
+    return [f"{folder}/{setting}/eval_{judge(setting)}_out.csv" for setting in (sets or FILE_SETS)[name]]
 
 
 def read_json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -238,6 +233,16 @@ def recent_statistics(scores: DataFrame, order: str, n: int = 10) -> DataFrame:
     )
 
 
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(pii_type, raw, canonical) of mapping documents {attribute: {raw: canonical}}; unreadable ones give no rows."""
+    doc = F.from_json("value", "MAP<STRING, MAP<STRING, STRING>>")
+    return (
+        spark.read.text(path, wholetext=True)
+        .select(F.explode(doc).alias("pii_type", "m"))
+        .select("pii_type", F.explode("m").alias("raw", "canonical"))
+    )
+
+
 def write_statistics(df: DataFrame, path: str) -> None:
     """A one-row frame as a JSON document."""
     df.coalesce(1).write.json(path)
