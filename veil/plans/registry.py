@@ -82,6 +82,8 @@ def load() -> dict[str, Entry]:
 
 def callable_for(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # epoch and date texts must not depend on where the session runs
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return entry.build(Tables(spark, sf_dir))
 
     return run

@@ -111,8 +111,10 @@ def read_json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     single = spark.read.schema(f"{schema}, {bad}").json(
         path, recursiveFileLookup=True, columnNameOfCorruptRecord="_bad"
     )
-    flat = single.filter(~F.col("_metadata.file_path").isin(arrays)) if arrays else single
-    flat = flat.filter("_bad IS NULL").drop("_bad")
+    flat = single.filter("_bad IS NULL").drop("_bad")
+    if arrays:
+        marked = single.select("*", F.col("_metadata.file_path").alias("_file")).filter("_bad IS NULL").drop("_bad")
+        flat = marked.join(opening.withColumnRenamed("file", "_file"), "_file", "left_anti").drop("_file")
     if not arrays:
         return flat
     whole = spark.read.schema(f"{schema}, {bad}").json(arrays, multiLine=True, columnNameOfCorruptRecord="_bad")
