@@ -363,7 +363,7 @@ def setting_attribute_table(df: DataFrame) -> DataFrame:
 def utility_grid(df: DataFrame) -> DataFrame:
     """Settings by attributes, mean combined utility; the pivot values are fixed so no extra pass is needed."""
     wide = df.groupBy("full_anon_setting").pivot("pii_type", TABLE_ATTRIBUTES).agg(F.avg("utility_comb"))
-    return wide.select("full_anon_setting", *[F.round(c, 3).alias(c) for c in TABLE_ATTRIBUTES])
+    return wide.select("full_anon_setting", *[F.round(c, 6).alias(c) for c in TABLE_ATTRIBUTES])
 
 
 def markdown_table(df: DataFrame) -> DataFrame:

@@ -229,7 +229,7 @@ def _(t):
 
 
 _GRID = ", ".join(
-    f"round(avg(CASE WHEN pii_type = '{a}' THEN comb END), 3) AS \"{a}\"" for a in R.TABLE_ATTRIBUTES
+    f"round(avg(CASE WHEN pii_type = '{a}' THEN comb END), 6) AS \"{a}\"" for a in R.TABLE_ATTRIBUTES
 )
 
 
