@@ -1 +1,8 @@
 """veil: text-privacy analytics as ordinary Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the query, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -79,6 +79,23 @@ def jaro_winkler_each(a: pd.Series, options: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def jaro_winkler_to(options: Sequence[str]):
+    """A function of one string: its similarity to each of a few fixed options."""
+    fixed = list(options)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def sims(a: pd.Series) -> pd.Series:
+        memo: dict = {None: None}
+        out = []
+        for x in a:
+            if x not in memo:
+                memo[x] = [_jaro_winkler(x, y) for y in fixed]
+            out.append(memo[x])
+        return pd.Series(out)
+
+    return sims
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def jaro_winkler_lists(subjects: pd.Series, options: pd.Series) -> pd.Series:
     """For each string of an array, its similarity to each string of the list at the same position."""
@@ -120,7 +137,7 @@ def is_close(a: Column, b: Column, min_sim: float = 0.75) -> Column:
 
 
 def is_close_any(a: Column, options: Sequence[str], min_sim: float = 0.75) -> Column:
-    return F.exists(jaro_winkler_each(a, F.array(*[F.lit(o) for o in options])), lambda s: s > min_sim)
+    return F.exists(jaro_winkler_to(options)(a), lambda s: s > min_sim)
 
 
 def is_close_loose(a: Column, b: Column, min_sim: float = 0.75) -> Column:
@@ -138,7 +155,7 @@ def first_best(options: Column, scores: Column) -> Column:
 def closest(value: Column, options: Sequence[str]) -> tuple[Column, Column]:
     """(option, similarity) of the most similar of a few fixed options."""
     given = F.array(*[F.lit(o) for o in options])
-    sims = jaro_winkler_each(value, given)
+    sims = jaro_winkler_to(options)(value)
     return first_best(given, sims), F.array_max(sims)
 
 

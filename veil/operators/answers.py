@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.functions.answers import strip
-from veil.functions.similarity import first_best, jaro_winkler_each
+from veil.functions.similarity import first_best, jaro_winkler_each, jaro_winkler_to
 
 FIELDS = ["inference", "guess", "certainty"]
 
@@ -38,9 +38,9 @@ def parse_blocks(answers: DataFrame, key: str, text: str, attributes: Sequence[s
         .withColumn("_k", F.lower(F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(""))))
         .withColumn("val", F.when(F.col("keyed"), F.array_join(F.slice("parts", F.lit(2), F.size("parts")), ":")))
     )
-    known = F.concat(F.array(F.lit("type"), *[F.lit(f) for f in FIELDS]), names)
-    lines = lines.withColumn("_s", jaro_winkler_each(F.when(F.col("keyed"), F.col("_k")), known)).withColumn(
-        "_v", jaro_winkler_each(F.when(F.col("keyed") & (F.col("_s")[0] > 0.75), F.lower(F.trim("val"))), names)
+    to_known, to_names = jaro_winkler_to(["type", *FIELDS, *attributes]), jaro_winkler_to(attributes)
+    lines = lines.withColumn("_s", to_known(F.when(F.col("keyed"), F.col("_k")))).withColumn(
+        "_v", to_names(F.when(F.col("keyed") & (F.col("_s")[0] > 0.75), F.lower(F.trim("val"))))
     )
     by_name = F.slice("_s", len(FIELDS) + 2, len(attributes))
     is_type = F.col("keyed") & (F.col("_s")[0] > 0.75)
