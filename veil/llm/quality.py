@@ -27,7 +27,7 @@ from veil.llm.common import column, small_batches, texts_of
 SAMPLE = 20_000
 #: Documents with this score or more are kept.
 KEEP = 0.3
-BINS, TREES, DEPTH, RATE, RIDGE, LEAST = 64, 60, 4, 0.2, 1.0, 5.0
+BINS, TREES, DEPTH, RATE, RIDGE, LEAST = 64, 60, 4, 0.2, 1.0, 1.0
 
 STATISTICS = (
     "bytes", "words", "word_bytes", "distinct_words", "top_word", "repeated_words", "lines", "line_bytes", "distinct_lines",
