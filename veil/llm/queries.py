@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import block_names, bpe, quality, simhash, toxicity
+from veil.llm import block_names, bpe, mixing, quality, simhash, toxicity
 from veil.llm.common import crc_bucket, table
 
 
@@ -36,6 +36,13 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    slim = mixing.sizes(docs).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "size")
+    mix = mixing.copies(slim)
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_source_mix": op6_source_mix,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_toxicity": op9_toxicity,
 }
