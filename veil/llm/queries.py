@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import block_names, bpe, mixing, quality, simhash, toxicity
+from veil.llm import block_names, bpe, chat, mixing, quality, simhash, toxicity
 from veil.llm.common import crc_bucket, table
 
 
@@ -21,6 +21,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    return chat.read_back(chat.formatted(given.unionByName(spark.createDataFrame(both, given.schema))))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_bucket(F.col("doc_id"), 5) == 0
@@ -59,6 +65,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_chat_format": op2_chat_format,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_source_mix": op6_source_mix,
@@ -67,7 +74,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op1_byte_bpe": op1_byte_bpe,
+    "op2_chat_format": r"""
+        WITH given AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), marked AS (
+            SELECT *, CASE role WHEN 'system' THEN '<</SYS>>' WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN '</s>' ELSE '<</TURN>>' END AS stop,
+                CASE role WHEN 'system' THEN 7 WHEN 'user' THEN 7 WHEN 'assistant' THEN 3
+                    ELSE 9 + length(regexp_replace(role, '([\\>])', '\\\1', 'g')) END + length(stop) AS marks,
+                '<\\*(?:/?s>|<SYS>>|</SYS>>|<TURN |</TURN>>)|\[\\*/?INST\]' AS control,
+                '<\\+(?:/?s>|<SYS>>|</SYS>>|<TURN |</TURN>>)|\[\\+/?INST\]' AS hidden
+            FROM given
+        ), rendered AS (
+            SELECT *, marks + length(text) + CASE WHEN contains(text, stop) OR regexp_matches(text, hidden)
+                THEN len(regexp_extract_all(text, control)) ELSE 0 END AS chars
+            FROM marked
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+            sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+            CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM rendered GROUP BY conv_id
+    """,
     "op7_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
