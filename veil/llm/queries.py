@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import block_names, bpe, chat, mixing, quality, simhash, toxicity
+from veil.llm import block_names, bpe, chat, mixing, pii, quality, simhash, toxicity
 from veil.llm.common import crc_bucket, table
 
 
@@ -42,6 +42,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     slim = mixing.sizes(docs).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "size")
@@ -68,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_pii": op5_pii,
     "op6_source_mix": op6_source_mix,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_toxicity": op9_toxicity,
