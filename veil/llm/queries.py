@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import block_names, bpe, chat, mixing, pii, quality, simhash, toxicity
+from veil.llm import block_names, bpe, caps, chat, mixing, pii, quality, simhash, toxicity
 from veil.llm.common import crc_bucket, table
 
 
@@ -65,6 +65,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_bucket(F.col("doc_id"), 3) == 1
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_source_mix": op6_source_mix,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
 }
 
