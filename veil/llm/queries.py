@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import block_names, bpe, caps, chat, mixing, pii, quality, simhash, toxicity
+from veil.llm import block_names, bpe, caps, chat, licences, mixing, pii, quality, simhash, toxicity
 from veil.llm.common import crc_bucket, table
 
 
@@ -79,6 +79,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"), licences.known_digests(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_format": op2_chat_format,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_licence_scan": op10_licence_scan,
 }
 
 ORACLES: dict[str, str] = {
@@ -121,4 +126,5 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER same AS kept, sha256(text) AS text_sha256
         FROM t WINDOW same AS (PARTITION BY text)
     """,
+    "op10_licence_scan": licences.oracle_sql(),
 }
