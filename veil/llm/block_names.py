@@ -181,6 +181,6 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, part_rows: int = PART_
 
 def deduplicated(docs: DataFrame, block: int = BLOCK, part_rows: int = PART_ROWS) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    kept = exact_duplicates(docs, block, part_rows).filter("kept").select(F.col("row").alias("_row"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    kept = exact_duplicates(docs, block, part_rows).filter("kept").select(F.col("row").alias("__row"))
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.join(kept, "__row", "left_semi").drop("__row")

@@ -7,8 +7,8 @@ and the pieces are encoded by themselves. Where neighbours never agree inside th
 that is longer, say), their windows become one piece. A text of one window is its own piece and is not moved.
 
 A null text counts as empty and has no ids. Rows are independent of each other, so repeated rows give repeated
-results; an empty table gives an empty result. All columns of the input are kept, except for one that has the
-name of the new column, which is replaced.
+results; an empty table gives an empty result. All columns but the text are kept; one that has the name of the new
+column is replaced.
 """
 
 from __future__ import annotations
@@ -197,19 +197,19 @@ def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids",
     window: int = WINDOW, overlap: int = OVERLAP,
 ) -> DataFrame:
-    """`docs` with `out`: the ids of `text` as little-endian unsigned 32-bit integers, in one binary value.
+    """`docs` without the text, with `out`: its ids as little-endian unsigned 32-bit integers, in one binary value.
 
     `docs` is a table that is read alike each time: its long texts are picked out by row number.
     """
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: one entry per token, whatever the data
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
     long = F.coalesce(F.char_length(text) > window, F.lit(False))
-    short = _apply(rows.filter(~long), sent, pattern, text, out).drop("_row")
-    cut = windows(rows.filter(long).select(F.col("_row").alias("row"), F.col(text).alias("text")), window, overlap)
+    short = _apply(rows.filter(~long), sent, pattern, text, out).drop("__row")
+    cut = windows(rows.filter(long).select(F.col("__row").alias("row"), F.col(text).alias("text")), window, overlap)
     pieces = _apply(stitched(cut, pattern, overlap), sent, pattern, "text", "ids")
     joined = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
-    joined = joined.select(F.col("row").alias("_row"), F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias(out))
-    rest = rows.filter(long).drop(text, out).join(joined, "_row").drop("_row")
+    joined = joined.select(F.col("row").alias("__row"), F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias(out))
+    rest = rows.filter(long).drop(text, out).join(joined, "__row").drop("__row")
     return short.unionByName(rest.select(*short.columns))
 
 

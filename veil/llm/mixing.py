@@ -11,7 +11,8 @@ meets the target up to one document. What is left open is filled by the few docu
 Sizes are counts of runs of other than ASCII white space; a null or empty text has size 0 and one copy at most (it
 takes no words). Sources are in order of code points, null last; an empty string is a source of its own. A source
 without words has target 0. Rows that repeat are rows of their own, dealt by doc_id, size and a number of
-repetition. An empty table gives an empty result; extra columns pass through `mixed`.
+repetition. An empty table gives an empty result; extra columns pass
+through `mixed`, except for those named like its results.
 """
 
 from __future__ import annotations
@@ -133,9 +134,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float = LI
     """
     key = F.monotonically_increasing_id()
     slim = sizes(docs.select("doc_id", "source", "text")).select(key.alias("_row"), "doc_id", "source", "size")
-    return docs.withColumn("_row", key).drop("size", "source_size", "target", "copies").join(
-        copies(slim, weights, limit).select("_row", "size", "source_size", "target", "copies"), "_row"
-    ).drop("_row")
+    found = copies(slim, weights, limit).select(F.col("_row").alias("__row"), "size", "source_size", "target", "copies")
+    return docs.drop("size", "source_size", "target", "copies").withColumn("__row", key).join(found, "__row").drop("__row")
 
 
 def copies(sized: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
@@ -235,4 +235,4 @@ def offsets(rated: DataFrame, limit: float) -> DataFrame:
 
 def repeated(mix: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The mix itself: each row as often as it has copies."""
-    return mix.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    return mix.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)

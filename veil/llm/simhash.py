@@ -194,4 +194,4 @@ def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     stay = docs.join(keep, "doc_id", "left_semi")
     # rows that repeat a doc_id: a few at most, and the window keeps one below the shuffle
     order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    return stay.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return stay.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
