@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from veil.plans.registry import callable_for, load
@@ -31,7 +32,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="veil-bench-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     entries = load()

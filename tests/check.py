@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -25,7 +26,7 @@ def main() -> None:
             importlib.import_module(f"veil.plans.{m}")
     else:
         registry.load()
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+    spark = build_session("check", "local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="veil-check-"), "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     failed = []

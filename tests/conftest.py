@@ -9,9 +9,11 @@ from veil.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
     session = build_session(
-        "tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "4g"}
+        "tests", "local[8]",
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": folder},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -143,7 +143,7 @@ def partial_verdicts(text: Column) -> Column:
 
 def repaired_guesses(guesses: Column) -> Column:
     """'My top 3 guesses: a, b, c' in one string -> its list."""
-    first = guesses[0]
+    first = F.coalesce(F.get(guesses, F.lit(0)), F.lit(""))
     body = F.when(first.contains(":"), F.split_part(first, F.lit(":"), F.lit(2))).otherwise(first)
     parts = F.split(body, ",")
     fixed = F.filter(F.transform(parts, lambda g: F.trim(g)), lambda g: ~F.lower(g).contains("and yes"))
@@ -154,9 +154,16 @@ def repaired_guesses(guesses: Column) -> Column:
 def loose_map(text: Column) -> Column:
     """'{a: 1, b: x}' -> map of trimmed strings, quotes of quoted values removed."""
     body = F.regexp_replace(text, r"^\{(.*)\}$", "$1")
-    raw = F.str_to_map(body, F.lit(","), F.lit(":"))
-    clean = F.transform_values(raw, lambda _, v: F.regexp_replace(F.trim(v), "^(['\"])(.*)\\1$", "$2"))
-    return F.transform_keys(clean, lambda k, _: F.trim(k))
+    value = lambda p: F.when(p.contains(":"), F.regexp_replace(F.trim(F.regexp_replace(p, "(?s)^[^:]*:", "")), "^(['\"])(.*)\\1$", "$2"))
+    pairs = F.transform(F.split(body, ","), lambda p: F.struct(F.trim(F.split_part(p, F.lit(":"), F.lit(1))).alias("key"), value(p).alias("value")))
+    return keep_last(pairs)
+
+
+def keep_last(pairs: Column) -> Column:
+    """Map of an array of (key, value) structs; of equal keys the last one counts."""
+    names = F.transform(pairs, lambda p: p["key"])
+    later = lambda i: F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0)))
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.array_contains(later(i), p["key"])))
 
 
 # ---- changes between an original and its anonymised text ------------------------------------------

@@ -17,7 +17,8 @@ FIELDS = ["inference", "guess", "certainty"]
 
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    """One row per line, and one without a line for a null text."""
+    return df.select(key, F.posexplode_outer(F.split(text, "\n")).alias("pos", "line"))
 
 
 def parse_blocks(answers: DataFrame, key: str, text: str, attributes: Sequence[str]) -> DataFrame:
@@ -30,11 +31,12 @@ def parse_blocks(answers: DataFrame, key: str, text: str, attributes: Sequence[s
     names = F.array(*[F.lit(a) for a in attributes])
     parts = F.split("line", ":")
     full = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    # every answer keeps its rows down to the last grouping, so the input is read once and none gets lost
     lines = (
         _lines(answers, key, text)
-        .filter(F.trim("line") != "")
+        .withColumn("used", F.coalesce(F.trim("line") != "", F.lit(False)))
         .withColumn("parts", full)
-        .withColumn("keyed", F.size("parts") > 1)
+        .withColumn("keyed", F.col("used") & (F.size("parts") > 1))
         .withColumn("_k", F.lower(F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(""))))
         .withColumn("val", F.when(F.col("keyed"), F.array_join(F.slice("parts", F.lit(2), F.size("parts")), ":")))
     )
@@ -57,9 +59,11 @@ def parse_blocks(answers: DataFrame, key: str, text: str, attributes: Sequence[s
         .withColumn("field", field)
         .withColumn("pii_type", F.last("header", ignorenulls=True).over(so_far))
         .withColumn("sub", F.last("field", ignorenulls=True).over(so_far))
-        .filter(F.col("header").isNull() & (F.col("field").isNotNull() | ~F.col("keyed")))
-        .filter(F.col("pii_type").isNotNull() & F.col("sub").isNotNull())
-        .withColumn("body", F.when(F.col("field").isNotNull(), F.trim("val")).otherwise(F.col("parts")[0]))
+        .withColumn("used", F.col("used") & F.col("header").isNull() & (F.col("field").isNotNull() | ~F.col("keyed")))
+        .withColumn("used", F.col("used") & F.col("pii_type").isNotNull() & F.col("sub").isNotNull())
+        .withColumn("pii_type", F.when(F.col("used"), F.col("pii_type")))
+        .withColumn("sub", F.when(F.col("used"), F.col("sub")))
+        .withColumn("body", F.when(F.col("field").isNotNull(), F.trim("val")).otherwise(F.get("parts", F.lit(0))))
     )
     pieces = placed.groupBy(key, "pii_type", "sub").agg(
         F.max(F.when(F.col("field").isNotNull(), F.col("pos"))).alias("start"),
@@ -77,15 +81,16 @@ def parse_blocks(answers: DataFrame, key: str, text: str, attributes: Sequence[s
         F.max(F.when(F.col("sub") == "inference", joined)).alias("inference"),
         F.max(F.when(F.col("sub") == "guess", listed)).alias("guesses"),
         F.max(F.when(F.col("sub") == "certainty", joined)).alias("certainty"),
-        F.lit(True).alias("present"),
     )
-    expected = answers.select(key, F.explode(names).alias("pii_type"))
+    found = F.collect_list(F.when(F.col("pii_type").isNotNull(), F.struct("pii_type", F.struct("inference", "guesses", "certainty").alias("f"))))
+    per_answer = fields.groupBy(key).agg(F.map_from_entries(found).alias("m"))
+    expected = per_answer.select(key, "m", F.explode(names).alias("pii_type")).withColumn("f", F.try_element_at("m", F.col("pii_type")))
     none = F.array().cast("array<string>")
-    return expected.join(fields, [key, "pii_type"], "left").select(
+    return expected.select(
         key, "pii_type",
-        F.when(F.col("present").isNull(), "MISSING").otherwise(F.col("inference")).alias("inference"),
-        F.filter(F.coalesce("guesses", none), lambda g: g != "").alias("guesses"),
-        "certainty",
+        F.when(F.col("f").isNull(), "MISSING").otherwise(F.col("f.inference")).alias("inference"),
+        F.filter(F.coalesce("f.guesses", none), lambda g: g != "").alias("guesses"),
+        F.col("f.certainty").alias("certainty"),
     )
 
 
@@ -121,10 +126,14 @@ def change_list(df: DataFrame, key: str, reasoning: str) -> DataFrame:
 
 def reasoning_steps(df: DataFrame, key: str, reasoning: str) -> DataFrame:
     """Steps opened by numbered or 'Step N:' lines; a text without any is a single step."""
-    head = F.col("line").rlike(r"(?i)^([0-9]+[.)]?\s*|Step\s*([0-9]+):)")
+    head = F.coalesce(F.col("line").rlike(r"(?i)^([0-9]+[.)]?\s*|Step\s*([0-9]+):)"), F.lit(False))
     lines = _runs(_lines(df, key, reasoning), key, head).withColumn("head", head)
-    body = F.when(~F.col("head"), F.struct("pos", "line"))
-    steps = lines.groupBy(key, "run").agg(F.array_sort(F.collect_list(body)).alias("body"))
+    lines = lines.withColumn("runs", F.max("run").over(Window.partitionBy(key)))
+    body = F.when(~F.col("head") & F.col("line").isNotNull(), F.struct("pos", "line"))
+    steps = lines.groupBy(key, "run").agg(
+        F.array_sort(F.collect_list(body)).alias("body"), F.max("runs").alias("runs"), F.bool_and(F.col("line").isNull()).alias("none")
+    )
+    single = F.col("runs") == 0
     low = lambda x: F.lower(x["line"])
     risks = F.transform(
         F.filter("body", lambda x: low(x).contains("risk") | low(x).contains("leak")), lambda x: strip(x["line"])
@@ -133,18 +142,15 @@ def reasoning_steps(df: DataFrame, key: str, reasoning: str) -> DataFrame:
         F.transform("body", lambda x: F.split(x["line"], "→|->")), lambda h: F.size(h) == 2
     )
     proposed = F.transform(halves, lambda h: F.struct(strip(h[0]).alias("original"), strip(h[1]).alias("anonymized")))
-    whole = df.select(key, F.col(reasoning).alias("_whole"))
-    found = steps.filter("run > 0").select(
-        key, F.col("run").alias("step"),
-        F.concat(F.array_join(F.transform("body", lambda x: x["line"]), "\n"), F.when(F.size("body") > 0, "\n").otherwise("")).alias("analysis"),
-        risks.alias("risks"), proposed.alias("proposed"),
-    )
-    without = whole.join(found.select(key).distinct(), key, "left_anti").select(
-        key, F.lit(1).cast("long").alias("step"), F.col("_whole").alias("analysis"),
-        F.array().cast("array<string>").alias("risks"),
-        F.array().cast("array<struct<original:string,anonymized:string>>").alias("proposed"),
+    text = F.array_join(F.transform("body", lambda x: x["line"]), "\n")
+    ended = F.concat(text, F.when(F.size("body") > 0, "\n").otherwise(""))
+    no_risks, no_changes = F.array().cast("array<string>"), F.array().cast("array<struct<original:string,anonymized:string>>")
+    return steps.filter(single | (F.col("run") > 0)).select(
+        key, F.when(single, 1).otherwise(F.col("run")).cast("long").alias("step"),
+        F.when(single, F.when(~F.col("none"), text)).otherwise(ended).alias("analysis"),
+        F.when(single, no_risks).otherwise(risks).alias("risks"),
+        F.when(single, no_changes).otherwise(proposed).alias("proposed"),
     )
-    return found.unionByName(without)
 
 
 def answer_lines(answer: Column) -> Column:
@@ -207,15 +213,12 @@ def generated_records(answers: DataFrame, key: str, text: str, existing: DataFra
     )
     names = existing.groupBy(F.lower("name").alias("lname")).agg(F.min("skill_id").alias("found_id"))
     fresh = rows.withColumn("lname", F.lower("name")).join(names, "lname", "left_anti")
-    parents = (
-        fresh.select(key, "item", F.explode("parent_skills").alias("p"))
-        .withColumn("lname", F.lower("p"))
-        .join(names, "lname")
-        .groupBy(key, "item")
-        .agg(F.array_sort(F.collect_set("found_id")).alias("parents"))
-    )
-    return fresh.join(parents, [key, "item"], "left").select(
-        key, "item", "name", "description",
-        F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents"),
+    parent = names.select(F.col("lname").alias("pname"), "found_id")
+    one_each = fresh.select(key, "item", "name", "description", F.explode_outer("parent_skills").alias("p")).withColumn("pname", F.lower("p"))
+    found = one_each.join(parent, "pname", "left").groupBy(key, "item", "name", "description").agg(
+        F.array_sort(F.collect_set("found_id")).alias("parents")
+    )
+    return found.select(
+        key, "item", "name", "description", "parents",
         F.when(F.size("parents") > 0, "functional").otherwise("atomic").alias("category"),
     )

@@ -13,15 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a scan that has fewer splits than that, such as one small file.
-
-    Scans with enough splits, the normal case on a cluster, are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows per key. The `rank <= k` filter is pushed below the shuffle as a group limit."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.operators.ordering import lookup
@@ -38,7 +38,6 @@ JUDGE_HEADER = (
     "hallucinations (score 0 or 1), each with an explanation."
 )
 EQUAL_HEADER = "For each pair say yes, no or less precise, separated by ;"
-COMMENTS_PER_PROMPT = 512
 
 
 def title(attribute: Column) -> Column:
@@ -49,19 +48,26 @@ def options(attribute: Column) -> Column:
     return F.coalesce(lookup(ATTRIBUTE_OPTIONS, attribute), F.lit(""))
 
 
-def comment_blocks(comments: DataFrame, per_prompt: int = COMMENTS_PER_PROMPT) -> DataFrame:
-    """(username, part, block): dated lines in (subreddit, time) order.
+def comment_parts(comments: DataFrame, per_prompt: int | None = None) -> DataFrame:
+    """(username, part, xs): comments in (subreddit, time) order, cut into parts of `per_prompt` if that is given.
 
-    A profile longer than `per_prompt` comments is split into parts by its comment numbers, so a block
-    stays small however many comments one user has, and every comment is in exactly one block.
+    A profile is one prompt by default. A caller whose profiles outgrow a prompt names the size; the parts follow
+    the sorted order, and every comment is in exactly one.
     """
     line = F.concat(F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd"), F.lit(": "), F.col("text"))
-    entry = F.struct("subreddit", "epoch", "ord", line.alias("line"))
-    return (
-        comments.groupBy("username", F.floor(F.col("ord") / per_prompt).alias("part"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("xs"))
-        .select("username", "part", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("block"))
-    )
+    entry = F.struct("subreddit", "epoch", "ord", "text", line.alias("line"))
+    if per_prompt is None:
+        placed = comments.withColumn("part", F.lit(0).cast("long"))
+    else:
+        place = F.row_number().over(Window.partitionBy("username").orderBy("subreddit", "epoch", "ord")) - 1
+        placed = comments.withColumn("part", F.floor(place / per_prompt))
+    return placed.groupBy("username", "part").agg(F.array_sort(F.collect_list(entry)).alias("xs"))
+
+
+def comment_blocks(comments: DataFrame, per_prompt: int | None = None) -> DataFrame:
+    """(username, part, block): the dated lines of each part."""
+    lines = F.array_join(F.transform("xs", lambda x: x["line"]), "\n")
+    return comment_parts(comments, per_prompt).select("username", "part", lines.alias("block"))
 
 
 def attribute_lists(attributes: DataFrame) -> DataFrame:

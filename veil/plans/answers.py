@@ -95,11 +95,11 @@ def _(t):
 
 
 @query("hash_delimited_bodies", "A09", r"""
-SELECT username, ord, md5(trim(split_part(concat(substr(text, 1, 20), '# ', replace(text, '#', ''), ' # tail'), '#', 2))) AS digest FROM comments WHERE NOT contains(substr(text, 1, 20), '#')""")
+SELECT username, ord, md5(trim(replace(text, '#', ''))) AS digest FROM comments""")
 def _(t):
-    rows = t.comments.filter(~F.substring("text", 1, 20).contains("#"))
-    text = F.concat(F.substring("text", 1, 20), F.lit("# "), F.regexp_replace("text", "#", ""), F.lit(" # tail"))
-    return rows.select("username", "ord", F.md5(A.after_hash(text)).alias("digest"))
+    plain = F.replace("text", F.lit("#"), F.lit(""))
+    text = F.concat(plain, F.lit("# "), plain, F.lit(" # tail"))
+    return t.comments.select("username", "ord", F.md5(A.after_hash(text)).alias("digest"))
 
 
 DERIVED["noted_texts"] = """
@@ -131,15 +131,14 @@ def _(t):
 
 
 @query("repaired_guesses", "A14", """
-SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat(pii_type, '|', trim(split_part(guess, ';', 2))) ELSE guess END AS guesses
-FROM predictions WHERE NOT contains(guess, ',')""")
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat(pii_type, '|', array_to_string(list_transform(string_split(trim(split_part(guess, ';', 2)), ','), lambda g: trim(g)), '|')) ELSE guess END AS guesses
+FROM predictions""")
 def _(t):
     first = F.when(
         F.col("event_id") % 2 == 0,
         F.concat(F.lit("My top 3 guesses: "), F.col("pii_type"), F.lit(", "), F.trim(F.split_part("guess", F.lit(";"), F.lit(2))), F.lit(", and yes")),
     ).otherwise(F.col("guess"))
-    rows = t.predictions.filter(~F.col("guess").contains(","))
-    return rows.select("event_id", F.array_join(A.repaired_guesses(F.array(first)), "|").alias("guesses"))
+    return t.predictions.select("event_id", F.array_join(A.repaired_guesses(F.array(first)), "|").alias("guesses"))
 
 
 @query("loose_maps", "A15", "SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS u FROM events")
@@ -259,11 +258,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, idx ORDER BY ord) AS nt
 e AS (SELECT o.conv_id, o.ord, CASE WHEN r.nth = 1 THEN l.line ELSE o.own END AS text FROM o LEFT JOIN r ON r.conv_id = o.conv_id AND r.ord = o.ord LEFT JOIN o l ON l.conv_id = o.conv_id AND l.ord = r.idx)
 SELECT conv_id, ord, md5(text) AS digest FROM e""")
 def _(t):
-    flat = t.conversations.select("conv_id", "turn", F.floor(F.col("turn") / 64).alias("part"), F.regexp_replace("text", "[^ -~]", "_").alias("own"))
-    groups = flat.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "own"))).alias("xs"))
+    flat = t.conversations.select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "_").alias("own"))
+    groups = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "own"))).alias("xs"))
     own = F.transform("xs", lambda x: x["own"])
     lines = F.transform(F.slice(own, F.lit(2), F.size("xs")), lambda x: F.replace(x, F.lit("ion"), F.lit("")))
-    df = groups.select(F.struct("conv_id", "part").alias("key"), own.alias("own"), F.array_join(lines, "\n").alias("answer"))
-    return O.align_comments(df, "key", "own", "answer").select(
-        F.col("key.conv_id").alias("conv_id"), (F.col("ord") + F.col("key.part") * 64).alias("ord"), F.md5("text").alias("digest")
-    )
+    df = groups.select("conv_id", own.alias("own"), F.array_join(lines, "\n").alias("answer"))
+    return O.align_comments(df, "conv_id", "own", "answer").select("conv_id", F.col("ord").cast("long").alias("ord"), F.md5("text").alias("digest"))

@@ -142,10 +142,10 @@ def _(t):
 
 @query("level_lookup", "J02", """
 SELECT p.username, p.pii_type, p.version, CAST(coalesce(t.level, 1) AS INT) AS res_level
-FROM predictions p LEFT JOIN (SELECT * FROM truth WHERE hardness > 1) t USING (username, pii_type)""")
+FROM predictions p LEFT JOIN truth t USING (username, pii_type)""")
 def _(t):
     return E.with_level(
-        t.predictions.select("username", "pii_type", "version"), t.truth.filter("hardness > 1")
+        t.predictions.select("username", "pii_type", "version"), t.truth
     ).select("username", "pii_type", "version", "res_level")
 
 
@@ -170,10 +170,10 @@ def _(t):
 SELECT event_id, {sql_closest("p", ["age", "gender", "location", "married"])} AS nearest,
   round(list_max(list_transform(['age', 'gender', 'location', 'married'], lambda o: jaro_winkler_similarity(p, o))), 6) AS sim,
   list_bool_or(list_transform(['age', 'gender', 'location', 'married'], lambda o: jaro_winkler_similarity(p, o) > 0.75)) AS any_close
-FROM (SELECT event_id, concat(pii_type, substr(inference, 1, 12)) AS p FROM predictions) x""")
+FROM (SELECT event_id, concat(pii_type, inference) AS p FROM predictions) x""")
 def _(t):
     names = ["age", "gender", "location", "married"]
-    p = F.concat("pii_type", F.substring("inference", 1, 12))
+    p = F.concat("pii_type", "inference")
     near, sim = S.closest(p, names)
     return t.predictions.select(
         "event_id", near.alias("nearest"), F.round(sim, 6).alias("sim"), S.is_close_any(p, names).alias("any_close")

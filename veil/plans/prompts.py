@@ -28,7 +28,7 @@ DERIVED["turn_attributes"] = """
 SELECT DISTINCT concat('u', CAST(conv_id AS STRING)) AS username, CASE CAST((conv_id + turn) % 4 AS INT) WHEN 0 THEN 'age' WHEN 1 THEN 'income' WHEN 2 THEN 'location' ELSE 'occupation' END AS pii_type
 FROM conversations"""
 DERIVED["blocks"] = """
-SELECT username, CAST(floor(ord / 512) AS BIGINT) AS part, string_agg(concat(strftime(to_timestamp(epoch), '%Y-%m-%d'), ': ', text), chr(10) ORDER BY subreddit, epoch, ord) AS block FROM comments GROUP BY ALL"""
+SELECT username, CAST(0 AS BIGINT) AS part, string_agg(concat(strftime(to_timestamp(epoch), '%Y-%m-%d'), ': ', text), chr(10) ORDER BY subreddit, epoch, ord) AS block FROM comments GROUP BY ALL"""
 
 
 def blocks(t):
@@ -137,21 +137,21 @@ def _(t):
     )
 
 
-@query("batched_model_calls", "B07", "SELECT doc_id, reverse(substr(text, 1, 3)) AS answer FROM documents")
+@query("batched_model_calls", "B07", "SELECT doc_id, md5(reverse(text)) AS answer FROM documents")
 def _(t):
     asked = t.documents.select("doc_id", F.col("text").alias("prompt"))
-    return P.live(lambda s: s.str[:3].str[::-1], concurrency=8)(asked).select("doc_id", "answer")
+    return P.live(lambda s: s.str[::-1], concurrency=8)(asked).select("doc_id", F.md5("answer").alias("answer"))
 
 
 @query("inference_stage", "B08 J03", """
-SELECT concat(username, '#', CAST(part AS VARCHAR)) AS prompt_id, a.pii_type, CASE WHEN a.pii_type = 'age' THEN 'seen' ELSE 'MISSING' END AS inference, CASE WHEN a.pii_type = 'age' THEN username ELSE '' END AS guesses
-FROM (SELECT DISTINCT username, part FROM blocks JOIN turn_attributes USING (username)) b, (SELECT unnest(['age', 'gender']) AS pii_type) a
+SELECT username, a.pii_type, CASE WHEN a.pii_type = 'age' THEN 'seen' ELSE 'MISSING' END AS inference, CASE WHEN a.pii_type = 'age' THEN username ELSE '' END AS guesses
+FROM (SELECT DISTINCT username FROM blocks JOIN turn_attributes USING (username)) b, (SELECT unnest(['age', 'gender']) AS pii_type) a
 WHERE username NOT IN (SELECT username FROM comments WHERE ord >= 7)""")
 def _(t):
     answer = F.concat(F.lit("Type: age\nInference: seen\nGuess: "), F.col("username"), F.lit("\nCertainty: 3"))
     done = t.comments.filter("ord >= 7")
     out = L.infer_stage(blocks(t), t.turn_attributes, done, P.computed(answer), ["age", "gender"])
-    return out.select("prompt_id", "pii_type", "inference", F.array_join("guesses", "|").alias("guesses"))
+    return out.select("username", "pii_type", "inference", F.array_join("guesses", "|").alias("guesses"))
 
 
 @query("anonymise_stage", "B09 X14", """
@@ -166,58 +166,90 @@ def _(t):
     return out.select("username", "ord", F.md5("text").alias("digest"))
 
 
-@query("utility_stage", "B10 A02", """
-WITH d AS (SELECT doc_id, len(a) AS na, len(b) AS nb, len(list_distinct(a)) AS da, len(list_distinct(b)) AS db, len(list_intersect(a, b)) AS c FROM set_tokens)
-SELECT doc_id, CAST(8 AS DOUBLE) AS readability, CAST(doc_id % 10 AS DOUBLE) AS meaning, round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE c / db * CASE WHEN nb > na THEN 1 ELSE exp(1 - na / nb) END END, 6) AS bleu
-FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+# two anonymised versions of every document, keyed like (profile, version)
+DERIVED["version_pairs"] = """
+SELECT doc_id * 2 AS doc_id, original, adapted FROM text_pairs
+UNION ALL SELECT doc_id * 2 + 1, original, replace(replace(adapted, ' of ', ' '), 'e', 'ee') FROM text_pairs"""
+DERIVED["version_counts"] = DERIVED["bleu_counts"].replace("text_pairs", "version_pairs")
+DERIVED["version_bleu"] = DERIVED["bleu_wide"].replace("bleu_counts", "version_counts")
+DERIVED["version_tokens"] = DERIVED["rouge_tokens"].replace("text_pairs", "version_pairs")
+
+
+@query("utility_stage", "B10 A02 Y01 Y02", f"""
+WITH c AS (SELECT doc_id, tok, sum(ra) AS r, sum(rb) AS h FROM (
+   SELECT doc_id, unnest(a) AS tok, 1 AS ra, 0 AS rb FROM version_tokens UNION ALL SELECT doc_id, unnest(b), 0, 1 FROM version_tokens) u GROUP BY ALL),
+s AS (SELECT doc_id, 2 * sum(least(r, h)) / sum(r + h) AS rouge1 FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(8 AS DOUBLE) AS readability, CAST(doc_id % 10 AS DOUBLE) AS meaning, round(coalesce(rouge1, 0), 6) AS rouge1,
+  round(coalesce(CASE WHEN m1 = 0 OR (m4 = 0 AND h <= 1) THEN 0 ELSE
+   CASE WHEN h > r THEN 1 ELSE exp(1 - r / h) END * pow(({quality._smoothed(1)}) * ({quality._smoothed(2)}) * ({quality._smoothed(3)}) * ({quality._smoothed(4)}), 0.25) END, 0), 6) AS bleu
+FROM version_pairs LEFT JOIN version_bleu USING (doc_id) LEFT JOIN s USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id * 2 FROM labels)""")
 def _(t):
     answer = F.concat(
         F.lit('{"readability": {"score": 8}, "meaning": {"score": '), (F.col("doc_id") % 10).cast("string"), F.lit('}, "hallucinations": {"score": 1}}')
     )
-    out = L.utility_stage(t.text_pairs, t.labels, P.computed(answer), "doc_id")
-    return out.select("doc_id", "readability", "meaning", F.round("bleu", 6).alias("bleu"))
+    done = t.labels.select((F.col("doc_id") * 2).alias("doc_id"))
+    out = L.utility_stage(t.version_pairs, done, P.computed(answer), "doc_id")
+    return out.select("doc_id", "readability", "meaning", F.round("bleu", 6).alias("bleu"), F.round("rouge1", 6).alias("rouge1"))
 
 
 # ---- the loop -----------------------------------------------------------------------------------
 
 DERIVED["loop_samples"] = """
 SELECT concat('c', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS username, replace(text, chr(10), ' ') AS text, lower(split_part(replace(text, chr(10), ' '), ' ', 1)) AS word FROM conversations WHERE length(text) > 0"""
+# a third of the samples have no true attribute; a defender that learns of a breach replaces the guessed word
+DERIVED["loop_truth"] = """
+SELECT username, 'occupation' AS pii_type, word AS estimate FROM loop_samples WHERE length(word) % 3 <> 0"""
 _MASKS = ["e", "i", "a", "o", "n"]
-
-
-def _masked(k: int) -> str:
-    out = "regexp_replace(text, '#', '', 'g')"
-    for m in _MASKS[:k]:
-        out = f"replace({out}, '{m}', '*')"
-    return f"trim({out})"
-
-
+_MASK_AT = "CASE CAST(round AS INT) " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_MASKS)) + " END"
 _WORDS = " OR ".join(f"(contains(g, '{w}') AND contains(w, '{w}'))" for w in ["low", "medium", "high", "very high", "20s", "30s", "40s", "50s"])
-_RUNS = " UNION ALL ".join(
-    f"SELECT username, word AS w, {k} AS round, {_masked(k)} AS anonymized, {(10 - k) / 10 * 0.3 + (10 - 2 * k) / 10 * 0.5 + 0.2}::DOUBLE AS utility FROM loop_samples" for k in range(1, 6)
-)
 
 
-@query("anonymisation_rounds", "B12 W02 B06", f"""
-WITH r AS ({_RUNS}), g AS (SELECT *, trim(lower(split_part(anonymized, ' ', 1))) AS g FROM r),
-s AS (SELECT *, CASE WHEN g = w OR (length(w) > 2 AND (contains(w, g) OR contains(g, w))) THEN 1.0 WHEN {_WORDS} THEN 0.6 ELSE 0 END * (0.4 + 4 / 5 * 0.6) AS leak FROM g),
-f AS (SELECT *, 1 - leak AS privacy, (1 - leak >= 0.8 AND utility >= 0.6) OR utility < 0.3 AS stopped FROM s),
-k AS (SELECT *, coalesce(max(stopped::INT) OVER (PARTITION BY username ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
-SELECT username, CAST(round AS INT) AS round, md5(anonymized) AS digest, round(CAST(privacy AS DOUBLE), 6) AS privacy_score, round(utility, 6) AS utility_score, stopped FROM k WHERE before = 0""")
-def _(t):
-    masked = F.regexp_replace("current", "#", "")
-    for k, m in enumerate(_MASKS, 1):
-        masked = F.when(F.col("round") >= k, F.replace(masked, F.lit(m), F.lit("*"))).otherwise(masked)
-    defender = P.computed(F.concat(F.lit("thoughts\n#"), masked))
+def _rounds_sql(stopped: str) -> str:
+    """The loop as a recursive text: one step is one round of all samples that go on."""
+    return f"""
+WITH RECURSIVE r AS (
+ SELECT l.username, t.estimate AS w, 0 AS round, regexp_replace(l.text, '#', '', 'g') AS anonymized, '' AS feedback, '' AS guess,
+  CAST(NULL AS DOUBLE) AS privacy, CAST(NULL AS DOUBLE) AS before1, CAST(NULL AS DOUBLE) AS before2, CAST(0 AS DOUBLE) AS utility, false AS stopped, '' AS note
+ FROM loop_samples l LEFT JOIN loop_truth t USING (username)
+ UNION ALL
+ SELECT username, w, round, anonymized, feedback, guess, privacy, before1, before2, utility, {stopped} AS stopped,
+  CASE WHEN leak > 0 THEN concat('BREACH: the attacker found ''', guess, '''. Generalise more. Utility ', printf('%.2f', utility))
+   WHEN privacy < 0.7 THEN concat('WEAK (', printf('%.2f', privacy), '): the attacker guessed ''', guess, '''. Utility ', printf('%.2f', utility))
+   ELSE concat('GOOD (', printf('%.2f', privacy), '): the guess ''', guess, ''' failed. Utility ', printf('%.2f', utility)) END AS note
+ FROM (SELECT username, w, round, anonymized, feedback, concat('occupation: ', first) AS guess, CAST(1 - leak AS DOUBLE) AS privacy, leak, before1, before2,
+   CAST((10 - round) / 10 * 0.3 + (10 - 2 * round) / 10 * 0.5 + 0.2 AS DOUBLE) AS utility
+  FROM (SELECT *, CASE WHEN w IS NULL THEN 0 WHEN g = w OR (length(w) > 2 AND (contains(w, g) OR contains(g, w))) THEN 1.0 WHEN {_WORDS} THEN 0.6 ELSE 0 END * (0.4 + 4 / 5 * 0.6) AS leak
+   FROM (SELECT *, split_part(anonymized, ' ', 1) AS first, trim(lower(split_part(anonymized, ' ', 1))) AS g
+    FROM (SELECT username, w, round + 1 AS round, note AS feedback, privacy AS before1, before1 AS before2,
+      trim(replace(CASE WHEN note LIKE 'BREACH%' AND length(guess) > 12 THEN replace(anonymized, substr(guess, 13), '?') ELSE anonymized END, {_MASK_AT}, '*')) AS anonymized
+     FROM r WHERE NOT stopped AND round < 5) x1) x2) x3) x4)
+SELECT username, CAST(round AS INT) AS round, md5(anonymized) AS digest, feedback, guess, round(privacy, 6) AS privacy_score, round(utility, 6) AS utility_score, stopped FROM r WHERE round > 0"""
+
+
+def _rounds(t, stop: str):
+    mask = F.element_at(F.array(*[F.lit(m) for m in _MASKS]), F.col("round"))
+    guessed = F.regexp_extract("feedback", r"(?s)^BREACH: the attacker found 'occupation: (.*)'\. Generalise more", 1)
+    plain = F.regexp_replace("current", "#", "")
+    defender = P.computed(F.concat(F.lit("thoughts\n#"), F.replace(F.when(guessed != "", F.replace(plain, guessed, F.lit("?"))).otherwise(plain), mask, F.lit("*"))))
     first = F.split_part("anonymized", F.lit(" "), F.lit(1))
     attacker = P.computed(F.to_json(F.create_map(F.lit("occupation"), F.struct(F.array(first).alias("guess"), F.lit(4).alias("certainty")))))
     score = lambda c: F.struct(c.alias("score"))
     judge = P.computed(
         F.to_json(F.struct(score(10 - F.col("round")).alias("readability"), score(10 - 2 * F.col("round")).alias("meaning"), score(F.lit(1)).alias("hallucinations")))
     )
-    truth = t.loop_samples.select("username", F.lit("occupation").alias("pii_type"), F.col("word").alias("estimate"))
-    out = L.run_rounds(t.loop_samples.select("username", "text"), truth, defender, attacker, judge)
+    out = L.run_rounds(t.loop_samples.select("username", "text"), t.loop_truth, defender, attacker, judge, stop=stop)
     return out.select(
-        "username", "round", F.md5("anonymized").alias("digest"), F.round("privacy_score", 6).alias("privacy_score"),
+        "username", "round", F.md5("anonymized").alias("digest"), "feedback", "guess", F.round("privacy_score", 6).alias("privacy_score"),
         F.round("utility_score", 6).alias("utility_score"), "stopped",
     )
+
+
+@query("anonymisation_rounds", "B12 W02 B06", _rounds_sql("(privacy >= 0.8 AND utility >= 0.6) OR utility < 0.3"))
+def _(t):
+    return _rounds(t, "target")
+
+
+@query("adversarial_rounds", "B12 W01 B06", _rounds_sql(
+    "round >= 2 AND ((privacy >= 0.9 AND utility >= 0.7) OR least(privacy, coalesce(before1, privacy), coalesce(before2, privacy)) >= 0.8 OR utility < 0.3)"))
+def _(t):
+    return _rounds(t, "early")

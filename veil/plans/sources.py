@@ -12,20 +12,21 @@ from veil.session import scratch_path
 from veil.sources import profiles as P
 from veil.sources import results as S
 
-CHUNK = 64  # turns of a conversation that become one profile, so no profile outgrows a row
-
 # One row per turn with the profile it belongs to; the four record shapes alternate.
 DERIVED["turns"] = """
-SELECT conv_id, turn, role, text, CAST(floor(turn / 64) AS BIGINT) AS part, concat('u', CAST(conv_id AS STRING), '-', CAST(CAST(floor(turn / 64) AS BIGINT) AS STRING)) AS username,
+SELECT conv_id, turn, role, text, concat('u', CAST(conv_id AS STRING)) AS username,
   1400000000 + conv_id * 1000 + (7 - turn) * 10 AS epoch, CAST(conv_id % 4 AS INT) AS shape FROM conversations"""
+# The same turns in the three shapes that keep a comment as it is.
+DERIVED["kept_turns"] = """
+SELECT conv_id, turn, role, text, username, epoch, CAST(conv_id % 3 AS INT) AS shape FROM turns"""
 
 
-def conversation_lines(t):
+def conversation_lines(turns):
     """Profiles as JSON lines: nested, flat, parallel arrays, synthetic."""
     comment = F.struct(
         F.col("text"), F.col("role").alias("subreddit"), F.lit("me").alias("user"), F.col("epoch").cast("string").alias("timestamp")
     )
-    groups = t.turns.groupBy("username", "shape", "conv_id").agg(
+    groups = turns.groupBy("username", "shape", "conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", comment.alias("c")))).alias("cs")
     )
     cs = F.transform("cs", lambda x: x["c"])
@@ -64,7 +65,7 @@ def conversation_lines(t):
 def _roundtrip(t, label="profiles"):
     """Written once per query; the folder is shared by all executors."""
     path = scratch_path(t.spark, label)
-    conversation_lines(t).select("value").write.text(path)
+    conversation_lines(t.turns).select("value").write.text(path)
     return P.decode_profiles(t.spark.read.text(path))
 
 
@@ -84,15 +85,15 @@ def _(t):
 
 
 @query("profile_comment_order", "W08 S04", """
-SELECT username, row_number() OVER (PARTITION BY username ORDER BY role, epoch) - 1 AS ord, md5(text) AS digest FROM turns WHERE shape < 3""")
+SELECT username, row_number() OVER (PARTITION BY username ORDER BY role, epoch) - 1 AS ord, md5(text) AS digest FROM turns""")
 def _(t):
-    rows = P.comment_rows(P.decode_profiles(conversation_lines(t).filter("shape < 3").select("value")))
+    rows = P.comment_rows(P.decode_profiles(conversation_lines(t.kept_turns).select("value")))
     return rows.select("username", F.col("ord").cast("long").alias("ord"), F.md5("text").alias("digest"))
 
 
 @query("parallel_array_comments", "S02", "SELECT username, role AS subreddit, epoch, md5(text) AS digest FROM turns WHERE shape = 2")
 def _(t):
-    rows = P.comment_rows(P.decode_profiles(conversation_lines(t).filter("shape = 2").select("value")))
+    rows = P.comment_rows(P.decode_profiles(conversation_lines(t.turns).filter("shape = 2").select("value")))
     return rows.select("username", "subreddit", F.unix_timestamp("ts").alias("epoch"), F.md5("text").alias("digest"))
 
 
@@ -100,7 +101,7 @@ def _(t):
 SELECT DISTINCT concat('41-', username) AS username, 'synth' AS reviewer, 'location' AS pii_type, 'Paris, France' AS estimate, 3 AS hardness, 5 AS certainty
 FROM turns WHERE shape = 3 AND conv_id % 8 <> 3""")
 def _(t):
-    return P.truth_rows(P.decode_profiles(conversation_lines(t).filter("shape = 3").select("value"))).drop("level")
+    return P.truth_rows(P.decode_profiles(conversation_lines(t.turns).filter("shape = 3").select("value"))).drop("level")
 
 
 # ---- profiles with predictions, utility and several versions ------------------------------------
@@ -120,7 +121,9 @@ def annotated_lines(t):
         F.struct(F.col("hallucination").alias("score")).alias("hallucinations"), F.col("bleu"),
         F.array(F.struct(*[F.array(F.col("rouge1"), F.col("rouge1"), F.col("rouge1")).alias(n) for n in ("rouge1", "rougeL")])).alias("rouge"),
     )
-    scores = t.utility.filter("version > 0 AND meaning >= 2").select("username", "version", F.create_map(F.lit("judge"), judge).alias("utility"))
+    # two judges share the versions after the first
+    name = F.when(F.col("meaning") >= 2, "judge").otherwise("judge-2")
+    scores = t.utility.filter("version > 0").select("username", "version", F.create_map(name, judge).alias("utility"))
     text = F.concat(F.lit("words of "), F.col("username"), F.lit(" at version "), F.col("version").cast("string"), F.repeat(F.lit(" more"), F.col("version") * 5))
     version = F.struct("version", F.array(F.struct(text.alias("text"), F.lit("s").alias("subreddit"), F.col("username").alias("user"), F.lit("1400000000").alias("timestamp"))).alias("comments"), "predictions", "utility")
     versions = (
@@ -165,7 +168,7 @@ def _(t):
 
 
 @query("profile_utility", "P21", """
-SELECT username, version, 'judge' AS judge, readability, meaning, hallucination, bleu, rouge1 FROM utility WHERE version > 0 AND meaning >= 2""")
+SELECT username, version, CASE WHEN meaning >= 2 THEN 'judge' ELSE 'judge-2' END AS judge, readability, meaning, hallucination, bleu, rouge1 FROM utility WHERE version > 0""")
 def _(t):
     return P.utility_rows(annotated(t)).drop("rougeL")
 
@@ -204,10 +207,10 @@ def _(t):
 
 
 @query("capped_comments", "P07", """
-SELECT username, count(*) AS comments FROM (SELECT username, row_number() OVER (PARTITION BY username ORDER BY role, epoch) AS rn FROM turns WHERE shape < 3) x
+SELECT username, count(*) AS comments FROM (SELECT username, row_number() OVER (PARTITION BY username ORDER BY role, epoch) AS rn FROM turns) x
 WHERE rn <= 3 GROUP BY username""")
 def _(t):
-    capped = P.cap_comments(P.decode_profiles(conversation_lines(t).filter("shape < 3").select("value")), 3)
+    capped = P.cap_comments(P.decode_profiles(conversation_lines(t.kept_turns).select("value")), 3)
     return capped.select("username", F.size(F.col("versions")[0]["comments"]).cast("long").alias("comments"))
 
 
@@ -230,7 +233,7 @@ def _(t):
 DERIVED["summary_rows"] = """
 SELECT s.username, CAST(n AS INT) AS versions, t.types AS pii_types, n > 1 AS has_anonymization, u.username IS NOT NULL AS has_quality FROM profile_sizes s
 JOIN (SELECT username, string_agg(pii_type, ',' ORDER BY pii_type) AS types FROM truth GROUP BY username) t USING (username)
-LEFT JOIN (SELECT DISTINCT username FROM utility WHERE version > 0 AND meaning >= 2) u USING (username)"""
+LEFT JOIN (SELECT DISTINCT username FROM utility WHERE version > 0) u USING (username)"""
 
 
 @query("profile_summaries", "P23", "SELECT * FROM summary_rows")
@@ -455,13 +458,13 @@ def _(t):
 
 
 @query("named_file_set", "S06 S05 K02", """
-SELECT pii_type, count(*) AS rows FROM judged_vectors WHERE version IN (0, 1) GROUP BY pii_type""")
+SELECT pii_type, count(*) AS rows FROM judged_vectors GROUP BY pii_type""")
 def _(t):
     root = scratch_path(t.spark, "file-set")
     table = E.eval_table(PE.scored(t), t.utility, t.truth, "run-1")
     paths = S.file_set("iclr_main_base", root)
     for level, path in enumerate(paths):
-        S.write_eval_csv(table.filter(F.col("anon_level") == level), path)
+        S.write_eval_csv(table.filter(F.col("anon_level") % len(paths) == level), path)
     return S.read_eval_csv(t.spark, paths).groupBy("pii_type").agg(F.count(F.lit(1)).alias("rows"))
 
 

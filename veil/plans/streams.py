@@ -40,8 +40,7 @@ WITH e AS (SELECT role, epoch(ts) AS s FROM usage_log),
 w AS (SELECT role, CAST(floor(s / 300) AS BIGINT) * 300 - k * 300 AS start FROM e, (VALUES (0), (1)) AS v(k)), m AS (SELECT max(floor(s)) AS m FROM e)
 SELECT start, role, count(*) AS calls, count(*) > 2 AS over_limit FROM w GROUP BY start, role""")
 def _(t):
-    # complete output: every window, also those the watermark has not closed when the input ends
-    windows = C.rate_windows(derived_stream(t, "usage_log"), "role", "10 minutes", "5 minutes", "1 hour", 2)
+    windows = C.rate_windows(derived_stream(t, "usage_log"), "role", "10 minutes", "5 minutes", 2)
     emitted = drain(windows, "update", "rate")
     last = latest(emitted, ["start", "role"], [F.col("batch")])
     return last.select(F.unix_timestamp("start").alias("start"), "role", "calls", "over_limit")
@@ -50,7 +49,7 @@ def _(t):
 @query("progress_stream", "T01 G39", """
 SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS start, config, count(*) AS rounds, round(avg(privacy_score), 6) AS privacy, round(avg(utility_score), 6) AS utility FROM rounds GROUP BY ALL""")
 def _(t):
-    emitted = drain(C.progress_windows(derived_stream(t, "rounds"), "1 day", "1 hour"), "update", "progress")
+    emitted = drain(C.progress_windows(derived_stream(t, "rounds"), "1 day"), "update", "progress")
     last = latest(emitted, ["start", "config"], [F.col("batch")])
     return last.select(
         F.unix_timestamp("start").alias("start"), "config", "rounds", F.round("privacy", 6).alias("privacy"), F.round("utility", 6).alias("utility")
@@ -70,7 +69,7 @@ def _(t):
 
 @query("new_versions_stream", "T02", "SELECT DISTINCT profile_id, config FROM rounds")
 def _(t):
-    fresh = C.new_versions(derived_stream(t, "rounds"), ["profile_id", "config"], "60 days")
+    fresh = C.new_versions(derived_stream(t, "rounds"), ["profile_id", "config"])
     return drain(fresh.select("profile_id", "config"), "append", "versions")
 
 

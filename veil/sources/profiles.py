@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veil.functions.answers import keep_last
 from veil.operators.ordering import lookup
 
 RAW = (
@@ -213,6 +214,7 @@ def guess_array(raw: Column) -> Column:
 def utility_rows(profiles: DataFrame) -> DataFrame:
     """Flat judge scores; a score that a judge left out is -1."""
     score = lambda part: F.when(F.col(f"u.{part}").isNotNull(), F.coalesce(F.col(f"u.{part}.score"), F.lit(-1.0)))
+    rouge = lambda name: F.get(F.get(F.col("u.rouge"), F.lit(0))[name], F.lit(2)).alias(name)
     return (
         profiles.select("username", F.posexplode("versions").alias("version", "v"))
         .select("username", "version", F.explode("v.utility").alias("judge", "j"))
@@ -221,7 +223,7 @@ def utility_rows(profiles: DataFrame) -> DataFrame:
             "username", "version", "judge",
             score("readability").alias("readability"), score("meaning").alias("meaning"),
             score("hallucinations").alias("hallucination"), F.col("u.bleu").alias("bleu"),
-            F.col("u.rouge")[0]["rouge1"][2].alias("rouge1"), F.col("u.rouge")[0]["rougeL"][2].alias("rougeL"),
+            rouge("rouge1"), rouge("rougeL"),
         )
     )
 
@@ -237,7 +239,7 @@ def size_filter(
     min_tokens: int | None = None,
 ) -> DataFrame:
     """Keep profiles within the limits of their original comments; words stand in for tokens."""
-    original = F.col("versions")[0]["comments"]
+    original = F.get("versions", F.lit(0))["comments"]
     words = F.aggregate(original, F.lit(0), lambda a, c: a + F.size(F.split(c["text"], " ")))
     out = profiles
     if num_comments is not None:
@@ -252,7 +254,7 @@ def size_filter(
 
 def next_steps(profiles: DataFrame, model: str) -> DataFrame:
     """Steps due for the latest version of each profile."""
-    last = F.element_at("versions", -1)
+    last = F.try_element_at("versions", F.lit(-1))
     has = lambda m: F.coalesce(F.map_contains_key(m, model), F.lit(False))
     first = F.when(has(last["predictions"]), "anonymize").otherwise("inference")
     judge = ~has(last["utility"]) & (F.size("versions") > 1)
@@ -266,8 +268,8 @@ def unfinished(profiles: DataFrame, max_versions: int) -> DataFrame:
 
 def original_and_latest(profiles: DataFrame) -> DataFrame:
     return profiles.select(
-        "username", F.col("versions")[0]["comments"].alias("original"),
-        F.element_at("versions", -1)["comments"].alias("latest"),
+        "username", F.get("versions", F.lit(0))["comments"].alias("original"),
+        F.try_element_at("versions", F.lit(-1))["comments"].alias("latest"),
     )
 
 
@@ -298,7 +300,7 @@ def summaries(profiles: DataFrame, with_anonymisation: bool = False, with_qualit
     out = profiles.select(
         "username",
         F.size("versions").alias("versions"),
-        F.array_join(F.array_sort(F.map_keys(F.element_at(F.map_values("reviews"), 1))), ",").alias("pii_types"),
+        F.coalesce(F.array_join(F.array_sort(F.map_keys(F.try_element_at(F.map_values("reviews"), F.lit(1)))), ","), F.lit("")).alias("pii_types"),
         (F.size("versions") > 1).alias("has_anonymization"),
         F.exists("versions", lambda v: F.coalesce(F.size(F.map_keys(v["utility"])) > 0, F.lit(False))).alias("has_quality"),
     )
@@ -338,19 +340,20 @@ def pick_round(details: DataFrame, index: int) -> DataFrame:
 
 def training_samples(profiles: DataFrame, min_chars: int = 50, limit: int | None = None) -> DataFrame:
     """Original text and true attributes of profiles with enough of both."""
-    truth = F.map_from_entries(
+    # of several reviewers the last one counts
+    truth = keep_last(
         F.flatten(
             F.transform(
                 F.map_values("reviews"),
                 lambda m: F.transform(
                     F.filter(F.map_entries(m), lambda e: e["value"]["estimate"].isNotNull()),
-                    lambda e: F.struct(e["key"], e["value"]["estimate"]),
+                    lambda e: F.struct(e["key"].alias("key"), e["value"]["estimate"].alias("value")),
                 ),
             )
         )
     )
     out = (
-        profiles.withColumn("text", full_text(F.col("versions")[0]["comments"]))
+        profiles.withColumn("text", full_text(F.get("versions", F.lit(0))["comments"]))
         .withColumn("truth", truth)
         .filter((F.length("text") >= min_chars) & (F.size("truth") > 0))
         .select("username", "text", "truth")
@@ -361,14 +364,14 @@ def training_samples(profiles: DataFrame, min_chars: int = 50, limit: int | None
 def round_pairs(profiles: DataFrame) -> DataFrame:
     """Version 0 text beside each later version's text, both non-empty."""
     texts = profiles.select(
-        "username", full_text(F.col("versions")[0]["comments"]).alias("original"),
+        "username", full_text(F.get("versions", F.lit(0))["comments"]).alias("original"),
         F.posexplode(F.transform("versions", lambda v: full_text(v["comments"]))).alias("round", "anonymized"),
     )
     return texts.filter((F.col("round") > 0) & (F.length("original") > 0) & (F.length("anonymized") > 0))
 
 
 def first_comment(profiles: DataFrame, min_chars: int = 20) -> DataFrame:
-    text = F.try_element_at(F.col("versions")[0]["comments"], F.lit(1))["text"]
+    text = F.try_element_at(F.get("versions", F.lit(0))["comments"], F.lit(1))["text"]
     return profiles.select("username", text.alias("text")).filter(F.length("text") >= min_chars)
 
 

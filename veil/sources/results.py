@@ -133,12 +133,13 @@ def discover(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFra
 
 
 def tolerant_json(spark: SparkSession, path: str, schema: str, max_samples: int | None = None) -> DataFrame:
-    """Readable records only; at most `max_samples` of them if asked."""
-    good = (
-        spark.read.schema(f"{schema}, _bad STRING").json(path, columnNameOfCorruptRecord="_bad")
-        .filter("_bad IS NULL").drop("_bad")
-    )
-    return good.limit(max_samples) if max_samples else good
+    """Readable records only; if asked, the first `max_samples` of them by file and place in it."""
+    read = spark.read.schema(f"{schema}, _bad STRING").json(path, columnNameOfCorruptRecord="_bad")
+    placed = read.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq"))
+    good = placed.filter("_bad IS NULL").drop("_bad")
+    if max_samples:
+        good = good.orderBy("_file", "_at", "_seq").limit(max_samples)
+    return good.drop("_file", "_at", "_seq")
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:

@@ -35,20 +35,28 @@ def usage_totals(usage: DataFrame) -> DataFrame:
     )
 
 
-def rate_windows(calls: DataFrame, key: str, length: str, slide: str, lateness: str, limit: int) -> DataFrame:
-    """Calls per sliding window and whether they exceed the limit; rows older than the watermark are dropped."""
+def late(stream: DataFrame, lateness: str | None) -> DataFrame:
+    """With a watermark only if the caller says how late a row may be: it bounds the state and drops what comes later.
+
+    Without one all rows count, in whatever order their files come.
+    """
+    return timed(stream).withWatermark("ts", lateness) if lateness else timed(stream)
+
+
+def rate_windows(calls: DataFrame, key: str, length: str, slide: str, limit: int, lateness: str | None = None) -> DataFrame:
+    """Calls per sliding window and whether they exceed the limit."""
     return (
-        timed(calls).withWatermark("ts", lateness)
+        late(calls, lateness)
         .groupBy(F.window("ts", length, slide), key)
         .agg(F.count(F.lit(1)).alias("calls"))
         .select(F.col("window.start").alias("start"), key, "calls", (F.col("calls") > limit).alias("over_limit"))
     )
 
 
-def progress_windows(rounds: DataFrame, length: str, lateness: str) -> DataFrame:
+def progress_windows(rounds: DataFrame, length: str, lateness: str | None = None) -> DataFrame:
     """Rounds done and mean scores per tumbling window and config."""
     return (
-        timed(rounds).withWatermark("ts", lateness)
+        late(rounds, lateness)
         .groupBy(F.window("ts", length), "config")
         .agg(
             F.count(F.lit(1)).alias("rounds"), F.avg("privacy_score").alias("privacy"), F.avg("utility_score").alias("utility")
@@ -57,14 +65,19 @@ def progress_windows(rounds: DataFrame, length: str, lateness: str) -> DataFrame
     )
 
 
-def new_versions(evals: DataFrame, keys: list[str], lateness: str) -> DataFrame:
-    """Each (profile, version, ...) once, however often its file is rewritten."""
-    return timed(evals).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
+def new_versions(evals: DataFrame, keys: list[str], lateness: str | None = None) -> DataFrame:
+    """Each (profile, version, ...) once, however often its file is rewritten; with a lateness, within that time."""
+    return late(evals, lateness).dropDuplicatesWithinWatermark(keys) if lateness else evals.dropDuplicates(keys)
 
 
 # ---- round state ------------------------------------------------------------------------------
 
-ROUND_STATE = T.StructType([T.StructField("recent", T.ArrayType(T.DoubleType())), T.StructField("stopped", T.BooleanType())])
+ROUND_STATE = T.StructType(
+    [
+        T.StructField("recent", T.ArrayType(T.DoubleType())), T.StructField("stopped", T.BooleanType()),
+        T.StructField("due", T.IntegerType()), T.StructField("waiting", T.ArrayType(T.DoubleType())),
+    ]
+)
 ROUND_OUT = T.StructType(
     [
         T.StructField("profile_id", T.LongType()), T.StructField("config", T.StringType()), T.StructField("round", T.IntegerType()),
@@ -74,23 +87,29 @@ ROUND_OUT = T.StructType(
 
 
 def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the last three privacy scores of a run; pass rounds through until the stop rule fires."""
-    recent, stopped = ([list(state.get[0]), state.get[1]] if state.exists else [[], False])
-    rows = pd.concat(list(batches)).sort_values("round")
+    """Rounds are decided in order of their number from 1; those that arrive early wait in the state for the ones before."""
+    recent, stopped, due, flat = list(state.get) if state.exists else [[], False, 1, []]
+    recent, flat = list(recent), list(flat)
+    waiting = {int(flat[i]): (flat[i + 1], flat[i + 2]) for i in range(0, len(flat), 3)}
+    for rows in batches:
+        for number, privacy, utility in zip(rows["round"], rows["privacy_score"], rows["utility_score"]):
+            if not stopped and int(number) >= due:
+                waiting[int(number)] = (float(privacy), float(utility))
     out = []
-    for number, privacy, utility in zip(rows["round"], rows["privacy_score"], rows["utility_score"]):
-        if stopped:
-            break
-        recent = [*recent, float(privacy)][-3:]
+    while not stopped and due in waiting:
+        privacy, utility = waiting.pop(due)
+        recent = [*recent, privacy][-3:]
         strong = privacy >= 0.9 and utility >= 0.7
-        stopped = bool(number >= 2 and (strong or min(recent) >= 0.8 or utility < 0.3))
-        out.append((key[0], key[1], int(number), stopped))
-    state.update((recent, stopped))
+        stopped = bool(due >= 2 and (strong or min(recent) >= 0.8 or utility < 0.3))
+        out.append((key[0], key[1], due, stopped))
+        due += 1
+    left = [] if stopped else [x for n, (p, u) in sorted(waiting.items()) for x in (float(n), p, u)]
+    state.update((recent, stopped, due, left))
     yield pd.DataFrame(out, columns=["profile_id", "config", "round", "stopped"])
 
 
 def stop_decisions(rounds: DataFrame) -> DataFrame:
-    """Early stopping per (profile, config) with a few numbers of state each; rounds arrive in order."""
+    """Early stopping per (profile, config), whatever order the rounds arrive in; a run holds a few numbers of state."""
     return rounds.groupBy("profile_id", "config").applyInPandasWithState(
         _decide, ROUND_OUT, ROUND_STATE, "append", GroupStateTimeout.NoTimeout
     )
