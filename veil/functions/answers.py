@@ -285,6 +285,12 @@ INCOME_HINT = r"(?i)\b(?:high income|sufficient income|comfortable financially|m
 SERVICE_HINT = r"(?i)\b(?:reddit gold|entertainment subscriptions|online goodies)\b"
 
 
+def detected_changes(original: Column, adapted: Column) -> Column:
+    """Changes explained by known patterns; only where there are none, the runs that differ line by line."""
+    known = pattern_changes(original, adapted)
+    return F.when(F.size(known) > 0, known).otherwise(line_changes(original, adapted))
+
+
 def mentioned_attributes(reasoning: Column, changes: Column) -> Column:
     """Attribute named in a reasoning text, then hints found in the changes, without repeats."""
     clean = F.trim(F.regexp_replace(reasoning, r"[*`]", ""))

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veil.functions.answers import verdicts
 from veil.functions.matching import guesses_are_correct, true_value
 from veil.operators.ordering import earliest
+from veil.operators.prompts import Model, equivalence_prompt
+from veil.session import cut_lineage
 
 META_KEYS = ["time", "timestamp"]
 
@@ -67,6 +70,19 @@ def score_guesses(matched: DataFrame) -> DataFrame:
     )
 
 
+def decided_guesses(scored: DataFrame, model: Model, keys: Sequence[str]) -> DataFrame:
+    """`scored` with the verdicts of a model where no guess was found right.
+
+    Ages are never asked about, nor rows without guesses; each other row is one prompt, sent once. An answer with another
+    number of verdicts than guesses changes nothing. 'yes' is right; 'no' and 'less precise' are not.
+    """
+    known = cut_lineage(scored, "scored")
+    ask = (F.col("pii_type") != "age") & (F.size("guesses") > 0) & ~F.array_contains("is_correct", 1)
+    prompts = known.filter(ask).select(*keys, F.size("guesses").alias("_n"), equivalence_prompt(F.col("estimate"), F.col("guesses")).alias("prompt"))
+    told = model(prompts).select(*keys, verdicts(F.col("answer"), F.col("_n")).alias("_told"))
+    return known.join(told, list(keys), "left").withColumn("is_correct", F.coalesce("_told", "is_correct")).drop("_told")
+
+
 def unknown_values(truth: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """True values the vocabulary does not know, after an optional mapping table: the exceptions to resolve."""
     closed = usable_truth(truth, ["married", "income", "education"]).withColumn(

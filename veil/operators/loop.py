@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.functions.answers import after_hash, attack_map, judge_scores
@@ -46,6 +46,24 @@ def anonymise_stage(
     return aligned.select("_key.username", (first + F.col("ord")).cast("int").alias("ord"), "text")
 
 
+def infer_versions_stage(
+    comments: DataFrame, attributes: DataFrame, done: DataFrame, model: P.Model, names: Sequence[str], skip_first: bool = False
+) -> DataFrame:
+    """(username, version, pii_type, ...) inferences of a second model for every version it has not judged yet.
+
+    comments has a version column; done(username, version) is what the model has answered. `skip_first` leaves out
+    version 0, which another model has judged.
+    """
+    todo = without_done(comments, done, ["username", "version"])
+    todo = todo.filter("version > 0") if skip_first else todo
+    key = F.struct("username", "version")
+    blocks = P.comment_blocks(todo.withColumn("username", key).drop("version"))
+    wanted = todo.select("username", "version").distinct().join(attributes, "username").select(key.alias("username"), "pii_type")
+    out = infer_stage(blocks, wanted, done.select(key.alias("username")), model, names)
+    rest = [c for c in out.columns if c != "username"]
+    return out.select("username.username", "username.version", *rest)
+
+
 def utility_stage(pairs: DataFrame, done: DataFrame, model: P.Model, key: str = "prompt_id") -> DataFrame:
     """Judge scores beside sentence BLEU, ROUGE-1 and ROUGE-L of every pair (original, adapted) not judged yet.
 
@@ -145,3 +163,47 @@ def run_rounds(
     for more in done[1:]:
         out = out.unionByName(more)
     return out.select("username", "round", "anonymized", "feedback", "guess", "privacy_score", "attack_success_rate", "utility_score", "stopped")
+
+
+def run_versions(
+    comments: DataFrame, attributes: DataFrame, inferer: P.Model, anonymiser: P.Model, judge: P.Model, names: Sequence[str],
+    rounds: int, level: int = 3,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The plain loop: infer, anonymise and score, until every profile has `rounds` versions beyond its original.
+
+    Returns the comments (username, version, ord, text), the inferences and the utility scores (version > 0) of all versions.
+    Each step's answers are written before the plan branches, so each prompt is sent once.
+    """
+    nobody = comments.select("username").filter("false")
+    kept = comments.select("username", "ord", "subreddit", "epoch")
+    place = F.row_number().over(Window.partitionBy("username").orderBy("subreddit", "epoch", "ord")) - 1
+    places = cut_lineage(kept.withColumn("place", place.cast("int")), "places")
+    versions = [cut_lineage(comments.select("username", "ord", "subreddit", "epoch", "text"), "version-0")]
+    whole = lambda df: df.groupBy("username").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("subreddit", "epoch", "ord", "text"))), lambda x: x["text"]), "\n").alias("text")
+    )
+    inferences: list[DataFrame] = []
+    scores: list[DataFrame] = []
+    for number in range(rounds):
+        now = versions[-1]
+        found = cut_lineage(infer_stage(P.comment_blocks(now), attributes, nobody, inferer, names), f"inferred-{number}")
+        inferences.append(found.withColumn("version", F.lit(number)))
+        guesses = found.withColumn("guess", F.nullif(F.array_join("guesses", "; "), F.lit(""))).filter("inference <> 'MISSING'")
+        adapted = anonymise_stage(now, P.inference_notes(guesses), attributes, nobody, anonymiser, level)
+        # a profile without inferences has no prompt and keeps its comments
+        new = places.join(adapted.select("username", F.col("ord").alias("place"), F.col("text").alias("_new")), ["username", "place"], "left")
+        new = new.join(now.select("username", "ord", "text"), ["username", "ord"]).select(
+            "username", "ord", "subreddit", "epoch", F.coalesce("_new", "text").alias("text")
+        )
+        versions.append(cut_lineage(new, f"version-{number + 1}"))
+        pairs = whole(versions[0]).withColumnRenamed("text", "original").join(whole(versions[-1]).withColumnRenamed("text", "adapted"), "username")
+        judged = cut_lineage(utility_stage(pairs, nobody, judge, "username"), f"judged-{number + 1}")
+        scores.append(judged.withColumn("version", F.lit(number + 1)))
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
+
+    return union([v.select("username", F.lit(n).alias("version"), "ord", "text") for n, v in enumerate(versions)]), union(inferences), union(scores)

@@ -228,6 +228,16 @@ def _(t):
     return t.numbered_pairs.withColumn("c", c).select("doc_id", F.size("c").alias("changes"))
 
 
+@query("detected_changes", "X15 X16", r"""
+WITH c AS (SELECT doc_id, len(regexp_extract_all(original, '(?i)\bSwiss\b')) AS s, len(regexp_extract_all(original, '(?i)\b[0-9]+\s*CHF\b')) AS f,
+  len(regexp_extract_all(original, '(?i)\bhigh\s+income\b')) AS h FROM swiss_pairs)
+SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN s + f + 2 * h ELSE len(string_split(text, ' the ')) - 1 END AS INT) AS changes FROM c JOIN documents USING (doc_id)""")
+def _(t):
+    odd = t.numbered_pairs.filter("doc_id % 2 = 1")
+    pairs = t.swiss_pairs.filter("doc_id % 2 = 0").unionByName(odd)  # every document, in one of two shapes
+    return pairs.select("doc_id", F.size(A.detected_changes(F.col("original"), F.col("adapted"))).alias("changes"))
+
+
 @query("general_line_changes", "X15", rows_only="a positional state machine; golden rows in the tests")
 def _(t):
     c = A.line_changes(F.col("original"), F.col("adapted"))

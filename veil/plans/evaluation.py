@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veil.functions import matching as M
 from veil.functions import similarity as S
 from veil.operators import evaluation as E
+from veil.operators.prompts import computed
 from veil.plans.derived import DERIVED
 from veil.plans.registry import query
 
@@ -91,6 +92,19 @@ def _(t):
     )
 
 
+@query("decided_guesses", "X03 B04 A12", """
+SELECT username, pii_type, version, CASE WHEN is_correct <> '[0, 0, 0]' OR pii_type = 'age' THEN is_correct
+  WHEN length(estimate) % 3 = 0 THEN '[1, 0, 0]' WHEN length(estimate) % 3 = 1 THEN '[0, 0, 1]' ELSE is_correct END AS is_correct FROM judged_vectors""")
+def _(t):
+    # the stand-in model reads the true value of its prompt
+    size = F.length(F.regexp_extract("prompt", r"Ground truth: (.*)\n", 1)) % 3
+    answer = F.when(size == 0, "yes; no; less precise").when(size == 1, "no; less precise; yes").otherwise("yes")
+    out = E.decided_guesses(scored(t), computed(answer), ["username", "pii_type", "version"])
+    return out.select(
+        "username", "pii_type", "version", F.concat(F.lit("["), F.concat_ws(", ", F.col("is_correct").cast("array<string>")), F.lit("]")).alias("is_correct")
+    )
+
+
 @query("truth_matched_to_predictions", "J01 P22", """
 SELECT u.username, u.pii_type, p.version, u.estimate, len(list_filter(string_split(p.guess, ';'), lambda g: trim(g) <> '')) AS guesses,
   CAST(coalesce(CAST(nullif(regexp_extract(p.certainty, '[0-9]+'), '') AS INT), -1) AS INT) AS certainty

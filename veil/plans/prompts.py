@@ -166,6 +166,36 @@ def _(t):
     return out.select("username", "ord", F.md5("text").alias("digest"))
 
 
+DERIVED["versioned_comments"] = """
+SELECT username, ord, subreddit, epoch, version, CASE WHEN version = 0 THEN text ELSE replace(text, 'e', '*') END AS text FROM comments, (VALUES (0), (1)) AS v(version)"""
+
+
+@query("second_model_stage", "B11 B08", """
+SELECT username, version, 'age' AS pii_type, CAST(length(string_agg(text, chr(10))) AS INT) AS inference
+FROM versioned_comments WHERE NOT (version = 1 AND username IN (SELECT username FROM comments WHERE ord >= 6)) GROUP BY username, version""")
+def _(t):
+    done = t.comments.filter("ord >= 6").select("username", F.lit(1).alias("version")).distinct()
+    # the stand-in model tells how long the comments of its prompt are, dates left out
+    body = F.regexp_replace(F.split_part("prompt", F.lit("\n\n"), F.lit(2)), r"(?m)^[0-9]{4}-[0-9]{2}-[0-9]{2}: ", "")
+    model = P.computed(F.concat(F.lit("Type: age\nInference: "), F.length(body).cast("string")))
+    flat = t.versioned_comments.withColumn("text", F.translate("text", "\n", " "))
+    out = L.infer_versions_stage(flat, t.turn_attributes, done, model, ["age"])
+    return out.select("username", "version", "pii_type", F.col("inference").cast("int").alias("inference"))
+
+
+@query("plain_versions", "B12 B09 B10", """
+SELECT username, version, CAST(ord AS INT) AS ord, md5(CASE version WHEN 0 THEN t WHEN 1 THEN replace(t, 'e', '*') ELSE replace(replace(t, 'e', '*'), 'e', '*') END) AS digest
+FROM (SELECT *, replace(text, chr(10), ' ') AS t FROM comments) c, (VALUES (0), (1), (2)) AS v(version)""")
+def _(t):
+    flat = t.comments.withColumn("text", F.translate("text", "\n", " "))
+    body = F.split_part(F.split_part("prompt", F.lit("\n\n"), F.lit(2)), F.lit("\n\nInferences"), F.lit(1))
+    anonymiser = P.computed(F.concat(F.lit("ok\n#"), F.replace(body, F.lit("e"), F.lit("*"))))
+    inferer = P.computed(F.lit("Type: age\nInference: seen\nGuess: 30\nCertainty: 3"))
+    judge = P.computed(F.lit('{"readability": {"score": 9}, "meaning": {"score": 9}, "hallucinations": {"score": 1}}'))
+    texts, _, _ = L.run_versions(flat, t.turn_attributes, inferer, anonymiser, judge, ["age"], 2)
+    return texts.select("username", "version", F.col("ord").cast("int").alias("ord"), F.md5("text").alias("digest"))
+
+
 # two anonymised versions of every document, keyed like (profile, version)
 DERIVED["version_pairs"] = """
 SELECT doc_id * 2 AS doc_id, original, adapted FROM text_pairs
