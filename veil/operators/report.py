@@ -182,11 +182,6 @@ def select_attributes(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
     return df.filter(F.col("pii_type").isin(FAIR_ATTRIBUTES if wanted == ["fair"] else wanted))
 
 
-def predictions_per_setting(df: DataFrame) -> Column:
-    """Scalar: rows divided by number of settings."""
-    return df.agg((F.count(F.lit(1)) / F.countDistinct("full_anon_setting")).alias("num_pred")).scalar()
-
-
 def privacy_utility(df: DataFrame, utility: str = "utility_comb") -> DataFrame:
     """Mean utility, accuracy and certainty per setting in one pass over the rows."""
     per_setting = df.groupBy("full_anon_setting").agg(
@@ -222,25 +217,22 @@ def correct_counts(df: DataFrame) -> DataFrame:
 
 
 def location_resolution(df: DataFrame, families: Sequence[str] = ("GPT-4-AA", "Azure")) -> DataFrame:
-    """Right location guesses per resolution level, relative to the number of Base rows of that level."""
+    """Right location guesses per resolution level, relative to the number of Base rows of that level; one pass."""
     level = F.when(F.col("res_level") == 1, 2).otherwise(F.col("res_level")) - 1
-    loc = df.filter(F.col("pii_type") == "LOC").withColumn("res_level", level)
-    hits = (
-        loc.filter("first_correct").groupBy("full_anon_setting", "res_level").agg(F.count(F.lit(1)).alias("correct"))
-    )
-    # at most one row per resolution level
-    base_rows = F.broadcast(
-        loc.filter(F.col("full_anon_setting") == "Base").groupBy("res_level").agg(
-            F.count(F.lit(1)).alias("total"), F.sum(F.col("first_correct").cast("long")).alias("base_hits")
-        )
+    per = (
+        df.filter(F.col("pii_type") == "LOC").withColumn("res_level", level)
+        .groupBy("full_anon_setting", "res_level")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("first_correct").cast("long")).alias("correct"))
     )
+    # one row per setting and level by now
+    is_base = F.col("full_anon_setting") == "Base"
+    of_level = Window.partitionBy("res_level")
     fam = family(F.col("full_anon_setting"))
-    step = F.when(F.col("full_anon_setting") == "Base", 0).otherwise(
-        F.substring_index("full_anon_setting", " ", -1).try_cast("int")
-    )
+    step = F.when(is_base, 0).otherwise(F.substring_index("full_anon_setting", " ", -1).try_cast("int"))
     return (
-        hits.filter(fam.isin(list(families)) & (step <= 3))
-        .join(base_rows.filter(F.col("base_hits") > 0), "res_level")
+        per.withColumn("total", F.sum(F.when(is_base, F.col("rows"))).over(of_level))
+        .withColumn("base_hits", F.sum(F.when(is_base, F.col("correct"))).over(of_level))
+        .filter((F.col("base_hits") > 0) & (F.col("correct") > 0) & fam.isin(list(families)) & (step <= 3))
         .select(
             "full_anon_setting",
             fam.alias("model_family"),
@@ -253,27 +245,36 @@ def location_resolution(df: DataFrame, families: Sequence[str] = ("GPT-4-AA", "A
 
 
 def accuracy_and_certainty(df: DataFrame, families: Sequence[str] = ("GPT-4-AA", "Azure")) -> DataFrame:
-    """Long rows (setting, metric, value); a missing certainty counts as the mean of the present ones."""
-    fam = family(F.col("full_anon_setting"))
-    chosen = df.filter(fam.isin(list(families)))
-    mean = chosen.filter(F.col("certainty") != 0).agg(F.avg("certainty")).scalar()
+    """Long rows (setting, metric, value); a missing certainty counts as the mean of the present ones; one pass."""
+    c = F.col("certainty")
+    per = df.groupBy("full_anon_setting").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("first_correct").cast("long")).alias("n"),
+        F.sum(F.when(c != 0, c)).alias("given"), F.count_if(c != 0).alias("with_c"), F.count_if(c == 0).alias("without_c"),
+    )
+    # one row per setting by now
+    whole = Window.partitionBy(F.lit(0))
+    chosen = family(F.col("full_anon_setting")).isin(list(families))
+    only = lambda x: F.sum(F.when(chosen, x)).over(whole)
+    mean = only(F.col("given")) / F.nullif(only(F.col("with_c")), F.lit(0))
+    filled = F.coalesce("given", F.lit(0.0)) + F.when(F.col("without_c") > 0, F.col("without_c") * F.col("mean")).otherwise(0.0)
     wide = (
-        chosen.withColumn("certainty", F.when(F.col("certainty") == 0, mean).otherwise(F.col("certainty")))
-        .groupBy("full_anon_setting")
-        .agg(F.avg("certainty").alias("c"), F.sum(F.col("first_correct").cast("long")).alias("n"))
+        per.withColumn("mean", mean)
+        .withColumn("num_pred", F.sum("rows").over(whole) / F.count(F.lit(1)).over(whole))
+        .filter(chosen)
         .select(
             "full_anon_setting",
-            F.round(F.col("n") / predictions_per_setting(df), 6).alias("accuracy"),
-            F.round((F.col("c") - 1) * 0.25, 6).alias("certainty"),
+            F.round(F.col("n") / F.col("num_pred"), 6).alias("accuracy"),
+            F.round((filled / F.nullif(F.col("with_c") + F.col("without_c"), F.lit(0)) - 1) * 0.25, 6).alias("certainty"),
         )
     )
     return wide.unpivot("full_anon_setting", ["accuracy", "certainty"], "metric", "value")
 
 
-def reidentified(df: DataFrame) -> DataFrame:
-    """First level guessed right after a wrong guess at an earlier level other than the first.
+def guess_paths(df: DataFrame) -> DataFrame:
+    """(anon_setting, id, pii_type, path, tick, prev): the levels of each in one small sorted array.
 
-    Levels of one (setting, id, attribute) are gathered in one small sorted array.
+    `tick` is the first level guessed right after a wrong guess at an earlier level other than the first, `prev` the
+    level before it; both are null where that never happens.
     """
     point = F.struct(
         F.col("anon_level").alias("level"),
@@ -288,66 +289,67 @@ def reidentified(df: DataFrame) -> DataFrame:
     )
     later = F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))
     wrong = F.array_min(F.transform(F.filter("later", lambda p: ~p.hit), lambda p: p.level))
-    back = F.element_at(F.filter("later", lambda p: p.hit & (p.level > F.col("wrong"))), 1)
     return (
         gathered.withColumn("later", later)
         .withColumn("wrong", wrong)
-        .filter(F.col("wrong").isNotNull() & F.exists("later", lambda p: p.hit & (p.level > F.col("wrong"))))
-        .withColumn("tick", back)
-        .withColumn("prev", F.element_at(F.filter("path", lambda p: p.level < F.col("tick.level")), -1))
-        .select(
-            "anon_setting", "id", "pii_type",
-            F.col("tick.level").alias("anon_level"),
-            F.col("tick.certainty").alias("certainty"),
-            F.col("prev.any_hit").alias("prev_any_correct"),
-        )
+        .withColumn("tick", F.try_element_at(F.filter("later", lambda p: p.hit & (p.level > F.col("wrong"))), F.lit(1)))
+        .withColumn("prev", F.try_element_at(F.filter("path", lambda p: p.level < F.col("tick.level")), F.lit(-1)))
+        .drop("later", "wrong")
+    )
+
+
+def reidentified(df: DataFrame) -> DataFrame:
+    """First level guessed right after a wrong guess at an earlier level other than the first."""
+    return guess_paths(df).filter("tick IS NOT NULL").select(
+        "anon_setting", "id", "pii_type",
+        F.col("tick.level").alias("anon_level"),
+        F.col("tick.certainty").alias("certainty"),
+        F.col("prev.any_hit").alias("prev_any_correct"),
     )
 
 
 def switch_statistics(df: DataFrame) -> DataFrame:
-    """Per (attribute, level): right guesses, certainties and re-identifications."""
+    """Per (attribute, level): right guesses, certainties and re-identifications, all from one gathering of the rows."""
     keys = ["pii_type", "anon_level"]
-    plain = (
-        df.filter(~F.col("anon_setting").contains("real"))
-        .groupBy(*keys)
-        .agg(
-            F.sum(F.col("first_correct").cast("long")).alias("num_correct"),
-            F.round(F.avg("certainty"), 6).alias("certainty_avg"),
-            F.round(F.avg(F.when(F.col("first_correct"), F.col("certainty"))), 6).alias("certainty_correct"),
-        )
-    )
-    ticks = (
-        reidentified(df)
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("certainty").alias("c"),
-            F.sum(F.col("prev_any_correct").cast("long")).alias("p"),
-        )
+    own = F.struct(F.col("p.level").alias("level"), F.col("p.hit").alias("hit"), F.col("p.certainty").alias("certainty"), F.lit(False).alias("tick"), F.lit(False).alias("prev"))
+    back = F.struct(F.col("tick.level").alias("level"), F.lit(False).alias("hit"), F.col("tick.certainty").alias("certainty"), F.lit(True).alias("tick"), F.col("prev.any_hit").alias("prev"))
+    points = (
+        guess_paths(df).select("pii_type", "tick", "prev", F.posexplode("path").alias("at", "p"))
+        .select("pii_type", F.explode(F.when((F.col("at") == 0) & F.col("tick").isNotNull(), F.array(own, back)).otherwise(F.array(own))).alias("x"))
+        .select("pii_type", F.col("x.level").alias("anon_level"), "x.hit", "x.certainty", "x.tick", "x.prev")
     )
-    return plain.join(ticks, keys, "left").select(
-        *keys, "num_correct", "certainty_avg", "certainty_correct",
-        F.coalesce("n", F.lit(0)).alias("num_correct_not_prev"),
-        F.round(F.coalesce(F.col("c") / F.col("n"), F.lit(0.0)), 6).alias("certainty_correct_not_prev"),
-        F.coalesce("p", F.lit(0)).alias("prev_has_any_correct"),
+    plain = lambda c: F.when(~F.col("tick"), c)
+    ticks = lambda c: F.when(F.col("tick"), c)
+    return points.groupBy(*keys).agg(
+        F.sum(plain(F.col("hit").cast("long"))).alias("num_correct"),
+        F.round(F.avg(plain(F.col("certainty"))), 6).alias("certainty_avg"),
+        F.round(F.avg(plain(F.when(F.col("hit"), F.col("certainty")))), 6).alias("certainty_correct"),
+        F.count_if("tick").alias("num_correct_not_prev"),
+        F.round(F.coalesce(F.avg(ticks(F.col("certainty"))), F.lit(0.0)), 6).alias("certainty_correct_not_prev"),
+        F.coalesce(F.sum(ticks(F.col("prev").cast("long"))), F.lit(0)).alias("prev_has_any_correct"),
     )
 
 
 def first_wrong_level(df: DataFrame) -> DataFrame:
-    """Lowest level guessed wrong per (setting, id, attribute); 1 if none; settings with > 2 levels only."""
-    levels = df.groupBy("anon_setting", "id").agg(F.countDistinct("anon_level").alias("levels"))
+    """Lowest level guessed wrong per (setting, id, attribute); 1 if none; settings with > 2 levels only; one pass."""
     per_type = df.groupBy("anon_setting", "id", "pii_type").agg(
-        F.coalesce(F.min(F.when(F.col("correct")[0] != 1, F.col("anon_level"))), F.lit(1)).alias("first_wrong")
+        F.coalesce(F.min(F.when(F.col("correct")[0] != 1, F.col("anon_level"))), F.lit(1)).alias("first_wrong"),
+        F.collect_set("anon_level").alias("levels"),  # a handful of levels
     )
-    return per_type.join(levels.filter("levels > 2"), ["anon_setting", "id"]).drop("levels")
+    # a profile has a handful of attributes
+    seen = F.size(F.array_distinct(F.flatten(F.collect_list("levels").over(Window.partitionBy("anon_setting", "id")))))
+    return per_type.withColumn("seen", seen).filter("seen > 2").drop("levels", "seen")
 
 
 def attribute_counts(df: DataFrame) -> DataFrame:
-    settings = df.agg(F.countDistinct("full_anon_setting")).scalar()
+    """Mean number of rows per setting for each attribute; one pass."""
+    per = df.groupBy("pii_type", "full_anon_setting").agg(F.count("id").alias("n"))
+    # one row per attribute and setting by now
+    settings = F.size(F.collect_set("full_anon_setting").over(Window.partitionBy(F.lit(0))))
     return (
-        df.groupBy("pii_type")
-        .agg(F.count("id").alias("n"))
-        .select("pii_type", F.round(F.col("n") / settings, 6).alias("count"))
+        per.withColumn("settings", settings)
+        .groupBy("pii_type")
+        .agg(F.round(F.sum("n") / F.max("settings"), 6).alias("count"))
         .orderBy(F.desc("count"), "pii_type")
     )
 
