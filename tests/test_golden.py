@@ -237,11 +237,9 @@ def test_missing_json_gives_no_rows(spark):
 
 
 def test_file_sets():
-    paths = SR.file_set("base")
-    assert len(paths) == 20 and len(set(paths)) == 20
-    assert paths[0] == "anonymized_results/azure_full/eval_df_out.csv"
-    assert SR.file_set("iclr_main_base")[1].endswith("gpt4_turbo_base/eval_df_out.csv")
-    assert SR.file_set("mine", "x", {"mine": ["s"]}) == ["x/s/eval_gpt-4-1106-preview_out.csv"]
+    paths = SR.file_set({"full": "main", "sub/base": "df"}, "out")
+    assert paths == ["out/full/eval_main_out.csv", "out/sub/base/eval_df_out.csv"]
+
 
 
 def test_entry_smoke(spark):

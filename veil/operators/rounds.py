@@ -148,14 +148,18 @@ def rounds_distribution(finals: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 30) -> DataFrame:
-    """Equal-width bins between each key's least and greatest value; the last bin is closed."""
-    span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    """Equal-width bins between each key's least and greatest value; the last bin is closed.
+
+    Equal values of a key are counted before anything is joined, so a key with very many rows doesn't travel whole.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     pos = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins
     return (
-        df.join(span, list(keys))
+        counts.join(span, list(keys))
         .withColumn("bin", F.least(F.coalesce(F.floor(pos), F.lit(0)), F.lit(bins - 1)).cast("int"))
         .groupBy(*keys, "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_c").alias("n"))
     )
 
 

@@ -462,7 +462,7 @@ SELECT pii_type, count(*) AS rows FROM judged_vectors GROUP BY pii_type""")
 def _(t):
     root = scratch_path(t.spark, "file-set")
     table = E.eval_table(PE.scored(t), t.utility, t.truth, "run-1")
-    paths = S.file_set("iclr_main_base", root)
+    paths = S.file_set({"full": "judge-a", "base": "judge-b"}, root)
     for level, path in enumerate(paths):
         S.write_eval_csv(table.filter(F.col("anon_level") % len(paths) == level), path)
     return S.read_eval_csv(t.spark, paths).groupBy("pii_type").agg(F.count(F.lit(1)).alias("rows"))

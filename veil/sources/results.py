@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,50 +22,6 @@ CHECKPOINT = (
     "rounds: ARRAY<STRUCT<round: INT, privacy_score: DOUBLE, utility_score: DOUBLE>>>>>"
 )
 
-# The named collections of result settings. A setting's file is `eval_<judge>_out.csv`, the
-# judge being "df" for the settings listed as such and the main judge model elsewhere.
-JUDGE = "gpt-4-1106-preview"
-DF_JUDGED = [
-    "azure_full", "gpt4_turbo_full", "gpt35_full", "gpt35_turbo_base", "yi_full", "yi_full_base", "span_yao_full",
-    "synthetic/azure", "synthetic/gpt4_turbo_full", "synthetic/gpt35_full", "synthetic/span_yao_full", "synthetic/yi_full",
-]
-OTHER_JUDGES = {
-    "gpt4_turbo_full/inference_ablation_claude_opus": "claude-3-opus-20240229",
-    "gpt4_turbo_full/inference_ablation_llama31-70b": "meta-llama_Meta-Llama-3.1-70B-Instruct-Turbo",
-    "gpt4_turbo_full/inference_ablation_llama31-8b": "meta-llama_Meta-Llama-3.1-8B-Instruct-Turbo",
-    "gpt4_turbo_full/inference_ablation_gpt35_full": "gpt-3.5-turbo-16k-0613",
-}
-FILE_SETS = {
-    "base": [
-        "azure_full", "gpt4_turbo_base", "gpt4_turbo_full", "gpt35_full", "gpt35_turbo_base", "yi_full", "yi_full_base",
-        "span_yao_full", "llama31-8b", "llama31-70b", "mistral-7B", "mixtral-8x7B", "mixtral-8x22B", "qwen15-4B",
-        "qwen15-14B", "qwen15-32B", "qwen15-72B", "qwen2-72B", "gemma2-27B", "dipper",
-    ],
-    "rebuttal_base_ablation": [
-        "azure_full", "gpt4_turbo_base", "gpt4_turbo_full", "gpt35_full", "gpt35_turbo_base", "yi_full", "yi_full_base",
-    ],
-    "rebuttal_qwen": ["azure_full", "gpt4_turbo_full", "qwen15-4B", "qwen15-14B", "qwen15-32B", "qwen2-72B"],
-    "rebuttal_llama": [
-        "azure_full", "gpt4_turbo_full", "llama31-8b", "llama31-70b", "mistral-7B", "mixtral-8x7B", "mixtral-8x22B", "dipper",
-    ],
-    "iclr_main": [
-        "azure_full", "gpt4_turbo_base", "gpt4_turbo_full", "gpt35_full", "gpt35_turbo_base", "yi_full", "yi_full_base",
-        "span_yao_full", "llama31-70b", "mistral-7B", "mixtral-8x22B", "qwen2-72B", "gemma2-27B", "dipper",
-    ],
-    "iclr_llama_bars": [
-        "azure_full", "gpt4_turbo_full", "llama31-8b", "llama31-70b", "mistral-7B", "mixtral-8x7B", "mixtral-8x22B",
-    ],
-    "iclr_qwen_bars": ["azure_full", "gpt4_turbo_full", "qwen15-4B", "qwen15-14B", "qwen15-32B", "qwen2-72B"],
-    "iclr_rest_bars": ["azure_full", "gpt4_turbo_full", "yi_full", "gpt35_full", "span_yao_full", "gemma2-27B", "dipper"],
-    "iclr_main_bars": ["azure_full", "gpt4_turbo_full", "gpt35_full", "yi_full", "span_yao_full", "llama31-70b"],
-    "iclr_main_base": ["gpt4_turbo_full", "gpt4_turbo_base"],
-    "synthetic": [
-        "synthetic/azure", "synthetic/gpt4_turbo_full", "synthetic/gpt35_full", "synthetic/span_yao_full",
-        "synthetic/yi_full", "synthetic/llama31-70b", "synthetic/llama31-8b", "synthetic/mistral-7b",
-    ],
-    "inference": [*OTHER_JUDGES, "gpt4_turbo_full", "azure_full"],
-}
-
 
 def read_eval_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Any number of result CSVs as one scan with a declared schema and the file kept as lineage."""
@@ -80,15 +36,9 @@ def write_eval_csv(df: DataFrame, path: str) -> None:
     df.select(*names).write.csv(path, header=True, escape='"')
 
 
-def file_set(name: str, folder: str = "anonymized_results", sets: dict[str, list[str]] | None = None) -> list[str]:
-    """Paths of a named collection; callers may pass collections of their own."""
-
-    def judge(setting: str) -> str:
-        if name == "iclr_main_base" and setting == "gpt4_turbo_base":
-            return "df"
-        return OTHER_JUDGES.get(setting, "df" if setting in DF_JUDGED else JUDGE)
-
-    return [f"{folder}/{setting}/eval_{judge(setting)}_out.csv" for setting in (sets or FILE_SETS)[name]]
+def file_set(judges: Mapping[str, str], folder: str = "anonymized_results") -> list[str]:
+    """Paths of a collection of settings: `judges` names the judge whose scores are wanted for each setting."""
+    return [f"{folder}/{setting}/eval_{judge}_out.csv" for setting, judge in judges.items()]
 
 
 def read_json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
