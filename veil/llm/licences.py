@@ -5,8 +5,8 @@ spellings that licences use for the same word are made one, and punctuation and
 digest of the whole form is then joined to the digests of known licences brought to the same form. Units are whole
 documents and every single line of them, so a document that is a licence and one that carries a notice are both found.
 
-The known digests are a table; the join is by hash on equality, and Spark decides by its size whether it is sent
-to all tasks (the built-in one has `len(KNOWN)` rows). Per document, only the licences found travel.
+The known digests are a table; the join is by hash on equality. The table is counted: up to `SENT` rows it is sent to
+all tasks, beyond that digests are shuffled. Per document, only the licences found travel.
 
 A null text counts as empty; an empty form matches nothing. Repeated rows are rows of their own. An empty table gives an
 empty result; extra columns are ignored.
@@ -14,6 +14,7 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 from string import ascii_lowercase, ascii_uppercase
 
@@ -42,16 +43,23 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(form, " +", " "))
 
 
+#: Known digests that are sent to all tasks at most; a larger table is joined by a shuffle.
+SENT = 100_000
+
+
 def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null where the form is empty."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form.cast("binary"), 256))
+    """SHA-256 of the canonical form; the form stands in the expression once, so it is made once per unit."""
+    return F.sha2(canonical(text).cast("binary"), 256)
+
+
+#: Digest of an empty form, which matches nothing.
+EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KNOWN) -> DataFrame:
     """(licence, digest): one row for every known text of each licence."""
     rows = [(name, text) for name, texts in known.items() for text in texts]
-    return spark.createDataFrame(rows, "licence string, text string").select("licence", digest(F.col("text")).alias("digest")).filter("digest is not null").distinct()
+    return spark.createDataFrame(rows, "licence string, text string").select("licence", digest(F.col("text")).alias("digest")).distinct()
 
 
 def scanned(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -60,14 +68,16 @@ def scanned(docs: DataFrame, known: DataFrame) -> DataFrame:
     `docs` is a table that is read alike each time: its rows are numbered. Where several licences have one digest, the
     first by name counts for the whole text; line_licences has all of them, in order.
     """
+    known = known.filter(F.col("digest") != EMPTY).select("licence", "digest").distinct()
+    side = F.broadcast if known.count() <= SENT else lambda df: df
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
     first = known.groupBy("digest").agg(F.min("licence").alias("licence"))
-    whole = rows.select("_row", "doc_id", digest(F.col("text")).alias("digest")).join(first, "digest", "left")
-    lines = rows.select("_row", F.explode(F.split("text", "\n")).alias("line")).select("_row", digest(F.col("line")).alias("digest")).filter("digest is not null")
-    found = lines.join(known, "digest").groupBy("_row", "licence").agg(F.count("*").alias("n"))
+    whole = rows.select("_row", "doc_id", digest(F.col("text")).alias("digest")).join(side(first), "digest", "left")
+    lines = rows.select("_row", F.explode(F.transform(F.split("text", "\n"), digest)).alias("digest"))
+    found = lines.join(side(known), "digest").groupBy("_row", "licence").agg(F.count("*").alias("n"))
     per = found.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_list("licence")), ",").alias("line_licences"), F.sum("n").alias("n_licence_lines"))
     return whole.join(per, "_row", "left").select(
-        "doc_id", "digest", "licence", F.coalesce("line_licences", F.lit("")).alias("line_licences"),
+        "doc_id", F.nullif("digest", F.lit(EMPTY)).alias("digest"), "licence", F.coalesce("line_licences", F.lit("")).alias("line_licences"),
         F.coalesce("n_licence_lines", F.lit(0)).cast("long").alias("n_licence_lines"),
     )
 
