@@ -4,10 +4,11 @@ Every text is cut into blocks of a fixed number of bytes. All blocks are sorted
 same integer name; then adjacent names are paired and the pairs are named the same way, until each text has
 one name. No hash stands for a text: two rows get one name only if all their bytes are equal.
 
-A sort deals equal blocks over several tasks when there are many of them (the row number is part of the sort
-key), so a passage that a third of all texts share does not meet in one task. Names are (first sorted part
-that holds the block, rank inside that part); a part that begins with the last block of earlier parts takes
-over their name.
+The sort is by a 64-bit hash of the block, then by the block itself, then by row number. It deals equal blocks
+over several tasks when there are many of them, so a passage that a third of all texts share does not meet in one
+task. Names are (first sorted part that holds the block, rank inside that part); a part that begins with the last
+block of earlier parts takes over their name. Blocks of one hash are told apart by their bytes; only if two different
+blocks had one hash and together spanned parts could one of them get two names, which would miss a duplicate.
 
 Nulls count as empty texts; an empty text is one empty block. Repeated rows, also of one doc_id, are rows of
 their own. An empty table gives an empty result. Extra columns are ignored.
@@ -107,7 +108,9 @@ def named(df: DataFrame, keys: list[str], out: str, parts: int) -> DataFrame:
         + ["part int, rank long, edge long"]
         + [f"edge_{k.name} {k.dataType.simpleString()}" for k in kinds]
     )
-    ordered = df.repartitionByRange(parts, *keys, "row").sortWithinPartitions(*keys, "row")
+    # ranges are drawn over hashes of the keys, so their sample is small however long the keys are
+    place = F.xxhash64(*keys)
+    ordered = df.withColumn("place", place).repartitionByRange(parts, "place", "row").sortWithinPartitions("place", *keys, "row").drop("place")
     ranked = written(ordered.mapInArrow(rank, schema), "ranks")
     # where a part begins with the block that ended the part before, the name comes from there; a few rows per part
     shown = ranked.filter("edge is not null").select("part", "rank", F.struct(*[f"edge_{k}" for k in keys]).alias("key"))
