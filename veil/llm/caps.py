@@ -153,6 +153,24 @@ def _compare(left: np.ndarray, right: np.ndarray, same: bool, cosine: float) ->
     return (i[i < j], j[i < j]) if same else (i, j)
 
 
+def _share_smaller(lists: list[list[int]], name: int, width: int = 2048) -> np.ndarray:
+    """Rows x rows: whether two rows have a filter below `name` in common; by products of membership, some columns at a time."""
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    filters = np.concatenate([np.asarray(x, np.int64) for x in lists])
+    small = filters < name
+    names, at, counts = np.unique(filters[small], return_inverse=True, return_counts=True)
+    row, often = row[small], counts > 1
+    place = np.cumsum(often) - 1
+    row, at = row[often[at]], place[at[often[at]]]
+    out = np.zeros((len(lists), len(lists)), bool)
+    for first in range(0, int(often.sum()), width):
+        own = (at >= first) & (at < first + width)
+        has = np.zeros((len(lists), width), np.float32)
+        has[row[own], at[own] - first] = 1
+        out |= has @ has.T > 0
+    return out
+
+
 def linked(groups: DataFrame, width: int, cosine: float) -> DataFrame:
     """(rep, n, other): for each distinct vector, links that one comparison counts for it, and a spanning link or null.
 
@@ -202,15 +220,9 @@ def linked(groups: DataFrame, width: int, cosine: float) -> DataFrame:
             q = q + cut
         if len(p):
             # counted here only if no smaller filter holds both
-            wide = max(len(r[8]) for r in rows)
-            own = np.full((len(rows), wide), -1, np.int64)
-            for k, r in enumerate(rows):
-                own[k, : len(r[8])] = r[8]
-            smaller = np.zeros(len(p), bool)
-            for c in range(wide):
-                f = own[p, c]
-                smaller |= (f >= 0) & (f < name) & (own[q] == f[:, None]).any(1)
-            p, q = p[~smaller], q[~smaller]
+            least = _share_smaller([r[8] for r in rows], name)
+            keep = ~least[p, q]
+            p, q = p[keep], q[keep]
         if not len(p):
             return (np.zeros(0, np.int64),) * 3
         n = np.bincount(p, copies[q], len(rows)) + np.bincount(q, copies[p], len(rows))
