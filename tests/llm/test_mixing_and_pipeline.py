@@ -60,6 +60,16 @@ def test_mix_of_the_table(spark):
     assert again == {i: r["taken"] for i, r in by.items()}
 
 
+def test_mix_does_not_depend_on_the_split(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+
+    def taken(df):
+        slim = mixing.sizes(df).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "size")
+        return {r["doc_id"]: r["copies"] for r in mixing.copies(slim).collect()}
+
+    assert taken(docs) == taken(docs.repartition(7, "text"))
+
+
 def test_mix_of_uneven_sources(spark):
     rows = [(i, "big", "w " * (1 + i % 9)) for i in range(600)] + [(1000 + i, f"s{i % 7}", "w " * (i % 5)) for i in range(60)]
     rows += [(2000, None, "one two"), (2001, "", "x"), (2002, "zero", None), (2003, "zero", ""), (2004, "long", "w " * 20_000), (2005, "long", "w")]

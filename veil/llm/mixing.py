@@ -27,11 +27,11 @@ from veil.llm.common import written
 WEIGHTS, LIMIT = (5.0, 2.0, 1.0), 3.0
 #: Newton steps, and the share of a target that may be left open.
 STEPS, OPEN = 40, 1e-4
-#: Offsets that one pass tells apart, and passes; together finer than the hashes of a billion documents.
-CELLS, PASSES = 1024, 3
+#: Offsets that one pass tells apart, and passes; together about as fine as the hashes.
+CELLS, PASSES = 1024, 5
 #: Documents per source that fill what the offset leaves open.
 FITS = 4
-HASH_BITS = 52
+HASH_BITS, ID_BITS = 52, 40
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -150,8 +150,9 @@ def copies(sized: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float =
     raw = F.when(F.col("lam").isNull(), F.lit(0.0)).when(F.col("lam") == float("inf"), F.lit(limit)).otherwise(
         F.least(F.lit(limit), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(60.0))))
     )
-    # the hash orders documents of one fraction; repetitions of one doc_id get values of their own
-    bits = F.shiftrightunsigned(F.xxhash64("doc_id", "_row"), 64 - HASH_BITS)
+    # the hash of the doc_id orders documents, however the table is split; its last bits set repeated rows apart
+    low = HASH_BITS - ID_BITS
+    bits = F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - ID_BITS), low) + F.shiftrightunsigned(F.xxhash64("_row"), 64 - low)
     rated = sized.join(both.withColumnRenamed("source", "src"), sized["source"].eqNullSafe(F.col("src"))).select(
         "_row", "doc_id", "source", "size", "source_size", "target", raw.alias("rate"),
         ((bits.cast("double") + 0.5) / float(1 << HASH_BITS)).alias("u"),
@@ -209,7 +210,7 @@ def offsets(rated: DataFrame, limit: float) -> DataFrame:
     crossings = live.select("source", F.explode(steps).alias("x")).select("source", "x.at", "x.w").filter("w > 0")
     for _ in range(PASSES):
         own = state.select(F.col("source").alias("src"), "low", "width")
-        cell = F.floor((F.col("at") - F.col("low")) / (F.col("width") / CELLS)).cast("int")
+        cell = F.floor((F.col("at") - F.col("low")) / (F.col("width") / CELLS))
         cells = (
             crossings.join(own, crossings["source"].eqNullSafe(F.col("src")))
             .withColumn("cell", cell).filter((F.col("cell") >= 0) & (F.col("cell") < CELLS))
