@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm.common import column, small_batches, texts_of
+from veil.llm.common import column, small_batches, texts_of, written
 
 #: Most labelled rows that the weights are fitted on; the sample is the same in every run.
 SAMPLE = 20_000
+#: Most features of all rows that the driver takes, 4 bytes each; the sample ends where they are reached.
+FEATURES = 40_000_000
 #: Hash buckets; the first is the intercept.
 BUCKETS = 1 << 21
 #: Documents with this score or more count as toxic.
@@ -99,14 +101,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [features(t).astype("<i4").tobytes() for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "_y"), pa.array(found, pa.binary())], ["doc_id", "_y", "at"])
+            found = [features(t).astype("<i4") for t in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [*(column(batch, c) for c in ("_o", "doc_id", "_y")), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
+                ["_o", "doc_id", "_y", "n", "at"],
+            )
 
     # the join moves the labels, one small bounded table, and no texts
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_y", "text")
-    got = small_batches(labelled).mapInArrow(run, "doc_id long, _y int, at binary").groupBy("doc_id", "_y").agg(F.min("at").alias("at"))
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    return learn([np.frombuffer(x, "<i4") for x in got["at"].to_pylist()], np.array(got["_y"].to_pylist(), np.float64))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("_o"), "doc_id", "_y", "text")
+    rows = written(small_batches(labelled).mapInArrow(run, "_o long, doc_id long, _y int, n long, at binary"), "toxicity-sample")
+    # one small row per sampled document; texts so long that their features pass the bound shorten the sample
+    sizes = rows.groupBy("_o", "doc_id").agg(F.max("n").alias("n")).toArrow().to_pylist()
+    taken, last = 0, None
+    for r in sorted(sizes, key=lambda r: (r["_o"], r["doc_id"])):
+        taken += r["n"]
+        if taken > FEATURES and last is not None:
+            break
+        last = r["_o"]
+    if last is None:
+        return learn([], np.zeros(0))
+    got = rows.filter(F.col("_o") <= last).select("_o", "doc_id", "_y", "at").toArrow()
+    # of rows that repeat a doc_id, the one with the least features in order counts
+    best: dict[tuple[int, int], tuple[bytes, int]] = {}
+    for o, doc, y, at in zip(*(got[c].to_pylist() for c in ("_o", "doc_id", "_y", "at"))):
+        if (o, doc) not in best or at < best[o, doc][0]:
+            best[o, doc] = (at, y)
+    order = sorted(best)
+    return learn([np.frombuffer(best[k][0], "<i4") for k in order], np.array([best[k][1] for k in order], np.float64))
 
 
 def scored(docs: DataFrame, weights: Weights, text: str = "text", out: str = "score") -> DataFrame:
