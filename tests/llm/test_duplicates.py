@@ -8,10 +8,11 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.harness import compare, connect
 from tests.llm.helpers import SF, Sets, no_documents, odd_documents
-from veil.llm import block_names, caps, simhash
-from veil.llm.common import components, forest
+from veil.llm import block_names, caps, near_copies, simhash
+from veil.llm.common import components, forest, written
 from veil.llm.queries import ORACLES, QUERIES
 
 
@@ -139,6 +140,51 @@ def test_near_odd_rows(spark):
     assert simhash.near_duplicates(no_documents(spark)).count() == 0
 
 
+def jaccard_keepers(rows):
+    """Rows (index) that stay by brute force."""
+    sets = []
+    for _, t in rows:
+        w = re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "").strip(" \t\n\r\v\f"))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w != [""] else set())
+    joined = Sets(len(rows))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or (a & sets[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j])):
+                joined.join(i, j)
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        best.setdefault(joined.find(i), []).append((d is None, d or 0, i))
+    return sorted(min(v)[2] for v in best.values())
+
+
+@pytest.mark.parametrize("sample", [20, near_copies.SAMPLE])
+def test_near_copies_against_brute_force(spark, sample, monkeypatch):
+    monkeypatch.setattr(near_copies.frequent_shingles, "__defaults__", (sample,))
+    rng = random.Random(sample)
+    passage = [f"p{k}" for k in range(12)]
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 4, 5, 6, 9, 30, 80, 200]))] for _ in range(120)]
+    base = [f"b{k}" for k in range(100)]
+    texts += [base[: rng.randint(70, 100)] + [f"x{rng.randrange(9)}"] * rng.randint(0, 4) for _ in range(80)]
+    for t in texts[:100] * 2:
+        t = list(t)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(50)}"
+        texts.append(t + passage * rng.randint(0, 1))
+    rows = [(rng.choice([None, *range(900)]), rng.choice([" ", "\n", "  "]).join(t)) for t in texts] + [(5, None), (None, " "), (3, ""), (901, rng.choice(texts)[0].upper())]
+    docs = written(spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, at int").coalesce(1), "near")
+    exact = jaccard_keepers(rows)
+    assert sorted(r["at"] for r in near_copies.representatives(docs).collect()) == exact
+    assert len(exact) < len(rows) - 80
+
+
+def test_near_stage_against_jaccard(spark):
+    docs = block_names.deduplicated(spark.read.parquet(f"{SF}/documents.parquet"))
+    docs = written(docs, "distinct")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.dissimilar_documents(spark, docs, SF).collect())
+    assert kept == [rows[i][0] for i in jaccard_keepers(rows)] and len(kept) < len(rows)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit("x"))
 
