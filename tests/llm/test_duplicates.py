@@ -140,6 +140,13 @@ def test_near_odd_rows(spark):
     assert simhash.near_duplicates(no_documents(spark)).count() == 0
 
 
+def test_each_component_keeps_one_row(spark):
+    rows = [(None, "alone without an id"), (None, "two of these rows"), (None, "two of these rows"), (7, "first text of seven"), (7, "quite another text with the same id")]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), "ids")
+    for kept in (simhash.representatives(docs), near_copies.representatives(docs)):
+        assert sorted(r["text"] for r in kept.collect()) == sorted({t for _, t in rows})
+
+
 def jaccard_keepers(rows):
     """Rows (index) that stay by brute force."""
     sets = []

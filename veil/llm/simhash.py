@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.llm.common import column, components, forest, popcount, small_batches, texts_of, written
@@ -173,12 +173,17 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return dealt.groupBy("shard").applyInArrow(compare, "a long, b long")
 
 
+def _placed(fps: DataFrame, first, radius: int) -> DataFrame:
+    """(fp, first, root) per fingerprint of `fps`: `first` is the least of that column, roots name components."""
+    firsts = written(fps.groupBy("fp").agg(F.min(first).alias("first")), "firsts")
+    roots = components(near_links(fps, radius), "a", "b")
+    return firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, fp, component_id (smallest doc_id that links reach)."""
     fps = written(with_fingerprints(docs.select("doc_id", "text"), shingle=shingle), "fps")
-    firsts = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    roots = components(near_links(fps, radius), "a", "b")
-    placed = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(fps, F.col("doc_id"), radius)
     named = written(placed.groupBy("root").agg(F.min("first").alias("component_id")).join(placed.select("fp", "root"), "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -189,9 +194,12 @@ def hex_of(fp: str = "fp"):
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of `docs` that stay: the one with the component's smallest doc_id (one row, if that repeats)."""
-    keep = near_duplicates(docs, radius, shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(keep, "doc_id", "left_semi")
-    # rows that repeat a doc_id: a few at most, and the window keeps one below the shuffle
-    order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    return stay.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    """The rows of `docs` that stay: one per component, with the smallest doc_id (null last, then by row).
+
+    `docs` is a table that is read alike each time: its rows are numbered.
+    """
+    key = F.monotonically_increasing_id()
+    fps = written(with_fingerprints(docs.select(key.alias("row"), "doc_id", "text"), shingle=shingle), "fps")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = _placed(fps, best, radius).groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.row").alias("__row"))
+    return docs.withColumn("__row", key).join(written(kept, "kept"), "__row", "left_semi").drop("__row")
