@@ -92,6 +92,37 @@ def test_rates_are_exponential_in_size(spark):
         assert abs(total - r["target"]) <= 2e-4 * r["target"]
 
 
+def plain_tilt(counts, target, limit=3.0):
+    """lam of rate = min(limit, exp(lam * size)), by bisection."""
+    total = lambda x: sum(c * n * min(limit, math.exp(min(60.0, x * n))) for n, c in counts.items())
+    low, high = -1.0, 1.0
+    while total(low) > target:
+        low *= 2
+    while total(high) < target:
+        high *= 2
+    for _ in range(200):
+        low, high = ((low + high) / 2, high) if total((low + high) / 2) < target else (low, (low + high) / 2)
+    return low
+
+
+def test_rates_where_one_document_is_very_long(spark):
+    sources = {"a": [(10 + i % 21, 1) for i in range(400)], "b": [(1 + i % 40, 1) for i in range(200)] + [(20_000, 1)], "c": [(20, 3000), (20_000, 1), (1_000_000, 1)], "d": [(1, 5000), (3_000_000, 1)]}
+    sized = spark.createDataFrame([(s, n) for s, rows in sources.items() for n, c in rows for _ in range(c)], "source string, size long")
+    wanted = {"a": 1.5, "b": 0.002, "c": 0.01, "d": 1e-4}
+    size = {s: sum(n * c for n, c in rows) for s, rows in sources.items()}
+    rows = [(s, float(size[s]), max(n for n, _ in sources[s]), size[s] * w) for s, w in wanted.items()]
+    targets = written(spark.createDataFrame(rows, "source string, source_size double, largest long, target double"), "targets")
+    for r in mixing.rates(sized, targets).collect():
+        counts = collections.Counter()
+        for n, c in sources[r["source"]]:
+            counts[n] += c
+        tilt, target = r["lam"] / r["scale"], size[r["source"]] * wanted[r["source"]]
+        rate = lambda n, x: min(3.0, math.exp(min(60.0, x * n)))
+        assert abs(sum(c * n * rate(n, tilt) for n, c in counts.items()) - target) <= 2e-4 * target
+        exact = plain_tilt(counts, target)
+        assert all(math.isclose(rate(n, tilt), rate(n, exact), rel_tol=2e-3, abs_tol=1e-6) for n in counts)
+
+
 def test_mix_odd_rows(spark):
     docs = odd_documents(spark)
     found = mixing.mixed(docs)

@@ -3,8 +3,9 @@
 Every source has a target number of words. The document rates nearest to 1 in relative entropy that meet it are
 exponential in a document's size: rate = min(3, exp(lambda * size / scale)), with one lambda per source. The
 lambdas are the solution of a convex dual, found by Newton steps for all sources at once: a step is one
-aggregate of slopes and curvatures over all documents, kept within a bracket that shrinks whenever the plain step
-leaves it. The rates are then rounded to whole copies: a document takes one copy more where its hash is below the
+aggregate of slopes and curvatures over all documents, kept within a bracket that is open at both ends at first, doubles
+while an end is open and is halved whenever the plain step leaves it. Steps go on until every source is solved. The
+rates are then rounded to whole copies: a document takes one copy more where its hash is below the
 fraction, and one offset per source, found from histograms, moves those hash thresholds so that the sum
 meets the target up to one document. What is left open is filled by the few documents that fit it best.
 
@@ -17,6 +18,7 @@ through `mixed`, except for those named like its results.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from veil.llm.common import written
 
 WEIGHTS, LIMIT = (5.0, 2.0, 1.0), 3.0
-#: Newton steps, and the share of a target that may be left open.
-STEPS, OPEN = 40, 1e-4
+#: The share of a target that the rates may leave open, and how often a step halves the bracket whatever Newton says.
+OPEN, HALVING = 1e-4, 8
 #: Offsets that one pass tells apart, and passes; together about as fine as the hashes.
 CELLS, PASSES = 1024, 5
 #: Documents per source that fill what the offset leaves open.
@@ -85,10 +87,10 @@ def rates(docs: DataFrame, targets: DataFrame, limit: float = LIMIT) -> DataFram
     counts = written(docs.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("c")), "size-counts")
     state = targets.filter("target > 0").select(
         "source", "target", F.col("source_size").cast("double").alias("s"), F.col("largest").cast("double").alias("scale"),
-        F.lit(0.0).alias("lam"), F.lit(-64.0).alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("done"),
+        F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("done"),
     )
     state = written(state.withColumn("done", F.col("target") >= limit * F.col("s") * (1 - 1e-12)), "dual")
-    for _ in range(STEPS):
+    for turn in itertools.count(1):
         open_rows = state.filter("not done")
         z = F.col("size") / F.col("scale")
         rate = F.exp(F.least(F.col("lam") * z, F.lit(60.0)))
@@ -102,16 +104,27 @@ def rates(docs: DataFrame, targets: DataFrame, limit: float = LIMIT) -> DataFram
             )
         )
         gap = F.col("f") - F.col("target")
-        low = F.when(gap < 0, F.greatest("low", "lam")).otherwise(F.col("low"))
+        low = F.when(gap < 0, F.greatest(F.coalesce("low", "lam"), "lam")).otherwise(F.col("low"))
         high = F.when(gap >= 0, F.least(F.coalesce("high", "lam"), "lam")).otherwise(F.col("high"))
         step = F.col("lam") - gap / F.when(F.col("d") > 0, F.col("d"))
-        # a step beyond the bracket is halved; without an upper end yet, the search doubles
-        middle = F.when(F.col("high2").isNull(), F.greatest(F.col("low2") * 2, F.lit(1.0))).otherwise((F.col("low2") + F.col("high2")) / 2)
-        inside = F.col("step").isNotNull() & (F.col("step") > F.col("low2")) & (F.col("high2").isNull() | (F.col("step") < F.col("high2"))) & (F.col("step") < F.abs("lam") * 8 + 16)
+        # a step beyond the bracket is halved; where an end is open, the search doubles and steps are bounded
+        both = F.col("low2").isNotNull() & F.col("high2").isNotNull()
+        middle = (
+            F.when(F.col("high2").isNull(), F.greatest(F.col("low2") * 2, F.lit(1.0)))
+            .when(F.col("low2").isNull(), F.least(F.col("high2") * 2, F.lit(-1.0)))
+            .otherwise((F.col("low2") + F.col("high2")) / 2)
+        )
+        inside = (
+            F.col("step").isNotNull() & (F.col("low2").isNull() | (F.col("step") > F.col("low2"))) & (F.col("high2").isNull() | (F.col("step") < F.col("high2")))
+            & (both | (F.abs(F.col("step")) < F.abs("lam") * 8 + 16)) & ~(both & F.lit(turn % HALVING == 0))
+        )
+        # no number lies between the ends
+        closed = F.coalesce(both & ((middle <= F.col("low2")) | (middle >= F.col("high2"))), F.lit(False))
         moved = (
             state.join(slopes.withColumnRenamed("source", "src"), state["source"].eqNullSafe(F.col("src")), "left")
-            .withColumn("met", F.coalesce(F.abs(gap) <= OPEN * F.col("target"), F.lit(False)))
+            .withColumn("met", F.coalesce(F.abs(gap) <= OPEN * F.col("target"), F.lit(True)))
             .withColumn("low2", low).withColumn("high2", high).withColumn("step", step)
+            .withColumn("met", F.col("met") | closed)
             .select(
                 "source", "target", "s", "scale",
                 F.when(F.col("done") | F.col("met"), F.col("lam")).when(inside, F.col("step")).otherwise(middle).alias("lam"),
