@@ -187,3 +187,30 @@ def test_licence_spellings(spark):
     assert by[3, False]["licence"] is None and by[4, True]["licence"] is None
     assert by[6, False]["line_licences"] == "MIT" and by[6, False]["n_licence_lines"] == 1 and by[6, True]["n_licence_lines"] == 0
     assert licences.scanned(docs.filter("false"), licences.known_digests(spark)).count() == 0
+
+
+def test_full_licence_texts(spark):
+    texts = {}
+    for r in licences.full_texts(spark).collect():
+        texts.setdefault(r["licence"], []).append(r["text"])
+    usual = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-SA-4.0"}
+    assert usual <= set(texts)
+    rows = [(i, n, f"Copyright (c) 2024 Some One\n\n{t.upper()}") for i, (n, t) in enumerate((n, t) for n in sorted(texts) for t in texts[n])]
+    bsd = """BSD 3-Clause License\n\nCopyright (c) 2020, A Holder\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:\n\n* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.\n\n* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation\n  and/or other materials provided with the distribution.\n
+* Neither the name of the copyright holder nor the names of its\n  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.\n
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL\nDAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER\nCAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE\nOF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    rows.append((len(rows), "BSD-3-Clause", bsd))
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r["licence"] for r in licences.scanned(docs, licences.known_digests(spark)).collect()}
+    assert found == {i: n for i, n, _ in rows}
+    one = spark.createDataFrame([("Own-1.0", "You may do as I say.")], "licence string, text string")
+    own = licences.scanned(spark.createDataFrame([(1, "you may do as I say")], "doc_id long, text string"), licences.known_digests(spark, texts=one))
+    assert own.first()["licence"] == "Own-1.0"

@@ -16,8 +16,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Mapping
+from importlib.resources import files
 from string import ascii_lowercase, ascii_uppercase
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +59,25 @@ def digest(text: Column) -> Column:
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KNOWN) -> DataFrame:
-    """(licence, digest): one row for every known text of each licence."""
-    rows = [(name, text) for name, texts in known.items() for text in texts]
-    return spark.createDataFrame(rows, "licence string, text string").select("licence", digest(F.col("text")).alias("digest")).distinct()
+#: (licence, text): full texts of the usual licences, a table of this package; small, so the driver reads it.
+FULL_TEXTS = "licence_texts.parquet"
+
+
+def full_texts(spark: SparkSession) -> DataFrame:
+    """(licence, text): the package's own table of full licence texts."""
+    table = pq.read_table(pa.BufferReader((files("veil.llm") / FULL_TEXTS).read_bytes()))
+    return spark.createDataFrame([(r["licence"], r["text"]) for r in table.to_pylist()], "licence string, text string")
+
+
+def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]] = KNOWN, texts: DataFrame | None = None) -> DataFrame:
+    """(licence, digest): one row for every known text of each licence.
+
+    These are the texts and notices in `known` and the table `texts` (licence, text), by default that of the package.
+    """
+    rows = [(name, text) for name, own in known.items() for text in own]
+    notices = spark.createDataFrame(rows, "licence string, text string")
+    more = full_texts(spark) if texts is None else texts
+    return notices.unionByName(more.select("licence", "text")).select("licence", digest(F.col("text")).alias("digest")).distinct()
 
 
 def scanned(docs: DataFrame, known: DataFrame) -> DataFrame:
