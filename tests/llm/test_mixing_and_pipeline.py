@@ -131,6 +131,14 @@ def test_mix_odd_rows(spark):
     assert mixing.mixed(no_documents(spark)).count() == 0
 
 
+def test_mix_stage_keeps_values_of_clashing_columns(spark):
+    docs = odd_documents(spark).withColumn("target", F.lit("own")).withColumn("copies", F.lit(77)).withColumn("source_size", F.lit(None).cast("date"))
+    docs = written(docs, "clashing")
+    found = corpus_pipeline.mixed_documents(spark, docs, SMALL)
+    assert found.schema == docs.schema and not found.isEmpty()
+    assert {(r["size"], r["target"], r["copies"], r["source_size"]) for r in found.collect()} == {("x", "own", 77, None)}
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs = [spark.read.parquet(f"{SF}/documents.parquet")]

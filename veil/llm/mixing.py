@@ -140,15 +140,17 @@ def rates(docs: DataFrame, targets: DataFrame, limit: float = LIMIT) -> DataFram
     return state.select("source", F.when(at_limit, F.lit(float("inf"))).otherwise(F.col("lam")).alias("lam"), "scale")
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float = LIMIT, prefix: str = "") -> DataFrame:
     """`docs` (doc_id, source, text and others) with size, source_size, target and copies; 0 copies where the mix has none.
 
-    `docs` is a table that is read alike each time: its rows are numbered.
+    The results' names begin with `prefix`; columns of `docs` with such a name are left out. `docs` is a table that is
+    read alike each time: its rows are numbered.
     """
     key = F.monotonically_increasing_id()
     slim = sizes(docs.select("doc_id", "source", "text")).select(key.alias("_row"), "doc_id", "source", "size")
-    found = copies(slim, weights, limit).select(F.col("_row").alias("__row"), "size", "source_size", "target", "copies")
-    return docs.drop("size", "source_size", "target", "copies").withColumn("__row", key).join(found, "__row").drop("__row")
+    results = ["size", "source_size", "target", "copies"]
+    found = copies(slim, weights, limit).select(F.col("_row").alias("__row"), *[F.col(c).alias(prefix + c) for c in results])
+    return docs.drop(*[prefix + c for c in results]).withColumn("__row", key).join(found, "__row").drop("__row")
 
 
 def copies(sized: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
@@ -247,6 +249,6 @@ def offsets(rated: DataFrame, limit: float) -> DataFrame:
     return state.select("source", F.col("low").alias("offset"), (F.col("target") - F.col("have")).alias("rest"))
 
 
-def repeated(mix: DataFrame, columns: Sequence[str]) -> DataFrame:
+def repeated(mix: DataFrame, columns: Sequence[str], copies: str = "copies") -> DataFrame:
     """The mix itself: each row as often as it has copies."""
-    return mix.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    return mix.filter(F.col(copies) > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*columns)
