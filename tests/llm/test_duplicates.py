@@ -46,6 +46,17 @@ def test_exact_with_hot_blocks_over_many_parts(spark, block, part_rows):
     assert sum(r["kept"] for r in found) == len(groups)
 
 
+def test_exact_where_blocks_share_a_hash(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(block_names.F, "xxhash64", lambda *keys: F.pmod(real(*keys), F.lit(2)))
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(["aaaa", "bbbb", "cccc", "dddd"]) for _ in range(rng.randint(1, 3)))) for i in range(300)]
+    found = block_names.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 30).collect()
+    groups = expected_exact(rows)
+    texts = dict(rows)
+    assert all(r["keep_id"] == min(groups[texts[r["doc_id"]]]) and r["group_size"] == len(groups[texts[r["doc_id"]]]) for r in found)
+
+
 def test_exact_odd_rows(spark):
     docs = odd_documents(spark)
     kept = block_names.deduplicated(docs, block=64)

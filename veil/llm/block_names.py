@@ -6,9 +6,9 @@ one name. No hash stands for a text: two rows get one name only if all their byt
 
 The sort is by a 64-bit hash of the block, then by the block itself, then by row number. It deals equal blocks
 over several tasks when there are many of them, so a passage that a third of all texts share does not meet in one
-task. Names are (first sorted part that holds the block, rank inside that part); a part that begins with the last
-block of earlier parts takes over their name. Blocks of one hash are told apart by their bytes; only if two different
-blocks had one hash and together spanned parts could one of them get two names, which would miss a duplicate.
+task. Names are (first sorted part that holds the block, rank inside that part); where the blocks of one hash span
+parts, every distinct one of them takes its name from the first part that holds it. Blocks are told apart by their
+bytes, also those of one hash.
 
 Nulls count as empty texts; an empty text is one empty block. Repeated rows, also of one doc_id, are rows of
 their own. An empty table gives an empty result. Extra columns are ignored.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.llm.common import batches, column, small_batches, texts_of, written
@@ -76,7 +76,7 @@ def named(df: DataFrame, keys: list[str], out: str, parts: int) -> DataFrame:
     def rank(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, before = TaskContext.get().partitionId(), -1, None
+        part, at, before, opening = TaskContext.get().partitionId(), -1, None, None
         for batch in it:
             if batch.num_rows == 0:
                 continue
@@ -92,10 +92,13 @@ def named(df: DataFrame, keys: list[str], out: str, parts: int) -> DataFrame:
             for s in steps:
                 at += s
                 ranks.append(at)
-            # the first row of a part shows its keys, and so does the last row of each batch: the last of these counts
-            n = len(ranks)
-            edge = [ranks[i] if i == n - 1 or (i == 0 and at - sum(steps) == -1) else None for i in range(n)]
+            # a part may share its first and its last hash with others: the first row of each key of these shows it, and
+            # as the last hash isn't known before the end, so does the last hash of each batch
+            places = column(batch, "place").to_pylist()
+            opening = places[0] if opening is None else opening
+            edge = [p if s and p in (opening, places[-1]) else None for s, p in zip(steps, places)]
             shown = pa.array([e is not None for e in edge])
+            n = len(ranks)
             yield pa.RecordBatch.from_arrays(
                 [column(batch, f.name) for f in rest]
                 + [pa.array([part] * n, pa.int32()), pa.array(ranks, pa.int64()), pa.array(edge, pa.int64())]
@@ -110,24 +113,15 @@ def named(df: DataFrame, keys: list[str], out: str, parts: int) -> DataFrame:
     )
     # ranges are drawn over hashes of the keys, so their sample is small however long the keys are
     place = F.xxhash64(*keys)
-    ordered = df.withColumn("place", place).repartitionByRange(parts, "place", "row").sortWithinPartitions("place", *keys, "row").drop("place")
+    ordered = df.withColumn("place", place).repartitionByRange(parts, "place", "row").sortWithinPartitions("place", *keys, "row")
     ranked = written(ordered.mapInArrow(rank, schema), "ranks")
-    # where a part begins with the block that ended the part before, the name comes from there; a few rows per part
-    shown = ranked.filter("edge is not null").select("part", "rank", F.struct(*[f"edge_{k}" for k in keys]).alias("key"))
-    ends = shown.groupBy("part").agg(
-        F.min_by("key", "rank").alias("first"), F.max_by("key", "rank").alias("last"), F.max("rank").alias("top")
-    )
-    order = Window.orderBy("part")
-    same = F.coalesce(F.col("first") == F.lag("last").over(order), F.lit(False))
-    # parts that hold one block only hand on the name they were given: a run of such parts has one beginning
-    run = ends.withColumn("same", same).withColumn("begins", ~F.col("same") | (F.lag("top").over(order) > 0))
-    origin = F.when(
-        F.col("begins"), F.when(F.col("same"), F.struct(F.lag("part").over(order).alias("part"), F.lag("top").over(order).alias("rank"))).otherwise(F.struct("part", F.lit(0).cast("long").alias("rank")))
-    )
-    heads = run.select("part", F.last(origin, ignorenulls=True).over(order).alias("head")).filter(
-        (F.col("head.part") != F.col("part"))
-    )
-    heads = heads.select(F.col("part").alias("part"), F.lit(0).cast("long").alias("rank"), F.col("head.part").alias("p"), F.col("head.rank").alias("r"))
+    # a key that several parts hold has its name from the first of them; a few rows per part
+    edges = [f"edge_{k}" for k in keys]
+    shown = ranked.filter("edge is not null").select("part", "rank", "edge", *edges)
+    spans = shown.groupBy("edge").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("edge")
+    shown = written(shown.join(spans, "edge"), "edges")
+    heads = shown.join(shown.groupBy("edge", *edges).agg(F.min(F.struct("part", "rank")).alias("head")), ["edge", *edges])
+    heads = heads.filter("head.part <> part").select("part", "rank", F.col("head.part").alias("p"), F.col("head.rank").alias("r"))
     name = lambda p, r: F.shiftleft(p.cast("long"), 40) + r
     return ranked.join(heads, ["part", "rank"], "left").select(
         *[f.name for f in rest],
