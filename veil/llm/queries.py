@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import block_names, bpe, caps, chat, licences, mixing, pii, quality, simhash, toxicity
+from veil.llm import block_names, bpe, caps, centroids, chat, importance, licences, mixing, pii, quality, simhash, token_counts, toxicity
 from veil.llm.common import crc_bucket, table
 
 
@@ -83,6 +83,20 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(table(spark, sf_dir, "documents"), licences.known_digests(spark))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.counted(docs, token_counts.public_model(), limit=4096)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_format": op2_chat_format,
@@ -94,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_licence_scan": op10_licence_scan,
+    "op11_token_counts": op11_token_counts,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -127,4 +144,5 @@ ORACLES: dict[str, str] = {
         FROM t WINDOW same AS (PARTITION BY text)
     """,
     "op10_licence_scan": licences.oracle_sql(),
+    "op12_centroid_clustering": centroids.oracle_sql(),
 }
