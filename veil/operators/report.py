@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veil.functions.numbers import exact_mean
 from veil.operators.ordering import lookup
 
 # Display codes of the attributes.
@@ -185,7 +186,7 @@ def select_attributes(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
 def privacy_utility(df: DataFrame, utility: str = "utility_comb") -> DataFrame:
     """Mean utility, accuracy and certainty per setting in one pass over the rows."""
     per_setting = df.groupBy("full_anon_setting").agg(
-        F.avg(utility).alias("utility"),
+        exact_mean(utility).alias("utility"),
         F.sum(F.col("first_correct").cast("long")).alias("correct_sum"),
         F.count(F.lit(1)).alias("rows"),
         F.avg("certainty").alias("certainty"),
@@ -196,7 +197,7 @@ def privacy_utility(df: DataFrame, utility: str = "utility_comb") -> DataFrame:
     return per_setting.select(
         "full_anon_setting",
         family(F.col("full_anon_setting")).alias("model_family"),
-        F.round("utility", 6).alias("utility"),
+        "utility",
         F.round(F.col("correct_sum") / num_pred, 6).alias("correctness"),
         F.round("certainty", 6).alias("certainty"),
         "rows",
@@ -356,7 +357,7 @@ def attribute_counts(df: DataFrame) -> DataFrame:
 
 def setting_attribute_table(df: DataFrame) -> DataFrame:
     return df.groupBy("full_anon_setting", "pii_type").agg(
-        F.round(F.avg("utility_comb"), 6).alias("utility"),
+        exact_mean("utility_comb").alias("utility"),
         F.round(F.avg(F.col("first_correct").cast("double")), 6).alias("correctness"),
         F.count(F.lit(1)).alias("rows"),
     )
@@ -364,8 +365,8 @@ def setting_attribute_table(df: DataFrame) -> DataFrame:
 
 def utility_grid(df: DataFrame) -> DataFrame:
     """Settings by attributes, mean combined utility; the pivot values are fixed so no extra pass is needed."""
-    wide = df.groupBy("full_anon_setting").pivot("pii_type", TABLE_ATTRIBUTES).agg(F.avg("utility_comb"))
-    return wide.select("full_anon_setting", *[F.round(c, 6).alias(c) for c in TABLE_ATTRIBUTES])
+    wide = df.groupBy("full_anon_setting").pivot("pii_type", TABLE_ATTRIBUTES).agg(exact_mean("utility_comb"))
+    return wide.select("full_anon_setting", *TABLE_ATTRIBUTES)
 
 
 def markdown_table(df: DataFrame) -> DataFrame:
@@ -390,7 +391,7 @@ def frontier_steps(points: DataFrame) -> DataFrame:
 def level_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean utilities and accuracy over any keys."""
     return df.groupBy(*keys).agg(
-        *[F.round(F.avg(c), 6).alias(c) for c in ("utility_bleu", "utility_rouge", "utility_comb", "utility_model")],
+        *[exact_mean(c).alias(c) for c in ("utility_bleu", "utility_rouge", "utility_comb", "utility_model")],
         F.sum(F.col("first_correct").cast("long")).alias("correct"),
         F.count(F.lit(1)).alias("rows"),
         F.round(F.avg(F.col("first_correct").cast("double")), 6).alias("accuracy"),
@@ -412,8 +413,8 @@ def round_summary(raw: DataFrame, scored: DataFrame) -> DataFrame:
         .groupBy(F.col("anon_level").alias("round"))
         .agg(
             F.round(F.avg(F.col("first_correct").cast("double")), 6).alias("accuracy"),
-            F.round(F.avg("utility_bleu"), 6).alias("bleu"),
-            F.round(F.avg("utility_rouge"), 6).alias("rouge"),
+            exact_mean("utility_bleu").alias("bleu"),
+            exact_mean("utility_rouge").alias("rouge"),
             F.count(F.lit(1)).alias("rows"),
         )
     )

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veil.functions.numbers import exact_mean
 from veil.operators.ordering import with_position, with_previous
 
 RUN = ["profile_id", "config"]
@@ -91,8 +92,8 @@ def previous_text(df: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 
 def method_round_means(df: DataFrame) -> DataFrame:
     return df.groupBy("config", "round").agg(
-        F.round(F.avg("privacy_score"), 6).alias("privacy"),
-        F.round(F.avg("utility_score"), 6).alias("utility"),
+        exact_mean("privacy_score").alias("privacy"),
+        exact_mean("utility_score").alias("utility"),
         F.round(F.avg(F.col("attack_success").cast("double")), 6).alias("attack_success_rate"),
     )
 
@@ -105,7 +106,7 @@ def score_statistics(df: DataFrame, keys: Sequence[str], privacy: str, utility:
             f(c).alias(f"{n}_{s}")
             for n, c in (("privacy", privacy), ("utility", utility))
             for s, f in (
-                ("mean", lambda x: F.round(F.avg(x), 6)),
+                ("mean", lambda x: exact_mean(x)),
                 ("std", lambda x: F.round(F.stddev_pop(x), 6)),
                 ("min", F.min),
                 ("max", F.max),

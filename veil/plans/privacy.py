@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veil.functions import matching as M
+from veil.functions.numbers import exact_mean
 from veil.functions.similarity import word_set
 from veil.operators import evaluation as E
 from veil.operators import privacy as P
@@ -89,30 +90,30 @@ def _(t):
 
 
 @query("binary_privacy_scores", "X11", """
-SELECT username, version, round(avg(CASE WHEN verbatim = 1 THEN 1 - certainty / 5 ELSE 1 END), 6) AS privacy_score
+SELECT username, version, exact_mean(CASE WHEN verbatim = 1 THEN 1 - certainty / 5 ELSE 1 END) AS privacy_score
 FROM attack_matches GROUP BY username, version""")
 def _(t):
     return P.binary_privacy(results(t), KEYS).withColumn("privacy_score", F.round("privacy_score", 6))
 
 
 @query("privacy_by_attribute", "G15 X09", """
-SELECT pii_type, match_type, count(*) AS attacks, round(avg(leak), 6) AS mean_leak, round(stddev_pop(leak), 6) AS std_leak
+SELECT pii_type, match_type, count(*) AS attacks, exact_mean(leak) AS mean_leak, round(stddev_pop(leak), 6) AS std_leak
 FROM attack_leaks GROUP BY ALL""")
 def _(t):
     return results(t).groupBy("pii_type", "match_type").agg(
-        F.count(F.lit(1)).alias("attacks"), F.round(F.avg("leak"), 6).alias("mean_leak"),
+        F.count(F.lit(1)).alias("attacks"), exact_mean("leak").alias("mean_leak"),
         F.round(F.stddev_pop("leak"), 6).alias("std_leak"),
     )
 
 
 @query("batch_privacy_statistics", "G15", """
-SELECT count(*) AS samples, round(avg(privacy_score), 6) AS privacy_mean, round(stddev_pop(privacy_score), 6) AS privacy_std,
+SELECT count(*) AS samples, exact_mean(privacy_score) AS privacy_mean, round(stddev_pop(privacy_score), 6) AS privacy_std,
   round(min(privacy_score), 6) AS privacy_min, round(max(privacy_score), 6) AS privacy_max,
   round(avg(CASE WHEN privacy_score >= 0.8 THEN 1 ELSE 0 END), 6) AS success_rate FROM sample_privacy""")
 def _(t):
     return P.sample_scores(results(t), KEYS).agg(
         F.count(F.lit(1)).alias("samples"),
-        F.round(F.avg("privacy_score"), 6).alias("privacy_mean"),
+        exact_mean("privacy_score").alias("privacy_mean"),
         F.round(F.stddev_pop("privacy_score"), 6).alias("privacy_std"),
         F.round(F.min("privacy_score"), 6).alias("privacy_min"),
         F.round(F.max("privacy_score"), 6).alias("privacy_max"),

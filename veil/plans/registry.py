@@ -46,8 +46,14 @@ def _needed(sql: str, seen: list[str]) -> list[str]:
     return seen
 
 
+def _means(sql: str) -> str:
+    """`exact_mean(x)` written out: decimals are summed and divided once, as `functions.numbers` does."""
+    return re.sub(r"exact_mean\(([^()]*)\)", r"round(CAST(sum(CAST(\1 AS DECIMAL(38, 12))) AS DOUBLE) / count(\1), 6)", sql)
+
+
 def with_derived(sql: str) -> str:
     """Prefix a text with the derived tables it names as common table expressions."""
+    sql = _means(sql)
     names = _needed(sql, [])
     if not names:
         return sql.strip()

@@ -47,7 +47,7 @@ def scored(t):
 
 
 @query("privacy_utility_by_setting", "G01 G02 P11 P14 P15 P16 P18", """
-SELECT setting AS full_anon_setting, any_value(fam) AS model_family, round(avg(comb), 6) AS utility,
+SELECT setting AS full_anon_setting, any_value(fam) AS model_family, exact_mean(comb) AS utility,
   round(sum(hit) / any_value(n), 6) AS correctness, round(avg(certainty), 6) AS certainty, count(*) AS rows
 FROM eval_norm, num_pred GROUP BY setting""")
 def _(t):
@@ -55,7 +55,7 @@ def _(t):
 
 
 @query("privacy_bleu_by_setting", "G01", """
-SELECT setting AS full_anon_setting, any_value(fam) AS model_family, round(avg(bleu), 6) AS utility,
+SELECT setting AS full_anon_setting, any_value(fam) AS model_family, exact_mean(bleu) AS utility,
   round(sum(hit) / any_value(n), 6) AS correctness, round(avg(certainty), 6) AS certainty, count(*) AS rows
 FROM eval_norm, num_pred GROUP BY setting""")
 def _(t):
@@ -214,7 +214,7 @@ def _(t):
 
 
 @query("setting_attribute_table", "G08", """
-SELECT setting AS full_anon_setting, pii_type, round(avg(comb), 6) AS utility, round(avg(hit), 6) AS correctness,
+SELECT setting AS full_anon_setting, pii_type, exact_mean(comb) AS utility, round(avg(hit), 6) AS correctness,
   count(*) AS rows FROM eval_norm GROUP BY ALL""")
 def _(t):
     return R.setting_attribute_table(scored(t))
@@ -229,7 +229,7 @@ def _(t):
 
 
 _GRID = ", ".join(
-    f"round(avg(CASE WHEN pii_type = '{a}' THEN comb END), 6) AS \"{a}\"" for a in R.TABLE_ATTRIBUTES
+    f"exact_mean(CASE WHEN pii_type = '{a}' THEN comb END) AS \"{a}\"" for a in R.TABLE_ATTRIBUTES
 )
 
 
@@ -267,7 +267,7 @@ def _(t):
 
 
 @query("privacy_utility_moves", "W12", """
-WITH p AS (SELECT setting, any_value(fam) AS fam, round(avg(comb), 6) AS u, round(sum(hit) / any_value(n), 6) AS c,
+WITH p AS (SELECT setting, any_value(fam) AS fam, exact_mean(comb) AS u, round(sum(hit) / any_value(n), 6) AS c,
    CAST(split_part(setting, ' ', 2) AS INT) AS step FROM eval_norm, num_pred WHERE setting <> 'Base' GROUP BY setting)
 SELECT fam AS model_family, step, round(lead(c) OVER w - c, 6) AS dx, round(lead(u) OVER w - u, 6) AS dy FROM p
 WINDOW w AS (PARTITION BY fam ORDER BY step) QUALIFY lead(c) OVER w IS NOT NULL""")
@@ -275,8 +275,8 @@ def _(t):
     return R.frontier_steps(R.privacy_utility(scored(t)))
 
 
-_MEANS = """round(avg(bleu), 6) AS utility_bleu, round(avg(rouge), 6) AS utility_rouge, round(avg(comb), 6) AS utility_comb,
- round(avg(model), 6) AS utility_model, CAST(sum(hit) AS BIGINT) AS correct, count(*) AS rows, round(avg(hit), 6) AS accuracy"""
+_MEANS = """exact_mean(bleu) AS utility_bleu, exact_mean(rouge) AS utility_rouge, exact_mean(comb) AS utility_comb,
+ exact_mean(model) AS utility_model, CAST(sum(hit) AS BIGINT) AS correct, count(*) AS rows, round(avg(hit), 6) AS accuracy"""
 
 
 @query("level_means", "G11 Y10", f"SELECT anon_level, {_MEANS} FROM eval_norm GROUP BY anon_level")
@@ -293,7 +293,7 @@ _ROUNDS = """
 raw AS (SELECT 0 AS round, round(avg(CASE WHEN contains(lower(split_part(guess, ';', 1)), lower(estimate)) THEN 1.0 ELSE 0 END), 6) AS accuracy,
   CAST(1 AS DOUBLE) AS bleu, CAST(1 AS DOUBLE) AS rouge, count(*) AS rows
   FROM predictions JOIN truth USING (username, pii_type) WHERE version = 0),
-summary AS (SELECT * FROM raw UNION ALL SELECT anon_level, round(avg(hit), 6), round(avg(bleu), 6), round(avg(rouge), 6), count(*)
+summary AS (SELECT * FROM raw UNION ALL SELECT anon_level, round(avg(hit), 6), exact_mean(bleu), exact_mean(rouge), count(*)
   FROM eval_norm WHERE anon_level > 0 GROUP BY anon_level)"""
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veil.functions.numbers import exact_mean
 from veil.operators import rounds as R
 from veil.operators.ordering import with_position
 from veil.plans.derived import DERIVED
@@ -68,14 +69,14 @@ def _(t):
 
 
 @query("method_round_means", "G10 K09", """
-SELECT config, round, round(avg(privacy_score), 6) AS privacy, round(avg(utility_score), 6) AS utility,
+SELECT config, round, exact_mean(privacy_score) AS privacy, exact_mean(utility_score) AS utility,
   round(avg(CAST(attack_success AS INT)), 6) AS attack_success_rate FROM rounds GROUP BY ALL""")
 def _(t):
     return R.method_round_means(t.rounds)
 
 
-_STATS = """count(*) AS samples, round(avg(final_privacy), 6) AS privacy_mean, round(stddev_pop(final_privacy), 6) AS privacy_std,
-  min(final_privacy) AS privacy_min, max(final_privacy) AS privacy_max, round(avg(final_utility), 6) AS utility_mean,
+_STATS = """count(*) AS samples, exact_mean(final_privacy) AS privacy_mean, round(stddev_pop(final_privacy), 6) AS privacy_std,
+  min(final_privacy) AS privacy_min, max(final_privacy) AS privacy_max, exact_mean(final_utility) AS utility_mean,
   round(stddev_pop(final_utility), 6) AS utility_std, min(final_utility) AS utility_min, max(final_utility) AS utility_max,
   round(avg(CASE WHEN final_privacy >= 0.8 THEN 1 ELSE 0 END), 6) AS pass_rate,
   round(avg(CASE WHEN final_privacy >= 0.8 AND final_utility >= 0.6 THEN 1 ELSE 0 END), 6) AS optimal_share"""
@@ -99,14 +100,14 @@ def _(t):
 
 
 @query("run_statistics", "G16", """
-SELECT count(*) AS processed, round(avg(privacy_score), 6) AS privacy, round(avg(utility_score), 6) AS utility,
-  count(CASE WHEN round % 2 = 1 THEN 1 END) AS judged, round(avg(CASE WHEN round % 2 = 1 THEN elapsed END), 6) AS quality FROM rounds""")
+SELECT count(*) AS processed, exact_mean(privacy_score) AS privacy, exact_mean(utility_score) AS utility,
+  count(CASE WHEN round % 2 = 1 THEN 1 END) AS judged, exact_mean(CASE WHEN round % 2 = 1 THEN elapsed END) AS quality FROM rounds""")
 def _(t):
     judged = F.when(F.col("round") % 2 == 1, F.col("elapsed"))
     return t.rounds.agg(
-        F.count(F.lit(1)).alias("processed"), F.round(F.avg("privacy_score"), 6).alias("privacy"),
-        F.round(F.avg("utility_score"), 6).alias("utility"), F.count(judged).alias("judged"),
-        F.round(F.avg(judged), 6).alias("quality"),
+        F.count(F.lit(1)).alias("processed"), exact_mean("privacy_score").alias("privacy"),
+        exact_mean("utility_score").alias("utility"), F.count(judged).alias("judged"),
+        exact_mean(judged).alias("quality"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veil.functions.numbers import exact_mean
 from veil.operators import evaluation as E
 from veil.plans import evaluation as PE
 from veil.plans.derived import DERIVED
@@ -439,21 +440,57 @@ def _(t):
     )
 
 
+def spread_log_lines(t):
+    """Log lines as they are found in files: JSON over several lines, broken texts, notes with braces of their own."""
+    e = t.log_events
+    guess = F.concat(F.lit('"guess": ["'), F.col("user_id").cast("string"), F.lit('"]'))
+    certainty = F.concat(F.lit('"certainty": '), (F.col("u") % 5 + 1).cast("string"))
+    whole = F.concat(F.lit('  攻击者推理: {"age": {'), guess, F.lit(", "), certainty, F.lit("}} done {"))
+    cut = F.array(F.lit('  攻击者推理: {"age": {'), F.concat(F.lit("    "), guess, F.lit(",")), F.concat(F.lit("    "), certainty))
+    closed = F.concat(cut, F.array(F.lit("  }"), F.lit("} and so on }")))
+    body = (
+        F.when(F.col("event_type") == "error", cut)
+        .when(F.col("event_type") == "view", F.concat(F.array(whole), cut))
+        .when(F.col("u") % 2 == 0, closed)
+        .otherwise(F.array(whole))
+    )
+    score = F.concat(F.lit("  隐私: "), (F.col("p") / 10).cast("string"), F.lit(", 效用: "), (F.col("u") / 10).cast("string"))
+    header = F.concat(F.lit("评估用户: user_"), F.col("user_id").cast("string"), F.lit(" (第1轮)"))
+    parts = F.concat(F.array(header, F.lit("note } {")), body, F.array(score))
+    return e.select("event_id", F.expr("event_id div 4000").alias("part"), F.posexplode(parts).alias("k", "value"))
+
+
+@query("log_file_records", "S11", """
+SELECT event_id // 4000 AS part, row_number() OVER (PARTITION BY event_id // 4000 ORDER BY event_id) AS record,
+  concat('user_', CAST(user_id AS VARCHAR)) AS username, p / 10 AS privacy, u / 10 AS utility,
+  CASE WHEN event_type <> 'error' THEN CAST(user_id AS VARCHAR) END AS guess, CASE WHEN event_type <> 'error' THEN CAST(u % 5 + 1 AS INT) END AS certainty
+FROM log_events""")
+def _(t):
+    path = scratch_path(t.spark, "logs")
+    lines = spread_log_lines(t).repartition("part").sortWithinPartitions("part", "event_id", "k")
+    lines.select("part", "value").write.partitionBy("part").text(path)
+    age = F.col("attack")["age"]
+    return S.log_records(S.read_log(t.spark, path)).select(
+        F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part"), "record", "username", "privacy", "utility",
+        age["guess"][0].alias("guess"), age["certainty"].alias("certainty"),
+    )
+
+
 @query("recent_log_statistics", "G40", """
 WITH r AS (SELECT p / 10 AS p, u / 10 AS u FROM log_events WHERE u > 0 ORDER BY event_id DESC LIMIT 10)
-SELECT count(*) AS lines, round(avg(p), 6) AS avg_privacy, round(avg(u), 6) AS avg_utility, round(avg(CASE WHEN p >= 0.8 THEN 1 ELSE 0 END) * 100, 6) AS privacy_success_rate,
+SELECT count(*) AS lines, exact_mean(p) AS avg_privacy, exact_mean(u) AS avg_utility, round(avg(CASE WHEN p >= 0.8 THEN 1 ELSE 0 END) * 100, 6) AS privacy_success_rate,
   round(avg(CASE WHEN u >= 0.6 THEN 1 ELSE 0 END) * 100, 6) AS utility_success_rate FROM r""")
 def _(t):
     return S.recent_statistics(S.score_lines(log_lines(t)), "seq")
 
 
 @query("log_file_scores", "S10", """
-SELECT count(*) AS lines, round(avg(p / 10), 6) AS privacy, count(*) FILTER (WHERE event_type <> 'error') AS successes FROM log_events WHERE u > 0""")
+SELECT count(*) AS lines, exact_mean(p / 10) AS privacy, count(*) FILTER (WHERE event_type <> 'error') AS successes FROM log_events WHERE u > 0""")
 def _(t):
     path = scratch_path(t.spark, "log")
     log_lines(t).select("value").write.text(path)
     return S.score_lines(S.read_log(t.spark, path)).agg(
-        F.count(F.lit(1)).alias("lines"), F.round(F.avg("privacy"), 6).alias("privacy"), F.count_if("success").alias("successes")
+        F.count(F.lit(1)).alias("lines"), exact_mean("privacy").alias("privacy"), F.count_if("success").alias("successes")
     )
 
 
@@ -479,13 +516,13 @@ def _(t):
 
 
 @query("statistics_document", "K03 G15", """
-SELECT count(*) AS lines, round(avg(p / 10), 6) AS privacy_mean, round(stddev_pop(p / 10), 6) AS privacy_std FROM log_events WHERE u > 0""")
+SELECT count(*) AS lines, exact_mean(p / 10) AS privacy_mean, round(stddev_pop(p / 10), 6) AS privacy_std FROM log_events WHERE u > 0""")
 def _(t):
     path = scratch_path(t.spark, "statistics")
     scores = S.score_lines(log_lines(t))
     S.write_statistics(
         scores.agg(
-            F.count(F.lit(1)).alias("lines"), F.round(F.avg("privacy"), 6).alias("privacy_mean"),
+            F.count(F.lit(1)).alias("lines"), exact_mean("privacy").alias("privacy_mean"),
             F.round(F.stddev_pop("privacy"), 6).alias("privacy_std"),
         ),
         path,

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from veil.functions.numbers import exact_mean
 from veil.operators.ordering import latest
 from veil.plans import rounds  # noqa: F401  shared derived tables
 from veil.plans.derived import DERIVED
@@ -47,7 +48,7 @@ def _(t):
 
 
 @query("progress_stream", "T01 G39", """
-SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS start, config, count(*) AS rounds, round(avg(privacy_score), 6) AS privacy, round(avg(utility_score), 6) AS utility FROM rounds GROUP BY ALL""")
+SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS start, config, count(*) AS rounds, exact_mean(privacy_score) AS privacy, exact_mean(utility_score) AS utility FROM rounds GROUP BY ALL""")
 def _(t):
     emitted = drain(C.progress_windows(derived_stream(t, "rounds"), "1 day"), "update", "progress")
     last = latest(emitted, ["start", "config"], [F.col("batch")])
@@ -57,13 +58,13 @@ def _(t):
 
 
 @query("log_monitor_stream", "T01 S10", """
-SELECT count(*) AS lines, round(avg(p / 10), 6) AS privacy, count(*) FILTER (WHERE event_type <> 'error') AS successes FROM log_events WHERE u > 0""")
+SELECT count(*) AS lines, exact_mean(p / 10) AS privacy, count(*) FILTER (WHERE event_type <> 'error') AS successes FROM log_events WHERE u > 0""")
 def _(t):
     path = scratch_path(t.spark, "live-log")
     log_lines(t).select("value").write.text(path)
     emitted = drain(C.log_stream(t.spark, path), "append", "log")
     return emitted.agg(
-        F.count(F.lit(1)).alias("lines"), F.round(F.avg("privacy"), 6).alias("privacy"), F.count_if("success").alias("successes")
+        F.count(F.lit(1)).alias("lines"), exact_mean("privacy").alias("privacy"), F.count_if("success").alias("successes")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veil.operators.ordering import earliest
@@ -135,42 +135,136 @@ def score_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def log_records(lines: DataFrame) -> DataFrame:
-    """A header line opens a record, later lines of the file fill it.
+def _braces(text: Column) -> Column:
+    """(total, low): braces opened less braces closed in a text, and the least of that after any brace; null low without braces."""
+    steps = F.transform(
+        F.split(F.regexp_replace(text, "[^{}]", ""), ""),
+        lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0),
+    )
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("low"))
+    count = F.aggregate(
+        steps, start,
+        lambda a, x: F.struct((a["total"] + x).alias("total"), F.least(a["low"], a["total"] + x).alias("low")),
+    )
+    return F.when(text.rlike("[{}]"), count).otherwise(start)
+
+
+def _until_closed(text: Column, depth: Column) -> Column:
+    """The text up to the brace at which `depth` open braces and its own are closed."""
+    pieces = F.split(text, r"(?<=[{}])")
+    start = F.struct(depth.cast("long").alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done"))
+
+    def step(a: Column, piece: Column) -> Column:
+        now = a["depth"] + F.when(piece.endswith("{"), 1).when(piece.endswith("}"), -1).otherwise(0)
+        done = a["done"] | (piece.endswith("}") & (now <= 0))
+        return F.struct(
+            now.alias("depth"),
+            F.when(a["done"], a["length"]).otherwise(a["length"] + F.char_length(piece)).alias("length"),
+            done.alias("done"),
+        )
+
+    return F.substring(text, F.lit(1), F.aggregate(pieces, start, step)["length"])
 
-    Record numbers are prefix sums taken block by block, so a long file is not pulled into one task.
-    Lines before the first header belong to no record.
+
+def _placed_lines(lines: DataFrame) -> DataFrame:
+    """Each line with its record, its segment, and how far the JSON text that the segment opens is open before and after it.
+
+    A header line opens a record; a header, or an attack line with a brace, opens a segment. Counts run inside a split; one
+    row per split carries records, segments and open braces on to the next split of its file, so no task sees more of
+    a file than one split, and a JSON text may span splits.
     """
-    head = F.col("value").contains(USER)
-    marked = lines.withColumn("h", head.cast("int"))
-    totals = marked.groupBy("file", "block").agg(F.sum("h").alias("t"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("file", "block", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("o"))
-    inside = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.withColumn("i", F.sum("h").over(inside)).join(offsets, ["file", "block"])
-    scored = F.col("value").contains(PRIVACY) & F.col("value").contains(UTILITY)
+    value = F.col("value")
+    head = value.contains(USER)
+    score = ~head & value.contains(PRIVACY) & value.contains(UTILITY)
     attack = F.lit(False)
     for label in ATTACK_LABELS:
-        attack = attack | F.col("value").contains(label)
-    brace = F.regexp_extract("value", r"(\{.*)$", 1)
-    order = F.struct("block", "seq")
-    return (
-        placed.withColumn("record", F.col("i") + F.col("o"))
-        .filter("record > 0")
-        .groupBy("file", "record")
-        .agg(
-            F.max(F.when(head, F.regexp_extract("value", USER + r"\s*(\w+)", 1))).alias("username"),
-            F.max_by(F.regexp_extract("value", PRIVACY + NUMBER, 1).try_cast("double"), F.when(~head & scored, order)).alias("privacy"),
-            F.max_by(F.regexp_extract("value", UTILITY + NUMBER, 1).try_cast("double"), F.when(~head & scored, order)).alias("utility"),
-            F.max_by(brace, F.when(~head & ~scored & attack & (brace != ""), order)).alias("attack_json"),
-        )
-        .select(
-            "file", "record",
-            F.when(F.col("username") == "", "unknown").otherwise(F.col("username")).alias("username"),
-            F.coalesce("privacy", F.lit(0.0)).alias("privacy"),
-            F.coalesce("utility", F.lit(0.8)).alias("utility"),
-            F.from_json("attack_json", "MAP<STRING, STRUCT<guess: ARRAY<STRING>, certainty: INT>>").alias("attack"),
-        )
+        attack = attack | value.contains(label)
+    opens = ~head & ~score & attack & value.contains("{")
+    text = F.when(opens, F.expr("substring(value, instr(value, '{'))")).when(~head & ~score, value)
+    marked = (
+        lines.withColumn("head", head).withColumn("score", score).withColumn("opens", opens).withColumn("text", text)
+        .withColumn("marker", head | opens).withColumn("braces", F.coalesce(_braces(F.col("text")), _braces(F.lit(""))))
+    )
+    split = Window.partitionBy("file", "block").orderBy("seq")
+    through, before = split.rowsBetween(Window.unboundedPreceding, 0), split.rowsBetween(Window.unboundedPreceding, -1)
+    marked = (
+        marked.withColumn("h", F.sum(F.col("head").cast("int")).over(through))
+        .withColumn("m", F.sum(F.col("marker").cast("int")).over(through))
+        .withColumn("open", F.coalesce(F.sum("braces.total").over(before), F.lit(0)))
+        .withColumn("low", F.col("open") + F.col("braces.low"))
+        .withColumn("start", F.when(F.col("marker"), F.struct("opens", "open")))
+    )
+    inside = Window.partitionBy("file", "block", "m").orderBy("seq")
+    marked = marked.withColumn("lowest", F.min("low").over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
+        "start", F.first("start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    splits = (
+        marked.groupBy("file", "block", "m")
+        .agg(F.sum(F.col("head").cast("int")).alias("h"), F.sum("braces.total").alias("total"), F.min("low").alias("low"), F.max("start").alias("start"))
+        .groupBy("file", "block")
+        .agg(F.sum("h").alias("h"), F.max("m").alias("m"), F.sum("total").alias("total"), F.max_by("low", "m").alias("low"), F.max_by("start", "m").alias("start"))
+    )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("h", "m", "total")]
+    splits = splits.select("*", *sums).withColumn("end", F.col("m0") + F.col("m"))
+    # lines of a split before its first marker belong to the segment that the splits before it left open
+    same = Window.partitionBy("file", "end").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    shifted = F.struct(F.col("start.opens").alias("opens"), (F.col("start.open") + F.col("total0")).alias("open"))
+    splits = splits.withColumn("reached", F.min(F.col("low") + F.col("total0")).over(same)).select(
+        "file", "block", "h0", "m0", "total0",
+        F.lag("reached").over(Window.partitionBy("file").orderBy("block")).alias("low0"),
+        F.last(F.when(F.col("m") > 0, shifted), ignorenulls=True).over(earlier).alias("start0"),
+    )
+    placed = marked.join(splits, ["file", "block"])
+    first = F.col("m") == 0
+    base = F.when(first, F.col("start0.open")).otherwise(F.col("start.open") + F.col("total0"))
+    lowest = F.least(F.when(first, F.col("low0")), F.col("lowest") + F.col("total0"))
+    return placed.select(
+        "file", "value", "head", "score", "text", F.struct("block", "seq").alias("at"),
+        (F.col("h") + F.col("h0")).alias("record"), (F.col("m") + F.col("m0")).alias("segment"),
+        F.coalesce(F.when(first, F.col("start0.opens")).otherwise(F.col("start.opens")), F.lit(False)).alias("json"),
+        (F.col("open") + F.col("total0") - base).alias("depth"),
+        F.coalesce(lowest <= base, F.lit(False)).alias("closed"),
+        F.coalesce(F.col("low") + F.col("total0") <= base, F.lit(False)).alias("closes"),
+    )
+
+
+def log_records(lines: DataFrame) -> DataFrame:
+    """A header line opens a record, later lines of the file fill it; the last of each kind counts.
+
+    `lines` has (file, block, seq, value), as `read_log` gives them: files may be cut into splits anywhere. A JSON text begins at
+    the first brace of an attack line and ends where its braces balance, on that line or a later one; score lines in between
+    aren't part of it. One that another attack line or a header interrupts, or that isn't JSON, is ignored.
+    Lines before the first header belong to no record. A null line is an empty one.
+    """
+    placed = _placed_lines(lines.withColumn("value", F.coalesce("value", F.lit("")))).filter("record > 0")
+    texts = placed.filter("json AND NOT closed AND text IS NOT NULL").select(
+        "file", "record", "segment", "at", "closes",
+        F.when(F.col("closes"), _until_closed(F.col("text"), F.col("depth"))).otherwise(F.col("text")).alias("text"),
+    )
+    # only texts that close are put together
+    whole = texts.join(texts.filter("closes").select("file", "segment"), ["file", "segment"], "left_semi")
+    json = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n")
+    attacks = (
+        whole.groupBy("file", "record", "segment").agg(json.alias("json"))
+        .withColumn("attack", F.from_json("json", "MAP<STRING, STRUCT<guess: ARRAY<STRING>, certainty: INT>>"))
+        .filter("attack IS NOT NULL")
+        .groupBy("file", "record").agg(F.max_by("attack", "segment").alias("attack"))
+    )
+    records = placed.groupBy("file", "record").agg(
+        F.max(F.when(F.col("head"), F.regexp_extract("value", USER + r"\s*(\w+)", 1))).alias("username"),
+        *[
+            F.max_by(number, F.when(F.col("score") & number.isNotNull(), F.col("at"))).alias(name)
+            for name, label in (("privacy", PRIVACY), ("utility", UTILITY))
+            for number in [F.regexp_extract("value", label + NUMBER, 1).try_cast("double")]
+        ],
+    )
+    return records.join(attacks, ["file", "record"], "left").select(
+        "file", "record",
+        F.when(F.col("username") == "", "unknown").otherwise(F.col("username")).alias("username"),
+        F.coalesce("privacy", F.lit(0.0)).alias("privacy"),
+        F.coalesce("utility", F.lit(0.8)).alias("utility"),
+        "attack",
     )
 
 
