@@ -15,19 +15,26 @@ def brevity_penalty(ref_len: Column, hyp_len: Column) -> Column:
     return F.when(hyp_len > ref_len, 1.0).otherwise(F.exp(F.lit(1.0) - ref_len / F.nullif(hyp_len, F.lit(0))))
 
 
+def set_bleu_of(common: Column, ref_len: Column, hyp_len: Column, hyp_words: Column) -> Column:
+    """Share of the distinct words that are common times brevity penalty; 0 when a side is empty."""
+    value = common / F.nullif(hyp_words, F.lit(0)) * brevity_penalty(ref_len, hyp_len)
+    return F.when((ref_len == 0) | (hyp_len == 0), 0.0).otherwise(value)
+
+
+def set_rouge_of(common: Column, ref_words: Column, hyp_words: Column) -> Column:
+    """F1 of the distinct words; the simplified ROUGE-L is the same number."""
+    return F.coalesce(F.lit(2.0) * common / F.nullif(F.when(common > 0, ref_words + hyp_words), F.lit(0)), F.lit(0.0))
+
+
 def set_bleu(original: Column, adapted: Column) -> Column:
     """Distinct-word precision times brevity penalty; 0 when a side is empty."""
     a, b = tokens(original), tokens(adapted)
-    common = F.size(F.array_intersect(a, b))
-    value = common / F.nullif(F.size(F.array_distinct(b)), F.lit(0)) * brevity_penalty(F.size(a), F.size(b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(value)
+    return set_bleu_of(F.size(F.array_intersect(a, b)), F.size(a), F.size(b), F.size(F.array_distinct(b)))
 
 
 def set_rouge(original: Column, adapted: Column) -> Column:
-    """F1 of the distinct words; the simplified ROUGE-L is the same number."""
     a, b = F.array_distinct(tokens(original)), F.array_distinct(tokens(adapted))
-    common = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.lit(2.0) * common / F.nullif(F.when(common > 0, F.size(a) + F.size(b)), F.lit(0)), F.lit(0.0))
+    return set_rouge_of(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
 
 
 def quality_utility(readability: Column, meaning: Column, hallucination: Column, bleu: Column) -> Column:

@@ -17,7 +17,7 @@ from veil.operators import prompts as P
 from veil.operators.answers import align_comments, parse_blocks
 from veil.operators.evaluation import without_done
 from veil.operators.privacy import attack_results, sample_scores
-from veil.operators.quality import rouge_1, rouge_l, sentence_bleu
+from veil.operators.quality import text_scores
 from veil.session import cut_lineage
 
 
@@ -65,20 +65,18 @@ def infer_versions_stage(
 
 
 def utility_stage(pairs: DataFrame, done: DataFrame, model: P.Model, key: str = "prompt_id") -> DataFrame:
-    """Judge scores beside sentence BLEU, ROUGE-1 and ROUGE-L of every pair (original, adapted) not judged yet.
+    """Judge scores beside sentence BLEU, ROUGE-1, ROUGE-L and ROUGE-Lsum of every pair (original, adapted) not judged yet.
 
     `key` is unique; for profiles it stands for (username, version) with one row for every version after the first.
     """
     todo = without_done(pairs, done, [key]).withColumn("prompt", P.judge_prompt(F.col("original"), F.col("adapted")))
     judged = model(todo).withColumn("s", judge_scores(F.col("answer")))
-    bleu = sentence_bleu(todo, key, "original", "adapted").select(key, "bleu")
-    first = rouge_1(todo, key, "original", "adapted").select(key, F.col("rouge1_f").alias("rouge1"))
-    longest = rouge_l(todo, key, "original", "adapted").select(key, F.col("rougeL_f").alias("rougeL"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    scores = text_scores(todo, key, "original", "adapted")
+    names = ["bleu", "rouge1", "rougeL", "rougeLsum"]
     return (
         judged.select(key, "s.readability", "s.meaning", F.col("s.hallucinations").alias("hallucination"))
-        .join(bleu, key, "left").join(first, key, "left").join(longest, key, "left")
-        .select(key, "readability", "meaning", "hallucination", zero("bleu"), zero("rouge1"), zero("rougeL"))
+        .join(scores, key, "left")
+        .select(key, "readability", "meaning", "hallucination", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
     )
 
 

@@ -1,78 +1,51 @@
-"""Corpus BLEU and ROUGE of text pairs as joins and aggregates over n-grams.
+"""BLEU and ROUGE of text pairs.
 
-The pairs are shuffled once, by pair id. Every later grouping has the pair id among its keys, so it
-reuses that partitioning; token hashes travel once, the n-grams never. A pair is one document, so no
-group outgrows one text.
+A pair is one row, so its n-grams are counted where the row is: no shuffle. A pair with a null text has no score and no row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.functions.quality import brevity_penalty
+from veil.functions.overlap import ngram_matches, spaced, summary_lcs, words
+from veil.functions.quality import brevity_penalty, set_bleu_of, set_rouge_of, tokens
 from veil.functions.similarity import lcs_length
 
 MAX_N = 4
 
 
-def _grams(hashes: Column, n: int) -> Column:
-    """64-bit hashes of the n-grams of an array of token hashes."""
-    last = F.size(hashes) - n
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
-
-
-def ngram_overlap(pairs: DataFrame, key: str, original: Column, adapted: Column, max_n: int = MAX_N) -> DataFrame:
-    """(key, n, matched, ref, hyp): clipped matches and n-gram totals per pair and order."""
-    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    placed = pairs.select(key, hashed(original).alias("_a"), hashed(adapted).alias("_b")).repartition(key)
-    sides = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), _grams(F.col(c), n).alias("grams"))
-                for n in range(1, max_n + 1)
-                for side, c in ((0, "_a"), (1, "_b"))
-            ]
-        )
-    )
-    grams = placed.select(key, sides.alias("s")).select(key, "s.n", "s.side", F.explode("s.grams").alias("gram"))
-    counts = grams.groupBy(key, "n", "gram").agg(
-        F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("h")
-    )
-    return counts.groupBy(key, "n").agg(
-        F.sum(F.least("r", "h")).alias("matched"), F.sum("r").alias("ref"), F.sum("h").alias("hyp")
-    )
+def ngram_overlap(pairs: DataFrame, key: str, original: Column, adapted: Column, split, max_n: int = MAX_N) -> DataFrame:
+    """(key, m1 .. m<max_n>, ref, hyp): clipped matches per order, and the tokens of both texts."""
+    counted = pairs.select(key, ngram_matches(original, adapted, split, max_n).alias("_c")).filter("_c IS NOT NULL")
+    names = [*(f"m{n}" for n in range(1, max_n + 1)), "ref", "hyp"]
+    return counted.select(key, *[F.col("_c")[i].cast("long").alias(name) for i, name in enumerate(names)])
 
 
-def sentence_bleu(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFrame:
-    """BLEU-4 per pair on single-space tokens.
+def bleu_of(matches: Sequence[Column], ref: Column, hyp: Column) -> Column:
+    """BLEU from the clipped matches of orders 1, 2 ... and both lengths.
 
     Orders without a match are smoothed by 1 / (2^k * 5 / ln(hypothesis length)), k counting such
     orders; nothing in common at order 1 gives 0, and so does a hypothesis of one token with a gap.
     """
-    a, b = F.split(original, " "), F.split(adapted, " ")
-    overlap = ngram_overlap(pairs, key, a, b)
-    wide = overlap.groupBy(key).agg(
-        *[F.max(F.when(F.col("n") == n, F.col("matched"))).alias(f"m{n}") for n in range(1, MAX_N + 1)],
-        F.max(F.when(F.col("n") == 1, F.col("ref"))).alias("ref_len"),
-        F.max(F.when(F.col("n") == 1, F.col("hyp"))).alias("hyp_len"),
-    )
-    hyp = F.col("hyp_len")
     log_sum, zeros = F.lit(0.0), F.lit(0)
-    for n in range(1, MAX_N + 1):
-        hit = F.coalesce(F.col(f"m{n}"), F.lit(0))
+    for n, hit in enumerate(matches, 1):
         total = F.greatest(hyp - n + 1, F.lit(1))
         zeros = zeros + F.when(hit == 0, 1).otherwise(0)
         smooth = F.ln(F.ln(hyp) / (F.pow(F.lit(2.0), zeros) * 5.0)) - F.ln(total)
         log_sum = log_sum + F.when(hit > 0, F.ln(hit / total)).otherwise(smooth)
-    gap = F.coalesce(F.col("m4"), F.lit(0)) == 0
-    value = brevity_penalty(F.col("ref_len"), hyp) * F.exp(log_sum / MAX_N)
+    value = brevity_penalty(ref, hyp) * F.exp(log_sum / len(matches))
+    return F.when((matches[0] == 0) | ((matches[-1] == 0) & (hyp <= 1)), 0.0).otherwise(value)
+
+
+def sentence_bleu(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFrame:
+    """BLEU-4 per pair on single-space tokens."""
+    wide = ngram_overlap(pairs, key, F.col(original), F.col(adapted), spaced)
+    matches = [F.col(f"m{n}") for n in range(1, MAX_N + 1)]
     return wide.select(
-        key,
-        F.when((F.coalesce(F.col("m1"), F.lit(0)) == 0) | (gap & (hyp <= 1)), 0.0).otherwise(value).alias("bleu"),
-        "ref_len",
-        "hyp_len",
+        key, bleu_of(matches, F.col("ref"), F.col("hyp")).alias("bleu"), F.col("ref").alias("ref_len"), F.col("hyp").alias("hyp_len")
     )
 
 
@@ -92,18 +65,55 @@ def rouge_tokens(text: Column) -> Column:
 
 
 def rouge_1(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFrame:
-    overlap = ngram_overlap(pairs, key, rouge_tokens(F.col(original)), rouge_tokens(F.col(adapted)), 1)
-    return overlap.select(key, *_rates(F.col("matched"), F.col("ref"), F.col("hyp"), "rouge1"))
+    """Common words; pairs of texts without words have no row."""
+    overlap = ngram_overlap(pairs, key, F.lower(original), F.lower(adapted), words, 1).filter("ref + hyp > 0")
+    return overlap.select(key, *_rates(F.col("m1"), F.col("ref"), F.col("hyp"), "rouge1"))
 
 
 def rouge_l(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFrame:
     """Longest common subsequence of the tokens; no shuffle at all."""
     a, b = rouge_tokens(F.col(original)), rouge_tokens(F.col(adapted))
-    return pairs.select(key, a.alias("_a"), b.alias("_b")).select(
+    return pairs.select(key, a.alias("_a"), b.alias("_b")).filter("_a IS NOT NULL AND _b IS NOT NULL").select(
         key, lcs_length("_a", "_b").alias("lcs"), F.size("_a").alias("n"), F.size("_b").alias("m")
     ).select(key, "lcs", *_rates(F.col("lcs"), F.col("n"), F.col("m"), "rougeL"))
 
 
+def rouge_lsum(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFrame:
+    """Summary-level LCS: lines are sentences, and each line of the original is matched with all lines of the adapted text."""
+    counted = pairs.select(key, summary_lcs(F.lower(original), F.lower(adapted)).alias("_c")).filter("_c IS NOT NULL")
+    hits, n, m = (F.col("_c")[i] for i in range(3))
+    return counted.select(key, hits.alias("hits"), *_rates(hits, n, m, "rougeLsum"))
+
+
+def text_scores(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFrame:
+    """BLEU-4 and the F measures of ROUGE-1, ROUGE-L and ROUGE-Lsum of each pair, in one map stage; null texts give nulls."""
+    a, b, none = F.lower(original), F.lower(adapted), F.array().cast("array<string>")
+    counted = pairs.select(
+        key, ngram_matches(F.col(original), F.col(adapted), spaced, MAX_N).alias("_bleu"), ngram_matches(a, b, words, 1).alias("_one"),
+        summary_lcs(a, b).alias("_sum"), lcs_length(F.coalesce(rouge_tokens(a), none), F.coalesce(rouge_tokens(b), none)).alias("_lcs"),
+    )
+    grams, one, union = F.col("_bleu"), F.col("_one"), F.col("_sum")
+    f = lambda hits, n, m, name: _rates(hits, n, m, name)[2].alias(name)
+    return counted.select(
+        key, bleu_of([grams[n] for n in range(MAX_N)], grams[MAX_N], grams[MAX_N + 1]).alias("bleu"),
+        f(one[0], one[1], one[2], "rouge1"), f(F.col("_lcs"), one[1], one[2], "rougeL"), f(union[0], union[1], union[2], "rougeLsum"),
+    )
+
+
+def set_scores(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFrame:
+    """Set BLEU and set ROUGE-1 of each pair; words are split once."""
+    split = pairs.select(key, tokens(F.col(original)).alias("_a"), tokens(F.col(adapted)).alias("_b"))
+    distinct = split.select(
+        key, F.size("_a").alias("_n"), F.size("_b").alias("_m"),
+        F.array_distinct("_a").alias("_a"), F.array_distinct("_b").alias("_b"),
+    )
+    counts = distinct.select(
+        key, "_n", "_m", F.size("_a").alias("_p"), F.size("_b").alias("_q"), F.size(F.array_intersect("_a", "_b")).alias("_c")
+    )
+    n, m, p, q, c = (F.col(x) for x in ("_n", "_m", "_p", "_q", "_c"))
+    return counts.select(key, set_bleu_of(c, n, m, q).alias("bleu"), set_rouge_of(c, p, q).alias("rouge1"))
+
+
 def text_statistics(df: DataFrame, text: str) -> DataFrame:
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     letters = F.aggregate(F.col("_w"), F.lit(0).cast("long"), lambda a, w: a + F.length(w))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import quality as Q
 from veil.functions import similarity as S
+from veil.functions.numbers import exact_mean
 from veil.operators import quality as O
 from veil.plans.derived import DERIVED
 from veil.plans.registry import query
@@ -65,6 +66,12 @@ def _(t):
     return out.select("doc_id", "lcs", *[F.round(c, 6).alias(c) for c in ("rougeL_p", "rougeL_r", "rougeL_f")])
 
 
+@query("rouge_lsum", "Y02", rows_only="union of common subsequences; checked against a table-based union on whole texts of a small fixture")
+def _(t):
+    out = O.rouge_lsum(t.text_pairs, "doc_id", "original", "adapted")
+    return out.select("doc_id", "hits", *[F.round(c, 6).alias(c) for c in ("rougeLsum_p", "rougeLsum_r", "rougeLsum_f")])
+
+
 DERIVED["set_tokens"] = r"""
 SELECT doc_id, list_filter(string_split_regex(lower(original), '\s+'), lambda x: x <> '') AS a,
   list_filter(string_split_regex(lower(adapted), '\s+'), lambda x: x <> '') AS b FROM text_pairs"""
@@ -76,10 +83,8 @@ WITH d AS (SELECT doc_id, len(a) AS na, len(b) AS nb, len(list_distinct(a)) AS d
 SELECT doc_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE c / db * CASE WHEN nb > na THEN 1 ELSE exp(1 - na / nb) END END, 6) AS bleu,
   round(coalesce(2 * c / nullif(da + db, 0), 0), 6) AS rouge1 FROM d""")
 def _(t):
-    a, b = F.col("original"), F.col("adapted")
-    return t.text_pairs.select(
-        "doc_id", F.round(Q.set_bleu(a, b), 6).alias("bleu"), F.round(Q.set_rouge(a, b), 6).alias("rouge1")
-    )
+    out = O.set_scores(t.text_pairs, "doc_id", "original", "adapted")
+    return out.select("doc_id", F.round("bleu", 6).alias("bleu"), F.round("rouge1", 6).alias("rouge1"))
 
 
 @query("utility_formulas", "Y05 Y06", """
@@ -142,11 +147,11 @@ def _(t):
 
 @query("quality_by_language", "Y10 Y03", """
 WITH d AS (SELECT doc_id, len(a) AS na, len(b) AS nb, len(list_distinct(b)) AS db, len(list_intersect(a, b)) AS c FROM set_tokens)
-SELECT lang, count(*) AS docs, round(avg(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE c / db * CASE WHEN nb > na THEN 1 ELSE exp(1 - na / nb) END END), 6) AS bleu
-FROM d JOIN text_pairs USING (doc_id) GROUP BY lang""")
+SELECT lang, count(*) AS docs, exact_mean(b) AS bleu
+FROM (SELECT lang, CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE c / db * CASE WHEN nb > na THEN 1 ELSE exp(1 - na / nb) END END AS b FROM d JOIN text_pairs USING (doc_id)) GROUP BY lang""")
 def _(t):
-    scored = t.text_pairs.select("lang", Q.set_bleu(F.col("original"), F.col("adapted")).alias("b"))
-    return scored.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("b"), 6).alias("bleu"))
+    scored = O.set_scores(t.text_pairs, "lang", "original", "adapted")
+    return scored.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), exact_mean("bleu").alias("bleu"))
 
 
 @query("vector_similarity", "X20", """
