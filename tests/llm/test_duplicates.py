@@ -175,10 +175,11 @@ def jaccard_keepers(rows):
     return sorted(min(v)[2] for v in best.values())
 
 
-@pytest.mark.parametrize("sample", [20, near_copies.SAMPLE])
-def test_near_copies_against_brute_force(spark, sample, monkeypatch):
-    monkeypatch.setattr(near_copies.frequent_shingles, "__defaults__", (sample,))
-    rng = random.Random(sample)
+@pytest.mark.parametrize("share", [1, 3, near_copies.SHARE])
+def test_near_copies_against_brute_force(spark, share, monkeypatch):
+    monkeypatch.setattr(near_copies.frequent_shingles, "__defaults__", (share,))
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rng = random.Random(share)
     passage = [f"p{k}" for k in range(12)]
     texts = [[f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 4, 5, 6, 9, 30, 80, 200]))] for _ in range(120)]
     base = [f"b{k}" for k in range(100)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,32 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows from a table in the shared folder: no lineage, and safe from lost executors."""
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` makes inside are deleted at the end, but for those that are kept; these go with the scope around it."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in own:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """The same rows from a table in the shared folder: no lineage, and safe from lost executors.
+
+    Inside `scratch` the table goes when the scope ends; with `keep` it stays for the scope around that.
+    """
     path = shared_path(df.sparkSession, label)
+    scopes = _SCOPES.get()[:-1] if keep else _SCOPES.get()
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -105,10 +130,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.filter("u <> v").distinct(), "star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = written(small.filter("u <> v").distinct(), "star")
         # settled when nobody is both a child and a root, and each child has one root

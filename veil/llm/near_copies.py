@@ -1,162 +1,260 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies: SimHash groups first, then every other pair of similar texts by a prefix filter; exact in the end.
 
-Two texts are near if their sets of five-word shingles have a Jaccard similarity of at least 4/5. SimHash radii do not
-bound that similarity, so candidates come from a prefix filter, which misses none: with all shingles in one
-order, two sets that similar share a shingle among the first n // 5 + 1 of each (n: shingles of the set). The order puts
-shingles last that are frequent in a sample of documents, so a passage that many texts share is seldom in a prefix. The
-sample changes what is compared, never what is found.
+Two texts are near if their sets of five-word shingles have a Jaccard similarity of at least 4/5. Shingles are integers of 64 bits
+(from hashes of their words); similarity is that of the sets of integers. Equal sets are folded first. Then the
+vantage-point tree of `simhash` groups fingerprints that differ in two bits or fewer, and each text of a group is compared
+with the group's first one. No radius bounds the similarity, so more candidates come from a prefix filter, which misses
+none: with all shingles in one order, two sets that similar share a shingle among the first n // 5 + 1 of each (n: shingles of
+the set). The order puts rare shingles first, so a passage that many texts share is seldom in a prefix. It is drawn from a
+fixed share of the documents; it changes what is compared, never what is found.
 
-Texts with equal sets are folded first. Then, of each shared shingle and class of lengths, all texts are compared with the
-first one, and what is similar is linked; then texts that share a shingle are compared pair by pair if links don't connect
-them already. So a large group of near copies is a star, not all its pairs. Every comparison is on the words themselves.
+Candidates are compared in rounds. In each, every group of texts that are linked so far sends one member to one member of another
+group, the one that shares most of its prefix; so copies by the thousand become a star, not pairs. When rounds link little more, all
+pairs of texts that share a prefix shingle and lie in different groups are compared, but for those that sizes and places rule out: at
+places i and j of sets of n and m shingles, the first shared one, no more than 1 + min(n - i, m - j) can be shared.
 
 Words are lowered (A-Z) and split at ASCII white space. A text of fewer than five words is one shingle; texts without words
 are equal to each other. Nulls count as empty. Repeated rows, also of one doc_id, are rows of their own. An empty table gives
-an empty result.
+an empty result. Tables that are written on the way are deleted again when the answer is written.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm.common import column, components, small_batches, texts_of, written
+from veil.llm import simhash
+from veil.llm.common import column, components, scratch, small_batches, texts_of, written
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, LEAST, OF = 5, 4, 5
-#: About so many documents are sampled for the order, and so many frequent shingles are told apart at most.
-SAMPLE, FREQUENT = 20_000, 1 << 18
+#: One in so many documents is drawn for the order, and a shingle that so many of those have is frequent; most frequent ones told apart.
+SHARE, OFTEN, FREQUENT = 8, 3, 1 << 20
 #: Row numbers that are sent to all tasks at most; more are joined by a shuffle.
 SENT = 1_000_000
-
-
-def shingles(text: str) -> set[bytes]:
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
-
-
-def hashes_of(text: str) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles, in order."""
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(s) for s in shingles(text)], np.uint64))
-
-
-def near(a: set[bytes], b: set[bytes]) -> bool:
+#: Texts that are compared with one text in one go.
+BLOCK = 4096
+#: Words whose hashes a worker remembers.
+REMEMBERED = 1_000_000
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def shingler():
+    """A function from a text to its shingles as sorted distinct integers; it remembers words."""
+    known = _Words()
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+    def shingles(text: str) -> np.ndarray:
+        words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        width = min(SHINGLE, len(words))
+        if not width:
+            return h
+        n = len(words) - width + 1
+        x = h[:n] + odd[0] * np.uint64(width)
+        for k in range(1, width):
+            x = x * odd[1] + h[k : k + n]
+        x ^= x >> np.uint64(29)
+        x *= odd[2]
+        x ^= x >> np.uint64(32)
+        return np.unique(x)
+
+    return shingles
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
     if OF * min(len(a), len(b)) < LEAST * max(len(a), len(b)):
         return False
-    both = len(a & b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return OF * both >= LEAST * (len(a) + len(b) - both)
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n // 5 + 1 hashes: those not in `frequent` (sorted), then the frequent ones by rank."""
-    if not len(hashes):
-        return hashes
-    n = len(hashes) - -(-LEAST * len(hashes) // OF) + 1
+def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 shingles: those not in `frequent` (sorted), then the frequent ones by rank."""
+    if not len(shingles):
+        return shingles
+    n = len(shingles) - -(-LEAST * len(shingles) // OF) + 1
     if not len(frequent):
-        return hashes[:n]
-    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-    often = frequent[at] == hashes
-    rare = hashes[~often][:n]
-    return np.concatenate([rare, hashes[often][np.argsort(rank[at[often]])][: n - len(rare)]])
+        return shingles[:n]
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    often = frequent[at] == shingles
+    rare = shingles[~often][:n]
+    return np.concatenate([rare, shingles[often][np.argsort(rank[at[often]])][: n - len(rare)]])
+
+
+def fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of the distinct shingles; 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 65536):
+        ones += np.unpackbits(shingles[at : at + 65536, None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(shingles), bitorder="little").tobytes(), "little", signed=True)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
 
-def frequent_shingles(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that several documents of a sample have, sorted, and their ranks by frequency."""
-    step = max(1, docs.count() // sample)
+def frequent_shingles(docs: DataFrame, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of the documents drawn have, sorted, and their ranks by frequency."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = shingler()
         for batch in it:
             for text in texts_of(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(text).view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], ["h"])
 
-    some = _numbered(docs).filter(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("text")
-    counts = small_batches(some).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    some = _numbered(docs).filter(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select("text")
+    counts = small_batches(some).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= OFTEN)
     got = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
     found, c = got["h"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy()
     order = np.argsort(found)
-    rank = np.empty(len(found), np.int64)
+    rank = np.empty(len(found), np.int32)
     rank[np.lexsort((found, c))] = np.arange(len(found))
     return found[order], rank[order]
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, size_class, key, prefix) per row; rows with equal sets have equal keys."""
-    frequent, rank = frequent_shingles(docs)
+    """(row, doc_id, n, fp, key, prefix) per row; rows with equal sets have equal keys."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # FREQUENT shingles at most
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = shingler()
+        frequent, rank = sent.value
         for batch in it:
-            sets = [hashes_of(t) for t in texts_of(batch, "text")]
-            n = [len(s) for s in sets]
+            sets = [shingles(t) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    column(batch, "row"), column(batch, "doc_id"), pa.array(n, pa.int32()),
-                    pa.array([int(math.log(max(k, 1)) / math.log(OF / LEAST)) for k in n], pa.int32()),
+                    column(batch, "row"), column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([fingerprint(s) for s in sets], pa.int64()),
                     pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary()),
                     pa.array([prefix(s, frequent, rank).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["row", "doc_id", "n", "size_class", "key", "prefix"],
+                ["row", "doc_id", "n", "fp", "key", "prefix"],
             )
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(_numbered(docs)).mapInArrow(run, f"row long, doc_id {doc_id}, n int, size_class int, key binary, prefix array<long>")
-
-
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the `pairs` (a, b: row numbers) whose texts are near."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "needed")
-    side = F.broadcast(needed) if needed.count() <= SENT else needed
-    texts = written(_numbered(docs).join(side, "row", "left_semi").select("row", "text"), "texts")
-    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, tuple[int | None, set[bytes]]] = {"a": (None, set()), "b": (None, set())}
-
-        def own(side: str, row: int, text: str) -> set[bytes]:
-            if last[side][0] != row:
-                last[side] = (row, shingles(text))
-            return last[side][1]
-
-        for batch in it:
-            a, b = column(batch, "a").to_pylist(), column(batch, "b").to_pylist()
-            keep = [near(own("a", i, x), own("b", j, y)) for i, j, x, y in zip(a, b, texts_of(batch, "x"), texts_of(batch, "y"))]
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return small_batches(both).mapInArrow(run, "a long, b long")
-
-
-def near_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): links that span every group of near texts; `sets` has one row (row, n, size_class, prefix) per set."""
-    entries = sets.select("row", "n", "size_class", F.explode("prefix").alias("h"))
-    shared = entries.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    return small_batches(_numbered(docs)).mapInArrow(run, f"row long, doc_id {doc_id}, n int, fp long, key binary, prefix array<long>")
+
+
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """`pairs` (a, b: row numbers) with `near`. Each text is sent to the text that it is compared with, whose set is made once."""
+    with scratch(docs.sparkSession):
+        pairs = written(pairs, "pairs")
+        blocks = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "blocks")
+        needed = written(pairs.select(F.col("a").alias("row")).unionByName(blocks.select(F.col("b").alias("row"))).distinct(), "needed")
+        side = F.broadcast(needed) if needed.count() <= SENT else needed
+        texts = written(_numbered(docs).join(side, "row", "left_semi").select("row", "text"), "texts")
+        dealt = pairs.join(blocks, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
+        members = dealt.join(texts, dealt["a"] == texts["row"]).select("b", "part", "a", "text")
+        centres = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        centres = centres.join(texts, centres["b"] == texts["row"]).select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+        both = centres.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingles, centre = shingler(), np.zeros(0, np.uint64)
+            for batch in it:
+                out = []
+                for b, a, text in zip(column(batch, "b").to_pylist(), column(batch, "a").to_pylist(), texts_of(batch, "text")):
+                    own = shingles(text)
+                    if a is None:
+                        centre = own
+                    else:
+                        out.append((a, b, near(centre, own)))
+                cols = list(zip(*out)) if out else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "near"])
+
+        return written(small_batches(both).mapInArrow(run, "a long, b long, near boolean"), "compared", keep=True)
+
+
+def _may_be_near(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Whether sets of n and m shingles can be near if the first shared one is at places i and j (from 0)."""
+    shared = F.least(n - i, m - j)
+    return (F.least(n, m) * OF >= F.greatest(n, m) * LEAST) & (shared * (LEAST + OF) >= (n + m) * LEAST)
+
+
+def _open(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """`entries` with their group's root, of the shingles that several groups have."""
+    placed = entries.join(roots, entries["row"] == roots["node"], "left").select("h", "row", "n", "i", F.coalesce("root", "row").alias("root"))
+    placed = written(placed, "placed")
+    several = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+    return written(placed.join(written(several, "several"), "h"), "open")
+
+
+def _next_pairs(open_rows: DataFrame, tested: DataFrame) -> DataFrame:
+    """(a, b): for each group, a member and a member of another group that share most shingles and weren't compared."""
+    one = F.struct("row", "n", "i")
+    size = F.floor(F.ln(F.col("x.n").cast("double")) / F.lit(float(np.log(OF / LEAST)))).cast("int")
+    groups = written(open_rows.groupBy("h", "root").agg(F.min(one).alias("x")).withColumn("size", size), "groups")
+    firsts = written(groups.groupBy("h", "size").agg(F.min(F.struct("root", "x")).alias("y")), "firsts")
+    met = groups.join(firsts, ["h", "size"]).filter(
+        (F.col("root") > F.col("y.root")) & _may_be_near(F.col("x.n"), F.col("x.i"), F.col("y.x.n"), F.col("y.x.i"))
+    )
+    met = met.select("root", F.greatest("x.row", "y.x.row").alias("a"), F.least("x.row", "y.x.row").alias("b"))
+    counted = met.groupBy("root", "a", "b").agg(F.count("*").alias("c")).join(tested, ["a", "b"], "left_anti")
+    best = counted.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("c", -F.col("b"), -F.col("a"))).alias("p"))
+    return best.select("p.a", "p.b").distinct()
+
+
+def _other_pairs(open_rows: DataFrame, tested: DataFrame) -> DataFrame:
+    """(a, b): all pairs of rows in different groups that share a shingle, may be near and weren't compared."""
+    sides = open_rows.groupBy("h", "root").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("left")
+    )
+    sides = written(sides, "sides")
+    p, q = (sides.select("h", *[F.col(c).alias(side + c) for c in ("root", "least", "most", "left")]) for side in "pq")
+    able = (
+        (F.col("proot") < F.col("qroot"))
+        & (F.col("pmost") * OF >= F.col("qleast") * LEAST) & (F.col("qmost") * OF >= F.col("pleast") * LEAST)
+        & (F.least("pleft", "qleft") * (LEAST + OF) >= (F.col("pleast") + F.col("qleast")) * LEAST)
+    )
+    meet = p.join(q, (p["h"] == q["h"]) & able).select(p["h"], "proot", "qroot")
+    left = open_rows.select("h", F.col("root").alias("proot"), F.col("row").alias("r"), F.col("n").alias("rn"), F.col("i").alias("ri"))
+    right = open_rows.select("h", F.col("root").alias("qroot"), F.col("row").alias("s"), F.col("n").alias("sn"), F.col("i").alias("si"))
+    first = meet.join(left, ["h", "proot"])
+    pairs = first.join(
+        right,
+        (first["h"] == right["h"]) & (first["qroot"] == right["qroot"]) & _may_be_near(F.col("rn"), F.col("ri"), F.col("sn"), F.col("si")),
+    )
+    pairs = pairs.select(F.greatest("r", "s").alias("a"), F.least("r", "s").alias("b")).distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def near_groups(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) for every row in a group of near texts; `sets` has one row (row, n, fp, prefix) per set."""
+    # the tree's groups: each text against the group's first one
+    fps = simhash.placed(sets.select("fp", "row").filter("n > 0"), F.col("row"), simhash.RADIUS)
+    first = fps.groupBy("root").agg(F.min("first").alias("b"))
+    stars = sets.filter("n > 0").select("row", "fp").join(fps.select("fp", "root"), "fp").join(written(first, "first"), "root")
+    tested = compared(stars.filter("row > b").select(F.col("row").alias("a"), "b"), docs)
+    links = tested.filter("near").select("a", "b")
+    entries = sets.select("row", "n", F.posexplode("prefix").alias("i", "h"))
+    shared = written(entries.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "shared")
     entries = written(entries.join(shared, "h"), "entries")
-    firsts = entries.groupBy("h", "size_class").agg(F.min("row").alias("b"))
-    stars = written(entries.join(firsts, ["h", "size_class"]).filter("row > b").select(F.col("row").alias("a"), "b").distinct(), "stars")
-    links = written(similar(stars, docs), "near")
     roots = components(links, "a", "b")
-    placed = entries.join(roots, entries["row"] == roots["node"], "left").select("h", "row", "n", F.coalesce("root", "row").alias("root"))
-    placed = written(placed, "placed")
-    open_ones = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
-    placed = written(placed.join(open_ones, "h"), "open")
-    # pairs of groups first, so rows that are connected already never meet
-    groups = placed.select("h", "root").distinct()
-    meet = groups.select("h", F.col("root").alias("p")).join(groups.select("h", F.col("root").alias("q")), "h").filter("p < q")
-    left = placed.select("h", F.col("root").alias("p"), F.col("row").alias("r"), F.col("n").alias("m"))
-    right = placed.select("h", F.col("root").alias("q"), F.col("row").alias("s"), "n")
-    pairs = meet.join(left, ["h", "p"]).join(right, ["h", "q"]).filter(F.least("m", "n") * OF >= F.greatest("m", "n") * LEAST)
-    pairs = pairs.select(F.greatest("r", "s").alias("a"), F.least("r", "s").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return links.unionByName(similar(written(pairs, "pairs"), docs))
+    while True:
+        now = compared(_next_pairs(_open(entries, roots), tested.select("a", "b")), docs)
+        asked, linked = now.agg(F.count("*"), F.count_if("near")).first()
+        tested = tested.unionByName(now)
+        if linked:
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(now.filter("near").select("a", "b"))
+            roots = components(links, "a", "b")
+        if linked * 4 < asked or not asked:
+            break
+    rest = compared(_other_pairs(_open(entries, roots), tested.select("a", "b")), docs).filter("near").select("a", "b")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), "a", "b")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -164,10 +262,13 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     `docs` is a table that is read alike each time: its rows are numbered.
     """
-    sets = written(marked(docs), "sets")
-    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    firsts = written(sets.groupBy("key").agg(F.min(best).alias("best")).select("best", F.col("best.row").alias("row")), "firsts")
-    roots = components(near_links(sets.join(firsts.select("row"), "row", "left_semi"), docs), "a", "b")
-    placed = firsts.join(roots, firsts["row"] == roots["node"], "left").select("best", F.coalesce("root", "row").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(written(kept, "kept"), "__row", "left_semi").drop("__row")
+    with scratch(docs.sparkSession):
+        sets = written(marked(docs), "sets")
+        best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+        firsts = written(sets.groupBy("key").agg(F.min(best).alias("best")).select("best", F.col("best.row").alias("row")), "firsts")
+        roots = near_groups(written(sets.join(firsts.select("row"), "row", "left_semi").drop("doc_id", "key"), "distinct"), docs)
+        placed = firsts.join(roots, firsts["row"] == roots["node"], "left").select("best", F.coalesce("root", "row").alias("root"))
+        kept = placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+        gone = sets.select("row").join(written(kept, "kept"), "row", "left_anti").select(F.col("row").alias("__row"))
+        gone = written(gone, "gone", keep=True)
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")

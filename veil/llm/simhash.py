@@ -173,7 +173,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return dealt.groupBy("shard").applyInArrow(compare, "a long, b long")
 
 
-def _placed(fps: DataFrame, first, radius: int) -> DataFrame:
+def placed(fps: DataFrame, first, radius: int) -> DataFrame:
     """(fp, first, root) per fingerprint of `fps`: `first` is the least of that column, roots name components."""
     firsts = written(fps.groupBy("fp").agg(F.min(first).alias("first")), "firsts")
     roots = components(near_links(fps, radius), "a", "b")
@@ -183,8 +183,8 @@ def _placed(fps: DataFrame, first, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, fp, component_id (smallest doc_id that links reach)."""
     fps = written(with_fingerprints(docs.select("doc_id", "text"), shingle=shingle), "fps")
-    placed = _placed(fps, F.col("doc_id"), radius)
-    named = written(placed.groupBy("root").agg(F.min("first").alias("component_id")).join(placed.select("fp", "root"), "root").select("fp", "component_id"), "named")
+    found = placed(fps, F.col("doc_id"), radius)
+    named = written(found.groupBy("root").agg(F.min("first").alias("component_id")).join(found.select("fp", "root"), "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -201,5 +201,5 @@ def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     key = F.monotonically_increasing_id()
     fps = written(with_fingerprints(docs.select(key.alias("row"), "doc_id", "text"), shingle=shingle), "fps")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    kept = _placed(fps, best, radius).groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.row").alias("__row"))
+    kept = placed(fps, best, radius).groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.row").alias("__row"))
     return docs.withColumn("__row", key).join(written(kept, "kept"), "__row", "left_semi").drop("__row")
