@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import SF, no_documents, odd_documents
-from veil.llm import bpe, mixing, quality, simhash
+from tests.llm.test_duplicates import jaccard_keepers
+from veil.llm import bpe, mixing, quality
 from veil.llm.common import written
 from veil.llm.queries import QUERIES
 
@@ -123,6 +124,15 @@ def test_rates_where_one_document_is_very_long(spark):
         assert all(math.isclose(rate(n, tilt), rate(n, exact), rel_tol=2e-3, abs_tol=1e-6) for n in counts)
 
 
+def test_copies_by_source_equal_copies_by_row(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    by_source = mixing.mixed(docs)
+    plan = by_source._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    monkeypatch.setattr(mixing, "SENT", 0)
+    assert sorted(map(str, by_source.collect())) == sorted(map(str, mixing.mixed(docs).collect()))
+
+
 def test_mix_odd_rows(spark):
     docs = odd_documents(spark)
     found = mixing.mixed(docs)
@@ -166,18 +176,9 @@ def test_duplicate_stages_equal_brute_force(stages):
     for i, t in given.items():
         least[t] = min(i, least.get(t, i))
     assert sorted(least.values()) == sorted(r["doc_id"] for r in stages[2].collect())
-    fps = {r["doc_id"]: simhash.fingerprint(r["text"] or "") for r in stages[2].collect()}
-    ids, group = sorted(fps), {}
-    for i in ids:
-        group[i] = i
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
-                old, new = group[j], group[i]
-                for k in ids:
-                    if group[k] in (old, new):
-                        group[k] = min(old, new)
-    assert sorted(set(group.values())) == sorted(r["doc_id"] for r in stages[3].collect())
+    rows = sorted((r["doc_id"], r["text"]) for r in stages[2].collect())
+    near = [rows[i][0] for i in jaccard_keepers(rows)]
+    assert near == sorted(r["doc_id"] for r in stages[3].collect()) and len(near) < len(rows)
 
 
 def test_mix_and_token_stages(stages):

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veil.llm.common import written
+from veil.llm.common import scratch, written
 
 WEIGHTS, LIMIT = (5.0, 2.0, 1.0), 3.0
 #: The share of a target that the rates may leave open, and how often a step halves the bracket whatever Newton says.
@@ -33,6 +33,8 @@ OPEN, HALVING = 1e-4, 8
 CELLS, PASSES = 1024, 5
 #: Documents per source that fill what the offset leaves open.
 FITS = 4
+#: Rows of one per source that are sent to all tasks at most; beyond that, copies are joined by row number.
+SENT = 100_000
 HASH_BITS, ID_BITS = 52, 40
 
 
@@ -144,42 +146,75 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float = LI
     """`docs` (doc_id, source, text and others) with size, source_size, target and copies; 0 copies where the mix has none.
 
     The results' names begin with `prefix`; columns of `docs` with such a name are left out. `docs` is a table that is
-    read alike each time: its rows are numbered.
+    read alike each time: its rows are numbered. A row's copies follow from its own columns and one row of its source, so no
+    text is moved while there are at most `SENT` sources and as many fillers.
     """
     key = F.monotonically_increasing_id()
     slim = sizes(docs.select("doc_id", "source", "text")).select(key.alias("_row"), "doc_id", "source", "size")
     results = ["size", "source_size", "target", "copies"]
-    found = copies(slim, weights, limit).select(F.col("_row").alias("__row"), *[F.col(c).alias(prefix + c) for c in results])
-    return docs.drop(*[prefix + c for c in results]).withColumn("__row", key).join(found, "__row").drop("__row")
+    tilts, extra = solved(slim, weights, limit)
+    rows = docs.drop(*[prefix + c for c in results]).withColumn("__row", key)
+    if tilts.count() > SENT:
+        found = _with_copies(slim, tilts, extra, limit).select(F.col("_row").alias("__row"), *[F.col(c).alias(prefix + c) for c in results])
+        return rows.join(found, "__row").drop("__row")
+    inner = F.struct(*[F.col(c) for c in rows.columns])
+    given = sizes(rows.select(inner.alias("__doc"), F.col("__row").alias("_row"), "doc_id", "source", "text"))
+    found = _with_copies(given.drop("text"), F.broadcast(tilts), extra, limit)
+    return found.select(*[F.col("__doc")[c].alias(c) for c in rows.columns if c != "__row"], *[F.col(c).alias(prefix + c) for c in results])
 
 
 def copies(sized: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
     """`sized` (_row, doc_id, source, size) with source_size, target and copies."""
     sized = written(sized, "sizes")
-    targets = written(source_targets(sized, weights, limit), "targets")
-    dual = rates(sized, targets, limit)
-    both = written(
-        targets.join(dual.withColumnRenamed("source", "src"), targets["source"].eqNullSafe(F.col("src")), "left").select("source", "source_size", "target", "lam", "scale"),
-        "tilts",
-    )
+    tilts, extra = solved(sized, weights, limit)
+    return _with_copies(sized, tilts, extra, limit).select("_row", "doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def solved(sized: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """One row per source, (src, source_size, target, lam, scale, offset), and the fillers, (_row, extra)."""
+    with scratch(sized.sparkSession):
+        sized = written(sized, "sizes")
+        targets = written(source_targets(sized, weights, limit), "targets")
+        dual = rates(sized, targets, limit)
+        both = written(
+            targets.join(dual.withColumnRenamed("source", "src"), targets["source"].eqNullSafe(F.col("src")), "left")
+            .select(targets["source"].alias("src"), "source_size", "target", "lam", "scale"),
+            "tilts",
+        )
+        rated = written(_rated(sized, both, limit).select("_row", "source", "size", "target", "rate", "u"), "rates")
+        offset = offsets(rated, limit)
+        tilts = written(
+            both.join(offset.select(F.col("source").alias("own"), "offset"), F.col("src").eqNullSafe(F.col("own")), "left").drop("own"),
+            "tilts", keep=True,
+        )
+        placed = _taken(sized, tilts, limit)
+        extra = fillers(placed.filter((F.col("size") > 0) & (F.col("copies") < limit) & (F.col("target") > 0)), offset)
+        return tilts, written(extra, "fillers", keep=True)
+
+
+def _rated(rows: DataFrame, tilts: DataFrame, limit: float) -> DataFrame:
+    """`rows` (_row, doc_id, source, size and others) with their source's columns, rate and hash."""
     raw = F.when(F.col("lam").isNull(), F.lit(0.0)).when(F.col("lam") == float("inf"), F.lit(limit)).otherwise(
         F.least(F.lit(limit), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(60.0))))
     )
     # the hash of the doc_id orders documents, however the table is split; its last bits set repeated rows apart
     low = HASH_BITS - ID_BITS
     bits = F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - ID_BITS), low) + F.shiftrightunsigned(F.xxhash64("_row"), 64 - low)
-    rated = sized.join(both.withColumnRenamed("source", "src"), sized["source"].eqNullSafe(F.col("src"))).select(
-        "_row", "doc_id", "source", "size", "source_size", "target", raw.alias("rate"),
-        ((bits.cast("double") + 0.5) / float(1 << HASH_BITS)).alias("u"),
-    )
-    rated = written(rated, "rates")
-    offset = offsets(rated, limit)
-    placed = rated.join(offset.withColumnRenamed("source", "src"), rated["source"].eqNullSafe(F.col("src")), "left")
+    u = (bits.cast("double") + 0.5) / float(1 << HASH_BITS)
+    return rows.join(tilts, rows["source"].eqNullSafe(F.col("src"))).drop("src").withColumn("rate", raw).withColumn("u", u)
+
+
+def _taken(rows: DataFrame, tilts: DataFrame, limit: float) -> DataFrame:
+    """`rows` with the copies that rates and offsets give."""
     taken = F.greatest(F.lit(0.0), F.least(F.lit(limit), F.ceil(F.col("rate") + F.coalesce("offset", F.lit(0.0)) - F.col("u")).cast("double")))
-    placed = placed.withColumn("copies", F.when(F.col("target") <= 0, F.lit(0.0)).otherwise(taken).cast("long"))
-    extra = fillers(placed.filter((F.col("size") > 0) & (F.col("copies") < limit) & (F.col("target") > 0)), offset)
-    return placed.join(F.broadcast(extra) if extra.count() <= 10_000 else extra, "_row", "left").select(
-        "_row", "doc_id", "source", "size", "source_size", "target", (F.col("copies") + F.coalesce("extra", F.lit(0))).cast("long").alias("copies")
+    return _rated(rows, tilts, limit).withColumn("copies", F.when(F.col("target") <= 0, F.lit(0.0)).otherwise(taken).cast("long"))
+
+
+def _with_copies(rows: DataFrame, tilts: DataFrame, extra: DataFrame, limit: float) -> DataFrame:
+    """`rows` with all their copies, fillers included."""
+    side = F.broadcast(extra) if extra.count() <= SENT else extra
+    return _taken(rows, tilts, limit).join(side, "_row", "left").withColumn(
+        "copies", (F.col("copies") + F.coalesce("extra", F.lit(0))).cast("long")
     )
 
 
