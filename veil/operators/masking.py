@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions import entities as N
+from veil.functions.scan import all_spans, disjoint_spans, pieces
 from veil.operators.ordering import top_k
 
 # Categories of a recogniser's entities that are removed; quantities only of these kinds.
@@ -19,14 +20,8 @@ REMOVED_QUANTITIES = ["Age", "Currency", "Number"]
 
 
 def with_spans(df: DataFrame, text: str, out: str = "spans", keep_overlaps: bool = False) -> DataFrame:
-    """Add the entity spans of a text column; each pattern is matched once."""
-    hits = {f"_h{i}": N.matches_of(F.col(text), p, k) for i, (k, p, _) in enumerate(N.PATTERNS)}
-    found = df.withColumns(hits)
-    all_spans = F.concat(
-        *[N.spans_of(F.col(text), F.col(f"_h{i}"), p, k, c) for i, (k, p, c) in enumerate(N.PATTERNS)]
-    )
-    found = found.withColumn("_all", all_spans).drop(*hits)
-    return found.withColumn(out, F.col("_all") if keep_overlaps else N.drop_overlaps(F.col("_all"))).drop("_all")
+    """Add the entity spans of a text column, by start; each text is scanned once. A null text has null spans."""
+    return df.withColumn(out, (all_spans if keep_overlaps else disjoint_spans)(F.col(text)))
 
 
 def span_rows(df: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataFrame:
@@ -38,11 +33,8 @@ def span_rows(df: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataF
 def anonymise(df: DataFrame, text: str, mode: str = "*", out: str = "masked") -> DataFrame:
     """Mask ('*', 'entity') or generalise ('model', 'generalize') every detected span."""
     label = N.general_label if mode in ("model", "generalize") else N.mask_label(mode)
-    return (
-        with_spans(df, text, "_spans")
-        .withColumn(out, N.rebuild(F.col(text), F.col("_spans"), label))
-        .drop("_spans")
-    )
+    scanned = df.withColumn("_scan", pieces(F.col(text)))
+    return scanned.withColumn(out, N.joined(F.col("_scan.pieces"), F.col("_scan.tail"), label)).drop("_scan")
 
 
 def as_new_version(comments: DataFrame, mode: str = "*") -> DataFrame:
