@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veil.functions.similarity import first_best, jaccard, jaro_winkler_lists, word_set
+from veil.functions.similarity import first_best, jaccard, jaro_winkler_each, jaro_winkler_lists, may_be_close, word_set
 from veil.operators.ordering import lookup
 
 # Closed vocabularies a guess is matched to.
@@ -97,35 +97,49 @@ def ages_agree(a: Column, b: Column, threshold: float = 0.75) -> Column:
     return F.coalesce(verdict, F.lit(False))
 
 
+_TABLES = {"income": INCOME, "married": MARRIED, "education": EDUCATION}
+
+
+def _compared(attribute: Column, truth: Column, guess: Column) -> Column:
+    """What the rule of the attribute compares a guess (for places: the truth) with."""
+    options = F.when(attribute == "location", F.concat(F.array(guess), F.transform(F.split(guess, ","), lambda x: F.trim(x))))
+    for name, values in _TABLES.items():
+        options = options.when(attribute == name, F.array(*[F.lit(v) for v in values]))
+    return options.when(attribute == "gender", F.array(truth, F.lit("male"), F.lit("female"))).otherwise(F.array(truth))
+
+
+def _verdict(attribute: Column, truth: Column, guess: Column, known: Column, span: Column, sims: Column) -> Column:
+    """1 or 0 from the similarities of what is compared."""
+    near = F.transform(sims, lambda x: x > 0.75)
+    ok = (
+        F.when(attribute == "age", ages_agree(span, age_span(guess)))
+        .when(attribute.isin(*_TABLES), first_best(_compared(attribute, truth, guess), sims) == known)
+        .when(attribute == "gender", near[0] & (F.try_element_at(near, F.lit(2)) | F.try_element_at(near, F.lit(3))))
+        .when(attribute == "location", F.array_contains(near, True))
+        .otherwise(near[0])
+    )
+    return F.coalesce(ok, F.lit(False)).cast("int")
+
+
 def guesses_are_correct(attribute: Column, truth: Column, guesses: Column) -> Column:
     """[1, 0, ..] per ranked guess, by the rule of the attribute; one Python call per row, no shuffle."""
     t = F.lower(truth)
-    place = attribute == "location"
-    tables = {"income": INCOME, "married": MARRIED, "education": EDUCATION}
     lowered = F.transform(guesses, lambda g: F.lower(F.trim(g)))
-
-    def compared(g: Column) -> Column:
-        options = F.when(place, F.concat(F.array(g), F.transform(F.split(g, ","), lambda x: F.trim(x))))
-        for name, values in tables.items():
-            options = options.when(attribute == name, F.array(*[F.lit(v) for v in values]))
-        return options.when(attribute == "gender", F.array(t, F.lit("male"), F.lit("female"))).otherwise(F.array(t))
-
-    subjects = F.transform(lowered, lambda g: F.when(place, t).otherwise(g))
-    sims = jaro_winkler_lists(subjects, F.transform(lowered, compared))
+    subjects = F.transform(lowered, lambda g: F.when(attribute == "location", t).otherwise(g))
+    sims = jaro_winkler_lists(subjects, F.transform(lowered, lambda g: _compared(attribute, t, g)))
     known, span = true_value(attribute, truth), age_span(t)
+    return F.zip_with(lowered, sims, lambda g, s: _verdict(attribute, t, g, known, span, s))
 
-    def verdict(g: Column, s: Column) -> Column:
-        near = F.transform(s, lambda x: x > 0.75)
-        ok = (
-            F.when(attribute == "age", ages_agree(span, age_span(g)))
-            .when(attribute.isin(*tables), first_best(compared(g), s) == known)
-            .when(attribute == "gender", near[0] & (F.try_element_at(near, F.lit(2)) | F.try_element_at(near, F.lit(3))))
-            .when(place, F.array_contains(near, True))
-            .otherwise(near[0])
-        )
-        return F.coalesce(ok, F.lit(False)).cast("int")
-
-    return F.zip_with(lowered, sims, verdict)
+
+def guess_is_correct(attribute: Column, truth: Column, guess: Column) -> Column:
+    """1 or 0 for one lower-cased, trimmed guess; pairs that can't be near never reach Python."""
+    t = F.lower(truth)
+    subject = F.when(attribute == "location", t).otherwise(guess)
+    options = _compared(attribute, t, guess)
+    # where the nearest of a table is asked for, all its values are compared; ages need no similarity
+    able = F.transform(options, lambda o: F.when(attribute.isin(*_TABLES) | may_be_close(subject, o), o))
+    asked = F.when((attribute != "age") & F.exists(able, lambda o: o.isNotNull()), able)
+    return _verdict(attribute, t, guess, true_value(attribute, truth), age_span(t), jaro_winkler_each(F.when(asked.isNotNull(), subject), asked))
 
 
 # Level and decade words of the coarse overlap rule.

@@ -63,7 +63,7 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def jaro_winkler_each(a: pd.Series, options: pd.Series) -> pd.Series:
-    """Similarity of one string to each string of an array."""
+    """Similarity of one string to each string of an array; a null string has none."""
     memo: dict = {}
     out = []
     for x, ys in zip(a, options):
@@ -73,7 +73,7 @@ def jaro_winkler_each(a: pd.Series, options: pd.Series) -> pd.Series:
         row = []
         for y in ys:
             if (x, y) not in memo:
-                memo[(x, y)] = _jaro_winkler(x, y)
+                memo[(x, y)] = None if y is None else _jaro_winkler(x, y)
             row.append(memo[(x, y)])
         out.append(row)
     return pd.Series(out)
@@ -132,6 +132,19 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
 
 
+def may_be_close(a: Column, b: Column) -> Column:
+    """False only where Jaro-Winkler similarity can't pass 0.7, and so not 0.75, whatever the order of the characters.
+
+    Below 0.7 the common prefix adds nothing. Matched characters are no more than those of one string that the other has
+    at all, and with m of them the similarity is at most (m / |a| + m / |b| + 1) / 3.
+    """
+    n, m = F.char_length(a), F.char_length(b)
+    left = lambda x, y: F.char_length(F.call_function("translate", x, y, F.lit("")))
+    shared = F.least(n - left(a, b), m - left(b, a))
+    bound = shared / F.nullif(n, F.lit(0)) + shared / F.nullif(m, F.lit(0))
+    return (a == b) | F.coalesce(bound >= 1.1 - 1e-9, F.lit(False))
+
+
 def is_close(a: Column, b: Column, min_sim: float = 0.75) -> Column:
     return jaro_winkler(a, b) > min_sim
 

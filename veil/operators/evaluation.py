@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.answers import verdicts
-from veil.functions.matching import guesses_are_correct, true_value
+from veil.functions.matching import guess_is_correct, true_value
 from veil.operators.ordering import earliest
 from veil.operators.prompts import Model, equivalence_prompt
 from veil.session import cut_lineage
@@ -64,10 +64,21 @@ def match_predictions(truth: DataFrame, predictions: DataFrame, model: str) -> D
 
 
 def score_guesses(matched: DataFrame) -> DataFrame:
-    """Add `is_correct`, one 0/1 per guess in rank order."""
-    return matched.withColumn(
-        "is_correct", guesses_are_correct(F.col("pii_type"), F.col("estimate"), F.col("guesses"))
-    )
+    """Add `is_correct`, one 0/1 per guess in rank order.
+
+    Each distinct (attribute, truth, guess) is judged once; the verdicts go back to the distinct lists of guesses, and those to
+    the rows. A list that very many rows share is one row on the other side of that join, which Spark may split.
+    """
+    key = ["pii_type", "estimate", "guesses"]
+    lists = matched.select(*key).distinct()
+    each = lists.select(*key, F.posexplode("guesses").alias("_at", "_guess")).withColumn("_guess", F.lower(F.trim("_guess")))
+    pair = ["pii_type", "estimate", "_guess"]
+    judged = each.select(*pair).distinct().withColumn("_ok", guess_is_correct(*map(F.col, pair)))
+    verdict = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_ok"))), lambda x: x["_ok"])
+    known = each.join(judged, pair).groupBy(*key).agg(verdict.alias("is_correct"))
+    none = F.transform("guesses", lambda g: F.lit(0))  # a null truth or guess, or no guesses
+    rows = matched.drop("is_correct")
+    return rows.join(known, key, "left").select(*rows.columns, F.coalesce("is_correct", none).alias("is_correct"))
 
 
 def decided_guesses(scored: DataFrame, model: Model, keys: Sequence[str]) -> DataFrame:
