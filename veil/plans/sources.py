@@ -12,6 +12,7 @@ from veil.plans.registry import query
 from veil.session import scratch_path
 from veil.sources import profiles as P
 from veil.sources import results as S
+from veil.sources import runs as R
 
 # One row per turn with the profile it belongs to; the four record shapes alternate.
 DERIVED["turns"] = """
@@ -382,6 +383,87 @@ def _(t):
     return P.most_advanced(t.spark.read.text(path)).select("username", "stage")
 
 
+def three_runs(t):
+    """Runs of different length; a letter in texts and answers tells where they come from."""
+    place = F.regexp_extract("username", "([0-9]+)$", 1).cast("long")
+    whole = annotated(t).select(place.alias("position"), "username", "versions", "reviews")
+
+    def run(letter, length, model=None):
+        def own(v):
+            kept = F.map_filter(v["predictions"], lambda k, _: F.lit(True) if model is None else k == model)
+            marked = F.transform_values(kept, lambda _, m: F.transform_values(m, lambda k, x: F.lit(letter)))
+            comments = F.transform(v["comments"], lambda c: c.withField("text", F.lit(letter)))
+            return F.struct(comments.alias("comments"), marked.alias("predictions"), v["utility"].alias("utility"))
+
+        return whole.withColumn("versions", F.transform(F.slice("versions", 1, length), own))
+
+    a, b, c = run("A", 1, "judge-a"), run("B", 3, "judge-b"), run("C", 100)
+    odd = F.when(F.col("position") % 17 == 3, F.concat("username", F.lit("x"))).otherwise(F.col("username"))
+    return [a, b.filter("position % 13 <> 5"), c.withColumn("username", odd)]
+
+
+@query("merged_run_files", "J04", """
+WITH v AS (SELECT username, CAST(substr(username, 2) AS BIGINT) AS position, version, model,
+  dense_rank() OVER (PARTITION BY username ORDER BY version) - 1 AS idx FROM (SELECT DISTINCT username, version, model FROM predictions) p
+  WHERE username IN (SELECT username FROM truth))
+SELECT position, username, idx AS version, model, CASE WHEN idx = 0 THEN 'A' WHEN idx < 3 AND position % 13 <> 5 THEN 'B' ELSE 'C' END AS text_of,
+  CASE WHEN idx = 0 AND model = 'judge-a' THEN 'A' WHEN idx < 3 AND position % 13 <> 5 AND model = 'judge-b' THEN 'B' ELSE 'C' END AS answers_of
+FROM v WHERE position % 17 <> 3""")
+def _(t):
+    merged = R.merge_runs_by_position(three_runs(t)).select("position", "username", F.posexplode("versions").alias("version", "v"))
+    answers = merged.select("position", "username", "version", F.col("v.comments")[0]["text"].alias("text_of"), F.explode("v.predictions").alias("model", "m"))
+    return answers.select("position", "username", F.col("version").cast("long").alias("version"), "model", "text_of", F.map_values("m")[0].alias("answers_of"))
+
+
+@query("run_merge_exceptions", "J04", """
+WITH u AS (SELECT DISTINCT username, CAST(substr(username, 2) AS BIGINT) AS position FROM predictions WHERE username IN (SELECT username FROM truth))
+SELECT position, CASE WHEN position % 17 = 3 THEN 'different users' ELSE 'missing' END AS problem,
+  CASE WHEN position % 17 = 3 THEN concat(username, ',', username, 'x') ELSE username END AS usernames,
+  CASE WHEN position % 13 = 5 THEN 2 ELSE 3 END AS runs FROM u WHERE position % 17 = 3 OR position % 13 = 5""")
+def _(t):
+    return R.merge_exceptions(three_runs(t)).select("position", "problem", F.array_join("usernames", ",").alias("usernames"), F.col("runs").cast("int").alias("runs"))
+
+
+def unfinished_run(t):
+    """Stage files as an interrupted run leaves them, read back: (stage, value), and the lines it began with."""
+    source = annotated_lines(t).select("username", "value").withColumn("p", F.regexp_extract("username", "([0-9]+)$", 1).cast("long"))
+    path, start = scratch_path(t.spark, "stage-files"), scratch_path(t.spark, "source")
+    source.select("value").write.text(start)
+    stages = {
+        "inference_0": F.col("p") % 5 != 0, "anonymized_1": F.col("p") % 3 == 0, "inference_1": F.col("p") % 3 == 0,
+        "utility_1": F.col("p") % 6 == 0, "notes_7": F.col("p") % 4 == 0,
+    }
+    for stage, chosen in stages.items():
+        half = (F.lit(stage) == "utility_1") & (F.col("p") % 7 == 1)
+        value = F.when(half, F.expr("substring(value, 1, length(value) - 9)")).otherwise(F.col("value"))
+        P.write_stage(source.filter(chosen).select(F.lit(stage).alias("stage"), value.alias("value")), path)
+    # a line that was written twice, and a profile that the source lacks
+    again = source.filter("p % 60 = 6").select(F.lit("utility_1").alias("stage"), "value")
+    other = t.spark.range(1).select(F.lit("utility_9").alias("stage"), F.lit('{"username": "nobody", "comments": []}').alias("value"))
+    P.write_stage(again.unionByName(other), path)
+    return t.spark.read.text(path), t.spark.read.text(start)
+
+
+DERIVED["run_states"] = """
+SELECT username, CASE WHEN p % 6 = 0 AND (p % 7 <> 1 OR p % 60 = 6) THEN 'utility_1' WHEN p % 3 = 0 THEN 'anonymized_1' WHEN p % 5 <> 0 THEN 'inference_0' END AS stage,
+  p % 6 = 0 AND p % 7 = 1 AS half, p % 60 = 6 AND p % 7 <> 1 AS twice
+FROM (SELECT DISTINCT username, CAST(substr(username, 2) AS BIGINT) AS p FROM predictions WHERE username IN (SELECT username FROM truth)) u"""
+
+
+@query("resumed_profiles", "S12", "SELECT username, stage FROM run_states")
+def _(t):
+    return R.resume(*unfinished_run(t)).select("username", "stage")
+
+
+@query("resume_gate", "S12", """
+SELECT count(*) AS target, count(*) AS profiles, count(*) FILTER (stage IN ('utility_1', 'anonymized_1')) AS finished,
+  count(*) FILTER (stage IS NULL OR stage = 'inference_0') AS unfinished, count(*) FILTER (half) AS broken, count(*) FILTER (twice) AS repeats,
+  CAST(1 AS BIGINT) AS strangers, bool_and(stage IN ('utility_1', 'anonymized_1')) AS complete FROM run_states""")
+def _(t):
+    written, source = unfinished_run(t)
+    return R.resume_report(R.resume(written, source), written, source, "anonymized", 1)
+
+
 @query("latest_checkpoint", "S18", "SELECT CAST(max(c_nationkey) AS INT) AS n FROM customer")
 def _(t):
     files = t.customer.select(F.concat(F.lit("out/checkpoint_"), F.col("c_nationkey").cast("string"), F.lit(".json")).alias("file"))
