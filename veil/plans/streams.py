@@ -77,3 +77,23 @@ def _(t):
 @query("stop_decisions_stream", "T05 W01", "SELECT profile_id, config, CAST(round AS INT) AS round, stopped FROM kept_early")
 def _(t):
     return drain(C.stop_decisions(derived_stream(t, "rounds")), "append", "stops")
+
+
+# hours that a round may be late, and that a run is waited for
+LATE, PATIENCE = 1, 24
+
+
+@query("round_gaps_stream", "T05 T02", f"""
+WITH given AS (SELECT * FROM rounds WHERE NOT (profile_id % 7 = 3 AND round = 2)),
+pre AS (SELECT *, row_number() OVER (PARTITION BY profile_id, config ORDER BY round) AS k, count(*) OVER run AS n, max(epoch_ms(ts)) OVER run AS last
+  FROM given WINDOW run AS (PARTITION BY profile_id, config)),
+dec AS (SELECT *, round >= 2 AND ((privacy_score >= 0.9 AND utility_score >= 0.7) OR utility_score < 0.3
+  OR min(privacy_score) OVER (PARTITION BY profile_id, config ORDER BY round ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 0.8) AS stopped FROM pre WHERE k = round),
+kept AS (SELECT *, coalesce(max(CAST(stopped AS INT)) OVER (PARTITION BY profile_id, config ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dec)
+SELECT profile_id, config, CAST(round AS INT) AS round, stopped, false AS missing, CAST(0 AS INT) AS held FROM kept WHERE before = 0
+UNION ALL SELECT profile_id, config, CAST(max(round) + 1 AS INT), false, true, CAST(any_value(n) - count(*) AS INT) FROM dec GROUP BY profile_id, config
+HAVING NOT bool_or(stopped) AND any_value(n) > count(*)
+  AND any_value(last) + {PATIENCE * 3600000} < (SELECT max(epoch_ms(ts)) - {LATE * 3600000} FROM given)""")
+def _(t):
+    given = derived_stream(t, "rounds").filter("NOT (profile_id % 7 = 3 AND round = 2)")
+    return drain(C.timed_stop_decisions(given, f"{LATE} hours", PATIENCE * 3600), "append", "gaps")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from veil.functions.numbers import exact_mean
 from veil.sources.results import score_lines
 
 
@@ -59,7 +60,7 @@ def progress_windows(rounds: DataFrame, length: str, lateness: str | None = None
         late(rounds, lateness)
         .groupBy(F.window("ts", length), "config")
         .agg(
-            F.count(F.lit(1)).alias("rounds"), F.avg("privacy_score").alias("privacy"), F.avg("utility_score").alias("utility")
+            F.count(F.lit(1)).alias("rounds"), exact_mean("privacy_score").alias("privacy"), exact_mean("utility_score").alias("utility")
         )
         .select(F.col("window.start").alias("start"), "config", "rounds", "privacy", "utility")
     )
@@ -86,12 +87,14 @@ ROUND_OUT = T.StructType(
 )
 
 
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rounds are decided in order of their number from 1; those that arrive early wait in the state for the ones before."""
-    recent, stopped, due, flat = list(state.get) if state.exists else [[], False, 1, []]
-    recent, flat = list(recent), list(flat)
+def _advance(held: tuple, batches: Iterator[pd.DataFrame]) -> tuple[tuple, list[tuple[int, bool]], int]:
+    """State after some rows, the rounds decided by them, and the latest event time among them."""
+    recent, stopped, due, flat = held
+    recent, flat, last = list(recent), list(flat), 0
     waiting = {int(flat[i]): (flat[i + 1], flat[i + 2]) for i in range(0, len(flat), 3)}
     for rows in batches:
+        if "_ms" in rows and len(rows):
+            last = max(last, int(rows["_ms"].max()))
         for number, privacy, utility in zip(rows["round"], rows["privacy_score"], rows["utility_score"]):
             if not stopped and int(number) >= due:
                 waiting[int(number)] = (float(privacy), float(utility))
@@ -101,11 +104,20 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         recent = [*recent, privacy][-3:]
         strong = privacy >= 0.9 and utility >= 0.7
         stopped = bool(due >= 2 and (strong or min(recent) >= 0.8 or utility < 0.3))
-        out.append((key[0], key[1], due, stopped))
+        out.append((due, stopped))
         due += 1
     left = [] if stopped else [x for n, (p, u) in sorted(waiting.items()) for x in (float(n), p, u)]
-    state.update((recent, stopped, due, left))
-    yield pd.DataFrame(out, columns=["profile_id", "config", "round", "stopped"])
+    return (recent, stopped, due, left), out, last
+
+
+_FRESH = ([], False, 1, [])
+
+
+def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rounds are decided in order of their number from 1; those that arrive early wait in the state for the ones before."""
+    held, out, _ = _advance(tuple(state.get) if state.exists else _FRESH, batches)
+    state.update(held)
+    yield pd.DataFrame([(*key, *row) for row in out], columns=["profile_id", "config", "round", "stopped"])
 
 
 def stop_decisions(rounds: DataFrame) -> DataFrame:
@@ -113,3 +125,35 @@ def stop_decisions(rounds: DataFrame) -> DataFrame:
     return rounds.groupBy("profile_id", "config").applyInPandasWithState(
         _decide, ROUND_OUT, ROUND_STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+TIMED_STATE = T.StructType([*ROUND_STATE.fields, T.StructField("last", T.LongType())])
+TIMED_OUT = T.StructType([*ROUND_OUT.fields, T.StructField("missing", T.BooleanType()), T.StructField("held", T.IntegerType())])
+
+
+def timed_stop_decisions(rounds: DataFrame, lateness: str, patience_seconds: int) -> DataFrame:
+    """`stop_decisions` whose state goes: a run is over when the watermark has passed its last round by `patience_seconds`.
+
+    If rounds then still wait for one before them, that one is reported: a row with its number, missing = true, and `held`, the
+    number of rounds that waited; they stay undecided. Stopped and finished runs leave in silence. So state holds runs of the last
+    patience + lateness only. Rows later than `lateness` are dropped, and rows of a run that is over open a new one.
+    """
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            *_, due, flat, _ = state.get
+            state.remove()
+            out = [(*key, due, False, True, len(flat) // 3)] if flat else []
+        else:
+            *held, last = tuple(state.get) if state.exists else (*_FRESH, 0)
+            held, decided, now = _advance(tuple(held), batches)
+            last = max(last, now)
+            state.update((*held, last))
+            state.setTimeoutTimestamp(max(last + patience_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+            out = [(*key, *row, False, 0) for row in decided]
+        yield pd.DataFrame(out, columns=TIMED_OUT.names)
+
+    stream = late(rounds, lateness).withColumn("_ms", F.unix_millis("ts"))
+    return stream.groupBy("profile_id", "config").applyInPandasWithState(
+        decide, TIMED_OUT, TIMED_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
