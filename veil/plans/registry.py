@@ -73,6 +73,7 @@ def load() -> dict[str, Entry]:
         catalogue,
         evaluation,
         masking,
+        ordered,
         privacy,
         prompts,
         quality,
