@@ -113,3 +113,24 @@ def test_toxicity_on_held_out_rows(spark):
     y, s, p = held(spark, "op9_toxicity", "toxic", 3, 1)
     assert auc(y, s) > 0.95
     assert np.mean([b for a, b in zip(y, p) if a == 0]) < 0.01
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark, monkeypatch):
+    """A doc_id that occurs very often among the labelled brings one list of features to the driver."""
+    often = spark.range(200_000).selectExpr("CASE WHEN id < 199000 THEN 7 ELSE id END AS doc_id", "concat('word ', id % 3, ' thing') AS text")
+    labels = often.select("doc_id").distinct().selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS toxic")
+    seen = []
+    learn = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda rows, y, *a: seen.append(len(rows)) or learn(rows, y, *a))
+    toxicity.fit(often, labels, sample=100)
+    toxicity.fit(often.unionByName(often.limit(10)), labels.filter("doc_id = 7"))
+    assert seen == [100, 1]
+
+
+def test_texts_over_the_feature_bound_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 60)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(200 if i == 3 else 4))) for i in range(20)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda rows, y, *a: seen.append([len(r) for r in rows]) or toxicity.Weights(np.zeros(0, int), np.zeros(0)))
+    toxicity.fit(docs, docs.selectExpr("doc_id", "1 AS toxic"))
+    assert 0 < sum(seen[0]) <= 60 and max(seen[0]) < 60

@@ -1,6 +1,6 @@
 """Licence scans by canonical digests.
 
-A unit of text is brought to a canonical form: lines that only state a copyright are left out, letters A-Z are lowered,
+A unit of text is brought to a canonical form: lines that state a copyright are left out (lines end at a line feed), letters A-Z are lowered,
 spellings that licences use for the same word are made one, and punctuation and white space become one space. The
 digest of the whole form is then joined to the digests of known licences brought to the same form. Units are whole
 documents and every single line of them, so a document that is a licence and one that carries a notice are both found.
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from veil.llm.licence_texts import KNOWN
 
-#: A line that only states a copyright.
-COPYRIGHT = r"(?m)^[ \t]*(?:[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|\([Cc]\)|©)[^\n]*$"
+#: A line that states a copyright: the word before a sign, a year or a place for one, or a sign before a year. Comment leaders
+#: may come first. Other lines that begin with the word, or with the third item "(c)" of a list, are text, as is a blank to fill in.
+_YEAR = r"(?:[12][0-9]{3}|[<\[{(]\s?(?:year|years|yyyy|date|dates)\b)"
+COPYRIGHT = rf"(?i)(^|\n)[ \t#*/;%!>|-]*(?:copyright[ \t:]*(?:(?:\(c\)|©|&copy;)[ \t]*[^_ \t\n]|{_YEAR})|(?:\(c\)|©)[ \t]*{_YEAR})[^\n]*"
 #: ASCII punctuation, control characters and white space, and typographic quotes and dashes.
 PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F‐-―‘-‟• ]+"
 #: Spellings of one word; applied to whole words of the form, in this order.
@@ -39,7 +41,7 @@ SPELLINGS = (
 
 
 def canonical(text: Column) -> Column:
-    bare = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, ""), ascii_uppercase, ascii_lowercase)
+    bare = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, "$1"), ascii_uppercase, ascii_lowercase)
     form = F.concat(F.lit(" "), F.regexp_replace(bare, PUNCTUATION, " "), F.lit(" "))
     for other, one in SPELLINGS:
         form = F.replace(form, F.lit(f" {other} "), F.lit(f" {one} "))
@@ -104,12 +106,12 @@ def oracle_sql(known: Mapping[str, tuple[str, ...]] = KNOWN) -> str:
     """The same scan for DuckDB."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ",\n".join(f"({quote(n)}, {quote(t)})" for n, ts in known.items() for t in ts)
-    form = f"' ' || regexp_replace(translate(regexp_replace(coalesce(text, ''), {quote(COPYRIGHT)}, '', 'g'), {quote(ascii_uppercase)}, {quote(ascii_lowercase)}), {quote(PUNCTUATION)}, ' ', 'g') || ' '"
+    form = f"' ' || regexp_replace(translate(regexp_replace(coalesce(text, ''), {quote(COPYRIGHT)}, '\\1', 'g'), {quote(ascii_uppercase)}, {quote(ascii_lowercase)}), {quote(PUNCTUATION)}, ' ', 'g') || ' '"
     for other, one in SPELLINGS:
         form = f"replace({form}, {quote(f' {other} ')}, {quote(f' {one} ')})"
     form = f"trim(regexp_replace({form}, ' +', ' ', 'g'))"
     return f"""
-        WITH known_texts(licence, text) AS (VALUES {values}),
+        WITH known_texts(licence, text) AS (VALUES {values} UNION ALL SELECT licence, text FROM read_parquet({quote(str(files("veil.llm") / FULL_TEXTS))})),
         known AS (SELECT DISTINCT licence, sha256({form}) AS digest FROM known_texts WHERE {form} <> ''),
         docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
         whole AS (SELECT r, doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM (SELECT r, doc_id, {form} AS form FROM docs)),

@@ -27,7 +27,7 @@ from veil.llm.common import column, small_batches, texts_of, written
 
 #: Most labelled rows that the weights are fitted on; the sample is the same in every run.
 SAMPLE = 20_000
-#: Most features of all rows that the driver takes, 4 bytes each; the sample ends where they are reached.
+#: Most features of all rows that the driver takes, 4 bytes each; the sample ends where they are reached, and a longer text is none of it.
 FEATURES = 40_000_000
 #: Hash buckets; the first is the intercept.
 BUCKETS = 1 << 21
@@ -110,24 +110,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     # the join moves the labels, one small bounded table, and no texts
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("_o"), "doc_id", "_y", "text")
     rows = written(small_batches(labelled).mapInArrow(run, "_o long, doc_id long, _y int, n long, at binary"), "toxicity-sample")
-    # one small row per sampled document; texts so long that their features pass the bound shorten the sample
-    sizes = rows.groupBy("_o", "doc_id").agg(F.max("n").alias("n")).toArrow().to_pylist()
+    # one row per sampled document, however often its doc_id occurs: of its rows the one with the least features in order
+    one = rows.groupBy("_o", "doc_id").agg(F.min(F.struct("at", "n", "_y")).alias("b")).select("_o", "doc_id", "b.at", "b.n", "b._y")
+    one = written(one.filter(F.col("n") <= FEATURES), "toxicity-documents")
     taken, last = 0, None
-    for r in sorted(sizes, key=lambda r: (r["_o"], r["doc_id"])):
+    for r in sorted(one.select("_o", "doc_id", "n").toArrow().to_pylist(), key=lambda r: (r["_o"], r["doc_id"])):
         taken += r["n"]
-        if taken > FEATURES and last is not None:
+        if taken > FEATURES:
             break
-        last = r["_o"]
+        last = (r["_o"], r["doc_id"])
     if last is None:
         return learn([], np.zeros(0))
-    got = rows.filter(F.col("_o") <= last).select("_o", "doc_id", "_y", "at").toArrow()
-    # of rows that repeat a doc_id, the one with the least features in order counts
-    best: dict[tuple[int, int], tuple[bytes, int]] = {}
-    for o, doc, y, at in zip(*(got[c].to_pylist() for c in ("_o", "doc_id", "_y", "at"))):
-        if (o, doc) not in best or at < best[o, doc][0]:
-            best[o, doc] = (at, y)
-    order = sorted(best)
-    return learn([np.frombuffer(best[k][0], "<i4") for k in order], np.array([best[k][1] for k in order], np.float64))
+    own = (F.col("_o") < last[0]) | ((F.col("_o") == last[0]) & (F.col("doc_id") <= last[1]))
+    got = one.filter(own).orderBy("_o", "doc_id").select("at", "_y").toArrow()
+    return learn([np.frombuffer(x, "<i4") for x in got["at"].to_pylist()], np.array(got["_y"].to_pylist(), np.float64))
 
 
 def scored(docs: DataFrame, weights: Weights, text: str = "text", out: str = "score") -> DataFrame:
