@@ -175,6 +175,70 @@ def test_pii_query_over_the_table(spark):
         assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
 
 
+def card(rng, valid):
+    """Sixteen digits in groups of four that pass the check sum, or don't."""
+    while True:
+        digits = "".join(rng.choice("0123456789") for _ in range(16))
+        if pii.luhn(digits) == valid:
+            return " ".join(digits[i : i + 4] for i in range(0, 16, 4))
+
+
+def test_skip_factors_carry_a_label(spark):
+    """Of sixteen digits the groups alone say little: only a card elsewhere in the document makes a copy with a wrong digit one."""
+    rng = random.Random(4)
+    field = pii.fit(spark.createDataFrame([(f"pay {card(rng, i % 2 == 0)} now and {card(rng, i % 2 == 0)} then",) for i in range(400)], "text string"))
+    without = pii.Field(field.shape, field.adjacent, np.zeros_like(field.skip))
+    own = card(rng, True)
+    wrong = own[:-1] + str((int(own[-1]) + 1) % 10)
+    far = f"card {own} , " + "then some words " * 50
+    for text, expected in ((far + f"again {wrong} end", True), (far + f"again {card(rng, False)} end", False)):
+        base = pii.base_spans(text)
+        assert [text[a:b] for _, a, b in base] == [own]
+        added = [text[a:b] for _, a, b in pii.added_spans([text], [base], field)[0]]
+        assert bool(added) == expected and all(x in wrong and len(x) >= 9 for x in added)
+        assert pii.added_spans([text], [base], without) == [[]]
+
+
+def test_keys_are_of_entities():
+    def linked(text):
+        t = pii.tokens_of(text, pii.base_spans(text))
+        return {(text[t.start[a] : t.end[a]], text[t.start[b] : t.end[b]]) for a, b in t.skips}
+
+    assert linked("bob.smith42@mail8.example.com x Bob.Smith42@mail8") == {("bob.smith42@mail8.example.com", "Bob.Smith42@mail8")}
+    assert linked("10.0.0.1 x 10.0.0.1. x 10.0.0.2") == {("10.0.0.1", "10.0.0.1.")}
+    cards = linked("4111 1111 1111 1111 x 4111 1111 1111 1112")
+    assert cards == {("4111", "4111"), ("1111", "1111"), ("1111", "1112")} and not linked("4111 1111 1111 1111 x 5222 2222 2222 2222")
+    assert ("2485", "555-2485") in linked("+1 988 555 2485 x (988) 555-2485")
+    many = pii.tokens_of("a1@b " * 40, [])
+    assert len(many.skips) == 39 + 38 and {a for a, _ in many.skips} == set(range(39))
+
+
+def test_no_cut_in_long_documents(spark):
+    """Far occurrences, many spans over one token, and tokens late in a document all count."""
+    far = "start q7@z.example.com " + " ".join(f"w{i} gap" for i in range(400)) + " end q7@z"
+    t = pii.tokens_of(far, pii.base_spans(far))
+    assert (0, len(t.label) - 1) in t.skips
+    glued = ",".join(f"a{i}@b.co" for i in range(12))
+    assert pii.tokens_of("x" + glued, [(0, 500, 501)] * 9 + [(3, 60, 64)]).label == [3]
+    unary = np.zeros((41, pii.LABELS))
+    unary[0, 2] = 40.0
+    edges = np.array([(i, i + 1) for i in range(40)])
+    pair = np.repeat(np.diag([30.0] * pii.LABELS)[None], 40, 0)
+    assert pii.marginals(unary, edges, pair).argmax(1).tolist() == [2] * 41  # 40 links away
+    assert pii._clear_of([(0, 4), (2, 9), (20, 22)], [(0, 1, 3), (1, 8, 12), (2, 9, 12), (3, 19, 21), (0, 22, 30)]) == [(2, 9, 12), (0, 22, 30)]
+
+
+def test_training_reads_whole_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda docs: seen.append([len(d[1]) for d in docs]) or pii.empty_field())
+    docs = spark.createDataFrame([(f"doc{i} " + "7 " * 399,) for i in range(30)] + [("9 " * 9000,)], "text string")
+    pii.fit(docs)
+    assert sorted(seen[0]) == [400] * 30 + [9000]
+    monkeypatch.setattr(pii, "SAMPLE_TOKENS", 2000)
+    pii.fit(docs)
+    assert seen[1] == [400] * 5
+
+
 def test_licence_spellings(spark):
     mit = licences.KNOWN["MIT"][1]
     british = "Copyright (c) 2020 Some One\n" + mit.replace("license", "licence").replace("sublicense", "sub-licence").upper()

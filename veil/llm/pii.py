@@ -3,12 +3,13 @@
 The patterns find e-mail addresses, IP addresses, card and phone numbers. The field then labels every token that
 has a digit or an at sign (all other tokens are fixed to "none"; they cut the chain into segments that don't depend on
 each other). Its factors are: the shape of a token and of its neighbours, the labels of adjacent tokens, and the
-labels of distant tokens with the same or a similar form, each joined to its next occurrence, so a
-form that occurs k times has k - 1 skip factors. Labels are inferred by loopy sum-product messages over all segments of
-a batch of documents at once. Tokens that patterns found are clamped to their label; where the field is sure that other
+labels of distant tokens of the same or a similar entity: addresses with one local part, numbers (over all adjacent number tokens) that
+begin or end with the same digits, dotted numbers of the same parts. Each occurrence is joined to the one before and to the
+first, so a label reaches all of them in two steps. Labels are inferred by loopy sum-product messages over all segments of
+a batch of documents at once, until none changes. Tokens that patterns found are clamped to their label; where the field is sure that other
 tokens belong to an entity, their span is added. Base spans always stay, and no added span overlaps one.
 
-The factors are trained piecewise on the base labels of a bounded sample: shapes by multinomial logistic regression, the
+The factors are trained piecewise on the base labels of a bounded sample of whole documents: shapes by multinomial logistic regression, the
 labels of adjacent and of similar tokens from how often they go together.
 
 A null text counts as empty and has no spans. Positions are code points, end exclusive. Rows are independent of each
@@ -17,6 +18,7 @@ other; other columns pass through. An empty table gives an empty result and trai
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm.common import column, small_batches, texts_of
+from veil.llm.common import column, small_batches, texts_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 LABELS = NONE + 1
 
-#: Most documents of the training sample, and most tokens of one of them.
-SAMPLE, SAMPLE_TOKENS = 4_000, 256
-#: Marginal probability from which a span is added; rounds of messages, and how much of an old message stays.
-SURE, ROUNDS, DAMPING = 0.9, 15, 0.3
+#: Most documents of the training sample, and most tokens of all of them; the sample ends with the last whole document that fits.
+SAMPLE, SAMPLE_TOKENS = 4_000, 300_000
+#: Marginal probability from which a span is added; how much of an old message stays, and the change that counts as none.
+SURE, DAMPING, STILL = 0.9, 0.3, 1e-6
+#: From this round on steps shrink by this factor, so messages that would go in circles come to rest.
+CALM, SHRINK = 60, 0.95
 #: Skip factors favour equal labels by at most this much (log odds), so a shape that is clear is not outvoted.
 SKIP_MOST = 3.0
 
@@ -98,12 +102,37 @@ def _shape(token: str) -> list[float]:
     ]
 
 
-def key_of(token: str) -> str:
-    """Tokens with one key are joined by a skip factor: the same address or name, or numbers that end alike."""
-    if "@" in token:
-        return token.lower().strip(".,;:()<>[]\"'")
-    digits = _DIGIT.sub("", token)
-    return "#" + digits[-7:] if len(digits) >= 7 else ""
+_NUMBER = re.compile(r"[+(]*[0-9][0-9().+-]*")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+
+
+def keys_of(tokens: list[str], adjacent: list[bool]) -> list[list[str]]:
+    """Per token, what it is similar by; tokens that share a key are joined by skip factors.
+
+    An address goes by its local part, a dotted number by its parts. Adjacent number tokens are one number: if it has ten digits or
+    more it goes by its first eight and by its last seven, each with the token's place from that end.
+    """
+    bare = [t.strip(".,;:!?()<>[]{}\"'") for t in tokens]
+    keys: list[list[str]] = [[] for _ in tokens]
+    i = 0
+    while i < len(tokens):
+        if "@" in tokens[i]:
+            local, _, domain = bare[i].lower().rpartition("@")
+            keys[i].append(f"@{local or domain}")
+        elif _DOTTED.fullmatch(bare[i]):
+            keys[i].append(f".{bare[i]}")
+        elif _NUMBER.fullmatch(bare[i]):
+            j = i + 1
+            while j < len(tokens) and adjacent[j] and _NUMBER.fullmatch(bare[j]) and not _DOTTED.fullmatch(bare[j]):
+                j += 1
+            digits = _DIGIT.sub("", "".join(bare[i:j]))
+            if len(digits) >= 10:
+                for k in range(i, j):
+                    keys[k] += [f"^{digits[:8]}:{k - i}", f"#{digits[-7:]}:{j - k}"]
+            i = j
+            continue
+        i += 1
+    return keys
 
 
 @dataclass
@@ -127,8 +156,11 @@ def tokens_of(text: str, base: list[tuple[int, int, int]]) -> Tokens:
     for i, (s, e, _) in enumerate(found):
         while at < len(spans) and spans[at][1] <= s:
             at += 1
-        for a, b, k in spans[at : at + 8]:
-            if a < e and b > s:
+        for j in range(at, len(spans)):
+            a, b, k = spans[j]
+            if a >= e:
+                break
+            if b > s:
                 label[i] = k
                 break
     shapes = [_shape(t) for _, _, t in found]
@@ -137,16 +169,17 @@ def tokens_of(text: str, base: list[tuple[int, int, int]]) -> Tokens:
         before = shapes[i - 1] if adjacent[i] else None
         after = shapes[i + 1] if i + 1 < len(found) and adjacent[i + 1] else None
         rows.append([*own, before is not None, bool(before and before[3]), bool(before and before[18]), after is not None, bool(after and after[18]), bool(after and after[19])])
+    first: dict[str, int] = {}
     last: dict[str, int] = {}
-    skips = []
-    for i, (_, _, t) in enumerate(found):
-        key = key_of(t)
-        if key:
+    skips: set[tuple[int, int]] = set()
+    for i, keys in enumerate(keys_of([t for _, _, t in found], adjacent)):
+        for key in keys:
             if key in last:
-                skips.append((last[key], i))
+                skips |= {(last[key], i), (first[key], i)}
+            first.setdefault(key, i)
             last[key] = i
     features = np.array(rows, np.float64).reshape(len(found), FEATURES)
-    return Tokens([f[0] for f in found], [f[1] for f in found], label, features, [(i - 1, i) for i in range(1, len(found)) if adjacent[i]], skips)
+    return Tokens([f[0] for f in found], [f[1] for f in found], label, features, [(i - 1, i) for i in range(1, len(found)) if adjacent[i]], sorted(skips))
 
 
 _CANDIDATE = re.compile(r"[0-9@]")
@@ -197,8 +230,11 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], ste
     return Field(w, np.clip(together(2), -4, 4), np.diag(np.maximum(skip, 1.0)))
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy sum-product: `unary` n x labels, `edges` m x 2, `pair` m x labels x labels, all as logarithms."""
+def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Loopy sum-product: `unary` n x labels, `edges` m x 2, `pair` m x labels x labels, all as logarithms.
+
+    Messages go on until none changes, or for `rounds`. A chain is passed from end to end before steps shrink.
+    """
     if not len(edges):
         b = unary - unary.max(1, keepdims=True)
         p = np.exp(b)
@@ -208,16 +244,25 @@ def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: in
     m = len(edges)
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
     messages = np.zeros((2 * m, unary.shape[1]))
-    for _ in range(rounds):
+    # steps shrink only when a message could have gone along the longest run of adjacent tokens
+    near = np.unique(edges[edges[:, 1] == edges[:, 0] + 1, 0])
+    breaks = np.flatnonzero(np.diff(near) > 1)
+    longest = int(np.diff(np.concatenate([[-1], breaks, [len(near) - 1]])).max(initial=0))
+    step, calm = 1 - DAMPING, max(CALM, longest)
+    for turn in itertools.count():
+        if turn == rounds:
+            break
+        if turn >= calm:
+            step *= SHRINK
         belief = unary.copy()
         np.add.at(belief, dst, messages)
         cavity = belief[src] - messages[back]
         cavity -= cavity.max(1, keepdims=True)
         new = np.log(np.einsum("ea,eab->eb", np.exp(cavity), table) + 1e-300)
         new -= new.max(1, keepdims=True)
-        if np.abs(new - messages).max() < 1e-6:
+        if step * np.abs(new - messages).max() < STILL:
             break
-        messages = DAMPING * messages + (1 - DAMPING) * new
+        messages = (1 - step) * messages + step * new
     belief = unary.copy()
     np.add.at(belief, dst, messages)
     belief -= belief.max(1, keepdims=True)
@@ -258,7 +303,7 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field
             elif s < e:
                 spans.append((kind, s, e))
             open_kind = kind
-        out.append([x for x in spans if not _overlaps(taken, x[1], x[2])])
+        out.append(_clear_of(taken, spans))
     return out
 
 
@@ -270,8 +315,16 @@ def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-def _overlaps(taken: list[tuple[int, int]], s: int, e: int) -> bool:
-    return any(a < e and b > s for a, b in taken)
+def _clear_of(taken: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of `spans` by start, those that overlap none of `taken` (sorted); one sweep over both."""
+    out, at, reach = [], 0, 0
+    for kind, s, e in spans:
+        while at < len(taken) and taken[at][0] <= s:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= s and (at == len(taken) or taken[at][0] >= e):
+            out.append((kind, s, e))
+    return out
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
@@ -282,23 +335,30 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
             rows = []
             for text in texts_of(batch, "text"):
                 t = tokens_of(text, base_spans(text))
-                n = min(len(t.label), SAMPLE_TOKENS)
-                inside = lambda pairs: [x for p in pairs if p[1] < n for x in p]
-                rows.append((t.features[:n].astype("<f4").tobytes(), t.label[:n], inside(t.chain), inside(t.skips)))
-            cols = list(zip(*rows)) if rows else [(), (), (), ()]
+                flat = lambda pairs: [x for p in pairs for x in p]
+                rows.append((len(t.label), t.features.astype("<f4").tobytes(), t.label, flat(t.chain), flat(t.skips)))
+            cols = list(zip(*rows)) if rows else [()] * 5
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "_o"), pa.array(cols[0], pa.binary()), pa.array(cols[1], ints), pa.array(cols[2], ints), pa.array(cols[3], ints)],
-                ["_o", "x", "y", "chain", "skips"],
-            )
+            types = (pa.int64(), pa.binary(), ints, ints, ints)
+            yield pa.RecordBatch.from_arrays([column(batch, "_o"), *(pa.array(c, t) for c, t in zip(cols, types))], ["_o", "n", "x", "y", "chain", "skips"])
 
     some = docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("_o"), "text")
-    cut = some.withColumn("_o", F.col("_o"))
-    order = cut.select("_o").distinct().orderBy("_o").limit(sample).agg(F.max("_o")).first()[0]
+    order = some.select("_o").distinct().orderBy("_o").limit(sample).agg(F.max("_o")).first()[0]
     if order is None:
         return empty_field()
-    rows = small_batches(cut.filter(F.col("_o") <= order)).mapInArrow(run, "_o long, x binary, y array<int>, chain array<int>, skips array<int>")
-    got = rows.groupBy("_o").agg(F.min(F.struct("x", "y", "chain", "skips")).alias("d")).orderBy("_o").select("d.*").toArrow().to_pylist()
+    rows = small_batches(some.filter(F.col("_o") <= order)).mapInArrow(run, "_o long, n long, x binary, y array<int>, chain array<int>, skips array<int>")
+    # of equal texts one; whole documents, up to the bound on all their tokens
+    one = rows.groupBy("_o").agg(F.min(F.struct("n", "x", "y", "chain", "skips")).alias("d")).select("_o", "d.*").filter(F.col("n") <= SAMPLE_TOKENS)
+    one = written(one, "pii-sample")
+    taken, last = 0, None
+    for r in one.select("_o", "n").orderBy("_o").collect():  # `sample` rows at most
+        taken += r["n"]
+        if taken > SAMPLE_TOKENS:
+            break
+        last = r["_o"]
+    if last is None:
+        return empty_field()
+    got = one.filter(F.col("_o") <= last).orderBy("_o").toArrow().to_pylist()
     pairs = lambda v: np.array(v, np.int64).reshape(-1, 2)
     return train([(np.frombuffer(g["x"], "<f4").reshape(-1, FEATURES).astype(np.float64), np.array(g["y"], np.int64), pairs(g["chain"]), pairs(g["skips"])) for g in got])
 
