@@ -108,21 +108,22 @@ def strategy_order(role: str, strategy: str, seed: int = 0) -> list[Column]:
         "cost_optimized": F.asc("cost_in"),
         "balanced": (score / (F.col("cost_in") + F.col("cost_out") + 0.01)).desc(),
         "round_robin": F.asc("role_calls"),
-        "random": F.rand(seed).asc(),
+        # a hash in place of a random number: the same choice in every run and on every cluster
+        "random": F.md5(F.concat(F.lit(f"{seed}:"), F.col("model_id").cast("string"))).asc(),
     }
     # the candidate list is ranked by role score before a strategy looks at it
     return [orders[strategy], F.desc(f"{role}_score"), F.asc("ordinal")]
 
 
 def select_for_role(
-    cards: DataFrame, role: str, strategy: str, usage: DataFrame | None = None, used_providers: Sequence[str] = ()
+    cards: DataFrame, role: str, strategy: str, usage: DataFrame | None = None, used_providers: Sequence[str] = (), seed: int = 0
 ) -> DataFrame:
-    """One row: the model a strategy picks for a role. `usage` counts calls per (model_id, role)."""
+    """One row: the model a strategy picks for a role. `usage` counts calls per (model_id, role); `seed` varies the random strategy."""
     pool = cards.filter(~F.col("provider").isin(list(used_providers))) if used_providers else cards
     if strategy == "round_robin":
         calls = usage.filter(F.col("role") == role).groupBy("model_id").agg(F.count(F.lit(1)).alias("role_calls"))
         pool = pool.join(calls, "model_id", "left").fillna({"role_calls": 0})
-    return pool.orderBy(*strategy_order(role, strategy)).limit(1)
+    return pool.orderBy(*strategy_order(role, strategy, seed)).limit(1)
 
 
 def heterogeneous_triple(cards: DataFrame) -> DataFrame:

@@ -238,7 +238,34 @@ def _(t):
     return pairs.select("doc_id", F.size(A.detected_changes(F.col("original"), F.col("adapted"))).alias("changes"))
 
 
-@query("general_line_changes", "X15", rows_only="a positional state machine; golden rows in the tests")
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+_PIECES = """list_concat(list_concat(CASE WHEN regexp_matches({0}, '^\\s') THEN [''] ELSE [] END, regexp_extract_all({0}, '\\s+|\\S+')),
+  CASE WHEN regexp_matches({0}, '\\s$') THEN [''] ELSE [] END)"""
+_DIFFERS = f"r.so <> '' AND r.sa <> '' AND {_strip('r.so')} <> {_strip('r.sa')}"
+_STOP = f"(regexp_matches(p.o, '^[\\s.,!?;:]+$') OR regexp_matches(p.a, '^[\\s.,!?;:]+$')) AND {_strip('r.so || p.o')} <> '' AND {_strip('r.sa || p.a')} <> ''"
+
+# one step of the recursion is one place in all lines
+@query("general_line_changes", "X15", f"""
+WITH RECURSIVE both AS (SELECT doc_id, unnest(list_zip(string_split(original, chr(10)), string_split(adapted, chr(10)), range(1, len(string_split(original, chr(10))) + 1))) AS z FROM text_pairs),
+lines AS (SELECT doc_id, z[3] AS n, z[1] AS o, z[2] AS a FROM both WHERE z[1] IS NOT NULL AND z[2] IS NOT NULL AND z[2] <> '' AND z[1] <> z[2]),
+split AS (SELECT doc_id, n, {_PIECES.format('o')} AS po, {_PIECES.format('a')} AS pa FROM lines),
+pieces AS (SELECT doc_id, n, unnest(range(1, least(len(po), len(pa)) + 1)) AS i, unnest(po[:least(len(po), len(pa))]) AS o, unnest(pa[:least(len(po), len(pa))]) AS a,
+  least(len(po), len(pa)) AS last FROM split),
+r AS (
+ SELECT doc_id, n, CAST(0 AS BIGINT) AS i, '' AS so, '' AS sa, CAST(NULL AS VARCHAR) AS io, CAST(NULL AS VARCHAR) AS ia, false AS done FROM split
+ UNION ALL
+ SELECT r.doc_id, r.n, p.i, CASE WHEN p.o = p.a THEN CASE WHEN {_DIFFERS} THEN '' ELSE r.so END ELSE CASE WHEN {_STOP} THEN '' ELSE r.so || p.o END END,
+  CASE WHEN p.o = p.a THEN CASE WHEN {_DIFFERS} THEN '' ELSE r.sa END ELSE CASE WHEN {_STOP} THEN '' ELSE r.sa || p.a END END,
+  CASE WHEN p.o = p.a THEN CASE WHEN {_DIFFERS} THEN r.so END ELSE CASE WHEN {_STOP} THEN r.so || p.o END END,
+  CASE WHEN p.o = p.a THEN CASE WHEN {_DIFFERS} THEN r.sa END ELSE CASE WHEN {_STOP} THEN r.sa || p.a END END, p.i = p.last
+ FROM r JOIN pieces p ON p.doc_id = r.doc_id AND p.n = r.n AND p.i = r.i + 1),
+found AS (SELECT doc_id, {_strip('io')} AS original, {_strip('ia')} AS anonymized FROM r WHERE io IS NOT NULL
+ UNION ALL SELECT doc_id, {_strip('so')}, {_strip('sa')} FROM r WHERE done AND {_DIFFERS})
+SELECT doc_id, original, anonymized FROM found
+WHERE length(original) > 3 AND length(anonymized) > 3 AND original <> anonymized AND abs(length(original) - length(anonymized)) > 1""")
 def _(t):
     c = A.line_changes(F.col("original"), F.col("adapted"))
     return t.text_pairs.withColumn("c", F.explode_outer(c)).filter("c IS NOT NULL").select("doc_id", "c.original", "c.anonymized")

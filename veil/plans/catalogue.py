@@ -72,10 +72,18 @@ def _(t):
     return out
 
 
-@query("random_role_selection", "O04", "SELECT count(*) AS picked, true AS known FROM (SELECT 1 FROM model_cards LIMIT 1) x")
+_SEEDS = range(6)
+
+
+@query("random_role_selection", "O04", " UNION ALL ".join(f"""
+SELECT * FROM (SELECT CAST({n} AS INT) AS seed, model_id FROM cards ORDER BY md5(concat('{n}:', CAST(model_id AS VARCHAR))), defender_score DESC, ordinal LIMIT 1) s{n}"""
+    for n in _SEEDS))
 def _(t):
-    pick = C.select_for_role(cards(t), "defender", "random")
-    return pick.join(t.model_cards.select("model_id"), "model_id").agg(F.count(F.lit(1)).alias("picked"), (F.count(F.lit(1)) == 1).alias("known"))
+    out = None
+    for n in _SEEDS:
+        pick = C.select_for_role(cards(t), "defender", "random", seed=n).select(F.lit(n).alias("seed"), "model_id")
+        out = pick if out is None else out.unionByName(pick)
+    return out
 
 
 @query("heterogeneous_triple", "O05", """
