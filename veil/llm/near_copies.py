@@ -21,6 +21,7 @@ an empty result. Tables that are written on the way are deleted again when the a
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,9 @@ SHARE, OFTEN, FREQUENT = 8, 3, 1 << 20
 #: Row numbers that are sent to all tasks at most; more are joined by a shuffle.
 SENT = 1_000_000
 #: Texts that are compared with one text in one go.
-BLOCK = 4096
+BLOCK = 256
+#: Rounds go on while at least one of so many pairs links.
+WORTH = 8
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -56,6 +59,7 @@ def shingler():
     """A function from a text to its shingles as sorted distinct integers; it remembers words."""
     known = _Words()
     odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+    start = odd[:1].repeat(SHINGLE + 1).cumsum(dtype=np.uint64)  # another one for each width
 
     def shingles(text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
@@ -64,7 +68,7 @@ def shingler():
         if not width:
             return h
         n = len(words) - width + 1
-        x = h[:n] + odd[0] * np.uint64(width)
+        x = h[:n] + start[width]
         for k in range(1, width):
             x = x * odd[1] + h[k : k + n]
         x ^= x >> np.uint64(29)
@@ -75,11 +79,11 @@ def shingler():
     return shingles
 
 
-def near(a: np.ndarray, b: np.ndarray) -> bool:
-    if OF * min(len(a), len(b)) < LEAST * max(len(a), len(b)):
-        return False
+def similarity(a: np.ndarray, b: np.ndarray) -> tuple[bool, float]:
+    """Whether two sets are near, and their Jaccard distance."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return OF * both >= LEAST * (len(a) + len(b) - both)
+    every = len(a) + len(b) - both
+    return OF * both >= LEAST * every, 1 - both / every if every else 0.0
 
 
 def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -150,7 +154,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """`pairs` (a, b: row numbers) with `near`. Each text is sent to the text that it is compared with, whose set is made once."""
+    """`pairs` (a, b: row numbers) with `near` and their distance `d`. Each text is sent to the text that it is compared with, whose set is made once."""
     with scratch(docs.sparkSession):
         pairs = written(pairs, "pairs")
         blocks = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "blocks")
@@ -172,11 +176,12 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     if a is None:
                         centre = own
                     else:
-                        out.append((a, b, near(centre, own)))
-                cols = list(zip(*out)) if out else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "near"])
+                        out.append((a, b, *similarity(centre, own)))
+                cols = list(zip(*out)) if out else [(), (), (), ()]
+                types = (pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["a", "b", "near", "d"])
 
-        return written(small_batches(both).mapInArrow(run, "a long, b long, near boolean"), "compared", keep=True)
+        return written(small_batches(both).mapInArrow(run, "a long, b long, near boolean, d double"), "compared", keep=True)
 
 
 def _may_be_near(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -193,14 +198,18 @@ def _open(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return written(placed.join(written(several, "several"), "h"), "open")
 
 
-def _next_pairs(open_rows: DataFrame, tested: DataFrame) -> DataFrame:
-    """(a, b): for each group, a member and a member of another group that share most shingles and weren't compared."""
+def _next_pairs(open_rows: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+    """(a, b): for each group, a member and a member of another group that share most shingles and weren't compared.
+
+    The other group is the largest with that shingle and about that size. Who stands for a group changes from turn to turn by a hash.
+    """
     one = F.struct("row", "n", "i")
     size = F.floor(F.ln(F.col("x.n").cast("double")) / F.lit(float(np.log(OF / LEAST)))).cast("int")
-    groups = written(open_rows.groupBy("h", "root").agg(F.min(one).alias("x")).withColumn("size", size), "groups")
-    firsts = written(groups.groupBy("h", "size").agg(F.min(F.struct("root", "x")).alias("y")), "firsts")
-    met = groups.join(firsts, ["h", "size"]).filter(
-        (F.col("root") > F.col("y.root")) & _may_be_near(F.col("x.n"), F.col("x.i"), F.col("y.x.n"), F.col("y.x.i"))
+    some = F.min_by(one, F.xxhash64("row", F.lit(turn))).alias("x")
+    groups = written(open_rows.groupBy("h", "root").agg(some, F.count("*").alias("c")).withColumn("size", size), "groups")
+    firsts = groups.groupBy("h", "size").agg(F.max_by(F.struct("root", "x"), F.struct("c", F.xxhash64("root", F.lit(turn)))).alias("y"))
+    met = groups.join(written(firsts, "firsts"), ["h", "size"]).filter(
+        (F.col("root") != F.col("y.root")) & _may_be_near(F.col("x.n"), F.col("x.i"), F.col("y.x.n"), F.col("y.x.i"))
     )
     met = met.select("root", F.greatest("x.row", "y.x.row").alias("a"), F.least("x.row", "y.x.row").alias("b"))
     counted = met.groupBy("root", "a", "b").agg(F.count("*").alias("c")).join(tested, ["a", "b"], "left_anti")
@@ -208,8 +217,8 @@ def _next_pairs(open_rows: DataFrame, tested: DataFrame) -> DataFrame:
     return best.select("p.a", "p.b").distinct()
 
 
-def _other_pairs(open_rows: DataFrame, tested: DataFrame) -> DataFrame:
-    """(a, b): all pairs of rows in different groups that share a shingle, may be near and weren't compared."""
+def _meetings(open_rows: DataFrame) -> DataFrame:
+    """(h, proot, qroot): groups that share a shingle and by sizes and places may hold a near pair."""
     sides = open_rows.groupBy("h", "root").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("left")
     )
@@ -220,18 +229,44 @@ def _other_pairs(open_rows: DataFrame, tested: DataFrame) -> DataFrame:
         & (F.col("pmost") * OF >= F.col("qleast") * LEAST) & (F.col("qmost") * OF >= F.col("pleast") * LEAST)
         & (F.least("pleft", "qleft") * (LEAST + OF) >= (F.col("pleast") + F.col("qleast")) * LEAST)
     )
-    meet = p.join(q, (p["h"] == q["h"]) & able).select(p["h"], "proot", "qroot")
-    left = open_rows.select("h", F.col("root").alias("proot"), F.col("row").alias("r"), F.col("n").alias("rn"), F.col("i").alias("ri"))
-    right = open_rows.select("h", F.col("root").alias("qroot"), F.col("row").alias("s"), F.col("n").alias("sn"), F.col("i").alias("si"))
-    first = meet.join(left, ["h", "proot"])
+    return written(p.join(q, (p["h"] == q["h"]) & able).select(p["h"], "proot", "qroot"), "meetings")
+
+
+def _other_pairs(open_rows: DataFrame, meet: DataFrame, own: DataFrame, between: DataFrame, tested: DataFrame) -> DataFrame:
+    """(a, b): all pairs of rows in groups that meet that may be near and weren't compared.
+
+    `own` has each row's distance `d` from its root, `between` the distance of two roots. Distances of sets are a metric, so two rows are at
+    least as far apart as their roots less what each is away from its own.
+    """
+    rows = written(open_rows.join(own, "row", "left").withColumn("d", F.coalesce("d", F.lit(0.0))), "away")
+    left = rows.select("h", F.col("root").alias("proot"), F.col("row").alias("r"), F.col("n").alias("rn"), F.col("i").alias("ri"), F.col("d").alias("rd"))
+    right = rows.select("h", F.col("root").alias("qroot"), F.col("row").alias("s"), F.col("n").alias("sn"), F.col("i").alias("si"), F.col("d").alias("sd"))
+    known = meet.join(between, ["proot", "qroot"])
+    first = known.join(left, (known["h"] == left["h"]) & (known["proot"] == left["proot"])).select(
+        known["h"], "qroot", "apart", "r", "rn", "ri", "rd"
+    )
     pairs = first.join(
         right,
-        (first["h"] == right["h"]) & (first["qroot"] == right["qroot"]) & _may_be_near(F.col("rn"), F.col("ri"), F.col("sn"), F.col("si")),
+        (first["h"] == right["h"]) & (first["qroot"] == right["qroot"]) & _may_be_near(F.col("rn"), F.col("ri"), F.col("sn"), F.col("si"))
+        & (F.col("apart") - F.col("rd") - F.col("sd") <= 1 - LEAST / OF + 1e-9),
     )
     pairs = pairs.select(F.greatest("r", "s").alias("a"), F.least("r", "s").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
+def _sharing_enough(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Those of the `pairs` (a, b) whose prefixes share enough.
+
+    Of the two prefixes one ends first in the order of all shingles; what that set shares lies in both prefixes or behind its own,
+    so no more can be shared than the prefixes share and the longer of what lies behind them.
+    """
+    x, y = (entries.select(F.col("row").alias(side), F.col("n").alias(f"{side}n"), "h") for side in "ab")
+    shared = pairs.select("a", "b").join(x, "a").join(y, ["b", "h"]).groupBy("a", "b", "an", "bn").agg(F.count("*").alias("k"))
+    behind = lambda n: F.ceil(F.col(n) * LEAST / OF) - 1
+    most = F.col("k") + F.greatest(behind("an"), behind("bn"))
+    return shared.filter(most * (LEAST + OF) >= (F.col("an") + F.col("bn")) * LEAST).select("a", "b")
+
+
 def near_groups(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) for every row in a group of near texts; `sets` has one row (row, n, fp, prefix) per set."""
     # the tree's groups: each text against the group's first one
@@ -244,17 +279,31 @@ def near_groups(sets: DataFrame, docs: DataFrame) -> DataFrame:
     shared = written(entries.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "shared")
     entries = written(entries.join(shared, "h"), "entries")
     roots = components(links, "a", "b")
-    while True:
-        now = compared(_next_pairs(_open(entries, roots), tested.select("a", "b")), docs)
+    for turn in itertools.count():
+        now = compared(_next_pairs(_open(entries, roots), tested.select("a", "b"), turn), docs)
         asked, linked = now.agg(F.count("*"), F.count_if("near")).first()
         tested = tested.unionByName(now)
         if linked:
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(now.filter("near").select("a", "b"))
             roots = components(links, "a", "b")
-        if linked * 4 < asked or not asked:
+        if linked * WORTH < asked or not asked:
             break
-    rest = compared(_other_pairs(_open(entries, roots), tested.select("a", "b")), docs).filter("near").select("a", "b")
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), "a", "b")
+    # roots against roots, members against their own root, and the pairs that distances from roots leave open
+    left = _open(entries, roots)
+    meet = _meetings(left)
+    ends = meet.select(F.greatest("proot", "qroot").alias("a"), F.least("proot", "qroot").alias("b")).distinct()
+    members = left.select("row", "root").distinct().filter("row <> root")
+    met = meet.select(F.col("proot").alias("root")).unionByName(meet.select(F.col("qroot").alias("root"))).distinct()
+    members = members.join(met, "root", "left_semi")
+    own = members.select(F.greatest("row", "root").alias("a"), F.least("row", "root").alias("b"))
+    centred = compared(ends.unionByName(own).distinct(), docs)
+    links = links.unionByName(centred.filter("near").select("a", "b"))
+    apart = centred.select(F.col("a").alias("qroot"), F.col("b").alias("proot"), F.col("d").alias("apart"))
+    away = members.join(centred, (F.greatest("row", "root") == F.col("a")) & (F.least("row", "root") == F.col("b"))).select("row", "d")
+    tested = tested.select("a", "b").unionByName(centred.select("a", "b"))
+    rest = _other_pairs(left, meet, written(away, "away"), apart, tested)
+    rest = compared(_sharing_enough(written(rest, "rest"), entries), docs).filter("near").select("a", "b")
+    return components(links.unionByName(rest), "a", "b")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
