@@ -249,8 +249,8 @@ _STOP = f"(regexp_matches(p.o, '^[\\s.,!?;:]+$') OR regexp_matches(p.a, '^[\\s.,
 
 # one step of the recursion is one place in all lines
 @query("general_line_changes", "X15", f"""
-WITH RECURSIVE both AS (SELECT doc_id, unnest(list_zip(string_split(original, chr(10)), string_split(adapted, chr(10)), range(1, len(string_split(original, chr(10))) + 1))) AS z FROM text_pairs),
-lines AS (SELECT doc_id, z[3] AS n, z[1] AS o, z[2] AS a FROM both WHERE z[1] IS NOT NULL AND z[2] IS NOT NULL AND z[2] <> '' AND z[1] <> z[2]),
+WITH RECURSIVE zipped AS (SELECT doc_id, unnest(list_zip(string_split(original, chr(10)), string_split(adapted, chr(10)), range(1, len(string_split(original, chr(10))) + 1))) AS z FROM text_pairs),
+lines AS (SELECT doc_id, z[3] AS n, z[1] AS o, z[2] AS a FROM zipped WHERE z[1] IS NOT NULL AND z[2] IS NOT NULL AND z[2] <> '' AND z[1] <> z[2]),
 split AS (SELECT doc_id, n, {_PIECES.format('o')} AS po, {_PIECES.format('a')} AS pa FROM lines),
 pieces AS (SELECT doc_id, n, unnest(range(1, least(len(po), len(pa)) + 1)) AS i, unnest(po[:least(len(po), len(pa))]) AS o, unnest(pa[:least(len(po), len(pa))]) AS a,
   least(len(po), len(pa)) AS last FROM split),
