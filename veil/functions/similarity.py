@@ -17,17 +17,23 @@ def _jaro_winkler(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
-    left = []
+    # places of each character of b, the next one to try last: windows only move on, so a place that was passed stays passed
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
+    left, taken = [], []
     for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == ch:
-                free[j] = False
-                left.append(ch)
-                break
+        rest = places.get(ch)
+        if rest is None:
+            continue
+        while rest and rest[-1] < i - reach:
+            rest.pop()
+        if rest and rest[-1] <= i + reach:
+            taken.append(rest.pop())
+            left.append(ch)
     if not left:
         return 0.0
-    right = [ch for ch, unused in zip(b, free) if not unused]
+    right = [b[j] for j in sorted(taken)]
     swaps = sum(x != y for x, y in zip(left, right)) // 2
     m = len(left)
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
