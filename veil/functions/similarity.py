@@ -120,16 +120,34 @@ def jaro_winkler_lists(subjects: pd.Series, options: pd.Series) -> pd.Series:
     )
 
 
+def common_ends(a: Sequence[str], b: Sequence[str]) -> tuple[int, int]:
+    """Length of the common beginning, and of the common end of what is left."""
+    first, most = 0, min(len(a), len(b))
+    while first < most and a[first] == b[first]:
+        first += 1
+    last, most = 0, most - first
+    while last < most and a[-1 - last] == b[-1 - last]:
+        last += 1
+    return first, last
+
+
 def _lcs(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence length, one big-integer row per token of `b`."""
+    """Longest common subsequence length, one big-integer row per token of `b`.
+
+    Equal beginnings and ends belong to it, tokens that the other side lacks don't.
+    """
+    first, last = common_ends(a, b)
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    both = set(a) & set(b)
+    a, b = [t for t in a if t in both], [t for t in b if t in both]
     where: dict[str, int] = {}
     for i, tok in enumerate(a):
         where[tok] = where.get(tok, 0) | (1 << i)
     row, mask = (1 << len(a)) - 1, (1 << len(a)) - 1
     for tok in b:
-        hit = row & where.get(tok, 0)
+        hit = row & where[tok]
         row = ((row + hit) | (row - hit)) & mask
-    return len(a) - bin(row).count("1")
+    return first + last + len(a) - row.bit_count()
 
 
 @F.pandas_udf(T.IntegerType())

@@ -10,16 +10,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.functions.overlap import ngram_matches, spaced, summary_lcs, words
+from veil.functions.overlap import ngram_matches, spaced, subsequence_counts, summary_lcs, words
 from veil.functions.quality import brevity_penalty, set_bleu_of, set_rouge_of, tokens
-from veil.functions.similarity import lcs_length
+from veil.session import small_batches
 
 MAX_N = 4
 
 
+def _whole_pairs(pairs: DataFrame, original: Column, adapted: Column) -> DataFrame:
+    """Pairs with both texts; Python sees them in small batches."""
+    return small_batches(pairs).filter(original.isNotNull() & adapted.isNotNull())
+
+
 def ngram_overlap(pairs: DataFrame, key: str, original: Column, adapted: Column, split, max_n: int = MAX_N) -> DataFrame:
     """(key, m1 .. m<max_n>, ref, hyp): clipped matches per order, and the tokens of both texts."""
-    counted = pairs.select(key, ngram_matches(original, adapted, split, max_n).alias("_c")).filter("_c IS NOT NULL")
+    # texts are tested, not the counts: a filter on these would have Python count twice
+    counted = _whole_pairs(pairs, original, adapted).select(key, ngram_matches(original, adapted, split, max_n).alias("_c"))
     names = [*(f"m{n}" for n in range(1, max_n + 1)), "ref", "hyp"]
     return counted.select(key, *[F.col("_c")[i].cast("long").alias(name) for i, name in enumerate(names)])
 
@@ -72,25 +78,26 @@ def rouge_1(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFram
 
 def rouge_l(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFrame:
     """Longest common subsequence of the tokens; no shuffle at all."""
-    a, b = rouge_tokens(F.col(original)), rouge_tokens(F.col(adapted))
-    return pairs.select(key, a.alias("_a"), b.alias("_b")).filter("_a IS NOT NULL AND _b IS NOT NULL").select(
-        key, lcs_length("_a", "_b").alias("lcs"), F.size("_a").alias("n"), F.size("_b").alias("m")
-    ).select(key, "lcs", *_rates(F.col("lcs"), F.col("n"), F.col("m"), "rougeL"))
+    a, b = F.lower(original), F.lower(adapted)
+    counted = _whole_pairs(pairs, a, b).select(key, subsequence_counts(a, b).alias("_c"))
+    lcs, n, m = (F.col("_c")[i] for i in range(3))
+    return counted.select(key, lcs.alias("lcs"), *_rates(lcs, n, m, "rougeL"))
 
 
 def rouge_lsum(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFrame:
     """Summary-level LCS: lines are sentences, and each line of the original is matched with all lines of the adapted text."""
-    counted = pairs.select(key, summary_lcs(F.lower(original), F.lower(adapted)).alias("_c")).filter("_c IS NOT NULL")
+    a, b = F.lower(original), F.lower(adapted)
+    counted = _whole_pairs(pairs, a, b).select(key, summary_lcs(a, b).alias("_c"))
     hits, n, m = (F.col("_c")[i] for i in range(3))
     return counted.select(key, hits.alias("hits"), *_rates(hits, n, m, "rougeLsum"))
 
 
 def text_scores(pairs: DataFrame, key: str, original: str, adapted: str) -> DataFrame:
     """BLEU-4 and the F measures of ROUGE-1, ROUGE-L and ROUGE-Lsum of each pair, in one map stage; null texts give nulls."""
-    a, b, none = F.lower(original), F.lower(adapted), F.array().cast("array<string>")
-    counted = pairs.select(
+    a, b = F.lower(original), F.lower(adapted)
+    counted = small_batches(pairs).select(
         key, ngram_matches(F.col(original), F.col(adapted), spaced, MAX_N).alias("_bleu"), ngram_matches(a, b, words, 1).alias("_one"),
-        summary_lcs(a, b).alias("_sum"), lcs_length(F.coalesce(rouge_tokens(a), none), F.coalesce(rouge_tokens(b), none)).alias("_lcs"),
+        summary_lcs(a, b).alias("_sum"), subsequence_counts(a, b)[0].alias("_lcs"),
     )
     grams, one, union = F.col("_bleu"), F.col("_one"), F.col("_sum")
     f = lambda hits, n, m, name: _rates(hits, n, m, name)[2].alias(name)
