@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.operators.ordering import lookup
+from veil.session import small_batches
 
 # How attributes are named to a model, and the options offered for them.
 ATTRIBUTE_TITLES = {
@@ -162,7 +163,8 @@ def replay(answers: DataFrame, key: str = "prompt_id") -> Model:
 def live(call: Callable[[pd.Series], pd.Series], concurrency: int | None = None) -> Model:
     """A model behind a caller's function over a batch of prompts. Retries belong inside the function.
 
-    `concurrency` caps the simultaneous callers: that many partitions, spread over the executors.
+    `concurrency` caps the simultaneous callers: that many partitions, spread over the executors. A batch holds a few
+    hundred prompts, so memory doesn't grow with the partitions.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +172,7 @@ def live(call: Callable[[pd.Series], pd.Series], concurrency: int | None = None)
             yield batch.assign(answer=call(batch["prompt"]))
 
     def model(prompts: DataFrame) -> DataFrame:
-        spread = prompts.repartition(concurrency) if concurrency else prompts
+        spread = small_batches(prompts.repartition(concurrency) if concurrency else prompts)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
         return spread.mapInPandas(run, schema=f"{schema}, answer string")
 
