@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -204,13 +207,26 @@ def _replaced_by(new: Column):
     )
 
 
+def _all_replaced(hits: Column):
+    return lambda new: F.transform(hits, _replaced_by(new))
+
+
+def _literals(pattern: str) -> list[str]:
+    """The runs of letters that a pattern of CHANGE_PATTERNS asks for, in lower case."""
+    return [w.lower() for w in re.split(r"\\b|\\s[*+]|\[0-9\]\+", pattern) if w]
+
+
 def pattern_changes(original: Column, adapted: Column) -> Column:
     """Changes explained by a known pattern pair, then flags that disappeared."""
-    found = []
+    found, low = [], F.lower(original)
     for before, after in CHANGE_PATTERNS:
         hits = F.regexp_extract_all(original, F.lit(f"(?i){before}"), 0)
         new = F.regexp_extract(adapted, f"(?i)({after})", 1)
-        found.append(F.transform(hits, _replaced_by(new)))
+        # the adapted text is searched once, not for every hit
+        changes = F.flatten(F.transform(F.array(new), _all_replaced(hits)))
+        # no hit without all literal words of the pattern, and these are found much faster
+        lacks = reduce(lambda x, w: x | ~low.contains(w), _literals(before), F.lit(False))
+        found.append(F.when(lacks, F.array().cast(CHANGE)).otherwise(changes))
     for flag in FLAGS:
         gone = original.contains(flag) & ~adapted.contains(flag)
         one = F.array(_change(F.lit(flag), F.lit("[removed]"), "Location flag emoji removed"))
