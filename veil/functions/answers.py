@@ -164,9 +164,13 @@ def loose_map(text: Column) -> Column:
 
 def keep_last(pairs: Column) -> Column:
     """Map of an array of (key, value) structs; of equal keys the last one counts."""
-    names = F.transform(pairs, lambda p: p["key"])
-    later = lambda i: F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0)))
-    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.array_contains(later(i), p["key"])))
+    # held as an element of an array, pairs and names are made once a row and not again for each of them
+    def kept(x: Column) -> Column:
+        later = lambda i: F.slice(x["names"], i + 2, F.greatest(F.size(x["names"]) - i - 1, F.lit(0)))
+        return F.map_from_entries(F.filter(x["pairs"], lambda p, i: ~F.array_contains(later(i), p["key"])))
+
+    named = F.transform(F.array(pairs), lambda ps: F.struct(ps.alias("pairs"), F.transform(ps, lambda p: p["key"]).alias("names")))
+    return F.get(F.transform(named, kept), F.lit(0))
 
 
 # ---- changes between an original and its anonymised text ------------------------------------------
