@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -87,17 +87,14 @@ ROUND_OUT = T.StructType(
 )
 
 
-def _advance(held: tuple, batches: Iterator[pd.DataFrame]) -> tuple[tuple, list[tuple[int, bool]], int]:
-    """State after some rows, the rounds decided by them, and the latest event time among them."""
+def _advance(held: tuple, rows: Iterable[tuple]) -> tuple[tuple, list[tuple[int, bool]]]:
+    """State after some rows (round, privacy, utility), and the rounds decided by them."""
     recent, stopped, due, flat = held
-    recent, flat, last = list(recent), list(flat), 0
+    recent, flat = list(recent), list(flat)
     waiting = {int(flat[i]): (flat[i + 1], flat[i + 2]) for i in range(0, len(flat), 3)}
-    for rows in batches:
-        if "_ms" in rows and len(rows):
-            last = max(last, int(rows["_ms"].max()))
-        for number, privacy, utility in zip(rows["round"], rows["privacy_score"], rows["utility_score"]):
-            if not stopped and int(number) >= due:
-                waiting[int(number)] = (float(privacy), float(utility))
+    for number, privacy, utility in rows:
+        if not stopped and int(number) >= due:
+            waiting[int(number)] = (float(privacy), float(utility))
     out = []
     while not stopped and due in waiting:
         privacy, utility = waiting.pop(due)
@@ -107,7 +104,12 @@ def _advance(held: tuple, batches: Iterator[pd.DataFrame]) -> tuple[tuple, list[
         out.append((due, stopped))
         due += 1
     left = [] if stopped else [x for n, (p, u) in sorted(waiting.items()) for x in (float(n), p, u)]
-    return (recent, stopped, due, left), out, last
+    return (recent, stopped, due, left), out
+
+
+def _listed(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    for rows in batches:
+        yield from zip(*(rows[c].tolist() for c in columns))
 
 
 _FRESH = ([], False, 1, [])
@@ -115,7 +117,8 @@ _FRESH = ([], False, 1, [])
 
 def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Rounds are decided in order of their number from 1; those that arrive early wait in the state for the ones before."""
-    held, out, _ = _advance(tuple(state.get) if state.exists else _FRESH, batches)
+    rows = _listed(batches, "round", "privacy_score", "utility_score")
+    held, out = _advance(tuple(state.get) if state.exists else _FRESH, rows)
     state.update(held)
     yield pd.DataFrame([(*key, *row) for row in out], columns=["profile_id", "config", "round", "stopped"])
 
@@ -127,7 +130,16 @@ def stop_decisions(rounds: DataFrame) -> DataFrame:
     )
 
 
-TIMED_STATE = T.StructType([*ROUND_STATE.fields, T.StructField("last", T.LongType())])
+#: Groups that runs are dealt over; a call of Python serves all runs of a group.
+RUN_GROUPS = 1 << 10
+# a run: its key, its round state, its latest event time, and the time at which it is over
+RUN = T.StructType(
+    [
+        T.StructField("profile_id", T.StringType()), T.StructField("config", T.StringType()), *ROUND_STATE.fields,
+        T.StructField("last", T.LongType()), T.StructField("until", T.LongType()),
+    ]
+)
+TIMED_STATE = T.StructType([T.StructField("runs", T.ArrayType(RUN))])
 TIMED_OUT = T.StructType([*ROUND_OUT.fields, T.StructField("missing", T.BooleanType()), T.StructField("held", T.IntegerType())])
 
 
@@ -137,23 +149,41 @@ def timed_stop_decisions(rounds: DataFrame, lateness: str, patience_seconds: int
     If rounds then still wait for one before them, that one is reported: a row with its number, missing = true, and `held`, the
     number of rounds that waited; they stay undecided. Stopped and finished runs leave in silence. So state holds runs of the last
     patience + lateness only. Rows later than `lateness` are dropped, and rows of a run that is over open a new one.
+    Runs are dealt over RUN_GROUPS groups by a hash: a call of Python takes all new rows of a group, and its timer is the earliest of its runs.
     """
 
+    wait = patience_seconds * 1000
+
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            *_, due, flat, _ = state.get
+        runs = {tuple(r[:2]): tuple(r[2:]) for r in state.get[0]} if state.exists else {}
+        clock, out, fresh = state.getCurrentWatermarkMs(), [], {}
+        if not state.hasTimedOut:
+            for *run, number, privacy, utility, ms in _listed(batches, "_id", "config", "round", "privacy_score", "utility_score", "_ms"):
+                rows = fresh.setdefault(tuple(run), ([], []))
+                rows[0].append((number, privacy, utility))
+                rows[1].append(0 if ms != ms else int(ms))
+        for run, (rows, times) in fresh.items():
+            *held, last, _ = runs.get(run, (*_FRESH, 0, 0))
+            held, decided = _advance(tuple(held), rows)
+            last = max(last, *times)
+            runs[run] = (*held, last, max(last + wait, clock + 1))
+            out += [(*run, *row, False, 0) for row in decided]
+        for run, (*_, due, flat, _, until) in [*runs.items()]:
+            if run not in fresh and until < clock:
+                del runs[run]
+                if flat:
+                    out.append((*run, due, False, True, len(flat) // 3))
+        if runs:
+            state.update(([(*run, *rest) for run, rest in runs.items()],))
+            state.setTimeoutTimestamp(max(clock, min(rest[-1] for rest in runs.values())))
+        elif state.exists:
             state.remove()
-            out = [(*key, due, False, True, len(flat) // 3)] if flat else []
-        else:
-            *held, last = tuple(state.get) if state.exists else (*_FRESH, 0)
-            held, decided, now = _advance(tuple(held), batches)
-            last = max(last, now)
-            state.update((*held, last))
-            state.setTimeoutTimestamp(max(last + patience_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-            out = [(*key, *row, False, 0) for row in decided]
-        yield pd.DataFrame(out, columns=TIMED_OUT.names)
-
-    stream = late(rounds, lateness).withColumn("_ms", F.unix_millis("ts"))
-    return stream.groupBy("profile_id", "config").applyInPandasWithState(
+        if out:
+            made = pd.DataFrame(out, columns=TIMED_OUT.names)
+            yield made.assign(profile_id=[None if i is None else int(i) for i in made["profile_id"]])
+
+    group = F.pmod(F.xxhash64("profile_id", "config"), F.lit(RUN_GROUPS))
+    stream = late(rounds, lateness).withColumn("_ms", F.unix_millis("ts")).withColumn("_id", F.col("profile_id").cast("string"))
+    return stream.withColumn("_group", group).groupBy("_group").applyInPandasWithState(
         decide, TIMED_OUT, TIMED_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
