@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veil.operators.ordering import earliest
+from veil.session import cut_lineage
 
 EVAL_CSV = (
     "anon_setting STRING, id STRING, pii_type STRING, anon_level INT, res_level INT, gt STRING, gt_hardness INT, "
@@ -182,8 +183,8 @@ def _placed_lines(lines: DataFrame) -> DataFrame:
     opens = ~head & ~score & attack & value.contains("{")
     text = F.when(opens, F.expr("substring(value, instr(value, '{'))")).when(~head & ~score, value)
     marked = (
-        lines.withColumn("head", head).withColumn("score", score).withColumn("opens", opens).withColumn("text", text)
-        .withColumn("marker", head | opens).withColumn("braces", F.coalesce(_braces(F.col("text")), _braces(F.lit(""))))
+        lines.select("file", "block", "seq", "value").withColumn("head", head).withColumn("score", score).withColumn("opens", opens)
+        .withColumn("marker", head | opens).withColumn("braces", F.coalesce(_braces(text), _braces(F.lit(""))))
     )
     split = Window.partitionBy("file", "block").orderBy("seq")
     through, before = split.rowsBetween(Window.unboundedPreceding, 0), split.rowsBetween(Window.unboundedPreceding, -1)
@@ -194,13 +195,16 @@ def _placed_lines(lines: DataFrame) -> DataFrame:
         .withColumn("low", F.col("open") + F.col("braces.low"))
         .withColumn("start", F.when(F.col("marker"), F.struct("opens", "open")))
     )
-    inside = Window.partitionBy("file", "block", "m").orderBy("seq")
-    marked = marked.withColumn("lowest", F.min("low").over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
-        "start", F.first("start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    # the least of the segment so far is that of the greatest segment number, so one sort serves all windows
+    least = F.min(F.when(F.col("low").isNotNull(), F.struct((-F.col("m")).alias("m"), "low"))).over(before)
+    marked = marked.withColumn("least", least).withColumn("start", F.last("start", ignorenulls=True).over(through)).select(
+        "file", "block", "seq", "value", "head", "score", "opens", "h", "m", "open", "low", "start", F.col("braces.total").alias("total"),
+        F.when(F.col("least.m") == -F.col("m"), F.col("least.low")).alias("lowest"),
     )
+    marked = cut_lineage(marked, "log-lines")  # sorted once; what follows reads it without a sort
     splits = (
         marked.groupBy("file", "block", "m")
-        .agg(F.sum(F.col("head").cast("int")).alias("h"), F.sum("braces.total").alias("total"), F.min("low").alias("low"), F.max("start").alias("start"))
+        .agg(F.sum(F.col("head").cast("int")).alias("h"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("start").alias("start"))
         .groupBy("file", "block")
         .agg(F.sum("h").alias("h"), F.max("m").alias("m"), F.sum("total").alias("total"), F.max_by("low", "m").alias("low"), F.max_by("start", "m").alias("start"))
     )
@@ -215,7 +219,8 @@ def _placed_lines(lines: DataFrame) -> DataFrame:
         F.lag("reached").over(Window.partitionBy("file").orderBy("block")).alias("low0"),
         F.last(F.when(F.col("m") > 0, shifted), ignorenulls=True).over(earlier).alias("start0"),
     )
-    placed = marked.join(splits, ["file", "block"])
+    text = F.when(F.col("opens"), F.expr("substring(value, instr(value, '{'))")).when(~F.col("head") & ~F.col("score"), value)
+    placed = marked.withColumn("text", text).join(cut_lineage(splits, "log-splits"), ["file", "block"])
     first = F.col("m") == 0
     base = F.when(first, F.col("start0.open")).otherwise(F.col("start.open") + F.col("total0"))
     lowest = F.least(F.when(first, F.col("low0")), F.col("lowest") + F.col("total0"))
@@ -251,13 +256,15 @@ def log_records(lines: DataFrame) -> DataFrame:
         .filter("attack IS NOT NULL")
         .groupBy("file", "record").agg(F.max_by("attack", "segment").alias("attack"))
     )
-    records = placed.groupBy("file", "record").agg(
-        F.max(F.when(F.col("head"), F.regexp_extract("value", USER + r"\s*(\w+)", 1))).alias("username"),
-        *[
-            F.max_by(number, F.when(F.col("score") & number.isNotNull(), F.col("at"))).alias(name)
-            for name, label in (("privacy", PRIVACY), ("utility", UTILITY))
-            for number in [F.regexp_extract("value", label + NUMBER, 1).try_cast("double")]
-        ],
+    # each record has its header; other lines have nothing for it
+    number = lambda label: F.when(F.col("score"), F.regexp_extract("value", label + NUMBER, 1).try_cast("double"))
+    told = placed.filter("head OR score").select(
+        "file", "record", "at", F.when(F.col("head"), F.regexp_extract("value", USER + r"\s*(\w+)", 1)).alias("username"),
+        number(PRIVACY).alias("privacy"), number(UTILITY).alias("utility"),
+    )
+    records = told.groupBy("file", "record").agg(
+        F.max("username").alias("username"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("privacy", "utility")],
     )
     return records.join(attacks, ["file", "record"], "left").select(
         "file", "record",
