@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.operators.ordering import top_k
+from veil.session import cut_lineage
 
 # Keywords of the functional domains, and of the capabilities every repository should have.
 DOMAINS = {
@@ -48,26 +49,44 @@ def dependents(references: DataFrame, dep_id: int) -> DataFrame:
     return references.filter(F.col("dep_id") == dep_id).select("skill_id").distinct()
 
 
+def _dependency_sets(references: DataFrame) -> DataFrame:
+    """(deps, members, rep): distinct sets of at least two members, how many skills have them and the least of these."""
+    return (
+        references.groupBy("skill_id").agg(F.array_sort(F.collect_set("dep_id")).alias("deps"))
+        .filter(F.size("deps") > 1)
+        .groupBy("deps").agg(F.count(F.lit(1)).alias("members"), F.min("skill_id").alias("rep"))
+    )
+
+
+def _marks(members: str) -> Column:
+    """64 bits, of which each member sets one."""
+    bit = lambda d: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(d), F.lit(64)).cast("int"))
+    return F.aggregate(members, F.lit(0).cast("long"), lambda acc, d: acc.bitwiseOR(bit(d)))
+
+
 def coupled_sets(references: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pairs of dependency sets with Jaccard above the threshold, and the number of skill pairs behind each.
 
     Skills with equal sets are folded first, so copies are counted, never paired. Two sets above the
     threshold must share one of their rarest members: each set is looked up only by its rarest
     |x| - floor(threshold * |x|) members, which is exact and keeps frequent members out of the join.
+    A looked-up pair is let go at once if too little can be shared: by the places of the member, if it is the first shared one,
+    and by 64-bit marks of the members, since each bit that only one set has is a member that the other lacks.
     """
-    sets = (
-        references.groupBy("skill_id").agg(F.array_sort(F.collect_set("dep_id")).alias("deps"))
-        .filter(F.size("deps") > 1)
-        .groupBy("deps").agg(F.count(F.lit(1)).alias("members"), F.min("skill_id").alias("rep"))
-    )
-    tokens = sets.select("rep", F.explode("deps").alias("dep"), F.size("deps").alias("n"))
+    sets = cut_lineage(_dependency_sets(references), "dependency-sets")
+    tokens = sets.select("rep", F.explode("deps").alias("dep"), F.size("deps").alias("n"), _marks("deps").alias("marks"))
     rarity = tokens.groupBy("dep").agg(F.count(F.lit(1)).alias("freq"))
     ranked = tokens.join(rarity, "dep").withColumn(
         "pos", F.row_number().over(Window.partitionBy("rep").orderBy("freq", "dep"))
     )
-    prefix = ranked.filter(F.col("pos") <= F.col("n") - F.floor(F.col("n") * threshold)).select("rep", "dep", "n")
+    prefix = ranked.filter(F.col("pos") <= F.col("n") - F.floor(F.col("n") * threshold)).select("rep", "dep", "n", "pos", "marks")
     a, b = prefix.alias("a"), prefix.alias("b")
+    only = lambda x, y: F.bit_count(F.col(f"{x}.marks").bitwiseAND(F.bitwise_not(F.col(f"{y}.marks"))))
+    shared = F.least(
+        F.col("a.n") - only("a", "b"), F.col("b.n") - only("b", "a"), F.col("a.n") - F.col("a.pos") + 1, F.col("b.n") - F.col("b.pos") + 1
+    )
     close = (F.col("a.n") > F.col("b.n") * threshold) & (F.col("b.n") > F.col("a.n") * threshold)
+    close = close & (shared * (1 + threshold) > (F.col("a.n") + F.col("b.n")) * threshold - 1e-9)
     candidates = (
         a.join(b, (F.col("a.dep") == F.col("b.dep")) & (F.col("a.rep") < F.col("b.rep")) & close)
         .select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
