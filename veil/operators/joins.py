@@ -42,7 +42,7 @@ def _pieces(df: DataFrame, keys: Sequence[str], span: tuple[str, str], name: str
     row = F.struct(*df.columns)
     return placed.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_level", F.explode(F.sequence(first, last)).alias("_bin"),
-        F.col("_l").alias(f"_{name}l"), row.alias(f"_{name}"),
+        row.alias(f"_{name}"),
     )
 
 
@@ -65,7 +65,8 @@ def interval_join(
         usable = F.col(first) <= F.col(last)
         for k in keys:
             usable = usable & F.col(k).isNotNull()
-        sides.append(df.filter(usable))
+        # a row is written once; its pieces are made on the way to the join
+        sides.append(cut_lineage(df.filter(usable), "sides"))
     own, other = (
         sorted(r[0] for r in df.select(_levels(span)).distinct().collect())  # 22 levels at most
         for df, span in zip(sides, (left_span, right_span))
@@ -74,24 +75,26 @@ def interval_join(
     columns = [F.col(f"_left.{c}").alias(c) for c in left.columns] + [F.col(f"_right.{c}").alias(c) for c in right.columns if c not in keys]
     if not own or not other:
         return sides[0].limit(0).crossJoin(sides[1].drop(*keys).limit(0)).select(*left.columns, *[c for c in right.columns if c not in keys])
-    p = cut_lineage(_pieces(sides[0], keys, left_span, "left", own, other), "left-pieces")
-    q = cut_lineage(_pieces(sides[1], keys, right_span, "right", other, own), "right-pieces")
+    p = _pieces(sides[0], keys, left_span, "left", own, other)
+    q = _pieces(sides[1], keys, right_span, "right", other, own)
     place = [*[f"_k{i}" for i in range(len(keys))], "_level", "_bin"]
     # the left side of a full bin is dealt over parts, the right side goes to each
     full = cut_lineage(
         p.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts")).filter("_parts > 1"), "full-bins"
     )
-    parts = F.coalesce("_parts", F.lit(1))
-    p = p.join(full, place, "left").withColumn("_part", F.pmod(F.xxhash64("_left"), parts).cast("int")).drop("_parts")
-    q = q.join(full, place, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    if not full.isEmpty():
+        parts = F.coalesce("_parts", F.lit(1))
+        p = p.join(full, place, "left").withColumn("_part", F.pmod(F.xxhash64("_left"), parts).cast("int")).drop("_parts")
+        q = q.join(full, place, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        place = [*place, "_part"]
     later = F.greatest(F.col(f"_left.{a}"), F.col(f"_right.{b}"))
     meet = (
-        (F.greatest("_leftl", "_rightl") == F.col("_level"))
+        (F.greatest(_levels(tuple(f"_left.{c}" for c in left_span)), _levels(tuple(f"_right.{c}" for c in right_span))) == F.col("_level"))
         & (F.col(f"_left.{left_span[0]}") <= F.col(f"_right.{right_span[1]}"))
         & (F.col(f"_right.{right_span[0]}") <= F.col(f"_left.{left_span[1]}"))
         & (_bin(later, F.col("_level")) == F.col("_bin"))
     )
-    return p.join(q, [*place, "_part"]).filter(meet).select(*columns)
+    return p.join(q, place).filter(meet).select(*columns)
 
 
 # ---- as of --------------------------------------------------------------------------------------
