@@ -220,7 +220,7 @@ def _placed_lines(lines: DataFrame) -> DataFrame:
         F.last(F.when(F.col("m") > 0, shifted), ignorenulls=True).over(earlier).alias("start0"),
     )
     text = F.when(F.col("opens"), F.expr("substring(value, instr(value, '{'))")).when(~F.col("head") & ~F.col("score"), value)
-    placed = marked.withColumn("text", text).join(cut_lineage(splits, "log-splits"), ["file", "block"])
+    placed = marked.withColumn("text", text).join(splits, ["file", "block"])
     first = F.col("m") == 0
     base = F.when(first, F.col("start0.open")).otherwise(F.col("start.open") + F.col("total0"))
     lowest = F.least(F.when(first, F.col("low0")), F.col("lowest") + F.col("total0"))
