@@ -38,6 +38,17 @@ def test_merges_equal_the_library(vocabulary, library):
         assert ids(encode(text)) == library.encode_ordinary(text)
 
 
+def test_merges_by_the_batch_equal_those_of_one(vocabulary):
+    rng = random.Random(2)
+    parts = ["a", "b", "e", "r", "th", "ing", "é", "ß", "\U0001f600", "1", "Q", "z", "ſ", "\x85"]
+    pieces = {words(rng, parts, rng.randint(1, 14)) for _ in range(3000)} | {"x" * 47, "x" * 48, "x" * 49}
+    known = bpe._Pieces(vocabulary[0])
+    known.learn(pieces, *bpe.merges(vocabulary[0]))
+    short = list(known)
+    assert len(short) > 0.8 * len(pieces)
+    assert all(ids(known[p]) == bpe.merged(p.encode(), vocabulary[0]) for p in short)
+
+
 @pytest.mark.parametrize("window, overlap", [(40, 16), (64, 64)])
 def test_stitched_windows_equal_the_library(spark, vocabulary, library, window, overlap):
     rng = random.Random(window)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import math
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -32,6 +33,10 @@ WINDOW, OVERLAP = 32_768, 512
 MARGIN = 3
 #: Pieces whose ids a worker remembers.
 REMEMBERED = 300_000
+#: Bytes of a short pre-token; so many of one length are merged together; code points of the texts whose pre-tokens are held at once.
+SHORT, TOGETHER, HELD = 48, 8, 500_000
+#: The rank of a pair that makes no token.
+NONE = np.iinfo(np.int64).max
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,17 +49,18 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token: the adjacent pair of least rank, the leftmost first, is merged until none is left."""
     if piece in ranks:
         return [ranks[piece]]
-    if len(piece) <= 48:
+    if len(piece) <= SHORT:
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
+        rank, none = ranks.get, math.inf
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
         return [ranks[p] for p in parts]
     # long runs: the same merges from a heap, over a linked list of spans
     end = list(range(1, len(piece) + 1))
@@ -87,6 +93,53 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def merges(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ids that make a token, as sorted integers (left id in the upper half), and the token's id."""
+    found = [
+        (ranks[token[:k]] << 32 | ranks[token[k:]], rank)
+        for token, rank in ranks.items() for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks
+    ]
+    keys, ids = np.array(found, np.int64).reshape(-1, 2).T
+    order = np.argsort(keys)
+    return keys[order], ids[order]
+
+
+def merged_together(given: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The merges of `merged` for many pre-tokens of one length, of which `given` holds the bytes' ids, a row for each.
+
+    Yields (rows, their ids). Each step merges once in each row that isn't done, so rows in work stay equally long.
+    """
+
+    def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, ids[at], NONE)
+
+    rows, tokens = np.arange(len(given)), given
+    if not len(keys) or given.shape[1] < 2:
+        yield rows, tokens
+        return
+    pairs = rank(tokens[:, :-1], tokens[:, 1:])
+    while pairs.shape[1]:
+        at = pairs.argmin(1)  # the leftmost of the least
+        best = pairs[np.arange(len(rows)), at]
+        go = best < NONE
+        if not go.all():
+            yield rows[~go], tokens[~go]
+            rows, tokens, pairs, at, best = rows[go], tokens[go], pairs[go], at[go], best[go]
+            if not len(rows):
+                return
+        every = np.arange(len(rows))
+        stay = np.arange(tokens.shape[1]) != at[:, None] + 1
+        tokens[every, at] = best
+        tokens = tokens[stay].reshape(len(rows), -1)
+        pairs = pairs[np.arange(pairs.shape[1]) != at[:, None]].reshape(len(rows), -1)
+        before, after = every[at > 0], every[at < pairs.shape[1]]
+        pairs[before, at[before] - 1] = rank(tokens[before, at[before] - 1], tokens[before, at[before]])
+        pairs[after, at[after]] = rank(tokens[after, at[after]], tokens[after, at[after] + 1])
+    yield rows, tokens
+
+
 class _Pieces(dict):
     """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -101,6 +154,26 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def learn(self, pieces: set[str], keys: np.ndarray, ids: np.ndarray) -> None:
+        """Remember the ids of short pre-tokens, merged by length."""
+        if len(self) >= REMEMBERED:
+            self.clear()
+        single = np.array([self.ranks.get(bytes([x]), -1) for x in range(256)], np.int64)
+        lengths: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces.difference(self):
+            raw = piece.encode("utf-8", "surrogatepass")
+            if raw not in self.ranks and len(raw) <= SHORT:
+                lengths.setdefault(len(raw), []).append((piece, raw))
+        for n, found in lengths.items():
+            if len(found) < TOGETHER:
+                continue
+            given = single[np.frombuffer(b"".join(raw for _, raw in found), np.uint8).reshape(-1, n)]
+            if given.min() < 0:
+                continue
+            for rows, tokens in merged_together(given, keys, ids):
+                size, raw = 4 * tokens.shape[1], tokens.astype("<u4").tobytes()
+                self.update((found[r][0], raw[k * size : (k + 1) * size]) for k, r in enumerate(rows.tolist()))
+
 
 def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes]:
     split, pieces = regex.compile(pattern).findall, _Pieces(ranks)
@@ -116,9 +189,16 @@ def _apply(df: DataFrame, ranks_file, pattern: str, text: str, out: str) -> Data
     keep = [f for f in df.schema.fields if f.name not in (text, out)]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_file.value, pattern)
+        ranks, *table = ranks_file.value
+        split, pieces = regex.compile(pattern).findall, _Pieces(ranks)
         for batch in it:
-            ids = pa.array([encode(t) for t in texts_of(batch, text)], pa.binary())
+            out_ids, texts = [], texts_of(batch, text)
+            ends = np.fromiter(accumulate(map(len, texts)), np.int64, len(texts)) // HELD
+            for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+                found = [split(texts[k]) for k in some]
+                pieces.learn(set().union(*found), *table)
+                out_ids += [b"".join(map(pieces.__getitem__, x)) for x in found]
+            ids = pa.array(out_ids, pa.binary())
             yield pa.RecordBatch.from_arrays([*(column(batch, f.name) for f in keep), ids], [*(f.name for f in keep), out])
 
     return small_batches(df).mapInArrow(run, _schema(keep, f"`{out}` binary"))
@@ -201,7 +281,7 @@ def encode(
 
     `docs` is a table that is read alike each time: its long texts are picked out by row number.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: one entry per token, whatever the data
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, *merges(ranks)))  # the vocabulary: one entry per token or pair, whatever the data
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     long = F.coalesce(F.char_length(text) > window, F.lit(False))
     short = _apply(rows.filter(~long), sent, pattern, text, out).drop("__row")
