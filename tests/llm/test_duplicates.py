@@ -204,6 +204,46 @@ def test_near_stage_against_jaccard(spark):
     assert kept == [rows[i][0] for i in jaccard_keepers(rows)] and len(kept) < len(rows)
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 120, 130, 900, 1100, 40_000):
+        base = np.unique(rng.integers(0, 2**63, n + 1).astype(np.uint64))
+        for share in (0.0, 0.05, 0.12, 0.3):
+            other = np.unique(np.where(rng.random(len(base)) < share, rng.integers(0, 2**63, len(base)).astype(np.uint64), base))[: max(1, int(len(base) * 0.9))]
+            x, y = near_copies.sketch(base), near_copies.sketch(other)
+            bits = min(len(x), len(y)) * 8
+            a, b = near_copies.folded([x, y], bits)
+            apart, exact = int(np.bitwise_count(a ^ b).sum()), len(np.setxor1d(base, other))
+            assert apart <= exact and (exact > bits // 8 or apart >= exact - 2 * exact**2 / bits - 16)
+            assert not near_copies.similarity(base, other)[0] or 9 * apart <= len(base) + len(other)
+
+
+@pytest.mark.parametrize("few, crowd", [(0, 64), (16, 100)])
+def test_crowds_of_near_copies_stay_out_of_pairs(spark, monkeypatch, few, crowd):
+    rng = random.Random(few)
+    base = [f"b{k}" for k in range(100)]
+    texts = []
+    for _ in range(160):  # copies of one text whose similarity lies around the limit
+        t = list(base)
+        for k in rng.sample(range(100), rng.randint(1, 4)):
+            t[k] = f"e{rng.randrange(10_000)}"
+        texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    docs = written(spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, at int").coalesce(1), "near")
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    asked, compared = [], near_copies.compared
+
+    def counted(pairs, docs):
+        found = compared(pairs, docs)
+        asked.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_copies, "compared", counted)
+    assert sorted(r["at"] for r in near_copies.representatives(docs).collect()) == jaccard_keepers(rows)
+    assert sum(asked) <= 12 * len(rows)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit("x"))
 

@@ -10,8 +10,11 @@ fixed share of the documents; it changes what is compared, never what is found.
 
 Candidates are compared in rounds. In each, every group of texts that are linked so far sends one member to one member of another
 group, the one that shares most of its prefix; so copies by the thousand become a star, not pairs. When rounds link little more, all
-pairs of texts that share a prefix shingle and lie in different groups are compared, but for those that sizes and places rule out: at
-places i and j of sets of n and m shingles, the first shared one, no more than 1 + min(n - i, m - j) can be shared.
+pairs of texts that share a prefix shingle and lie in different groups are open, but for those that sizes and places rule out: at
+places i and j of sets of n and m shingles, the first shared one, no more than min(n - i, m - j) can be shared. Sketches of a bit or
+two per shingle rule nearly all others out: they differ in no more bits than the sets in shingles, and sets of n and m shingles are near
+if they differ in (n + m) / 9 of them at most. A shingle of few rows has its pairs written; of one that many rows have, its rows
+are sent by blocks with their sketches and compared there, so only what sketches leave open becomes a row. Texts decide in the end.
 
 Words are lowered (A-Z) and split at ASCII white space. A text of fewer than five words is one shingle; texts without words
 are equal to each other. Nulls count as empty. Repeated rows, also of one doc_id, are rows of their own. An empty table gives
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.llm import simhash
-from veil.llm.common import column, components, scratch, small_batches, texts_of, written
+from veil.llm.common import column, components, popcount, scratch, small_batches, texts_of, written
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, LEAST, OF = 5, 4, 5
@@ -43,6 +46,10 @@ SENT = 1_000_000
 BLOCK = 256
 #: Rounds go on while at least one of so many pairs links.
 WORTH = 8
+#: Shingles of so many rows have all their pairs written; rows of the others that one task compares with as many.
+FEW, CROWD = 16, 2048
+#: Four times the shingles of a set that sketches tell apart, at least and at most.
+SKETCH = (512, 65_536)
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -191,10 +198,11 @@ def _may_be_near(n: Column, i: Column, m: Column, j: Column) -> Column:
 
 
 def _open(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """`entries` with their group's root, of the shingles that several groups have."""
+    """`entries` with their group's root, of the shingles that several groups have; `c` rows have the shingle."""
     placed = entries.join(roots, entries["row"] == roots["node"], "left").select("h", "row", "n", "i", F.coalesce("root", "row").alias("root"))
     placed = written(placed, "placed")
-    several = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+    several = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c"))
+    several = several.filter("low < high").select("h", "c")
     return written(placed.join(written(several, "several"), "h"), "open")
 
 
@@ -217,54 +225,110 @@ def _next_pairs(open_rows: DataFrame, tested: DataFrame, turn: int) -> DataFrame
     return best.select("p.a", "p.b").distinct()
 
 
-def _meetings(open_rows: DataFrame) -> DataFrame:
-    """(h, proot, qroot): groups that share a shingle and by sizes and places may hold a near pair."""
-    sides = open_rows.groupBy("h", "root").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("left")
-    )
-    sides = written(sides, "sides")
-    p, q = (sides.select("h", *[F.col(c).alias(side + c) for c in ("root", "least", "most", "left")]) for side in "pq")
-    able = (
-        (F.col("proot") < F.col("qroot"))
-        & (F.col("pmost") * OF >= F.col("qleast") * LEAST) & (F.col("qmost") * OF >= F.col("pleast") * LEAST)
-        & (F.least("pleft", "qleft") * (LEAST + OF) >= (F.col("pleast") + F.col("qleast")) * LEAST)
-    )
-    return written(p.join(q, (p["h"] == q["h"]) & able).select(p["h"], "proot", "qroot"), "meetings")
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the sketches of sets of n shingles: the power of two from 4 n on, within bounds."""
+    return (1 << np.ceil(np.log2(np.clip(4 * np.asarray(n), *SKETCH))).astype(np.int64)).astype(np.int64)
 
 
-def _other_pairs(open_rows: DataFrame, meet: DataFrame, own: DataFrame, between: DataFrame, tested: DataFrame) -> DataFrame:
-    """(a, b): all pairs of rows in groups that meet that may be near and weren't compared.
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bit is 1 if an odd number of the shingles have its number as their last bits.
 
-    `own` has each row's distance `d` from its root, `between` the distance of two roots. Distances of sets are a metric, so two rows are at
-    least as far apart as their roots less what each is away from its own.
+    Two sketches differ in no more bits than the sets in shingles, and in few less; halves that are combined by xor give
+    the sketch of half as many bits.
     """
-    rows = written(open_rows.join(own, "row", "left").withColumn("d", F.coalesce("d", F.lit(0.0))), "away")
-    left = rows.select("h", F.col("root").alias("proot"), F.col("row").alias("r"), F.col("n").alias("rn"), F.col("i").alias("ri"), F.col("d").alias("rd"))
-    right = rows.select("h", F.col("root").alias("qroot"), F.col("row").alias("s"), F.col("n").alias("sn"), F.col("i").alias("si"), F.col("d").alias("sd"))
-    known = meet.join(between, ["proot", "qroot"])
-    first = known.join(left, (known["h"] == left["h"]) & (known["proot"] == left["proot"])).select(
-        known["h"], "qroot", "apart", "r", "rn", "ri", "rd"
-    )
-    pairs = first.join(
-        right,
-        (first["h"] == right["h"]) & (first["qroot"] == right["qroot"]) & _may_be_near(F.col("rn"), F.col("ri"), F.col("sn"), F.col("si"))
-        & (F.col("apart") - F.col("rd") - F.col("sd") <= 1 - LEAST / OF + 1e-9),
-    )
-    pairs = pairs.select(F.greatest("r", "s").alias("a"), F.least("r", "s").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    bits = int(sketch_bits(len(shingles)))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketched(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(row, sketch) of the texts with these row numbers."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = shingler()
+        for batch in it:
+            marks = [sketch(shingles(t)) for t in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(marks, pa.binary())], ["row", "sketch"])
+
+    rows = written(rows.distinct(), "needed")
+    side = F.broadcast(rows) if rows.count() <= SENT else rows
+    texts = _numbered(docs).join(side, "row", "left_semi").select("row", "text")
+    return written(small_batches(texts).mapInArrow(run, "row long, sketch binary"), "sketches")
 
 
-def _sharing_enough(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Those of the `pairs` (a, b) whose prefixes share enough.
+def folded(marks: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of `bits` or twice as many bits as rows of 64-bit words, those with more bits folded."""
+    out = np.empty((len(marks), bits // 64), np.uint64)
+    for k, mark in enumerate(marks):
+        words = np.frombuffer(mark, "<u8")
+        out[k] = words if len(words) == bits // 64 else words[: bits // 64] ^ words[bits // 64 :]
+    return out
 
-    Of the two prefixes one ends first in the order of all shingles; what that set shares lies in both prefixes or behind its own,
-    so no more can be shared than the prefixes share and the longer of what lies behind them.
+
+def crowd_pairs(part: np.ndarray, row: np.ndarray, n: np.ndarray, i: np.ndarray, root: np.ndarray, marks: list[bytes], every: bool) -> set[tuple[int, int]]:
+    """(a, b), a > b: rows of different groups that sizes, places and sketches leave open; for each row the nearest one, or all.
+
+    Where there are two parts, rows of one part meet those of the other only.
     """
-    x, y = (entries.select(F.col("row").alias(side), F.col("n").alias(f"{side}n"), "h") for side in "ab")
-    shared = pairs.select("a", "b").join(x, "a").join(y, ["b", "h"]).groupBy("a", "b", "an", "bn").agg(F.count("*").alias("k"))
-    behind = lambda n: F.ceil(F.col(n) * LEAST / OF) - 1
-    most = F.col("k") + F.greatest(behind("an"), behind("bn"))
-    return shared.filter(most * (LEAST + OF) >= (F.col("an") + F.col("bn")) * LEAST).select("a", "b")
+    found: set[tuple[int, int]] = set()
+    bits, across = sketch_bits(n), part.min() != part.max()
+    for width in np.unique(bits).tolist():
+        x, y = np.flatnonzero(bits == width), np.flatnonzero((bits == width) | (bits == 2 * width))  # near sets have sizes of 4 : 5 at most
+        words = folded([marks[k] for k in y], width)
+        py, ny, iy, ry = part[y], n[y], i[y], root[y]
+        for a, own in zip(x, words[np.searchsorted(y, x)]):
+            both = ny + n[a]
+            able = (ry != root[a]) & (np.minimum(ny - iy, n[a] - i[a]) * (LEAST + OF) >= both * LEAST)
+            able &= np.minimum(ny, n[a]) * OF >= np.maximum(ny, n[a]) * LEAST
+            if across:
+                able &= py != part[a]
+            if every:
+                able &= (y > a) | (bits[y] > width)
+            at = np.flatnonzero(able)
+            d = popcount(words[at] ^ own).sum(1, dtype=np.int64)
+            near = d * (LEAST + OF) <= both[at] * (OF - LEAST)
+            at, d = at[near], d[near]
+            if len(at) and not every:
+                at = at[[int(d.argmin())]]
+            found.update((max(int(row[a]), b), min(int(row[a]), b)) for b in row[y[at]].tolist())
+    return found
+
+
+def _crowded_pairs(open_rows: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
+    """(a, b): `crowd_pairs` of the shingles that more than FEW rows have. Their rows are dealt over blocks and each pair of blocks is one group."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        part, row, n, i, root = (table[c].to_numpy().astype(np.int64) for c in ("part", "row", "n", "i", "root"))
+        pairs = sorted(crowd_pairs(part, row, n, i, root, table["sketch"].to_pylist(), every))
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    parts = F.ceil(F.col("c") / CROWD).cast("int")
+    dealt = open_rows.filter(F.col("c") > FEW).withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("h", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "row", "n", "i", "root")
+    return dealt.join(sketches, "row").groupBy("h", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _few_pairs(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b), a > b: all pairs of rows of different groups that share a shingle of at most FEW rows, as sizes, places and sketches leave open."""
+    few = open_rows.filter(F.col("c") <= FEW)
+    x, y = (few.select("h", *[F.col(c).alias(side + c) for c in ("row", "n", "i", "root")]) for side in "xy")
+    able = (F.col("xrow") > F.col("yrow")) & (F.col("xroot") != F.col("yroot"))
+    able &= _may_be_near(F.col("xn"), F.col("xi"), F.col("yn"), F.col("yi"))
+    pairs = x.join(y, (x["h"] == y["h"]) & able).select(F.col("xrow").alias("a"), F.col("yrow").alias("b"), "xn", "yn").distinct()
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("row").alias(side), F.col("sketch").alias(f"s{side}")), side)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            n, m = (column(batch, c).to_numpy().astype(np.int64) for c in ("xn", "yn"))
+            able = []
+            for bits, both, *marks in zip(np.minimum(sketch_bits(n), sketch_bits(m)).tolist(), n + m, column(batch, "sa").to_pylist(), column(batch, "sb").to_pylist()):
+                x, y = folded(marks, bits)
+                able.append(int(popcount(x ^ y).sum(dtype=np.int64)) * (LEAST + OF) <= both * (OF - LEAST))
+            yield batch.select(["a", "b"]).filter(pa.array(able, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def near_groups(sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -288,22 +352,21 @@ def near_groups(sets: DataFrame, docs: DataFrame) -> DataFrame:
             roots = components(links, "a", "b")
         if linked * WORTH < asked or not asked:
             break
-    # roots against roots, members against their own root, and the pairs that distances from roots leave open
+    # what rounds have left: rare shingles' pairs at once, those of crowded ones from the nearest, until few link; then all that are open
     left = _open(entries, roots)
-    meet = _meetings(left)
-    ends = meet.select(F.greatest("proot", "qroot").alias("a"), F.least("proot", "qroot").alias("b")).distinct()
-    members = left.select("row", "root").distinct().filter("row <> root")
-    met = meet.select(F.col("proot").alias("root")).unionByName(meet.select(F.col("qroot").alias("root"))).distinct()
-    members = members.join(met, "root", "left_semi")
-    own = members.select(F.greatest("row", "root").alias("a"), F.least("row", "root").alias("b"))
-    centred = compared(ends.unionByName(own).distinct(), docs)
-    links = links.unionByName(centred.filter("near").select("a", "b"))
-    apart = centred.select(F.col("a").alias("qroot"), F.col("b").alias("proot"), F.col("d").alias("apart"))
-    away = members.join(centred, (F.greatest("row", "root") == F.col("a")) & (F.least("row", "root") == F.col("b"))).select("row", "d")
-    tested = tested.select("a", "b").unionByName(centred.select("a", "b"))
-    rest = _other_pairs(left, meet, written(away, "away"), apart, tested)
-    rest = compared(_sharing_enough(written(rest, "rest"), entries), docs).filter("near").select("a", "b")
-    return components(links.unionByName(rest), "a", "b")
+    sketches = sketched(left.select("row"), docs)
+    pairs, every = _few_pairs(left, sketches).unionByName(_crowded_pairs(left, sketches, False)).distinct(), False
+    while True:
+        now = compared(pairs, docs)
+        asked, linked = now.agg(F.count("*"), F.count_if("near")).first()
+        if linked:
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(now.filter("near").select("a", "b"))
+            roots = components(links, "a", "b")
+        if every:
+            return roots
+        every = linked * WORTH < asked or not asked
+        left = _open(left.filter(F.col("c") > FEW).select("h", "row", "n", "i"), roots)
+        pairs = _crowded_pairs(left, sketches, every)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
