@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.harness import compare, connect
 from tests.llm.helpers import SF, Sets, no_documents, odd_documents
-from veil.llm import block_names, caps, near_copies, simhash
+from veil.llm import block_names, caps, common, near_copies, simhash
 from veil.llm.common import components, forest, written
 from veil.llm.queries import ORACLES, QUERIES
 
@@ -158,6 +158,38 @@ def test_each_component_keeps_one_row(spark):
         assert sorted(r["text"] for r in kept.collect()) == sorted({t for _, t in rows})
 
 
+def tables_of(monkeypatch, work):
+    """What `work` returns, and the labels of the tables that it writes on the way."""
+    labels, real = [], common.shared_path
+
+    def noted(spark, label):
+        labels.append(label)
+        return real(spark, label)
+
+    with monkeypatch.context() as m:
+        m.setattr(common, "shared_path", noted)
+        return work(), labels
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    stars = spark.createDataFrame([(9, 1), (1, 5), (7, 1), (7, 1), (4, 2), (3, 3)], "a long, b long")
+    found, labels = tables_of(monkeypatch, lambda: components(stars, "a", "b").collect())
+    assert {r["node"]: r["root"] for r in found} == {9: 1, 5: 1, 7: 1, 4: 2}
+    assert labels == ["links", "least"]
+    nothing, labels = tables_of(monkeypatch, lambda: components(stars.filter("a = 3"), "a", "b").collect())
+    assert nothing == [] and labels == ["links"]
+    for links in ([(3, 1), (3, 2)], [(2, 1), (3, 2)]):  # a child of two roots, a root that is a child
+        found = components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+        assert {r["node"]: r["root"] for r in found} == {2: 1, 3: 1}
+
+
+def test_counts_are_taken_by_the_write(spark):
+    for rows in (1000, 0):
+        for df in (spark.range(rows), spark.range(rows).groupBy("id").count().select("id"), spark.range(1000).join(spark.range(rows), "id")):
+            out, seen = common.counted(df.repartition(5), "counted", n=F.count("*"), odd=F.count(F.when(F.col("id") % 2 == 1, 1)))
+            assert seen == {"n": rows, "odd": rows // 2} and out.count() == rows
+
+
 def jaccard_keepers(rows):
     """Rows (index) that stay by brute force."""
     sets = []
@@ -244,6 +276,37 @@ def test_crowds_of_near_copies_stay_out_of_pairs(spark, monkeypatch, few, crowd)
     assert sum(asked) <= 12 * len(rows)
 
 
+def test_turns_of_near_copies_write_few_tables(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = []
+    for k in range(60):  # chains of texts: only neighbours are near, so several turns link
+        base = [f"b{k}_{i}" for i in range(60)]
+        texts += [" ".join(base[i : i + 50]) for i in range(0, 10, 2)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = written(spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, at int").coalesce(1), "near")
+    turns, real = [], near_copies.compared
+    monkeypatch.setattr(near_copies, "compared", lambda pairs, docs: turns.append(0) or real(pairs, docs))
+    kept, labels = tables_of(monkeypatch, lambda: sorted(r["at"] for r in near_copies.representatives(docs).collect()))
+    assert kept == jaccard_keepers(rows)
+    assert len(turns) >= 3 and len(labels) <= 30 + 12 * len(turns), (len(labels), len(turns), labels)
+
+
+@pytest.mark.parametrize("sent", [0, 1_000])
+def test_near_copies_of_many_asked_pairs(spark, monkeypatch, sent):
+    monkeypatch.setattr(near_copies, "FEW_SENT", sent)
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    base = [f"b{k}" for k in range(100)]
+    rows = [(k, " ".join([*base[: 100 - k % 7], f"x{k}"])) for k in range(40)] + [(90 + k, f"y{k}") for k in range(20)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), "many")
+    at = {r["doc_id"]: r["row"] for r in docs.select("doc_id", F.monotonically_increasing_id().alias("row")).collect()}
+    pairs = [(at[k], at[0]) for k in range(1, 40)] + [(at[90 + k], at[3]) for k in range(5)]
+    found = near_copies.compared(spark.createDataFrame(pairs, "a long, b long"), docs).collect()
+    shingles, texts = near_copies.shingler(), {at[d]: t for d, t in rows}
+    exact = {(a, b): near_copies.similarity(shingles(texts[a]), shingles(texts[b])) for a, b in pairs}
+    assert len(found) == len(pairs) and {(r["a"], r["b"]): (r["near"], r["d"]) for r in found} == exact
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit("x"))
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.llm import simhash
-from veil.llm.common import column, components, popcount, scratch, small_batches, texts_of, written
+from veil.llm.common import column, components, counted, few_parts, popcount, scratch, small_batches, texts_of, written
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, LEAST, OF = 5, 4, 5
@@ -42,8 +42,12 @@ SHINGLE, LEAST, OF = 5, 4, 5
 SHARE, OFTEN, FREQUENT = 8, 3, 1 << 20
 #: Row numbers that are sent to all tasks at most; more are joined by a shuffle.
 SENT = 1_000_000
+#: Pairs that are sent to all tasks at most; of more, only the row numbers.
+FEW_SENT = 50_000
 #: Texts that are compared with one text in one go.
 BLOCK = 256
+#: Narrow rows that a compared text counts as where small tables get few parts.
+TEXTS = 64
 #: Rounds go on while at least one of so many pairs links.
 WORTH = 8
 #: Shingles of so many rows have all their pairs written; rows of the others that one task compares with as many.
@@ -163,16 +167,20 @@ def marked(docs: DataFrame) -> DataFrame:
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """`pairs` (a, b: row numbers) with `near` and their distance `d`. Each text is sent to the text that it is compared with, whose set is made once."""
     with scratch(docs.sparkSession):
-        pairs = written(pairs, "pairs")
-        blocks = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "blocks")
-        needed = written(pairs.select(F.col("a").alias("row")).unionByName(blocks.select(F.col("b").alias("row"))).distinct(), "needed")
-        side = F.broadcast(needed) if needed.count() <= SENT else needed
-        texts = written(_numbered(docs).join(side, "row", "left_semi").select("row", "text"), "texts")
-        dealt = pairs.join(blocks, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
-        members = dealt.join(texts, dealt["a"] == texts["row"]).select("b", "part", "a", "text")
-        centres = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        centres = centres.join(texts, centres["b"] == texts["row"]).select("b", "part", F.lit(None).cast("long").alias("a"), "text")
-        both = centres.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+        pairs, seen = counted(pairs, "pairs", n=F.count("*"))
+        crowded = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).filter("parts > 1")  # one in BLOCK pairs at most
+        dealt = pairs.join(F.broadcast(crowded) if seen["n"] <= SENT * BLOCK else crowded, "b", "left")
+        dealt = dealt.select("b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"), F.lit(0)).alias("part"), "a")
+        centres = dealt.select("b", "part").distinct().select("b", "part", F.lit(None).cast("long").alias("a"), F.col("b").alias("row"))
+        asked = dealt.select("b", "part", "a", F.col("a").alias("row")).unionByName(centres)
+        if seen["n"] <= FEW_SENT:
+            texts, asked = _numbered(docs), F.broadcast(asked)
+        else:
+            needed = written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "needed")
+            side = F.broadcast(needed) if needed.count() <= SENT else needed
+            texts = written(_numbered(docs).join(side, "row", "left_semi").select("row", "text"), "texts")
+        both = texts.join(asked, "row").select("b", "part", "a", "text")
+        both = both.repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, centre = shingler(), np.zeros(0, np.uint64)
@@ -188,7 +196,8 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.bool_(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["a", "b", "near", "d"])
 
-        return written(small_batches(both).mapInArrow(run, "a long, b long, near boolean, d double"), "compared", keep=True)
+        found = small_batches(both).mapInArrow(run, "a long, b long, near boolean, d double")
+        return written(few_parts(found, seen["n"] * TEXTS), "compared", keep=True)
 
 
 def _may_be_near(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -197,16 +206,24 @@ def _may_be_near(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (F.least(n, m) * OF >= F.greatest(n, m) * LEAST) & (shared * (LEAST + OF) >= (n + m) * LEAST)
 
 
-def _open(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """`entries` with their group's root, of the shingles that several groups have; `c` rows have the shingle."""
-    placed = entries.join(roots, entries["row"] == roots["node"], "left").select("h", "row", "n", "i", F.coalesce("root", "row").alias("root"))
-    placed = written(placed, "placed")
+def _placed(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """`entries` with their group's root."""
+    return entries.join(roots, entries["row"] == roots["node"], "left").select("h", "row", "n", "i", F.coalesce("root", "row").alias("root"))
+
+
+def _open(entries: DataFrame, roots: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """`_placed` rows of the shingles that several groups have; `c` rows have the shingle. And the rows of those that more than FEW rows have.
+
+    `n`: the number of entries or more, as below.
+    """
+    placed = written(few_parts(_placed(entries, roots), n), "placed")
     several = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c"))
     several = several.filter("low < high").select("h", "c")
-    return written(placed.join(written(several, "several"), "h"), "open")
+    found, seen = counted(few_parts(placed.join(written(few_parts(several, n), "several"), "h"), n), "open", crowded=F.count(F.when(F.col("c") > FEW, 1)))
+    return found, seen["crowded"]
 
 
-def _next_pairs(open_rows: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+def _next_pairs(placed: DataFrame, tested: DataFrame, turn: int, n: int) -> DataFrame:
     """(a, b): for each group, a member and a member of another group that share most shingles and weren't compared.
 
     The other group is the largest with that shingle and about that size. Who stands for a group changes from turn to turn by a hash.
@@ -214,15 +231,16 @@ def _next_pairs(open_rows: DataFrame, tested: DataFrame, turn: int) -> DataFrame
     one = F.struct("row", "n", "i")
     size = F.floor(F.ln(F.col("x.n").cast("double")) / F.lit(float(np.log(OF / LEAST)))).cast("int")
     some = F.min_by(one, F.xxhash64("row", F.lit(turn))).alias("x")
-    groups = written(open_rows.groupBy("h", "root").agg(some, F.count("*").alias("c")).withColumn("size", size), "groups")
+    groups = placed.groupBy("h", "root").agg(some, F.count("*").alias("c")).withColumn("size", size)
+    groups = written(few_parts(groups, n), "groups")
     firsts = groups.groupBy("h", "size").agg(F.max_by(F.struct("root", "x"), F.struct("c", F.xxhash64("root", F.lit(turn)))).alias("y"))
-    met = groups.join(written(firsts, "firsts"), ["h", "size"]).filter(
+    met = groups.join(written(few_parts(firsts, n), "firsts"), ["h", "size"]).filter(
         (F.col("root") != F.col("y.root")) & _may_be_near(F.col("x.n"), F.col("x.i"), F.col("y.x.n"), F.col("y.x.i"))
     )
     met = met.select("root", F.greatest("x.row", "y.x.row").alias("a"), F.least("x.row", "y.x.row").alias("b"))
     counted = met.groupBy("root", "a", "b").agg(F.count("*").alias("c")).join(tested, ["a", "b"], "left_anti")
     best = counted.groupBy("root").agg(F.max_by(F.struct("a", "b"), F.struct("c", -F.col("b"), -F.col("a"))).alias("p"))
-    return best.select("p.a", "p.b").distinct()
+    return few_parts(best.select("p.a", "p.b").distinct(), n)
 
 
 def sketch_bits(n: np.ndarray) -> np.ndarray:
@@ -250,8 +268,8 @@ def sketched(rows: DataFrame, docs: DataFrame) -> DataFrame:
             marks = [sketch(shingles(t)) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(marks, pa.binary())], ["row", "sketch"])
 
-    rows = written(rows.distinct(), "needed")
-    side = F.broadcast(rows) if rows.count() <= SENT else rows
+    rows, seen = counted(rows.distinct(), "needed", n=F.count("*"))
+    side = F.broadcast(rows) if seen["n"] <= SENT else rows
     texts = _numbered(docs).join(side, "row", "left_semi").select("row", "text")
     return written(small_batches(texts).mapInArrow(run, "row long, sketch binary"), "sketches")
 
@@ -333,27 +351,29 @@ def _few_pairs(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def near_groups(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) for every row in a group of near texts; `sets` has one row (row, n, fp, prefix) per set."""
+    sizes = sets.agg(F.count("*").alias("n"), F.sum(F.size("prefix")).alias("entries")).first()
+    n, many = sizes["n"], sizes["entries"] or 0
     # the tree's groups: each text against the group's first one
     fps = simhash.placed(sets.select("fp", "row").filter("n > 0"), F.col("row"), simhash.RADIUS)
     first = fps.groupBy("root").agg(F.min("first").alias("b"))
-    stars = sets.filter("n > 0").select("row", "fp").join(fps.select("fp", "root"), "fp").join(written(first, "first"), "root")
-    tested = compared(stars.filter("row > b").select(F.col("row").alias("a"), "b"), docs)
+    stars = sets.filter("n > 0").select("row", "fp").join(fps.select("fp", "root"), "fp").join(written(few_parts(first, n), "first"), "root")
+    tested = compared(few_parts(stars.filter("row > b").select(F.col("row").alias("a"), "b"), n), docs)
     links = tested.filter("near").select("a", "b")
     entries = sets.select("row", "n", F.posexplode("prefix").alias("i", "h"))
     shared = written(entries.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "shared")
-    entries = written(entries.join(shared, "h"), "entries")
-    roots = components(links, "a", "b")
+    entries = written(few_parts(entries.join(shared, "h"), many), "entries")
+    roots = components(links, "a", "b", n)
     for turn in itertools.count():
-        now = compared(_next_pairs(_open(entries, roots), tested.select("a", "b"), turn), docs)
+        now = compared(_next_pairs(_placed(entries, roots), tested.select("a", "b"), turn, many), docs)
         asked, linked = now.agg(F.count("*"), F.count_if("near")).first()
         tested = tested.unionByName(now)
         if linked:
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(now.filter("near").select("a", "b"))
-            roots = components(links, "a", "b")
+            roots = components(links, "a", "b", n + linked)
         if linked * WORTH < asked or not asked:
             break
     # what rounds have left: rare shingles' pairs at once, those of crowded ones from the nearest, until few link; then all that are open
-    left = _open(entries, roots)
+    left, _ = _open(entries, roots, many)
     sketches = sketched(left.select("row"), docs)
     pairs, every = _few_pairs(left, sketches).unionByName(_crowded_pairs(left, sketches, False)).distinct(), False
     while True:
@@ -361,11 +381,13 @@ def near_groups(sets: DataFrame, docs: DataFrame) -> DataFrame:
         asked, linked = now.agg(F.count("*"), F.count_if("near")).first()
         if linked:
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(now.filter("near").select("a", "b"))
-            roots = components(links, "a", "b")
+            roots = components(links, "a", "b", n + linked)
         if every:
             return roots
         every = linked * WORTH < asked or not asked
-        left = _open(left.filter(F.col("c") > FEW).select("h", "row", "n", "i"), roots)
+        left, crowded = _open(left.filter(F.col("c") > FEW).select("h", "row", "n", "i"), roots, many)
+        if not crowded:
+            return roots
         pairs = _crowded_pairs(left, sketches, every)
 
 
