@@ -1,5 +1,6 @@
 """Exact and near duplicates against brute force."""
 
+import os
 import random
 import re
 
@@ -338,6 +339,56 @@ def test_caps_against_brute_force(spark, block, monkeypatch):
     assert [(r["n_links"], r["component_id"], r["kept"]) for r in found if r["vec_id"] is None] == [(0, None, False)]
 
 
+def near_vectors(seed=5, n=2000, dims=64):
+    """Vectors far apart, some near copies, a group of near copies and one of equal vectors; (vec_id, embedding)."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, dims))
+    near = base[: n // 10] + 0.4 * rng.standard_normal((n // 10, dims))
+    x = np.concatenate([base, near, base[:1] + 0.2 * rng.standard_normal((200, dims)), np.repeat(base[1:2], 50, 0)]).astype(np.float32)
+    return x[rng.permutation(len(x))]
+
+
+def test_caps_keep_little_on_disk(spark, monkeypatch):
+    x = near_vectors()
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    local = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    tables, seen, real = [], [], common.shared_path
+
+    def size(folders, start=""):
+        at = [os.path.join(d, f) for top in folders for d, _, names in os.walk(top) for f in names if f.startswith(start)]
+        return sum(os.path.getsize(f) for f in at if os.path.exists(f))
+
+    def noted(session, label):
+        seen.append((size(tables), size(local, "shuffle_") - before))
+        tables.append(real(session, label).removeprefix("file:"))
+        return tables[-1]
+
+    monkeypatch.setattr(common, "shared_path", noted)
+    before = size(local, "shuffle_")
+    found = caps.near_duplicates(rows)
+    assert found.filter("n_links > 0").count() > 400
+    assert max(t + s for t, s in seen) < 4 * x.nbytes, (seen, x.nbytes)
+    assert [os.path.basename(t).split("-")[0] for t in tables if os.path.exists(t)] == ["members"]
+
+
+@pytest.mark.parametrize("most, block", [(1, caps.BLOCK), (200_000, 40)])
+def test_caps_in_rounds(spark, monkeypatch, most, block):
+    x = near_vectors(n=600)
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(3)
+    rows = written(rows, "given")
+    monkeypatch.setattr(caps, "CELLS", 512)
+    monkeypatch.setattr(caps, "PAIRS", 64)
+    monkeypatch.setattr(caps, "BLOCK", block)
+    once = sorted(caps.near_duplicates(rows).collect())
+    monkeypatch.setattr(caps, "ROUND_BYTES", most)
+    found, labels = tables_of(monkeypatch, lambda: sorted(caps.near_duplicates(rows).collect()))
+    assert labels.count("cap-links") > 4 and found == once
+    m = x.astype(np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    exact = (m @ m.T >= 0.9).sum(1) - 1
+    assert all(r["n_links"] <= e for r, e in zip(found, exact)) and sum(r["n_links"] for r in found) >= 0.995 * exact.sum()
+
+
 def test_caps_on_nothing(spark):
     assert caps.near_duplicates(vectors(spark, [(1, [1.0])]).filter("false")).count() == 0
     assert [r["n_links"] for r in caps.near_duplicates(vectors(spark, [(1, None), (2, None)])).collect()] == [0, 0]

@@ -4,7 +4,8 @@ A filter is a direction with a cap around it: a vector falls into it if their in
 directions are all concatenations of a structured random code: the dimensions are cut into blocks, each block has
 a short list of random unit vectors, and a direction takes one of each. So a vector is decoded to the list of
 all filters it falls into without visiting every direction: choices are dropped as soon as the best that the blocks
-left can add isn't enough. Vectors that share a filter are compared in double precision.
+left can add isn't enough. Vectors that share a filter are compared: in single precision first, and in double precision
+where that is too near the bound to tell.
 
 Equal vectors are folded first and count as often as they occur. A pair that shares several filters counts in the least
 of them only, so links are summed per vector without a list of pairs; links for the components are reduced to a spanning
@@ -13,6 +14,10 @@ of its own. Cap and code follow from the number of vectors: about `LOAD` vectors
 vectors at the similarity asked for share about `SHARED` filters in each of `TABLES` tables, so links are found with high probability, none
 is invented, and a rerun finds the same.
 
+Each vector is decoded and written once, beside the list of its filters. It then goes to each of its filters with the list of its
+smaller ones; the filters are taken in rounds, each a range of their numbers, so that what one round sends stays below
+`ROUND_X` times the vectors, however many filters a vector has. The shuffled rows of a round go before the next begins.
+
 Vectors that are null, zero, or hold null, NaN or infinite components link with nothing; so do vectors of different
 length, and rows without a vec_id, whose component is null. Repeated rows are rows of their own and link with each other.
 An empty table gives an empty result; extra columns are ignored.
@@ -20,24 +25,33 @@ An empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm.common import batches, column, components, forest, small_batches, written
+from veil.llm.common import column, components, counted, forest, freed_shuffles, scratch, small_batches, written
 
 COSINE = 0.9
 #: Vectors that fall into one filter, and filters of one table that a pair at the threshold shares, on average.
-LOAD, SHARED = 8.0, 1.5
+LOAD, SHARED = 1024.0, 1.5
 #: Tables, each with a rotation of its own.
 TABLES = 8
 #: Most choices of one block of dimensions, and vectors of one block of a filter.
-CHOICES, BLOCK = 512, 1024
+CHOICES, BLOCK = 512, 8192
+#: What a round sends: so many bytes for each byte of the vectors, or so many in all if that is more.
+ROUND_X, ROUND_BYTES = 1.5, 256_000_000
+#: Vectors whose filters are counted to find the crowded ones, at most about twice as many.
+COUNTED = 1 << 20
+#: Rows and cells of a table of inner products, and pairs that double precision settles at once.
+STRIP, CELLS, PAIRS = 128, 1 << 21, 1 << 16
 SEED = 17
 
 
@@ -71,6 +85,14 @@ class Code:
     def cuts(self) -> np.ndarray:
         return np.linspace(0, self.dims, self.blocks + 1).astype(int)
 
+    def size(self) -> int:
+        """Filters of all tables."""
+        return self.choices**self.blocks * self.tables
+
+    def kind(self) -> str:
+        """How a filter's number is stored."""
+        return "<i4" if self.size() < 2**31 else "<i8"
+
 
 def _over(dims: int, steps: int = 20001) -> tuple[np.ndarray, np.ndarray]:
     """t and P(one coordinate of a random unit vector > t)."""
@@ -99,154 +121,331 @@ def code_for(n: int, dims: int, cosine: float = COSINE) -> Code:
     return Code(dims, blocks, max(2, ceil(filters ** (1 / blocks))), alpha, TABLES)
 
 
-def decoded(x: np.ndarray, code: Code, tables: list[tuple[np.ndarray, list[np.ndarray]]]) -> list[np.ndarray]:
-    """For each unit vector (row of x), the sorted numbers of all filters it falls into."""
+def _decoded(x: np.ndarray, code: Code, tables: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row of x, number) of all filters that unit vectors fall into, by row and number."""
     cuts, size = code.cuts(), code.choices**code.blocks
-    out: list[list[np.ndarray]] = [[] for _ in range(len(x))]
+    rows, names = [], []
     for number, (turn, lists) in enumerate(tables):
         turned = x @ turn
         scores = [turned[:, cuts[j] : cuts[j + 1]] @ v.T for j, v in enumerate(lists)]
         best = np.stack([s.max(1) for s in scores])
         rest = best[::-1].cumsum(0)[::-1]  # what blocks j and later can add
-        for i in np.flatnonzero(rest[0] >= code.alpha).tolist():
-            total, name = np.zeros(1), np.zeros(1, np.int64)
-            for j, s in enumerate(scores):
-                least = code.alpha - (rest[j + 1, i] if j + 1 < len(scores) else 0.0)
-                pick = np.flatnonzero(s[i] >= least - total.max())
-                sums = total[:, None] + s[i][None, pick]
-                a, b = np.nonzero(sums >= least)
-                if not len(a):
-                    name = name[:0]
-                    break
-                total, name = sums[a, b], name[a] * code.choices + pick[b]
-            out[i].append(name + number * size)
-    return [np.sort(np.concatenate(v)) if v else np.zeros(0, np.int64) for v in out]
-
-
-def _matrix(data: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(data.to_pylist()), "<f8" if width == 8 else "<f4").reshape(len(data), -1).astype(np.float64)
-
-
-def valid_vectors(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(_row, vec_id, dims, data) of the vectors that can link, and the bytes of a component."""
-    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
-    width = 4 if kind == "float" else 8
+        row = np.flatnonzero(rest[0] >= code.alpha)
+        total, name = np.zeros(len(row)), np.zeros(len(row), np.int64)
+        for j, s in enumerate(scores):
+            least = code.alpha - (rest[j + 1] if j + 1 < len(scores) else np.zeros(len(x)))
+            top = np.full(len(x), -np.inf)
+            np.maximum.at(top, row, total)
+            own, pick = np.nonzero(s >= (least - top)[:, None])
+            score, first = s[own, pick], np.searchsorted(own, np.arange(len(x) + 1))
+            n = np.diff(first)[row]
+            at = np.repeat(np.arange(len(row)), n)
+            to = np.arange(len(at)) + np.repeat(first[row] - (np.cumsum(n) - n), n)
+            sums = total[at] + score[to]
+            keep = sums >= least[row[at]]
+            at, to = at[keep], to[keep]
+            row, total, name = row[at], sums[keep], name[at] * code.choices + pick[to]
+        rows.append(row)
+        names.append(name + number * size)
+    row, name = np.concatenate(rows), np.concatenate(names)
+    order = np.lexsort((name, row))
+    return row[order], name[order]
+
+
+def decoded(x: np.ndarray, code: Code, tables: list[tuple[np.ndarray, list[np.ndarray]]]) -> list[np.ndarray]:
+    """For each unit vector (row of x), the sorted numbers of all filters it falls into."""
+    row, name = _decoded(x, code, tables)
+    return np.split(name, np.searchsorted(row, np.arange(1, len(x))))
+
+
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The next counts[i] values as bytes, for each i."""
+    ends = np.concatenate([[0], np.cumsum(counts * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(data: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The opposite: where each row's values begin and the last ones end, and all values."""
+    data = data.cast(pa.binary())
+    ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+    size = np.dtype(kind).itemsize
+    if ends[0] == ends[-1]:
+        return np.zeros(len(ends), np.int64), np.zeros(0, kind)
+    values = np.frombuffer(data.buffers()[2], kind, (int(ends[-1]) - int(ends[0])) // size, int(ends[0]))
+    return (ends.astype(np.int64) - int(ends[0])) // size, values
+
+
+def _unit(data: pa.Array, width: int) -> np.ndarray:
+    """Vectors of one length, scaled to 1."""
+    x = _values(data, "<f8" if width == 8 else "<f4")[1].reshape(len(data), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
+
+
+def _valid(batch: pa.RecordBatch, width: int) -> tuple[pa.RecordBatch, np.ndarray, pa.Array]:
+    """The rows whose vectors can link, their dimensions and components."""
+    there = pc.and_(pc.is_valid(column(batch, "vec_id")), pc.fill_null(pc.greater(pc.list_value_length(column(batch, "embedding")), 0), False))
+    batch = batch.filter(there)
+
+    def values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = column(batch, "embedding")
+        v = pc.cast(x.flatten(), pa.float64(), safe=False).to_numpy(zero_copy_only=False)  # a null is NaN
+        return pc.list_value_length(x).to_numpy().astype(np.int64), v
+
+    dims, v = values(batch)
+    row = np.repeat(np.arange(len(dims)), dims)
+    good = (np.bincount(row, ~np.isfinite(v), len(dims)) == 0) & (np.bincount(row, v != 0, len(dims)) > 0)
+    if not good.all():
+        batch = batch.filter(pa.array(good))
+        dims, v = values(batch)
+    return batch, dims, _binary((v + 0.0).astype("<f8" if width == 8 else "<f4"), dims)
+
+
+def _keys(numbered: DataFrame, width: int) -> DataFrame:
+    """(_row, vec_id, dims, digest) of the vectors that can link; equal vectors have equal digests."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = []
-            for row, vec, x in zip(*(column(batch, c).to_pylist() for c in ("_row", "vec_id", "embedding"))):
-                if x and None not in x and vec is not None:
-                    v = np.array(x, np.float64)
-                    if np.isfinite(v).all() and v.any():
-                        rows.append((row, vec, len(x), (v + 0.0).astype("<f8" if width == 8 else "<f4").tobytes()))
-            cols = list(zip(*rows)) if rows else [(), (), (), ()]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_row", "vec_id", "dims", "data"])
-
-    numbered = vectors.select("_row", "vec_id", "embedding")
-    return small_batches(numbered, 2048).mapInArrow(run, "_row long, vec_id long, dims int, data binary"), width
-
-
-def _compare(left: np.ndarray, right: np.ndarray, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.nonzero(left @ right.T >= cosine)
-    return (i[i < j], j[i < j]) if same else (i, j)
-
-
-def _share_smaller(lists: list[list[int]], name: int, width: int = 2048) -> np.ndarray:
-    """Rows x rows: whether two rows have a filter below `name` in common; by products of membership, some columns at a time."""
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    filters = np.concatenate([np.asarray(x, np.int64) for x in lists])
-    small = filters < name
-    names, at, counts = np.unique(filters[small], return_inverse=True, return_counts=True)
-    row, often = row[small], counts > 1
-    place = np.cumsum(often) - 1
-    row, at = row[often[at]], place[at[often[at]]]
-    out = np.zeros((len(lists), len(lists)), bool)
-    for first in range(0, int(often.sum()), width):
-        own = (at >= first) & (at < first + width)
-        has = np.zeros((len(lists), width), np.float32)
-        has[row[own], at[own] - first] = 1
-        out |= has @ has.T > 0
-    return out
-
-
-def linked(groups: DataFrame, width: int, cosine: float) -> DataFrame:
-    """(rep, n, other): for each distinct vector, links that one comparison counts for it, and a spanning link or null.
-
-    `groups` has rep, copies, dims, data.
-    """
-    codes = {r["dims"]: code_for(r["n"], r["dims"], cosine) for r in groups.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+            batch, dims, data = _valid(batch, width)
+            ends, raw = _values(data, "u1")
+            raw, ends = raw.tobytes(), ends.tolist()
+            digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "_row"), column(batch, "vec_id"), pa.array(dims, pa.int32()), pa.array(digest, pa.binary())], ["_row", "vec_id", "dims", "digest"]
+            )
+
+    return small_batches(numbered, 2048).mapInArrow(run, "_row long, vec_id long, dims int, digest binary")
 
-    def filters(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _with_filters(distinct: DataFrame, codes: dict[int, Code], width: int) -> DataFrame:
+    """(dims, rep, copies, data, own): each distinct vector and its filters, of rows (_row, vec_id, copies, embedding)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = {d: c.vectors() for d, c in codes.items()}
         for batch in it:
-            dims = column(batch, "dims").to_numpy()
+            batch, dims, data = _valid(batch, width)
             for d in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == d))
-                x = _matrix(column(part, "data"), width)
-                x /= np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(1, keepdims=True)
-                lists = decoded(x, codes[d], ready[d])
-                at = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
-                take = part.take(pa.array(at))
-                own = pa.array([lists[i] for i in at], pa.list_(pa.int64()))
-                name = pa.array(np.concatenate(lists) if len(at) else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([name, *(column(take, c) for c in ("dims", "rep", "copies", "data")), own], ["filter", "dims", "rep", "copies", "data", "own"])
-
-    members = written(small_batches(groups.select("dims", "rep", "copies", "data"), 1024).mapInArrow(
-        filters, "filter long, dims int, rep long, copies long, data binary, own array<long>"
-    ), "caps")
-    key = ["dims", "filter"]
-    crowded = members.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).filter("nb > 1")
-    dealt = members.join(crowded, key, "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select(*key, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "copies", "data", "own")
-    group = [*key, "i", "j"]
-    ordered = dealt.repartition(*group).sortWithinPartitions(*group, "b", "rep")
-
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+                at = pa.array(np.flatnonzero(dims == d))
+                part, own_data = batch.take(at), data.take(at)
+                row, name = _decoded(_unit(own_data, width), codes[d], ready[d])
+                own = _binary(name.astype(codes[d].kind()), np.bincount(row, minlength=len(at)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(dims[dims == d], pa.int32()), column(part, "_row"), column(part, "copies"), own_data, own], ["dims", "rep", "copies", "data", "own"]
+                )
+
+    return small_batches(distinct, 2048).mapInArrow(run, "dims int, rep long, copies long, data binary, own binary")
+
+
+def _by_dims(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = column(batch, "dims").to_numpy()
+    for d in np.unique(dims).tolist():
+        yield d, batch if (dims == d).all() else batch.filter(pa.array(dims == d))
+
+
+def _crowded(members: DataFrame, codes: dict[int, Code], n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dims, the filters of over `BLOCK` vectors, sorted, and the blocks that each is cut into.
+
+    Of very many vectors some are counted and stand for the rest: how a filter is cut changes no result.
+    """
+    each = max(1, n // COUNTED)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for d, part in _by_dims(batch):
+                names, count = np.unique(_values(column(part, "own"), codes[d].kind())[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), d), pa.int32()), pa.array(names, pa.int64()), pa.array(count, pa.int64())], ["dims", "filter", "n"])
+
+    some = members.filter(F.pmod(F.xxhash64("rep"), F.lit(each)) == 0).select("dims", "own")
+    counts = small_batches(some, 2048).mapInArrow(run, "dims int, filter long, n long").groupBy("dims", "filter").agg((F.sum("n") * each).alias("n"))
+    # as many rows as all filters of all vectors divided by BLOCK, at most
+    found = counts.filter(F.col("n") > BLOCK).select("dims", "filter", F.ceil(F.col("n") / BLOCK).alias("nb")).orderBy("dims", "filter").toArrow()
+    dims, names, blocks = (found.column(c).to_numpy().astype(np.int64) for c in ("dims", "filter", "nb"))
+    return {d: (names[dims == d], blocks[dims == d]) for d in codes}
+
+
+def _sent(members: DataFrame, codes: dict[int, Code], crowded: dict[int, tuple[np.ndarray, np.ndarray]], turn: int, rounds: int) -> DataFrame:
+    """(filter, dims, i, j, b, rep, copies, data, own) of one round: a vector for each of its filters, with its smaller ones.
+
+    A crowded filter's vector of block b goes to all pairs of blocks i <= j that hold b.
+    """
+    names = ["filter", "dims", "i", "j", "b", "rep", "copies", "data", "own"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for d, part in _by_dims(batch):
+                code, (full, blocks) = codes[d], crowded[d]
+                first, own = _values(column(part, "own"), code.kind())
+                low, high = (code.size() * k // rounds for k in (turn, turn + 1))
+                at = np.flatnonzero((own >= low) & (own < high))
+                row = np.searchsorted(first, at, "right") - 1
+                rep = column(part, "rep").to_numpy()
+                nb, b = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+                if len(full):
+                    place = np.minimum(np.searchsorted(full, own[at]), len(full) - 1)
+                    hit = full[place] == own[at]
+                    nb[hit] = blocks[place[hit]]
+                    mixed = rep[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    b = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % nb
+                all_at = np.repeat(np.arange(len(at)), nb)
+                other = np.arange(len(all_at)) - np.repeat(np.cumsum(nb) - nb, nb)
+                for s in range(0, len(all_at), 8192):
+                    to, o = all_at[s : s + 8192], other[s : s + 8192]
+                    begin, end = first[row[to]], at[to]
+                    n = end - begin
+                    smaller = own[np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)]
+                    take = part.take(pa.array(row[to]))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(own[end], pa.int64()), column(take, "dims"), pa.array(np.minimum(b[to], o), pa.int32()), pa.array(np.maximum(b[to], o), pa.int32()),
+                        pa.array(b[to], pa.int32()), column(take, "rep"), column(take, "copies"), column(take, "data").cast(pa.binary()), _binary(smaller, n),
+                    ], names)
+
+    return small_batches(members, 2048).mapInArrow(run, "filter long, dims int, i int, j int, b int, rep long, copies long, data binary, own binary")
+
+
+def _apart(p: np.ndarray, q: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of the pairs of rows p, q, the places of those that have none of their `own` filters in common.
+
+    Rows are marked with bits for filters that several hold, the most frequent first; they settle nearly all pairs.
+    """
+    mark = np.zeros(len(first) - 1, bool)
+    mark[p] = mark[q] = True
+    rows = np.flatnonzero(mark)
+    local = np.cumsum(mark) - 1
+    n = np.diff(first)[rows]
+    row = np.repeat(np.arange(len(rows)), n)
+    names, at, count = np.unique(own[np.arange(n.sum()) + np.repeat(first[rows] - (np.cumsum(n) - n), n)], return_inverse=True, return_counts=True)
+    often = np.argsort(-count, kind="stable")[: int((count > 1).sum())]
+    place = np.full(len(names), len(often))
+    place[often] = np.arange(len(often))
+    at = place[at]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    left, p, q = np.arange(len(p)), local[p], local[q]
+    for w in range(0, len(often), 52):
+        a, b = np.searchsorted(at, [w, min(w + 52, len(often))])
+        bits = np.bincount(row[a:b], 2.0 ** (at[a:b] - w), len(rows)).astype(np.int64)  # sums of different powers below 2^52 are exact
+        keep = (bits[p] & bits[q]) == 0
+        if not keep.all():
+            left, p, q = left[keep], p[keep], q[keep]
+        if not len(left):
+            break
+    return left
+
+
+def _joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least row that each row is linked with, after the links p-q."""
+    head = np.arange(len(root))
+    head[q[::-1]] = p[::-1]  # one link for each q first: of many pairs, few others are left then
+    for a, b in ((np.arange(len(root)), head), (p, q)):
+        u, v = root[a], root[b]
+        if len(at := np.flatnonzero(u != v)):
+            low, up = forest(u[at], v[at])
+            to = np.arange(len(root))
+            to[low] = up
+            root = to[root]
+    return root
+
+
+def _compared(x: np.ndarray, copies: np.ndarray, cut: int, first: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit vector the links counted here, and the least row it is linked with.
+
+    Rows before `cut` meet the others, all rows each other if it is 0.
+    """
+    single = x.astype(np.float32)
+    others = single.copy()  # a product of a table with itself takes a slower path
+    slack = 1e-6 + 2.0**-23 * x.shape[1]  # over the error of single precision
+    n, root = np.zeros(len(x)), np.arange(len(x))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        nonlocal n, root
+        p, q = (np.concatenate(v) for v in zip(*held))
+        held.clear()
+        left = _apart(p, q, first, own)
+        p, q = p[left], q[left]
+        n += np.bincount(p, copies[q], len(x)) + np.bincount(q, copies[p], len(x))
+        root = _joined(root, p, q)
+
+    step = max(1, min(STRIP, CELLS // len(x)))
+    for s in range(0, cut or len(x), step):
+        e = min(s + step, cut or len(x))
+        begin = cut or s
+        g = (single[s:e] @ others[begin:].T).ravel()
+        at = np.flatnonzero(g >= cosine - slack)
+        p, q = np.divmod(at, len(x) - begin)
+        p, q = p + s, q + begin
+        keep = p < q
+        near = g[at] >= cosine + slack
+        for k in np.array_split(np.flatnonzero(keep & ~near), 1 + len(at) // PAIRS):
+            near[k] = np.einsum("ij,ij->i", x[p[k]], x[q[k]]) >= cosine
+        keep &= near
+        if keep.any():
+            held.append((p[keep], q[keep]))
+            if sum(len(v[0]) for v in held) >= CELLS // 2:
+                settle()
+    if held:
+        settle()
+    return n, root
+
+
+def linked(members: DataFrame, codes: dict[int, Code], crowded: dict[int, tuple[np.ndarray, np.ndarray]], rounds: int, width: int, cosine: float) -> DataFrame:
+    """(rep, n, other): for each distinct vector, links that one comparison counts for it, and a spanning link or -1.
+
+    `members` has dims, rep, copies, data, own.
+    """
+
+    def compare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One comparison: the rows of a pair of blocks, or of one block with itself."""
-        _, name, i, j = rows[0][:4]
-        rep, copies = np.array([r[5] for r in rows], np.int64), np.array([r[6] for r in rows], np.int64)
-        x = np.frombuffer(b"".join(r[7] for r in rows), "<f8" if width == 8 else "<f4").reshape(len(rows), -1).astype(np.float64)
-        x = x / np.abs(x).max(1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        if i == j:
-            p, q = _compare(x, x, True, cosine)
-        else:
-            first = np.array([r[4] == i for r in rows])
-            cut = int(first.sum())
-            p, q = _compare(x[:cut], x[cut:], False, cosine)
-            q = q + cut
-        if len(p):
-            # counted here only if no smaller filter holds both
-            least = _share_smaller([r[8] for r in rows], name)
-            keep = ~least[p, q]
-            p, q = p[keep], q[keep]
-        if not len(p):
-            return (np.zeros(0, np.int64),) * 3
-        n = np.bincount(p, copies[q], len(rows)) + np.bincount(q, copies[p], len(rows))
-        a, b = forest(rep[p], rep[q])
-        to = dict(zip(a.tolist(), b.tolist()))
-        used = np.flatnonzero(n)
-        return rep[used], n[used].astype(np.int64), np.array([to.get(r, -1) for r in rep[used].tolist()], np.int64)
+        d, i, j = (column(rows, c)[0].as_py() for c in ("dims", "i", "j"))
+        rep, copies = column(rows, "rep").to_numpy(), column(rows, "copies").to_numpy()
+        cut = 0 if i == j else int((column(rows, "b").to_numpy() == i).sum())
+        if i == j or 0 < cut < len(rep):
+            first, own = _values(column(rows, "own"), codes[d].kind())
+            n, root = _compared(_unit(column(rows, "data"), width), copies, cut, first, own, cosine)
+            used = np.flatnonzero(n)
+            return rep[used], n[used].astype(np.int64), np.where(root[used] == used, -1, rep[root[used]])
+        return (np.zeros(0, np.int64),) * 3
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            now, held = None, []
-            for batch in it:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    if row[:4] != now:
-                        if len(held) > 1:
-                            yield from zip(*(v.tolist() for v in compare(held)))
-                        now, held = row[:4], []
-                    held.append(row)
-            if len(held) > 1:
-                yield from zip(*(v.tolist() for v in compare(held)))
+        out: list[tuple[np.ndarray, ...]] = []
 
-        yield from batches(each(), ["rep", "n", "other"], [pa.int64()] * 3)
+        def ready(least: int) -> Iterator[pa.RecordBatch]:
+            if sum(len(x[0]) for x in out) >= least:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in zip(*out)], ["rep", "n", "other"])
+                out.clear()
 
-    return written(small_batches(ordered, 2048).mapInArrow(run, "rep long, n long, other long"), "cap-links")
+        def done(held: list[pa.RecordBatch]) -> None:
+            if sum(len(x) for x in held) > 1:
+                out.append(compare(pa.Table.from_batches(held).combine_chunks().to_batches()[0]))
+
+        now, held = None, []
+        for batch in it:
+            key = np.stack([column(batch, c).to_numpy().astype(np.int64) for c in ("filter", "dims", "i", "j")])
+            begins = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()] if len(batch) else []
+            for a, b in zip(begins, [*begins[1:], len(batch)]):
+                if (k := tuple(key[:, a].tolist())) != now:
+                    done(held)
+                    now, held = k, []
+                    yield from ready(4096)
+                held.append(batch.slice(a, b - a))
+        done(held)
+        yield from ready(1)
+
+    group = ["filter", "dims", "i", "j"]
+    found = []
+    for turn in range(rounds):
+        sent = _sent(members, codes, crowded, turn, rounds).repartition(*group).sortWithinPartitions(*group, "b")
+        found.append(written(small_batches(sent, 2048).mapInArrow(run, "rep long, n long, other long").hint("rebalance"), "cap-links"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _rounds(seen: dict[str, int], codes: dict[int, Code], crowded: dict[int, tuple[np.ndarray, np.ndarray]]) -> int:
+    """So many rounds that none sends much more than it may; `seen` has the vectors and the bytes of them and of their filters."""
+    row = seen["data"] / seen["n"] + seen["own"] / seen["n"] / 2 + 48
+    sent = seen["own"] / min(np.dtype(c.kind()).itemsize for c in codes.values())
+    sent += sum(int((blocks * (blocks - 1)).sum()) * BLOCK for _, blocks in crowded.values())
+    return max(1, min(ceil(sent * row / max(ROUND_BYTES, ROUND_X * seen["data"])), min(c.size() for c in codes.values())))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -254,23 +453,42 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     `vectors` is a table that is read alike each time: its rows are numbered.
     """
+    spark = vectors.sparkSession
+    width = 4 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else 8
     numbered = vectors.select("vec_id", "embedding", F.monotonically_increasing_id().alias("_row"))
-    valid, width = valid_vectors(numbered)
-    valid = written(valid, "vectors")
-    groups = written(
-        valid.groupBy("dims", "data").agg(F.min("_row").alias("rep"), F.min("vec_id").alias("first"), F.count("*").alias("copies")), "distinct"
-    )
-    found = linked(groups, width, cosine)
-    degree = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    roots = components(found.filter("other >= 0"), "rep", "other")
-    placed = groups.select("rep", "first", "copies").join(roots, groups["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = placed.join(degree, "rep", "left").select("rep", "first", "root", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    placed = written(placed, "placed")
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written(placed.join(named, "root").select("rep", "n_links", "component_id"), "classes")
-    # a class's copies join to its one row
-    rows = valid.select("_row", "dims", "data").join(groups.select("dims", "data", "rep"), ["dims", "data"]).select("_row", "rep")
-    rows = written(rows, "members").join(classes, "rep").select("_row", "n_links", "component_id")
+    with freed_shuffles(spark), scratch(spark):
+        with scratch(spark):
+            keys = written(_keys(numbered, width), "keys")
+            groups = keys.groupBy("dims", "digest").agg(F.min("_row").alias("rep"), F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+            groups = written(groups, "distinct", keep=True)
+            # rows of vectors that occur more than once: whose copies they are
+            repeated = groups.filter("copies > 1").select("dims", "digest", "rep", "copies")
+            copies, seen = counted(keys.join(repeated, ["dims", "digest"]).select("_row", "rep", "copies"), "copies", keep=True, n=F.count("*"))
+        codes = {r["dims"]: code_for(r["n"], r["dims"], cosine) for r in groups.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+        with scratch(spark):
+            distinct = numbered.withColumn("copies", F.lit(1).cast("long"))
+            if seen["n"]:
+                distinct = numbered.join(copies, "_row", "left").filter("rep is null or rep = _row").withColumn("copies", F.coalesce("copies", F.lit(1)))
+            members, sizes = counted(
+                _with_filters(distinct.select("_row", "vec_id", "copies", "embedding"), codes, width), "caps",
+                n=F.count("*"), data=F.sum(F.octet_length("data")), own=F.sum(F.octet_length("own")),
+            )
+            crowded = _crowded(members, codes, sizes["n"])
+            found = linked(members, codes, crowded, _rounds(sizes, codes, crowded), width, cosine) if sizes["n"] else spark.createDataFrame([], "rep long, n long, other long")
+            degree = written(found.groupBy("rep").agg(F.sum("n").alias("n")), "degree", keep=True)
+            links = written(found.filter("other >= 0").select("rep", "other").distinct(), "links", keep=True)
+        roots = components(links, "rep", "other")
+        placed = groups.select("rep", "first", "copies").join(roots, groups["rep"] == roots["node"], "left").join(degree, "rep", "left")
+        # those left out are alone
+        placed = placed.filter("n is not null or copies > 1").withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
+        placed = placed.select("rep", "first", "copies", F.coalesce("root", "rep").alias("root"), "n_links")
+        placed = written(placed, "placed")
+        named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+        classes = written(placed.join(named, "root").select("rep", "copies", "n_links", "component_id"), "classes")
+        # a class's copies join to its one row
+        rows = copies.select("_row", "rep").join(classes, "rep").select("_row", "n_links", "component_id")
+        rows = rows.unionByName(classes.filter("copies = 1").select(F.col("rep").alias("_row"), "n_links", "component_id"))
+        rows = written(rows, "members", keep=True)
     out = numbered.select("_row", "vec_id").join(rows, "_row", "left")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
