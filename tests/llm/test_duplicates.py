@@ -371,16 +371,19 @@ def test_caps_keep_little_on_disk(spark, monkeypatch):
     assert [os.path.basename(t).split("-")[0] for t in tables if os.path.exists(t)] == ["members"]
 
 
-@pytest.mark.parametrize("most, block", [(1, caps.BLOCK), (200_000, 40)])
-def test_caps_in_rounds(spark, monkeypatch, most, block):
+@pytest.mark.parametrize("block, choices, bundle", [(40, caps.CHOICES, 0), (40, 10, caps.BUNDLE), (caps.BLOCK, 10, 300)])
+def test_caps_in_rounds(spark, monkeypatch, block, choices, bundle):
     x = near_vectors(n=600)
     rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(3)
     rows = written(rows, "given")
     monkeypatch.setattr(caps, "CELLS", 512)
     monkeypatch.setattr(caps, "PAIRS", 64)
     monkeypatch.setattr(caps, "BLOCK", block)
+    monkeypatch.setattr(caps, "CHOICES", choices)
+    assert (caps.code_for(600, 64).wide() > 1) == (choices == 10)
+    monkeypatch.setattr(caps, "BUNDLE", bundle)
     once = sorted(caps.near_duplicates(rows).collect())
-    monkeypatch.setattr(caps, "ROUND_BYTES", most)
+    monkeypatch.setattr(caps, "ROUND_BYTES", 1)
     found, labels = tables_of(monkeypatch, lambda: sorted(caps.near_duplicates(rows).collect()))
     assert labels.count("cap-links") > 4 and found == once
     m = x.astype(np.float64)

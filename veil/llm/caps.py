@@ -14,9 +14,9 @@ of its own. Cap and code follow from the number of vectors: about `LOAD` vectors
 vectors at the similarity asked for share about `SHARED` filters in each of `TABLES` tables, so links are found with high probability, none
 is invented, and a rerun finds the same.
 
-Each vector is decoded and written once, beside the list of its filters. It then goes to each of its filters with the list of its
-smaller ones; the filters are taken in rounds, each a range of their numbers, so that what one round sends stays below
-`ROUND_X` times the vectors, however many filters a vector has. The shuffled rows of a round go before the next begins.
+Each vector is decoded and written once, beside the list of its filters. It then goes to each bundle of filters that has some of its own,
+with the list of these and all smaller ones. Bundles are taken in rounds, each a range of their numbers, so that what one round sends stays
+below `ROUND_X` times the vectors, however many filters a vector has. The shuffled rows of a round go before the next begins.
 
 Vectors that are null, zero, or hold null, NaN or infinite components link with nothing; so do vectors of different
 length, and rows without a vec_id, whose component is null. Repeated rows are rows of their own and link with each other.
@@ -48,6 +48,8 @@ TABLES = 8
 CHOICES, BLOCK = 512, 8192
 #: What a round sends: so many bytes for each byte of the vectors, or so many in all if that is more.
 ROUND_X, ROUND_BYTES = 1.5, 256_000_000
+#: Vectors of all filters of a bundle together, beyond which its filters are taken one by one.
+BUNDLE = 700_000
 #: Vectors whose filters are counted to find the crowded ones, at most about twice as many.
 COUNTED = 1 << 20
 #: Rows and cells of a table of inner products, and pairs that double precision settles at once.
@@ -89,6 +91,10 @@ class Code:
         """Filters of all tables."""
         return self.choices**self.blocks * self.tables
 
+    def wide(self) -> int:
+        """Filters of a bundle: those with the same choices of all blocks but the last, which a vector often falls into together."""
+        return self.choices if self.blocks > 1 else 1
+
     def kind(self) -> str:
         """How a filter's number is stored."""
         return "<i4" if self.size() < 2**31 else "<i8"
@@ -175,9 +181,13 @@ def _values(data: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return (ends.astype(np.int64) - int(ends[0])) // size, values
 
 
-def _unit(data: pa.Array, width: int) -> np.ndarray:
-    """Vectors of one length, scaled to 1."""
-    x = _values(data, "<f8" if width == 8 else "<f4")[1].reshape(len(data), -1).astype(np.float64)
+def _matrix(data: pa.Array, width: int) -> np.ndarray:
+    return _values(data, "<f8" if width == 8 else "<f4")[1].reshape(len(data), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors scaled to 1, in double precision."""
+    x = x.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     return x
@@ -219,7 +229,7 @@ def _keys(numbered: DataFrame, width: int) -> DataFrame:
 
 
 def _with_filters(distinct: DataFrame, codes: dict[int, Code], width: int) -> DataFrame:
-    """(dims, rep, copies, data, own): each distinct vector and its filters, of rows (_row, vec_id, copies, embedding)."""
+    """(dims, rep, copies, data, own, bundles): each distinct vector, its filters and how many bundles they are in, of rows (_row, vec_id, copies, embedding)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = {d: c.vectors() for d, c in codes.items()}
@@ -228,13 +238,15 @@ def _with_filters(distinct: DataFrame, codes: dict[int, Code], width: int) -> Da
             for d in np.unique(dims).tolist():
                 at = pa.array(np.flatnonzero(dims == d))
                 part, own_data = batch.take(at), data.take(at)
-                row, name = _decoded(_unit(own_data, width), codes[d], ready[d])
-                own = _binary(name.astype(codes[d].kind()), np.bincount(row, minlength=len(at)))
+                row, name = _decoded(_unit(_matrix(own_data, width)), codes[d], ready[d])
+                own, bundle = _binary(name.astype(codes[d].kind()), np.bincount(row, minlength=len(at))), name // codes[d].wide()
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (bundle[1:] != bundle[:-1])])[: len(row)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(dims[dims == d], pa.int32()), column(part, "_row"), column(part, "copies"), own_data, own], ["dims", "rep", "copies", "data", "own"]
-                )
+                    [pa.array(dims[dims == d], pa.int32()), column(part, "_row"), column(part, "copies"), own_data, own, pa.array(np.bincount(row[new], minlength=len(at)), pa.int32())],
+                    ["dims", "rep", "copies", "data", "own", "bundles"],
+                )
 
-    return small_batches(distinct, 2048).mapInArrow(run, "dims int, rep long, copies long, data binary, own binary")
+    return small_batches(distinct, 2048).mapInArrow(run, "dims int, rep long, copies long, data binary, own binary, bundles int")
 
 
 def _by_dims(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -243,78 +255,102 @@ def _by_dims(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield d, batch if (dims == d).all() else batch.filter(pa.array(dims == d))
 
 
-def _crowded(members: DataFrame, codes: dict[int, Code], n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dims, the filters of over `BLOCK` vectors, sorted, and the blocks that each is cut into.
+@dataclass(frozen=True)
+class Crowded:
+    """Filters of over `BLOCK` vectors, sorted, and the blocks that each is cut into; bundles whose filters are taken one by one, sorted."""
 
-    Of very many vectors some are counted and stand for the rest: how a filter is cut changes no result.
-    """
+    names: np.ndarray
+    blocks: np.ndarray
+    loose: np.ndarray
+
+
+def _among(x: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which x are among the sorted names, and at which place."""
+    if not len(names):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    place = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    return names[place] == x, place
+
+
+def _crowded(members: DataFrame, codes: dict[int, Code], n: int) -> dict[int, Crowded]:
+    """What is crowded, by dims. Of very many vectors some are counted and stand for the rest: how a filter is cut changes no result."""
     each = max(1, n // COUNTED)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for d, part in _by_dims(batch):
                 names, count = np.unique(_values(column(part, "own"), codes[d].kind())[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), d), pa.int32()), pa.array(names, pa.int64()), pa.array(count, pa.int64())], ["dims", "filter", "n"])
+                cols = [np.full(len(names), d, np.int32), names.astype(np.int64) // codes[d].wide(), names.astype(np.int64), count]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["dims", "bundle", "filter", "n"])
 
     some = members.filter(F.pmod(F.xxhash64("rep"), F.lit(each)) == 0).select("dims", "own")
-    counts = small_batches(some, 2048).mapInArrow(run, "dims int, filter long, n long").groupBy("dims", "filter").agg((F.sum("n") * each).alias("n"))
-    # as many rows as all filters of all vectors divided by BLOCK, at most
-    found = counts.filter(F.col("n") > BLOCK).select("dims", "filter", F.ceil(F.col("n") / BLOCK).alias("nb")).orderBy("dims", "filter").toArrow()
-    dims, names, blocks = (found.column(c).to_numpy().astype(np.int64) for c in ("dims", "filter", "nb"))
-    return {d: (names[dims == d], blocks[dims == d]) for d in codes}
+    counts = small_batches(some, 2048).mapInArrow(run, "dims int, bundle long, filter long, n long")
+    counts = written(counts.groupBy("dims", "bundle", "filter").agg((F.sum("n") * each).alias("n")), "counts")
+    # as many rows as all filters of all vectors divided by BLOCK or BUNDLE, at most
+    full = counts.filter(F.col("n") > BLOCK).select("dims", "filter", F.ceil(F.col("n") / BLOCK).alias("nb")).orderBy("dims", "filter").toArrow()
+    loose = counts.groupBy("dims", "bundle").agg(F.sum("n").alias("n")).filter(F.col("n") > BUNDLE).orderBy("dims", "bundle").toArrow()
+    dims, names, blocks = (full.column(c).to_numpy().astype(np.int64) for c in ("dims", "filter", "nb"))
+    of, bundles = (loose.column(c).to_numpy().astype(np.int64) for c in ("dims", "bundle"))
+    return {d: Crowded(names[dims == d], blocks[dims == d], bundles[of == d]) for d in codes}
 
 
-def _sent(members: DataFrame, codes: dict[int, Code], crowded: dict[int, tuple[np.ndarray, np.ndarray]], turn: int, rounds: int) -> DataFrame:
-    """(filter, dims, i, j, b, rep, copies, data, own) of one round: a vector for each of its filters, with its smaller ones.
+def _sent(members: DataFrame, codes: dict[int, Code], crowded: dict[int, Crowded], turn: int, rounds: int) -> DataFrame:
+    """(unit, dims, i, j, b, rep, copies, data, own) of one round.
 
-    A crowded filter's vector of block b goes to all pairs of blocks i <= j that hold b.
+    Unit -1 - k is bundle k, and `own` a vector's filters up to its last one there. Unit k is filter k alone, and `own` the smaller ones; a
+    vector of block b then goes to all pairs of blocks i <= j that hold b.
     """
-    names = ["filter", "dims", "i", "j", "b", "rep", "copies", "data", "own"]
+    names = ["unit", "dims", "i", "j", "b", "rep", "copies", "data", "own"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for d, part in _by_dims(batch):
-                code, (full, blocks) = codes[d], crowded[d]
+                code, full = codes[d], crowded[d]
                 first, own = _values(column(part, "own"), code.kind())
-                low, high = (code.size() * k // rounds for k in (turn, turn + 1))
+                low, high = (code.size() // code.wide() * k // rounds * code.wide() for k in (turn, turn + 1))
                 at = np.flatnonzero((own >= low) & (own < high))
                 row = np.searchsorted(first, at, "right") - 1
-                rep = column(part, "rep").to_numpy()
-                nb, b = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
-                if len(full):
-                    place = np.minimum(np.searchsorted(full, own[at]), len(full) - 1)
-                    hit = full[place] == own[at]
-                    nb[hit] = blocks[place[hit]]
-                    mixed = rep[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    b = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % nb
-                all_at = np.repeat(np.arange(len(at)), nb)
-                other = np.arange(len(all_at)) - np.repeat(np.cumsum(nb) - nb, nb)
-                for s in range(0, len(all_at), 8192):
-                    to, o = all_at[s : s + 8192], other[s : s + 8192]
-                    begin, end = first[row[to]], at[to]
-                    n = end - begin
-                    smaller = own[np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)]
+                bundle = own[at].astype(np.int64) // code.wide()
+                alone, place = _among(own[at], full.names)
+                nb = np.where(alone, full.blocks[place] if len(full.blocks) else 1, 1)
+                alone |= _among(bundle, full.loose)[0] | (code.wide() == 1)
+                together = np.flatnonzero(~alone)
+                last = np.ones(len(together), bool)
+                last[:-1] = (row[together[1:]] != row[together[:-1]]) | (bundle[together[1:]] != bundle[together[:-1]])
+                use = np.sort(np.concatenate([np.flatnonzero(alone), together[last]]))
+                at, row, bundle, alone, nb = (v[use] for v in (at, row, bundle, alone, nb))
+                mixed = column(part, "rep").to_numpy()[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                b = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % nb
+                unit, end = np.where(alone, own[at], -1 - bundle), np.where(alone, at, at + 1)
+                every = np.repeat(np.arange(len(at)), nb)
+                other = np.arange(len(every)) - np.repeat(np.cumsum(nb) - nb, nb)
+                for s in range(0, len(every), 8192):
+                    to, o = every[s : s + 8192], other[s : s + 8192]
+                    begin = first[row[to]]
+                    n = end[to] - begin
+                    lists = own[np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)]
                     take = part.take(pa.array(row[to]))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(own[end], pa.int64()), column(take, "dims"), pa.array(np.minimum(b[to], o), pa.int32()), pa.array(np.maximum(b[to], o), pa.int32()),
-                        pa.array(b[to], pa.int32()), column(take, "rep"), column(take, "copies"), column(take, "data").cast(pa.binary()), _binary(smaller, n),
+                        pa.array(unit[to], pa.int64()), column(take, "dims"), pa.array(np.minimum(b[to], o), pa.int32()), pa.array(np.maximum(b[to], o), pa.int32()),
+                        pa.array(b[to], pa.int32()), column(take, "rep"), column(take, "copies"), column(take, "data").cast(pa.binary()), _binary(lists, n),
                     ], names)
 
-    return small_batches(members, 2048).mapInArrow(run, "filter long, dims int, i int, j int, b int, rep long, copies long, data binary, own binary")
+    sending = members.select("dims", "rep", "copies", "data", "own")
+    return small_batches(sending, 2048).mapInArrow(run, "unit long, dims int, i int, j int, b int, rep long, copies long, data binary, own binary")
 
 
-def _apart(p: np.ndarray, q: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Of the pairs of rows p, q, the places of those that have none of their `own` filters in common.
+def _apart(p: np.ndarray, q: np.ndarray, begin: np.ndarray, end: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of the pairs of rows p, q, the places of those that have none of their filters own[begin:end] in common.
 
     Rows are marked with bits for filters that several hold, the most frequent first; they settle nearly all pairs.
     """
-    mark = np.zeros(len(first) - 1, bool)
+    mark = np.zeros(len(begin), bool)
     mark[p] = mark[q] = True
     rows = np.flatnonzero(mark)
     local = np.cumsum(mark) - 1
-    n = np.diff(first)[rows]
+    n = (end - begin)[rows]
     row = np.repeat(np.arange(len(rows)), n)
-    names, at, count = np.unique(own[np.arange(n.sum()) + np.repeat(first[rows] - (np.cumsum(n) - n), n)], return_inverse=True, return_counts=True)
+    names, at, count = np.unique(own[np.arange(n.sum()) + np.repeat(begin[rows] - (np.cumsum(n) - n), n)], return_inverse=True, return_counts=True)
     often = np.argsort(-count, kind="stable")[: int((count > 1).sum())]
     place = np.full(len(names), len(often))
     place[often] = np.arange(len(often))
@@ -347,38 +383,39 @@ def _joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compared(x: np.ndarray, copies: np.ndarray, cut: int, first: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each unit vector the links counted here, and the least row it is linked with.
+def _compared(
+    raw: np.ndarray, use: np.ndarray, single: np.ndarray, copies: np.ndarray, cut: int, begin: np.ndarray, end: np.ndarray, own: np.ndarray, cosine: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector raw[use] the links counted here, and the least row it is linked with.
 
-    Rows before `cut` meet the others, all rows each other if it is 0.
+    `single` has them at length 1. Rows before `cut` meet the others, all rows each other if it is 0.
     """
-    single = x.astype(np.float32)
     others = single.copy()  # a product of a table with itself takes a slower path
-    slack = 1e-6 + 2.0**-23 * x.shape[1]  # over the error of single precision
-    n, root = np.zeros(len(x)), np.arange(len(x))
+    slack = 1e-6 + 2.0**-23 * single.shape[1]  # over the error of single precision
+    n, root = np.zeros(len(single)), np.arange(len(single))
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def settle() -> None:
         nonlocal n, root
         p, q = (np.concatenate(v) for v in zip(*held))
         held.clear()
-        left = _apart(p, q, first, own)
+        left = _apart(p, q, begin, end, own)
         p, q = p[left], q[left]
-        n += np.bincount(p, copies[q], len(x)) + np.bincount(q, copies[p], len(x))
+        n += np.bincount(p, copies[q], len(n)) + np.bincount(q, copies[p], len(n))
         root = _joined(root, p, q)
 
-    step = max(1, min(STRIP, CELLS // len(x)))
-    for s in range(0, cut or len(x), step):
-        e = min(s + step, cut or len(x))
-        begin = cut or s
-        g = (single[s:e] @ others[begin:].T).ravel()
+    step = max(1, min(STRIP, CELLS // len(single)))
+    for s in range(0, cut or len(single), step):
+        e, right = min(s + step, cut or len(single)), cut or s
+        g = (single[s:e] @ others[right:].T).ravel()
         at = np.flatnonzero(g >= cosine - slack)
-        p, q = np.divmod(at, len(x) - begin)
-        p, q = p + s, q + begin
+        p, q = np.divmod(at, len(single) - right)
+        p, q = p + s, q + right
         keep = p < q
         near = g[at] >= cosine + slack
-        for k in np.array_split(np.flatnonzero(keep & ~near), 1 + len(at) // PAIRS):
-            near[k] = np.einsum("ij,ij->i", x[p[k]], x[q[k]]) >= cosine
+        if len(unsure := np.flatnonzero(keep & ~near)):
+            for k in np.array_split(unsure, 1 + len(unsure) // PAIRS):
+                near[k] = np.einsum("ij,ij->i", _unit(raw[use[p[k]]]), _unit(raw[use[q[k]]])) >= cosine
         keep &= near
         if keep.any():
             held.append((p[keep], q[keep]))
@@ -389,23 +426,35 @@ def _compared(x: np.ndarray, copies: np.ndarray, cut: int, first: np.ndarray, ow
     return n, root
 
 
-def linked(members: DataFrame, codes: dict[int, Code], crowded: dict[int, tuple[np.ndarray, np.ndarray]], rounds: int, width: int, cosine: float) -> DataFrame:
+def linked(members: DataFrame, codes: dict[int, Code], crowded: dict[int, Crowded], rounds: int, width: int, cosine: float) -> DataFrame:
     """(rep, n, other): for each distinct vector, links that one comparison counts for it, and a spanning link or -1.
 
     `members` has dims, rep, copies, data, own.
     """
 
-    def compare(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One comparison: the rows of a pair of blocks, or of one block with itself."""
-        d, i, j = (column(rows, c)[0].as_py() for c in ("dims", "i", "j"))
+    def compare(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The comparisons of a bundle's filters, or of a filter's pair of blocks or one block with itself."""
+        unit, d, i, j = (column(rows, c)[0].as_py() for c in ("unit", "dims", "i", "j"))
         rep, copies = column(rows, "rep").to_numpy(), column(rows, "copies").to_numpy()
-        cut = 0 if i == j else int((column(rows, "b").to_numpy() == i).sum())
-        if i == j or 0 < cut < len(rep):
-            first, own = _values(column(rows, "own"), codes[d].kind())
-            n, root = _compared(_unit(column(rows, "data"), width), copies, cut, first, own, cosine)
-            used = np.flatnonzero(n)
-            return rep[used], n[used].astype(np.int64), np.where(root[used] == used, -1, rep[root[used]])
-        return (np.zeros(0, np.int64),) * 3
+        first, own = _values(column(rows, "own"), codes[d].kind())
+        raw = _matrix(column(rows, "data"), width)
+        single = np.empty(raw.shape, np.float32)
+        for s in range(0, len(raw), 4096):
+            single[s : s + 4096] = _unit(raw[s : s + 4096])
+        if unit >= 0:
+            cut = 0 if i == j else int((column(rows, "b").to_numpy() == i).sum())
+            each = [(np.arange(len(rep)), first[1:], cut)] if i == j or 0 < cut < len(rep) else []
+        else:
+            at = np.flatnonzero(own >= (-1 - unit) * codes[d].wide())
+            at = at[~_among(own[at], crowded[d].names)[0]]
+            at = at[np.argsort(own[at], kind="stable")]
+            cuts = [0, *(np.flatnonzero(own[at[1:]] != own[at[:-1]]) + 1).tolist(), len(at)]
+            each = ((np.searchsorted(first, at[a:b], "right") - 1, at[a:b], 0) for a, b in zip(cuts, cuts[1:]) if b > a + 1)
+        for use, end, cut in each:
+            n, root = _compared(raw, use, single[use], copies[use], cut, first[use], end, own, cosine)
+            hit = np.flatnonzero(n)
+            if len(hit):
+                yield rep[use[hit]], n[hit].astype(np.int64), np.where(root[hit] == hit, -1, rep[use[root[hit]]])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
@@ -415,24 +464,27 @@ def linked(members: DataFrame, codes: dict[int, Code], crowded: dict[int, tuple[
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in zip(*out)], ["rep", "n", "other"])
                 out.clear()
 
-        def done(held: list[pa.RecordBatch]) -> None:
+        def done() -> None:
             if sum(len(x) for x in held) > 1:
-                out.append(compare(pa.Table.from_batches(held).combine_chunks().to_batches()[0]))
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held.clear()
+                out.extend(compare(rows))
+            held.clear()
 
         now, held = None, []
         for batch in it:
-            key = np.stack([column(batch, c).to_numpy().astype(np.int64) for c in ("filter", "dims", "i", "j")])
+            key = np.stack([column(batch, c).to_numpy().astype(np.int64) for c in group])
             begins = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()] if len(batch) else []
             for a, b in zip(begins, [*begins[1:], len(batch)]):
                 if (k := tuple(key[:, a].tolist())) != now:
-                    done(held)
-                    now, held = k, []
+                    done()
+                    now = k
                     yield from ready(4096)
                 held.append(batch.slice(a, b - a))
-        done(held)
+        done()
         yield from ready(1)
 
-    group = ["filter", "dims", "i", "j"]
+    group = ["unit", "dims", "i", "j"]
     found = []
     for turn in range(rounds):
         sent = _sent(members, codes, crowded, turn, rounds).repartition(*group).sortWithinPartitions(*group, "b")
@@ -440,12 +492,12 @@ def linked(members: DataFrame, codes: dict[int, Code], crowded: dict[int, tuple[
     return reduce(DataFrame.unionByName, found)
 
 
-def _rounds(seen: dict[str, int], codes: dict[int, Code], crowded: dict[int, tuple[np.ndarray, np.ndarray]]) -> int:
-    """So many rounds that none sends much more than it may; `seen` has the vectors and the bytes of them and of their filters."""
+def _rounds(seen: dict[str, int], codes: dict[int, Code], crowded: dict[int, Crowded]) -> int:
+    """So many rounds that none sends much more than it may; `seen` has the vectors, the bytes of them and of their filters, and their bundles."""
     row = seen["data"] / seen["n"] + seen["own"] / seen["n"] / 2 + 48
-    sent = seen["own"] / min(np.dtype(c.kind()).itemsize for c in codes.values())
-    sent += sum(int((blocks * (blocks - 1)).sum()) * BLOCK for _, blocks in crowded.values())
-    return max(1, min(ceil(sent * row / max(ROUND_BYTES, ROUND_X * seen["data"])), min(c.size() for c in codes.values())))
+    sent = seen["bundles"] + sum(int((x.blocks**2).sum()) * BLOCK for x in crowded.values())
+    most = min(c.size() // c.wide() for c in codes.values())
+    return max(1, min(ceil(sent * row / max(ROUND_BYTES, ROUND_X * seen["data"])), most))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -471,7 +523,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 distinct = numbered.join(copies, "_row", "left").filter("rep is null or rep = _row").withColumn("copies", F.coalesce("copies", F.lit(1)))
             members, sizes = counted(
                 _with_filters(distinct.select("_row", "vec_id", "copies", "embedding"), codes, width), "caps",
-                n=F.count("*"), data=F.sum(F.octet_length("data")), own=F.sum(F.octet_length("own")),
+                n=F.count("*"), data=F.sum(F.octet_length("data")), own=F.sum(F.octet_length("own")), bundles=F.sum("bundles"),
             )
             crowded = _crowded(members, codes, sizes["n"])
             found = linked(members, codes, crowded, _rounds(sizes, codes, crowded), width, cosine) if sizes["n"] else spark.createDataFrame([], "rep long, n long, other long")
