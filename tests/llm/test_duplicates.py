@@ -371,12 +371,14 @@ def test_caps_keep_little_on_disk(spark, monkeypatch):
     assert [os.path.basename(t).split("-")[0] for t in tables if os.path.exists(t)] == ["members"]
 
 
-@pytest.mark.parametrize("block, choices, bundle", [(40, caps.CHOICES, 0), (40, 10, caps.BUNDLE), (caps.BLOCK, 10, 300)])
-def test_caps_in_rounds(spark, monkeypatch, block, choices, bundle):
+@pytest.mark.parametrize("block, choices, bundle, dense", [(40, caps.CHOICES, 0, 10), (40, 10, caps.BUNDLE, caps.DENSE), (caps.BLOCK, 10, 300, 10)])
+def test_caps_in_rounds(spark, monkeypatch, block, choices, bundle, dense):
     x = near_vectors(n=600)
     rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(3)
     rows = written(rows, "given")
     monkeypatch.setattr(caps, "CELLS", 512)
+    monkeypatch.setattr(caps, "DENSE", dense)
+    monkeypatch.setattr(caps, "LEAST", 4)
     monkeypatch.setattr(caps, "PAIRS", 64)
     monkeypatch.setattr(caps, "BLOCK", block)
     monkeypatch.setattr(caps, "CHOICES", choices)
@@ -392,6 +394,26 @@ def test_caps_in_rounds(spark, monkeypatch, block, choices, bundle):
     assert all(r["n_links"] <= e for r, e in zip(found, exact)) and sum(r["n_links"] for r in found) >= 0.995 * exact.sum()
 
 
+def test_dense_groups_are_compared_once(monkeypatch):
+    """Pairs with a filter in common are left out before they are compared, all others are met once."""
+    monkeypatch.setattr(caps, "DENSE", 2)
+    monkeypatch.setattr(caps, "LEAST", 1)
+    rng = np.random.default_rng(2)
+    for cut in (0, 130):
+        has = rng.random((300, 40)) < np.where(np.arange(40) < 10, 0.75, 0.02)
+        row, own = np.nonzero(has)
+        first = np.searchsorted(row, np.arange(301))
+        met = np.zeros((300, 300), int)
+        for x, y in caps._uncommon(300, cut, first[:-1], first[1:], own):
+            met[np.ix_(x, y)] += 1
+        met = np.triu(met + (met.T if cut == 0 else 0), 1)
+        apart = np.triu(has.astype(int) @ has.T.astype(int) == 0, 1)
+        if cut:
+            apart[:cut, :cut] = apart[cut:] = False
+        assert (met[apart] >= 1).all() and (met > 0).sum() < 0.2 * 300 * 300 / 2
+        assert not cut or met.max() == 1
+
+
 def test_caps_on_nothing(spark):
     assert caps.near_duplicates(vectors(spark, [(1, [1.0])]).filter("false")).count() == 0
     assert [r["n_links"] for r in caps.near_duplicates(vectors(spark, [(1, None), (2, None)])).collect()] == [0, 0]

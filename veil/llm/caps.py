@@ -52,6 +52,8 @@ ROUND_X, ROUND_BYTES = 1.5, 256_000_000
 BUNDLE = 700_000
 #: Vectors whose filters are counted to find the crowded ones, at most about twice as many.
 COUNTED = 1 << 20
+#: Rows of a comparison from which on, and pairs of rows down to which, it is cut by filters that many have.
+DENSE, LEAST = 1536, 1 << 14
 #: Rows and cells of a table of inner products, and pairs that double precision settles at once.
 STRIP, CELLS, PAIRS = 128, 1 << 21, 1 << 16
 SEED = 17
@@ -383,6 +385,40 @@ def _joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return root
 
 
+def _uncommon(n: int, cut: int, begin: np.ndarray, end: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and rows whose pairs are to be compared, both the same array where these meet each other; each pair at most once.
+
+    Left out are only pairs with a filter own[begin:end] in common. In a large group of near copies that is nearly all of them:
+    those that hold its most frequent filter needn't meet, and so on with the next one for the others.
+    """
+    rows = np.arange(n)
+    todo = [(rows[:cut], rows[cut:], 0) if cut else (rows, rows, 0)]
+    bits, often = np.zeros(n, np.int64), 0
+    if n >= DENSE:
+        size = end - begin
+        names, at, count = np.unique(own[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)], return_inverse=True, return_counts=True)
+        most = np.argsort(-count, kind="stable")[:52]
+        most = most[count[most] > n // 16]
+        often, place = len(most), np.full(len(names), -1)
+        place[most] = np.arange(often)
+        at, row = place[at], np.repeat(rows, size)
+        bits = np.bincount(row[at >= 0], 2.0 ** at[at >= 0], n).astype(np.int64)
+    while todo:
+        x, y, k = todo.pop()
+        if not len(x) or not len(y):
+            continue
+        while k < often and len(x) * len(y) > LEAST:
+            a = (bits[x] >> k & 1) == 1
+            b = a if x is y else (bits[y] >> k & 1) == 1
+            k += 1
+            if 8 * int(a.sum()) * int(b.sum()) > len(x) * len(y):
+                rest = x[~a]
+                todo += [(x[a], rest, k), (rest, rest, k)] if x is y else [(x[a], y[~b], k), (rest, y[b], k), (rest, y[~b], k)]
+                break
+        else:
+            yield x, y
+
+
 def _compared(
     raw: np.ndarray, use: np.ndarray, single: np.ndarray, copies: np.ndarray, cut: int, begin: np.ndarray, end: np.ndarray, own: np.ndarray, cosine: float
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -390,7 +426,6 @@ def _compared(
 
     `single` has them at length 1. Rows before `cut` meet the others, all rows each other if it is 0.
     """
-    others = single.copy()  # a product of a table with itself takes a slower path
     slack = 1e-6 + 2.0**-23 * single.shape[1]  # over the error of single precision
     n, root = np.zeros(len(single)), np.arange(len(single))
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -404,23 +439,24 @@ def _compared(
         n += np.bincount(p, copies[q], len(n)) + np.bincount(q, copies[p], len(n))
         root = _joined(root, p, q)
 
-    step = max(1, min(STRIP, CELLS // len(single)))
-    for s in range(0, cut or len(single), step):
-        e, right = min(s + step, cut or len(single)), cut or s
-        g = (single[s:e] @ others[right:].T).ravel()
-        at = np.flatnonzero(g >= cosine - slack)
-        p, q = np.divmod(at, len(single) - right)
-        p, q = p + s, q + right
-        keep = p < q
-        near = g[at] >= cosine + slack
-        if len(unsure := np.flatnonzero(keep & ~near)):
-            for k in np.array_split(unsure, 1 + len(unsure) // PAIRS):
-                near[k] = np.einsum("ij,ij->i", _unit(raw[use[p[k]]]), _unit(raw[use[q[k]]])) >= cosine
-        keep &= near
-        if keep.any():
-            held.append((p[keep], q[keep]))
-            if sum(len(v[0]) for v in held) >= CELLS // 2:
-                settle()
+    for x, y in _uncommon(len(n), cut, begin, end, own):
+        left, right = single[x], single[y]  # copies: a product of a table with itself takes a slower path
+        step = max(1, min(STRIP, CELLS // len(y)))
+        for s in range(0, len(x), step):
+            first = s if x is y else 0
+            g = (left[s : s + step] @ right[first:].T).ravel()
+            at = np.flatnonzero(g >= cosine - slack)
+            p, q = np.divmod(at, len(y) - first)
+            keep = (p < q) if x is y else np.ones(len(at), bool)
+            p, q, near = x[p + s], y[q + first], g[at] >= cosine + slack
+            if len(unsure := np.flatnonzero(keep & ~near)):
+                for k in np.array_split(unsure, 1 + len(unsure) // PAIRS):
+                    near[k] = np.einsum("ij,ij->i", _unit(raw[use[p[k]]]), _unit(raw[use[q[k]]])) >= cosine
+            keep &= near
+            if keep.any():
+                held.append((p[keep], q[keep]))
+                if sum(len(v[0]) for v in held) >= CELLS // 2:
+                    settle()
     if held:
         settle()
     return n, root
