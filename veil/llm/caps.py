@@ -54,8 +54,8 @@ BUNDLE = 700_000
 COUNTED = 1 << 20
 #: Rows of a comparison from which on, and pairs of rows down to which, it is cut by filters that many have.
 DENSE, LEAST = 1536, 1 << 14
-#: Rows and cells of a table of inner products, and pairs that double precision settles at once.
-STRIP, CELLS, PAIRS = 128, 1 << 21, 1 << 16
+#: Rows and cells of a table of inner products, pairs held before they are counted, and pairs that double precision settles at once.
+STRIP, CELLS, HELD, PAIRS = 128, 1 << 19, 1 << 18, 1 << 16
 SEED = 17
 
 
@@ -373,13 +373,15 @@ def _apart(p: np.ndarray, q: np.ndarray, begin: np.ndarray, end: np.ndarray, own
 
 def _joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The least row that each row is linked with, after the links p-q."""
-    head = np.arange(len(root))
-    head[q[::-1]] = p[::-1]  # one link for each q first: of many pairs, few others are left then
-    for a, b in ((np.arange(len(root)), head), (p, q)):
+    rows = np.arange(len(root))
+    left, right = rows.copy(), rows.copy()
+    left[q[::-1]] = p[::-1]  # one link for each q and each p first: of many pairs, few others are left then
+    right[p[::-1]] = q[::-1]
+    for a, b in ((rows, left), (rows, right), (p, q)):
         u, v = root[a], root[b]
         if len(at := np.flatnonzero(u != v)):
             low, up = forest(u[at], v[at])
-            to = np.arange(len(root))
+            to = rows.copy()
             to[low] = up
             root = to[root]
     return root
@@ -455,7 +457,7 @@ def _compared(
             keep &= near
             if keep.any():
                 held.append((p[keep], q[keep]))
-                if sum(len(v[0]) for v in held) >= CELLS // 2:
+                if sum(len(v[0]) for v in held) >= HELD:
                     settle()
     if held:
         settle()
